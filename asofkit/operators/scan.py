@@ -169,6 +169,9 @@ def exact_quantiles(
     an ordered scan over distinct values in chunks of ``bucket`` (monotone in value).
     Output: keys..., prob, quantile.
     """
+    if not keys:
+        one = exact_quantiles(df.withColumn("__all", F.lit(1)), ["__all"], value, probs, bucket)
+        return one.drop("__all")
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     ranked = ordered_scan(counts, keys, [F.col(value)], bucket, [Running("__hi", F.col("__n"))])
@@ -177,10 +180,7 @@ def exact_quantiles(
         "__pos", F.col("prob") * (F.col("__t") - 1)
     )
     # Each distinct value covers positions [hi-n, hi-1]; probs is a short fixed list per key.
-    if keys:
-        hit = null_safe_join(ranked, want, keys, "inner")
-    else:
-        hit = ranked.join(F.broadcast(want), F.lit(True))
+    hit = null_safe_join(ranked, want, keys, "inner")
     lo, hi = F.col("__hi") - F.col("__n"), F.col("__hi") - 1
     down, up = F.floor("__pos"), F.ceil("__pos")
     hit = hit.filter(((down >= lo) & (down <= hi)) | ((up >= lo) & (up <= hi)))
