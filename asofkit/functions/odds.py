@@ -32,15 +32,23 @@ def shin_no_vig(over, under) -> Column:
     both to sum to one leaves one linear equation for a = (1 - z) / B. Falls back to
     the proportional price when there is no margin or the share leaves [0, 1).
     """
-    a, b = american_to_prob(over), american_to_prob(under)
-    book = a + b
-    gap = a * a - b * b
-    den = F.nullif(gap * gap - book * book, F.lit(0.0))
-    share = 2.0 * (a * a + b * b - book) / den
-    z = 1.0 - share * book
-    fair = (1.0 + share * gap - z) / (2.0 * (1.0 - z))
-    usable = (book > 1.0) & den.isNotNull() & (z >= 0.0) & (z < 1.0)
-    return F.when(book <= 0, None).when(F.coalesce(usable, F.lit(False)), fair).otherwise(a / book)
+    pair = F.array(F.struct(american_to_prob(over).alias("a"), american_to_prob(under).alias("b")))
+    return F.transform(pair, lambda x: shin_from_probs(x["a"], x["b"]))[0]
+
+
+def shin_from_probs(a: Column, b: Column) -> Column:
+    """The same from implied probabilities; inner values are bound once by one-element transforms."""
+    def solve(v: Column) -> Column:
+        fair = (1.0 + v["share"] * v["gap"] - v["z"]) / (2.0 * (1.0 - v["z"]))
+        usable = (v["book"] > 1.0) & v["share"].isNotNull() & (v["z"] >= 0.0) & (v["z"] < 1.0)
+        return F.when(v["book"] <= 0, None).when(F.coalesce(usable, F.lit(False)), fair).otherwise(v["a"] / v["book"])
+
+    def with_z(v: Column) -> Column:
+        share = 2.0 * (v["sq"] - v["book"]) / F.nullif(v["gap"] * v["gap"] - v["book"] * v["book"], F.lit(0.0))
+        return F.transform(F.array(share), lambda s: F.struct(v["a"], v["book"], v["gap"], s.alias("share"), (1.0 - s * v["book"]).alias("z")))[0]
+
+    first = F.array(F.struct(a.alias("a"), (a + b).alias("book"), (a * a - b * b).alias("gap"), (a * a + b * b).alias("sq")))
+    return F.transform(F.transform(first, with_z), solve)[0]
 
 
 def expected_value(p, price) -> Column:
