@@ -16,7 +16,7 @@ def side_source(before, after, full: int = 9) -> Column:
     empty = F.size(b) == 0
     fully, topped = contributed & empty, contributed & ~empty
     tag = F.when(F.size(a) == 0, "none").when(~contributed, "mlb").when(fully, "full").otherwise("top")
-    done = F.size(F.array_distinct(a)) >= full
+    done = F.size(F.array_distinct(a)) == full
     return F.struct(tag.alias("tag"), contributed.alias("contributed"), fully.alias("fully"), topped.alias("topped"), (contributed & done).alias("completed"))
 
 

@@ -20,6 +20,7 @@ class Contract:
     numeric: dict[str, float] = field(default_factory=dict)  # column -> largest share of unreadable values
     date: str | None = None
     max_age_days: int | None = None
+    armed_months: tuple[int, int] = (1, 12)  # freshness is judged only in these months
     shrink_ratio: float = 0.98
     shrink_rows: int = 0
     season: str | None = None
@@ -44,8 +45,14 @@ def contract_metrics(df: DataFrame, c: Contract) -> DataFrame:
     return one
 
 
-def validate(df: DataFrame, c: Contract, prev: DataFrame | None = None, today: str | None = None) -> DataFrame:
-    """Problems as rows (check, detail); no rows means the table is fine."""
+def validate(
+    df: DataFrame, c: Contract, prev: DataFrame | None = None, today: str | None = None, reference: Column | None = None
+) -> DataFrame:
+    """Problems as rows (check, detail); no rows means the table is fine.
+
+    Freshness counts from ``today``, or from ``reference`` (the newest date of a table that
+    leads this one) when that is earlier, so a season's end raises no false alarm.
+    """
     spark = df.sparkSession
     missing = [x for x in c.columns if x not in df.columns]
     if missing:
@@ -63,7 +70,9 @@ def validate(df: DataFrame, c: Contract, prev: DataFrame | None = None, today: s
             t = F.lit(today).cast("date")
             checks.append(("date_future", F.col("max_date") > t, F.col("max_date").cast("string")))
             if c.max_age_days is not None:
-                checks.append(("stale", F.datediff(t, "max_date") > c.max_age_days, F.col("max_date").cast("string")))
+                armed = F.month(t).between(*c.armed_months)
+                ref = t if reference is None else F.least(t, reference)
+                checks.append(("stale", armed & (F.datediff(ref, "max_date") > c.max_age_days), F.col("max_date").cast("string")))
     if prev is not None:
         before = prev.agg(F.count(F.lit(1))).scalar()
         m = m.withColumn("__prev", before)
@@ -98,3 +107,46 @@ def fit_overlap(windows: DataFrame) -> DataFrame:
     """Does an evaluation range touch the fit range, and where may an honest one start?"""
     hit = ~((F.col("eval_end") < F.col("fit_start")) | (F.col("eval_start") > F.col("fit_end")))
     return windows.withColumn("overlaps", hit).withColumn("auto_start", F.date_add("fit_end", 1))
+
+
+def contracts_from_table(specs: DataFrame) -> dict[str, Contract]:
+    """Contract registry from a table of specs: one short row per table (name, columns, key, min_rows, ...)."""
+    out = {}
+    for r in specs.toLocalIterator():
+        s = r.asDict(recursive=True)
+        name = s.pop("name")
+        out[name] = Contract(**{k: v for k, v in s.items() if v is not None})
+    return out
+
+
+# Contracts of the tables the flatteners and the ledger write.
+CONTRACTS: dict[str, Contract] = {
+    "games": Contract(
+        columns=("GamePk", "Season", "Date", "DayNight", "AwayTeam", "HomeTeam", "AwayScore", "HomeScore", "Venue", "GameType"),
+        key=("GamePk",), date="Date", max_age_days=6, armed_months=(4, 10), numeric={"GamePk": 0.0, "AwayScore": 0.02, "HomeScore": 0.02},
+        min_rows=13000, shrink_ratio=0.999, season="Season"),
+    "game_batting": Contract(
+        columns=("GamePk", "Season", "Date", "PlayerId", "Team", "PA", "H", "HR"), key=("GamePk", "PlayerId"), max_dup_frac=0.001, date="Date",
+        numeric={"PlayerId": 0.0, "PA": 0.001, "HR": 0.001}, min_rows=280000, shrink_ratio=0.999, season="Season"),
+    "movements": Contract(
+        columns=("GamePk", "Season", "Date", "AtBatIndex", "PlayIndex", "RunnerId", "StartBase", "EndBase", "IsOut", "RBI", "Earned"),
+        key=("GamePk", "AtBatIndex", "PlayIndex", "RunnerId", "StartBase"), max_dup_frac=0.002, date="Date", max_age_days=6, armed_months=(4, 11),
+        numeric={"GamePk": 0.0, "RunnerId": 0.001}, min_rows=1800000, shrink_ratio=0.999, season="Season"),
+    "weather": Contract(
+        columns=("GamePk", "Date", "Venue", "Humidity", "Pressure", "Precip"), key=("GamePk",), date="Date", max_age_days=6, armed_months=(4, 11),
+        numeric={"GamePk": 0.0, "Humidity": 0.02, "Pressure": 0.02}, min_rows=20000, shrink_ratio=0.999),
+    "linescores": Contract(
+        columns=("GamePk", "Date", "Season", "Inning", "AwayRuns", "HomeRuns"), key=("GamePk", "Inning"), date="Date", max_age_days=6,
+        armed_months=(4, 11), numeric={"GamePk": 0.0, "Inning": 0.0, "AwayRuns": 0.02}, min_rows=1000, shrink_ratio=0.999, season="Season"),
+    "il_events": Contract(
+        columns=("PlayerId", "Date", "Kind", "ILDays"), key=("PlayerId", "Date", "Kind"), max_dup_frac=0.02, date="Date", max_age_days=10,
+        armed_months=(5, 9), numeric={"PlayerId": 0.0}, min_rows=20000, shrink_ratio=0.999),
+    "odds": Contract(
+        columns=("Date", "GamePk", "PlayerId", "Market", "Line", "OverPrice", "UnderPrice", "Book", "CapturedAt"), date="Date",
+        numeric={"Line": 0.05, "OverPrice": 0.20}, min_rows=1, shrink_ratio=0.999),
+    "sprint_speed": Contract(
+        columns=("Year", "PlayerId", "SprintSpeed"), key=("Year", "PlayerId"), numeric={"PlayerId": 0.0, "SprintSpeed": 0.01}, min_rows=3500,
+        shrink_ratio=0.999, shrink_rows=20, season="Year"),
+}
+CONTRACTS["minor_game_batting"] = CONTRACTS["game_batting"].derived(
+    columns=(*CONTRACTS["game_batting"].columns, "Level"), min_rows=400000, max_age_days=10, armed_months=(5, 9))

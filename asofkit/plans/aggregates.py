@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from asofkit.operators import aggs as A
@@ -119,17 +120,18 @@ SELECT ctx, CAST(rank AS INT) AS rank, n, round(n * 1.0 / sum(n) OVER (PARTITION
 def choice_rank_distribution(spark, d):
     """Rank of the arm actually chosen among those with recent use, under two orderings.
 
-    Candidates of a team-day come from day sums within trailing windows: each (team, arm, use day)
-    row opens the 365 days after it, joined to that team's game days by (team, month).
+    Each use of an arm makes it a candidate until its next use, thirty days at most, so candidates
+    grow with the uses and not with arms times days.
     """
     pa = appearances(spark, d).join(table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("team")), F.col("pitcher") == F.col("s_suppkey"))
     day = pa.groupBy("team", "pitcher", "d").agg(F.count(F.lit(1)).alias("np"), F.sum("qty").alias("q"))
     first = pa.groupBy("team", "d").agg(F.min_by("pitcher", F.struct("seq", "game", "pitcher")).alias("chosen"))
-    # arms of a team are few; a (team, day, arm) spine is joined to trailing sums per arm
-    arms = day.select("team", "pitcher").distinct()
-    spine = first.join(arms, "team")
+    w = Window.partitionBy("team", "pitcher").orderBy("d")
+    until = F.least(F.date_add("d", 30), F.coalesce(F.lead("d").over(w), F.date_add("d", 30)))
+    recent = day.withColumn("until", until).select("team", "pitcher", F.explode(F.sequence(F.date_add("d", 1), "until")).alias("d"))
+    spine = recent.join(first, ["team", "d"])
     s = trailing_sums(spine, day, ["team", "pitcher"], "d", ["np", "q"], {"30": 30, "365": 365})
-    s = s.filter("np_30 > 0").withColumn("ctx", F.when(F.day("d") % 2 == 0, "hi").otherwise("lo")).withColumn("hit", F.col("pitcher") == F.col("chosen"))
+    s = s.withColumn("ctx", F.when(F.day("d") % 2 == 0, "hi").otherwise("lo")).withColumn("hit", F.col("pitcher") == F.col("chosen"))
     r = A.choice_rank_pmf(s, ["team", "d"], {"hi": [F.desc("np_30"), F.asc("pitcher")], "lo": [F.desc("q_365"), F.asc("pitcher")]}, "ctx", "hit", 8)
     return r.select("ctx", "rank", "n", F.round("p", 6).alias("p"))
 
@@ -209,7 +211,7 @@ def graded_actuals(spark, d):
 
 @query("A54 X29", f"""WITH {EV}, b AS (SELECT user_id, d, list(DISTINCT k % 12) FILTER (WHERE event_type = 'view') AS bf, list(DISTINCT k % 12) AS af FROM ev WHERE event_type IN ('view', 'click', 'error') GROUP BY 1, 2),
 s AS (SELECT *, len(bf) AS nb, len(af) AS na FROM b), t AS (SELECT *, na <> coalesce(nb, 0) AS contributed FROM s)
-SELECT d, count(*) AS sides, CAST(sum(contributed::INT) AS BIGINT) AS contributed, CAST(sum((contributed AND coalesce(nb, 0) = 0)::INT) AS BIGINT) AS fully, CAST(sum((contributed AND coalesce(nb, 0) > 0)::INT) AS BIGINT) AS topped, CAST(sum((contributed AND na >= 3)::INT) AS BIGINT) AS completed FROM t GROUP BY 1""")
+SELECT d, count(*) AS sides, CAST(sum(contributed::INT) AS BIGINT) AS contributed, CAST(sum((contributed AND coalesce(nb, 0) = 0)::INT) AS BIGINT) AS fully, CAST(sum((contributed AND coalesce(nb, 0) > 0)::INT) AS BIGINT) AS topped, CAST(sum((contributed AND na = 3)::INT) AS BIGINT) AS completed FROM t GROUP BY 1""")
 def source_accounting(spark, d):
     """What a fallback source added to each side, by the ids before and after it."""
     from asofkit.functions.rules import side_source
@@ -230,8 +232,6 @@ SELECT ramp, short, CASE WHEN removed = 1 THEN CASE WHEN coalesce(date_diff('day
 FROM h JOIN bw ON h.pitcher = bw.pitcher AND h.d = bw.d GROUP BY 1, 2, 3, 4""")
 def removal_risk_table(spark, d):
     """Rows at risk with regime context and a competing-risk cause for each exit."""
-    from pyspark.sql import Window
-
     pa = appearances(spark, d)
     st = pa.groupBy("pitcher", "d").agg(F.count(F.lit(1)).alias("np"), F.sum("qty").alias("outs"))
     w = Window.partitionBy("pitcher").orderBy("d")
@@ -253,8 +253,6 @@ hist AS (SELECT user_id, d, sum(h) OVER w AS ph, count(*) OVER w AS pn, sum((h >
 SELECT user_id, d, 'H > ' || CAST(line AS VARCHAR) AS market, round((coalesce(CASE line WHEN 0.5 THEN g1 WHEN 1.5 THEN g2 ELSE g3 END, 0) + 2.0) / (pn + 4.0), 6) AS p, (h > line)::INT AS y FROM hist, lines""")
 def replay_ledger(spark, d):
     """Every historical date at once: as-of shares per threshold graded against the day's actual."""
-    from pyspark.sql import Window
-
     box = events(spark, d).groupBy("user_id", "d").agg(F.count(F.lit(1)).alias("h"))
     w = Window.partitionBy("user_id").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
     lines = (0.5, 1.5, 2.5)
