@@ -129,16 +129,24 @@ def blended_exit(own: DataFrame, league: DataFrame, keys: Sequence[str], pseudo:
     return j.withColumn("exit", (F.coalesce("exit", F.lit(0.0)) * F.col("at_risk") + pseudo * F.coalesce("__lg", F.lit(0.0))) / (F.col("at_risk") + pseudo)).drop("__lg")
 
 
-def choice_rank_pmf(candidates: DataFrame, choice: Sequence[str], orderings: dict[str, Sequence[Column]], context: str, chosen: str, size: int) -> DataFrame:
+def choice_rank_pmf(
+    candidates: DataFrame, choice: Sequence[str], orderings: dict[str, Sequence[Column]], context: str, chosen: str, size: int
+) -> DataFrame:
     """Rank of the chosen candidate under the ordering of its context, as a distribution over ranks.
 
-    A choice has at most ``size`` candidates (eligibility keeps the top ``size``).
+    ``orderings`` gives each context its ascending sort values (same number for all); one window
+    serves every context, and only the first ``size`` candidates of a choice pass the shuffle.
     """
-    out = None
-    for ctx, order in orderings.items():
-        c = top_k(candidates.filter(F.col(context) == ctx), list(choice), order, size, "rank").filter(F.col(chosen))
-        out = c if out is None else out.unionByName(c)
-    n = out.groupBy(context, "rank").agg(F.count(F.lit(1)).alias("n"))
+    width = len(next(iter(orderings.values())))
+    order = []
+    for i in range(width):
+        pick = None
+        for ctx, cols in orderings.items():
+            hit = F.col(context) == ctx
+            pick = F.when(hit, cols[i].cast("double")) if pick is None else pick.when(hit, cols[i].cast("double"))
+        order.append(pick)
+    ranked = top_k(candidates, list(choice), order, size, "rank").filter(F.col(chosen))
+    n = ranked.groupBy(context, "rank").agg(F.count(F.lit(1)).alias("n"))
     return group_totals(n, [context], __t=F.sum("n")).select(context, "rank", "n", (F.col("n") / F.col("__t")).alias("p"))
 
 

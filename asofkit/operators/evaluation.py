@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from asofkit.functions import prob as P
 from asofkit.functions.hashing import draw
 from asofkit.operators.scan import Running, exact_quantiles, null_safe_join, ordered_scan, top_k
+from asofkit.session import cut_lineage
 
 
 def skill_report(led: DataFrame, family: str = "family", market: str = "market") -> DataFrame:
@@ -106,8 +107,10 @@ def block_bootstrap(
 ) -> DataFrame:
     """Per replicate and group: sum of drawn numerators over sum of drawn denominators.
 
-    ``shared`` draws one set of dates for all groups.
+    ``daily`` has one row per group and date; it is materialised once, since the draws and the
+    sums both read it. ``shared`` draws one set of dates for all groups.
     """
+    daily = cut_lineage(daily.select(*group, date, num, den))
     w = day_weights(slate_index(daily, [] if shared else group, date), [] if shared else list(group), date, reps, seed)
     j = daily.join(w, [date] if shared else [*group, date])
     return j.groupBy(*group, "rep").agg(
@@ -143,8 +146,10 @@ def pair_ledgers(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def ab_report(pairs: DataFrame, reps: int = 500, alpha: float = 0.05, min_n: int = 800, seed: int = 7) -> DataFrame:
     """Per family and ALL: mean loss difference, date-block interval, BH p and verdict."""
-    both = pairs.withColumn("family", F.explode(F.array("family", F.lit("ALL"))))
-    day = both.groupBy("family", "d").agg(F.sum("delta").alias("s"), F.count(F.lit(1)).alias("n"), F.sum("ll_a").alias("sa"), F.sum("ll_b").alias("sb"))
+    day = pairs.groupBy("family", "d").agg(F.sum("delta").alias("s"), F.count(F.lit(1)).alias("n"), F.sum("ll_a").alias("sa"), F.sum("ll_b").alias("sb"))
+    # the big join of the two ledgers runs once; everything below reads family-day sums
+    day = cut_lineage(day)
+    day = day.unionByName(day.groupBy("d").agg(*[F.sum(c).alias(c) for c in ("s", "n", "sa", "sb")]).withColumn("family", F.lit("ALL")))
     tot = day.groupBy("family").agg(F.sum("n").alias("n"), (F.sum("sa") / F.sum("n")).alias("ll_a"), (F.sum("sb") / F.sum("n")).alias("ll_b"),
                                     (F.sum("s") / F.sum("n")).alias("delta"))
     ci = bootstrap_summary(block_bootstrap(day, ["family"], "d", "s", "n", reps, seed), ["family"])
@@ -177,7 +182,7 @@ def goal_board(led: DataFrame, keys: Sequence[str], date: str, tie: Sequence[Col
     slate = tops.groupBy(*k).agg(arr.alias("ys")).join(led.groupBy(*k).agg(F.sum("y").alias("ht"), F.count(F.lit(1)).alias("ct")), k)
     h = lambda n: F.aggregate(F.slice("ys", 1, n), F.lit(0.0), lambda a, x: a + x)
     c = lambda n: F.least(F.size("ys"), F.lit(n)).cast("double")
-    slate = slate.select(*k, "ht", "ct", *[h(n).alias(f"h{n}") for n in range(1, DEPTHS + 1)], *[c(n).alias(f"c{n}") for n in range(1, DEPTHS + 1)])
+    slate = cut_lineage(slate.select(*k, "ht", "ct", *[h(n).alias(f"h{n}") for n in range(1, DEPTHS + 1)], *[c(n).alias(f"c{n}") for n in range(1, DEPTHS + 1)]))
     idx = slate_index(slate, keys, date)
     w = day_weights(idx.filter(F.col("n_dates") >= min_slates), keys, date, reps, seed)
     ws = lambda x: F.sum(F.col(x) * F.col("w"))
@@ -197,9 +202,10 @@ def logistic_fits(cells: DataFrame, keys: Sequence[str], z: str, n: str, sy: str
     """Two-parameter logistic fit per key by Newton steps; each step is one grouped aggregate of five sums
     for all keys at once. ``cells`` is pre-folded: rows (keys, z) with weight n and positives sy.
 
-    The folded cells are shuffled once: every step reads the same exchange.
+    The folded cells are materialised once; every step reads them again.
     """
     keys = list(keys)
+    cells = cut_lineage(cells)
     coef = start if start is not None else cells.groupBy(*keys).agg(F.lit(a0).alias("a"), F.lit(b0).alias("b"))
     for _ in range(iters):
         mu = P.sigmoid(F.col("a") + F.col("b") * F.col(z))
@@ -260,7 +266,7 @@ def crossfit_calibration(led: DataFrame, family: str, date: str, folds: int = 5,
 def offset_logistic(cells: DataFrame, keys: Sequence[str], offset: Column, x: Column, n: str, sy: str, iters: int = 12) -> DataFrame:
     """One slope with a fixed offset per key: estimate, standard error and z value."""
     keys = list(keys)
-    c = cells.select(*keys, offset.alias("__o"), x.alias("__x"), n, sy)
+    c = cut_lineage(cells.select(*keys, offset.alias("__o"), x.alias("__x"), n, sy))
     beta = c.groupBy(*keys).agg(F.lit(0.0).alias("beta"))
     info = None
     for i in range(iters + 1):
@@ -278,6 +284,7 @@ def offset_logistic(cells: DataFrame, keys: Sequence[str], offset: Column, x: Co
 def bin_heads(train: DataFrame, family: str, bin_: str, offset: str, y: str, ridge: float = 1.0, iters: int = 6) -> DataFrame:
     """Logit shift per (family, bin) with logit(p_cal) as offset and a ridge toward zero."""
     cells = train.groupBy(family, bin_, F.col(offset).alias("__o")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"))
+    cells = cut_lineage(cells)
     shift = cells.groupBy(family, bin_).agg(F.lit(0.0).alias("shift"))
     for _ in range(iters):
         mu = P.sigmoid(F.col("__o") + F.col("shift"))

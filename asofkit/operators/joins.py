@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from asofkit.functions import text as T
 from asofkit.operators.asof import asof_time_join
-from asofkit.operators.scan import Following, Index, Previous, group_totals, ordered_scan, pick_one
+from asofkit.operators.scan import Following, Index, Previous, Total, ordered_scan, pick_one
 
 
 def dot_product(
@@ -104,9 +104,10 @@ def ordinal_pair(
     ``status`` says paired, unequal (refused) or no_right.
     """
     keys = list(keys)
-    li = group_totals(ordered_scan(left, keys, left_order, chunk_left, [Index("ord")]), keys, __nl=F.count(F.lit(1)))
-    ri = group_totals(ordered_scan(right, keys, right_order, chunk_right, [Index("ord")]), keys, __nr=F.count(F.lit(1)))
-    counts = ri.select(*keys, "__nr").distinct()
+    one = F.lit(1)
+    li = ordered_scan(left, keys, left_order, chunk_left, [Index("ord"), Total("__nl", one)])
+    ri = ordered_scan(right, keys, right_order, chunk_right, [Index("ord")])
+    counts = right.groupBy(*keys).agg(F.count(one).alias("__nr"))
     j = li.join(counts, keys, "left").join(ri.select(*keys, "ord", *cols), [*keys, "ord"], "left")
     same = F.col("__nl") == F.col("__nr")
     status = F.when(F.col("__nr").isNull(), "no_right").when(same, "paired").otherwise("unequal")

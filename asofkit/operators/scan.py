@@ -67,7 +67,15 @@ class RunningMin:
     value: Column
 
 
-Scan = Running | Index | Previous | Following | Carry | RunningMin
+@dataclass(frozen=True)
+class Total:
+    """Sum over the whole key."""
+
+    out: str
+    value: Column
+
+
+Scan = Running | Index | Previous | Following | Carry | RunningMin | Total
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -128,6 +136,10 @@ def ordered_scan(
             part_outs.append(F.last(p, True).over(cbefore).alias(q))
             local.append(F.last(boxed, True).over(upto if s.inclusive else before).alias(loc))
             final.append(F.coalesce(F.col(loc), F.col(q))["x"].alias(s.out))
+        elif isinstance(s, Total):
+            part_aggs.append(F.sum(v).alias(p))
+            part_outs.append(F.sum(p).over(Window.partitionBy(*keys)).alias(q))
+            final.append(F.col(q).alias(s.out))
         else:
             part_aggs.append(F.min(v).alias(p))
             part_outs.append(F.min(p).over(cbefore).alias(q))
@@ -144,6 +156,8 @@ def group_totals(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFram
 
     Unlike an un-ordered window, this never gathers a hot group in one task.
     """
+    if not keys:
+        return df.select("*", *[df.agg(a).scalar().alias(n) for n, a in aggs.items()])
     totals = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
     return null_safe_join(df, totals, list(keys))
 

@@ -132,7 +132,7 @@ def choice_rank_distribution(spark, d):
     spine = recent.join(first, ["team", "d"])
     s = trailing_sums(spine, day, ["team", "pitcher"], "d", ["np", "q"], {"30": 30, "365": 365})
     s = s.withColumn("ctx", F.when(F.day("d") % 2 == 0, "hi").otherwise("lo")).withColumn("hit", F.col("pitcher") == F.col("chosen"))
-    r = A.choice_rank_pmf(s, ["team", "d"], {"hi": [F.desc("np_30"), F.asc("pitcher")], "lo": [F.desc("q_365"), F.asc("pitcher")]}, "ctx", "hit", 8)
+    r = A.choice_rank_pmf(s, ["team", "d"], {"hi": [-F.col("np_30"), F.col("pitcher")], "lo": [-F.col("q_365"), F.col("pitcher")]}, "ctx", "hit", 8)
     return r.select("ctx", "rank", "n", F.round("p", 6).alias("p"))
 
 

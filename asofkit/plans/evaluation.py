@@ -10,6 +10,7 @@ from asofkit.operators import evaluation as E
 from asofkit.operators.scan import exact_quantiles, top_k
 from asofkit.plans._roles import CAP, EV, LED, LED_B, PA, appearances, captures, events, ledger, ledger_b, prob_sql
 from asofkit.registry import query
+from asofkit.session import cut_lineage
 
 
 def r6(df, *keep, n=6):
@@ -328,11 +329,12 @@ def composite(led, reps):
     """Bootstrapped composite score per family from per-day, per-value counts."""
     day = led.groupBy("family", "d").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(P.log_loss("y", "p")).alias("nll"))
     picks = top_k(led, ["family", "d"], [F.desc("p"), F.asc("game")], 10).groupBy("family", "d").agg(F.sum("y").alias("ky"), F.count(F.lit(1)).alias("kn"))
-    w = E.day_weights(E.slate_index(day, ["family"], "d"), ["family"], "d", reps, 11)
+    day = cut_lineage(day)
+    w = cut_lineage(E.day_weights(E.slate_index(day, ["family"], "d"), ["family"], "d", reps, 11))
     ws = lambda c: F.sum(F.col(c) * F.col("w"))
     s = day.join(picks, ["family", "d"]).join(w, ["family", "d"]).groupBy("family", "rep").agg(*[ws(c).alias(c) for c in ("n", "sy", "nll", "ky", "kn")])
     cells = led.groupBy("family", "d", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).join(w, ["family", "d"])
-    cells = cells.groupBy("family", "rep", "p").agg(ws("pos").alias("pos"), ws("neg").alias("neg"))
+    cells = cut_lineage(cells.groupBy("family", "rep", "p").agg(ws("pos").alias("pos"), ws("neg").alias("neg")))
     k = ["family", "rep"]
     fit = E.logistic_fits(cells.select(*k, P.logit("p").alias("z"), (F.col("pos") + F.col("neg")).alias("n"), F.col("pos").alias("sy")), k, "z", "n", "sy", NIT)
     j = s.join(E.auc(cells, k), k).join(E.weighted_ece(cells, k), k).join(fit, k)
@@ -387,7 +389,7 @@ def class_baselines(spark, d):
 
     pa = appearances(spark, d)
     tr, te = pa.filter("season < 2000"), pa.filter("season = 2000")
-    lg = category_shares(tr.withColumn("g", F.lit(1)), ["g"], "label", "q").select("label", "q")
+    lg = category_shares(tr, [], "label", "q").select("label", "q")
     en = tr.groupBy("pitcher", "label").agg(F.count(F.lit(1)).alias("c"))
     n = tr.groupBy("pitcher").agg(F.count(F.lit(1)).alias("n"))
     cells = te.groupBy("pitcher", "label").agg(F.count(F.lit(1)).alias("k")).join(lg, "label").join(en, ["pitcher", "label"], "left").join(n, "pitcher")
@@ -396,29 +398,36 @@ def class_baselines(spark, d):
     return cells.groupBy("label").agg(F.sum("k").alias("n"), wll(F.col("q")).alias("ll_league"), wll(qe).alias("ll_entity"))
 
 
-@query("A19 J20", f"""
-WITH {EV}, dd AS (SELECT user_id, d, count(*) AS np FROM ev GROUP BY 1, 2), r AS (SELECT e.user_id, coalesce(a.np, 0) AS np1, coalesce(b.np, 0) AS np2, (event_type = 'error')::INT AS y FROM ev e
+def _fatigue_sql() -> str:
+    mu = "(1 / (1 + exp(-(x.o + b.beta * x.f))))"
+    steps = ", ".join(f"b{i + 1} AS (SELECT x.cls, any_value(b.beta) + sum(f * (y - {mu})) / sum(f * f * {mu} * (1 - {mu})) AS beta FROM x JOIN b{i} b ON x.cls = b.cls GROUP BY x.cls)" for i in range(6))
+    return f"""
+WITH {EV}, dd AS (SELECT user_id, d, count(*) AS np FROM ev GROUP BY 1, 2), r0 AS (SELECT e.user_id, coalesce(a.np, 0) AS np1, coalesce(b.np, 0) AS np2, event_type FROM ev e
   LEFT JOIN dd a ON a.user_id = e.user_id AND a.d + 1 = e.d LEFT JOIN dd b ON b.user_id = e.user_id AND b.d + 2 = e.d),
-k AS (SELECT *, least(np1, 4) / 2.0 + 0.5 * least(np2, 4) / 2.0 AS f FROM r WHERE np1 < 5 AND NOT (np1 > 2 AND np2 > 2)), lg AS (SELECT avg(y) AS lg FROM k),
-ba AS (SELECT user_id, (sum(y) + 150.0 * any_value(lg)) / (count(*) + 150.0) AS b FROM k, lg GROUP BY 1), x AS (SELECT ln(b / (1 - b)) AS o, f, y FROM k JOIN ba USING (user_id)),
-b0 AS (SELECT 0.0::DOUBLE AS beta), {', '.join(f"b{i + 1} AS (SELECT any_value(beta) + sum(f * (y - 1/(1+exp(-(o + beta*f))))) / sum(f*f*(1/(1+exp(-(o + beta*f))))*(1-1/(1+exp(-(o + beta*f))))) AS beta FROM x, b{i})" for i in range(6))}
-SELECT round(any_value(beta), 5) AS beta, round(1 / sqrt(sum(f*f*(1/(1+exp(-(o + beta*f))))*(1-1/(1+exp(-(o + beta*f)))))), 5) AS se, round(any_value(beta) * sqrt(sum(f*f*(1/(1+exp(-(o + beta*f))))*(1-1/(1+exp(-(o + beta*f)))))), 4) AS z, count(*) AS n FROM x, b6""")
+k AS (SELECT user_id, cls, (event_type = cls)::INT AS y, least(np1, 4) / 2.0 + 0.5 * least(np2, 4) / 2.0 AS f FROM r0, (SELECT unnest(['error', 'view', 'click']) AS cls) WHERE np1 < 5 AND NOT (np1 > 2 AND np2 > 2)), lg AS (SELECT cls, avg(y) AS lg FROM k GROUP BY 1),
+ba AS (SELECT user_id, k.cls, (sum(y) + 150.0 * any_value(lg)) / (count(*) + 150.0) AS b FROM k JOIN lg ON k.cls = lg.cls GROUP BY 1, 2), x AS (SELECT k.cls, ln(b / (1 - b)) AS o, f, y FROM k JOIN ba ON k.user_id = ba.user_id AND k.cls = ba.cls),
+b0 AS (SELECT DISTINCT cls, 0.0::DOUBLE AS beta FROM x), {steps}
+SELECT x.cls, round(any_value(b.beta), 5) AS beta, round(1 / sqrt(sum(f * f * {mu} * (1 - {mu}))), 5) AS se, round(any_value(b.beta) * sqrt(sum(f * f * {mu} * (1 - {mu}))), 4) AS z, count(*) AS n FROM x JOIN b6 b ON x.cls = b.cls GROUP BY 1"""
+
+
+@query("A19 J20", _fatigue_sql())
 def fatigue_offset_logistic(spark, d):
-    """Log-odds shift per unit of recent use, with shrunk personal baselines as offsets."""
+    """Log-odds shift per unit of recent use for three classes, with shrunk personal baselines as offsets."""
     from asofkit.operators.joins import exact_lag
 
     ev = events(spark, d)
     daily = ev.groupBy("user_id", "d").agg(F.count(F.lit(1)).alias("np"))
-    r = exact_lag(ev, daily, ["user_id"], "d", "np", [1, 2]).withColumn("y", (F.col("event_type") == "error").cast("int"))
+    r = exact_lag(ev, daily, ["user_id"], "d", "np", [1, 2])
     a, b = F.col("np_lag1"), F.col("np_lag2")
     r = r.filter((a < 5) & ~((a > 2) & (b > 2))).withColumn("f", F.least(a, F.lit(4)) / 2.0 + 0.5 * F.least(b, F.lit(4)) / 2.0)
-    lg = r.agg(F.avg("y")).scalar()
-    base = r.groupBy("user_id").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("c")).withColumn("lg", lg)
-    base = base.select("user_id", ((F.col("s") + 150.0 * F.col("lg")) / (F.col("c") + 150.0)).alias("b"))
-    cells = r.join(base, "user_id").groupBy(F.lit("error").alias("cls"), "b", "f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"))
+    r = r.withColumn("cls", F.explode(F.array(*[F.lit(c) for c in ("error", "view", "click")])))
+    cells = r.groupBy("user_id", "cls", "f").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("event_type") == F.col("cls")).cast("int")).alias("sy"))
+    lg = cells.groupBy("cls").agg((F.sum("sy") / F.sum("n")).alias("lg"))
+    base = cells.groupBy("user_id", "cls").agg(F.sum("sy").alias("s"), F.sum("n").alias("c")).join(lg, "cls")
+    base = base.select("user_id", "cls", ((F.col("s") + 150.0 * F.col("lg")) / (F.col("c") + 150.0)).alias("b"))
+    cells = cells.join(base, ["user_id", "cls"]).groupBy("cls", "b", "f").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"))
     fit = E.offset_logistic(cells, ["cls"], F.log(F.col("b") / (1 - F.col("b"))), F.col("f"), "n", "sy", 6)
-    n = cells.groupBy("cls").agg(F.sum("n").alias("n"))
-    return fit.join(n, "cls").select(F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"), F.round("z", 4).alias("z"), "n")
+    return fit.join(cells.groupBy("cls").agg(F.sum("n").alias("n")), "cls").select("cls", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"), F.round("z", 4).alias("z"), "n")
 
 
 @query("M10")

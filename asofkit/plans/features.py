@@ -265,7 +265,7 @@ def _venue_counts(spark, d):
     return S.class_counts(pa, ["g", "season"], "label", LABELS)
 
 
-@query("A8", f"WITH {PA}, {VEN}, {_factor_sql('season >= year - 3 AND season < year', 2000.0)}")
+@query("A8 U2", f"WITH {PA}, {VEN}, {_factor_sql('season >= year - 3 AND season < year', 2000.0)}")
 def rolling_prior_factors(spark, d):
     """Venue multipliers over the three seasons before, shrunk to 1."""
     f = S.prior_factors(_venue_counts(spark, d), ["g"], [], "season", LABELS, "n", 2000.0, seasons_back=3)
