@@ -49,14 +49,15 @@ def key_text(v) -> Column:
     """Canonical key text: blanks and NaN words to '', 777.0 to 777, 1.50 to 1.5."""
     s = F.trim(F.coalesce(_c(v).cast("string"), F.lit("")))
     blank = s.isin("", "nan", "None", "none", "NaN", "<NA>")
+    # Ordinary decimals are normalised as text; only unusual spellings go through a cast, because a
+    # failing cast costs an exception per row.
+    plain = s.rlike(r"^(0|-?[1-9][0-9]{0,14})([.][0-9]{1,10})?$")
+    trimmed = F.regexp_replace(s, r"[.]0+$|([.][0-9]*[1-9])0+$", "$1")
+    odd = s.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$")
     d = s.try_cast("double")
-    whole = d == F.floor(d)
-    return (
-        F.when(blank, F.lit(""))
-        .when(d.isNotNull() & ~F.isnan(d) & (F.abs(d) < 1e15) & whole, d.cast("long").cast("string"))
-        .when(d.isNotNull() & ~F.isnan(d) & (F.abs(d) < 1e15), d.cast("string"))
-        .otherwise(s)
-    )
+    whole = (F.abs(d) < 1e15) & (d == F.floor(d))
+    spelled = F.when(whole, d.cast("long").cast("string")).otherwise(d.cast("string"))
+    return F.when(blank, F.lit("")).when(plain, trimmed).when(odd, F.coalesce(spelled, s)).otherwise(s)
 
 
 def weather_temp(text) -> Column:

@@ -105,8 +105,10 @@ def consensus_fair(quotes: DataFrame, keys: Sequence[str], over: str, under: str
     return r.filter(F.col(out).isNotNull()).withColumnRenamed(f"{out}_books", "two_sided_books")
 
 
-def consensus_many(quotes: DataFrame, keys: Sequence[str], book: str, prices: dict[str, tuple[str, str, str]]) -> DataFrame:
-    """Several consensus prices (close, open, another margin model) of one store in one aggregation."""
+def consensus_many(quotes: DataFrame, keys: Sequence[str], book: str, prices: dict[str, tuple[str, str, str]],
+                   extra: Sequence[Column] = ()) -> DataFrame:
+    """Several consensus prices (close, open, another margin model) of one store in one aggregation;
+    ``extra`` aggregates ride along."""
     q = quotes.withColumn("__pref", F.lower(book).isin(*PREFERRED_BOOKS))
     for out, (over, under, method) in prices.items():
         q = q.withColumn(f"__f_{out}", O.no_vig(over, under) if method == "proportional" else O.shin_no_vig(over, under))
@@ -115,7 +117,7 @@ def consensus_many(quotes: DataFrame, keys: Sequence[str], book: str, prices: di
         f = F.col(f"__f_{out}")
         aggs += [F.coalesce(F.avg(F.when(F.col("__pref"), f)), F.percentile(f, F.lit(0.5))).alias(out),
                  n_books(F.when(f.isNotNull(), F.col(book))).alias(f"{out}_books")]
-    return q.groupBy(*keys).agg(*aggs)
+    return q.groupBy(*keys).agg(*aggs, *extra)
 
 
 def soft_fair(quotes: DataFrame, keys: Sequence[str], over: str, under: str, book: str) -> DataFrame:
@@ -136,10 +138,15 @@ def best_price(quotes: DataFrame, keys: Sequence[str], price: str, book: str) ->
         *keys, F.col("__b.p").alias("best_price"), F.col("__b.b").alias("best_book"), F.col("__b.d").alias("best_decimal"), "books")
 
 
+def capture_span() -> Column:
+    """Minutes from open to close."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return F.greatest(F.lit(0.0), (micros("close_ts") - micros("open_ts")) / 6e7)
+
+
 def close_quality(store: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Open to close span in minutes of the longest-watched quote of each key."""
-    gap = F.greatest(F.lit(0.0), (F.unix_micros(F.col("close_ts").cast("timestamp")) - F.unix_micros(F.col("open_ts").cast("timestamp"))) / 6e7)
-    return store.groupBy(*keys).agg(F.max(gap).alias("gap_min")).withColumn("one_cap", (F.col("gap_min") <= 0).cast("int"))
+    return store.groupBy(*keys).agg(F.max(capture_span()).alias("gap_min")).withColumn("one_cap", (F.col("gap_min") <= 0).cast("int"))
 
 
 def value_screen(model: DataFrame, store: DataFrame, keys: Sequence[str], p: str, min_ev: float = MIN_EV) -> DataFrame:
@@ -160,13 +167,22 @@ def value_screen(model: DataFrame, store: DataFrame, keys: Sequence[str], p: str
     return r.withColumn("note", F.when(F.size(notes) > 0, F.array_join(notes, "; ")))
 
 
-def bet_key(date: str = "d", game: str = "game", entity: str = "entity", team: str = "team", market: str = "market", line: str = "line",
-            label: str = "label", gnum: str = "gnum") -> Column:
-    """Identity that ignores the side: the team counts only outside the moneyline, the game label only without an id."""
-    mkt, pk = key_text(market), key_text(game)
+def with_bet_key(df: DataFrame, date: str = "d", game: str = "game", entity: str = "entity", team: str = "team", market: str = "market",
+                 line: str = "line", label: str = "label", gnum: str = "gnum", out: str = "bet_key") -> DataFrame:
+    """Add the identity that ignores the side: the team counts only outside the moneyline, the game label only
+    without an id. Typed columns are spelled directly; only text columns need normalising."""
+    types = dict(df.dtypes)
+
+    def text(c: str) -> Column:
+        plain = types[c] in ("tinyint", "smallint", "int", "bigint", "date")
+        return F.coalesce(F.col(c).cast("string"), F.lit("")) if plain else key_text(c)
+
     blank = F.lit("")
-    return F.concat_ws("|", key_text(date), pk, key_text(entity), F.when(mkt == "h2h", blank).otherwise(key_text(team)), mkt, key_text(line),
-                       F.when(pk == "", key_text(label)).otherwise(blank), F.when(pk == "", key_text(gnum)).otherwise(blank))
+    d = df.withColumn("__mkt", text(market)).withColumn("__pk", text(game))
+    mkt, pk = F.col("__mkt"), F.col("__pk")
+    parts = [text(date), pk, text(entity), F.when(mkt == "h2h", blank).otherwise(text(team)), mkt, text(line),
+             F.when(pk == "", text(label)).otherwise(blank), F.when(pk == "", text(gnum)).otherwise(blank)]
+    return d.withColumn(out, F.concat_ws("|", *parts)).drop("__mkt", "__pk")
 
 
 def enrich(bets: DataFrame, passing: DataFrame, family: str, bankroll: Column | float, order: Sequence[Column]) -> DataFrame:
@@ -228,10 +244,10 @@ def market_outcomes(bets: DataFrame, box: DataFrame, finals: DataFrame, config:
 def settle(led: DataFrame, box: DataFrame, finals: DataFrame, config: DataFrame, upto: Column, seq: str = "seq") -> DataFrame:
     """Grade every open row dated up to ``upto`` at once; older live duplicates retire first. Running it again changes nothing."""
     live = F.col("status").isin("paper", "track") & (F.col("outcome") == "")
-    done = led.filter(F.col("outcome").isin(*SETTLED)).select("bet_key").distinct().withColumn("__done", F.lit(True))
-    newest = led.filter(live).groupBy("bet_key").agg(F.max(seq).alias("__top"))
-    j = led.join(done, "bet_key", "left").join(newest, "bet_key", "left")
-    dup = live & (F.col("__done").isNotNull() | (F.col(seq) < F.col("__top")))
+    # one partially combined pass tells both whether an identity settled and which live row is newest
+    ident = led.groupBy("bet_key").agg(F.max(F.col("outcome").isin(*SETTLED)).alias("__done"), F.max(F.when(live, F.col(seq))).alias("__top"))
+    j = led.join(ident, "bet_key")
+    dup = live & (F.col("__done") | (F.col(seq) < F.col("__top")))
     j = j.withColumn("outcome", F.when(dup, "superseded").otherwise(F.col("outcome"))).drop("__done", "__top")
     g = market_outcomes(j, box, finals, config)
     open_ = F.col("status").isin("paper", "track") & (F.col("outcome") == "") & (F.col("d") <= upto)

@@ -12,6 +12,7 @@ from asofkit.operators import market as M
 from asofkit.plans._roles import CAP, EV, LED, captures, events, ledger, prob_sql
 from asofkit.plans.evaluation import ll_sql, logit_sql, r6
 from asofkit.registry import query
+from asofkit.session import cut_lineage
 
 KEY = ["entity", "market", "line", "book", "game"]
 
@@ -166,7 +167,7 @@ def bets(spark, d):
         F.when(e % 2 == 0, "Over").otherwise("Under").alias("side"), F.when(e % 2 == 0, -(100 + (e * 31) % 150)).otherwise(100 + (e * 17) % 200).alias("price"),
         P.sigmoid((F.col("value") - 50.0) / 40.0).alias("p_model"), F.when(e % 8 != 0, 0.3 + (e * 13 % 40) / 100.0).alias("p_close"), (1 + e % 3).alias("books"),
         F.col("event_type").alias("family"))
-    return b.withColumn("bet_key", M.bet_key())
+    return M.with_bet_key(b)
 
 
 @query("G3 X3", f"WITH {EV}, {BETS} SELECT seq, bet_key FROM kb")
@@ -302,16 +303,20 @@ def market_gate(spark, d):
     s = store(spark, d)
     k = ["entity", "market"]
     q = M.consensus_many(s, k, "book", {"pc": ("close_over", "close_under", "proportional"), "po": ("open_over", "open_under", "proportional"),
-                                        "sh": ("close_over", "close_under", "shin")}).filter("pc IS NOT NULL")
-    q = q.join(M.close_quality(s, k), k).withColumnRenamed("market", "mk")
+                                        "sh": ("close_over", "close_under", "shin")}, [F.max(M.capture_span()).alias("gap")])
+    q = q.filter("pc IS NOT NULL").withColumnRenamed("market", "mk")
     led = ledger(spark, d).withColumn("mk", F.concat(F.lit("m"), (F.col("game") % 2).cast("string")))
     r = led.join(q, ["entity", "mk"])
-    lm, lc = P.log_loss("y", "p"), P.log_loss("y", "pc")
-    day = r.groupBy("family", "d").agg(F.sum(lc - lm).alias("s"), F.count(F.lit(1)).alias("n"))
-    ci = E.bootstrap_summary(E.block_bootstrap(day, ["family"], "d", "s", "n", GREPS, 5, shared=True), ["family"])
+    lm, lc, ls = P.log_loss("y", "p"), P.log_loss("y", "pc"), P.log_loss("y", "sh")
     moved = F.col("po").isNotNull() & (F.abs(F.col("po") - F.col("pc")) > 1e-9)
-    t = r.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.avg(lm).alias("ll_model"), F.avg(lc).alias("ll_close"), F.avg(P.log_loss("y", "sh")).alias("ll_shin"),
-                                F.count_if(moved).alias("n_moved"), F.avg(F.when(moved, P.log_loss("y", "po") - lm)).alias("d_vs_open"), F.avg("one_cap").alias("pct_1cap"))
+    # one pass over the graded prices; everything below reads family-day sums
+    day = cut_lineage(r.groupBy("family", "d").agg(
+        F.sum(lc - lm).alias("s"), F.count(F.lit(1)).alias("n"), F.sum(lm).alias("lm"), F.sum(lc).alias("lc"), F.sum(ls).alias("ls"), F.count(ls).alias("ns"),
+        F.count_if(moved).alias("nm"), F.sum(F.when(moved, P.log_loss("y", "po") - lm)).alias("dm"), F.sum((F.col("gap") <= 0).cast("int")).alias("oc")))
+    ci = E.bootstrap_summary(E.block_bootstrap(day, ["family"], "d", "s", "n", GREPS, 5, shared=True), ["family"])
+    per = lambda a, b: F.sum(a) / F.sum(b)
+    t = day.groupBy("family").agg(F.sum("n").alias("n"), per("lm", "n").alias("ll_model"), per("lc", "n").alias("ll_close"), per("ls", "ns").alias("ll_shin"), F.sum("nm").alias("n_moved"),
+                                  F.try_divide(F.sum("dm"), F.sum("nm")).alias("d_vs_open"), per("oc", "n").alias("pct_1cap"))
     rep = E.bh_adjust(t.join(ci.select("family", "ci_lo", F.col("p_one").alias("p_raw")), "family"), "p_raw", "family")
     v = F.when(F.col("n") < 800, "INSUFFICIENT n").when((F.col("p_bh") < 0.05) & (F.col("ci_lo") > 0), "PASS").otherwise("NO-EDGE")
     rep = rep.select("family", "n", "ll_model", "ll_close", (F.col("ll_close") - F.col("ll_model")).alias("delta"), (F.col("ll_shin") - F.col("ll_model")).alias("delta_shin"), "ci_lo", "p_raw", "p_bh",

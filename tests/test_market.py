@@ -134,7 +134,7 @@ def test_append_supersedes_and_respects_settled(spark):
 def test_bet_key_is_side_agnostic(spark):
     df = spark.createDataFrame([("2024-05-01", "777.0", None, "H", "h2h", None, "A@H", "1"), ("2024-05-01", "777", "nan", "A", "h2h", "", "A@H", "2"), ("2024-05-01", None, "5", "H", "hits", "0.50", "A@H", "1")],
                                "d string, game string, entity string, team string, market string, line string, label string, gnum string")
-    k = [r[0] for r in df.select(M.bet_key()).collect()]
+    k = [r[0] for r in M.with_bet_key(df.withColumnRenamed("date", "d")).select("bet_key").collect()]
     assert k[0] == k[1] and k[2] == "2024-05-01||5|H|hits|0.5|A@H|1"
 
 
