@@ -17,6 +17,15 @@ from asofkit.operators.scan import Running, exact_quantiles, null_safe_join, ord
 from asofkit.session import cut_lineage
 
 
+# A fine fixed grid: even if a third of the values crowd into one percent of the range, no chunk is large,
+# and the second level of a scan still sees at most this many rows per key.
+PROBABILITY_CHUNKS = 16384
+
+
+def probability_chunk(p: str) -> Column:
+    return F.floor(F.col(p) * PROBABILITY_CHUNKS)
+
+
 def skill_report(led: DataFrame, family: str = "family", market: str = "market") -> DataFrame:
     """Log loss, Brier, base-rate loss and gain for family, family x market and ALL in one pass."""
     agg = led.groupingSets([[], [family], [family, market]], family, market).agg(
@@ -35,7 +44,7 @@ def value_counts(led: DataFrame, keys: Sequence[str], p: str = "p", y: str = "y"
 
 def auc(counts: DataFrame, keys: Sequence[str], p: str = "p") -> DataFrame:
     """Rank-sum AUC with ties from (possibly weighted) pos/neg per value."""
-    s = ordered_scan(counts, keys, [F.col(p)], F.floor(F.col(p) * 256), [Running("__below", F.col("neg"), inclusive=False)])
+    s = ordered_scan(counts, keys, [F.col(p)], probability_chunk(p), [Running("__below", F.col("neg"), inclusive=False)])
     return s.groupBy(*keys).agg(
         (F.sum(F.col("__below") * F.col("pos") + 0.5 * F.col("pos") * F.col("neg")) /
          F.nullif((F.sum("pos") * F.sum("neg")).cast("double"), F.lit(0.0))).alias("auc"))
@@ -44,7 +53,7 @@ def auc(counts: DataFrame, keys: Sequence[str], p: str = "p") -> DataFrame:
 def ece(led: DataFrame, keys: Sequence[str], bins: int = 10, p: str = "p", y: str = "y") -> DataFrame:
     """Calibration error over equal-count bins; repeated edges are merged."""
     probs = [i / bins for i in range(1, bins)]
-    edges = exact_quantiles(led, keys, p, probs, F.floor(F.col(p) * 256)).groupBy(*keys).agg(
+    edges = exact_quantiles(led, keys, p, probs, probability_chunk(p)).groupBy(*keys).agg(
         F.array_sort(F.collect_set("quantile")).alias("__e"))
     cells = null_safe_join(led.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy")), edges, list(keys))
     # an edge at the smallest value only repeats the lower bound, so its bin merges with the next
@@ -59,7 +68,7 @@ def ece(led: DataFrame, keys: Sequence[str], bins: int = 10, p: str = "p", y: st
 def weighted_ece(counts: DataFrame, keys: Sequence[str], bins: int = 10, p: str = "p") -> DataFrame:
     """Calibration error over bins of equal weight, from weighted pos/neg per value."""
     c = counts.withColumn("__w", F.col("pos") + F.col("neg"))
-    s = ordered_scan(c, keys, [F.col(p)], F.floor(F.col(p) * 256), [Running("__cw", F.col("__w"))])
+    s = ordered_scan(c, keys, [F.col(p)], probability_chunk(p), [Running("__cw", F.col("__w"))])
     tot = c.groupBy(*keys).agg(F.sum("__w").alias("__t"))
     s = null_safe_join(s, tot, list(keys)).filter("__w > 0")
     b = F.least(F.floor(bins * F.col("__cw") / F.col("__t")), F.lit(bins - 1))

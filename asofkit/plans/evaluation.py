@@ -79,7 +79,7 @@ WITH {LED}, s AS (SELECT market, quantile_cont(p, [0.05, 0.5, 0.95]) AS q FROM l
 SELECT market, CAST(unnest([0.05, 0.5, 0.95]) AS DOUBLE) AS prob, round(unnest(q), 6) AS quantile FROM s""")
 def exact_quantiles_by_market(spark, d):
     """Interpolated quantiles without collecting a market in one task."""
-    return r6(exact_quantiles(ledger(spark, d), ["market"], "p", [0.05, 0.5, 0.95], F.floor(F.col("p") * 256)), "market", "prob")
+    return r6(exact_quantiles(ledger(spark, d), ["market"], "p", [0.05, 0.5, 0.95], E.probability_chunk("p")), "market", "prob")
 
 
 @query("A30", f"""

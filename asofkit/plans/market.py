@@ -114,7 +114,7 @@ def close_quality(spark, d):
     from asofkit.operators.scan import exact_quantiles
 
     q = M.close_quality(store(spark, d), PK)
-    med = exact_quantiles(q.filter("gap_min > 0"), ["market"], "gap_min", [0.5], F.floor(F.col("gap_min") / 60))
+    med = exact_quantiles(q.filter("gap_min > 0"), ["market"], "gap_min", [0.5], F.floor("gap_min"))
     r = q.groupBy("market").agg(F.count(F.lit(1)).alias("n"), F.avg("one_cap").alias("pct_1cap")).join(med, "market", "left")
     return r.select("market", "n", F.round("pct_1cap", 6).alias("pct_1cap"), F.round("quantile", 4).alias("med_gap_min"))
 

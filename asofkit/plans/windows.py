@@ -266,7 +266,7 @@ def global_sequence_number(spark, d):
     from asofkit.operators.ranking import global_rank
 
     e = events(spark, d).filter("event_type = 'purchase'")
-    return global_rank(e, [F.col("ts"), F.col("event_id")], F.to_date("ts"), "seq_no").select("event_id", "seq_no")
+    return global_rank(e, [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"), "seq_no").select("event_id", "seq_no")
 
 
 @query("L5", """SELECT o_orderkey FROM (SELECT o_orderkey, (((o_orderkey * 1103515245 + 3 * 12345 + 7) % 2147483648) * 69069 + 1) % 2147483648 AS h FROM orders WHERE year(o_orderdate) = 1998)

@@ -69,10 +69,16 @@ def compare(spark, con, q, sf):
         return "COLUMNS", secs, len(got), f"{gc} vs {ec}"
     if len(g) != len(e):
         return "ROWCOUNT", secs, len(got), f"{len(g)} vs {len(e)}; {g[:2]} | {e[:2]}"
+    raw = sum(1 for a, b in zip(*(sorted(map(repr, (exact(cols, r) for r in rows))) for cols, rows in ((df.columns, got), (ecols, erows)))) if a != b)
     for a, b in zip(g, e):
         if not all(same(x, y) for x, y in zip(a, b)):
             return "VALUES", secs, len(got), f"\n   cols {gc}\n   spark {a}\n   duck  {b}"
-    return ("ok" if g else "EMPTY"), secs, len(got), ""
+    return ("ok" if g else "EMPTY"), secs, len(got), f"({raw} rows not bit-equal)" if raw else ""
+
+
+def exact(cols, row):
+    """Row with columns by name and values untouched, for the bit-equality note."""
+    return tuple(v.isoformat() if hasattr(v, "isoformat") else v for _, v in sorted(zip(cols, row), key=lambda x: x[0]))
 
 
 def main():
