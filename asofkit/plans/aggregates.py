@@ -19,14 +19,14 @@ MEASURES = {
     "fast": ("qty", "label = 'cA'"), "brk": ("qty", "label = 'cN'"), "off": ("qty", "label = 'cR'"), "first": ("price", "seq = 1"),
     "late": ("price", "seq >= 5"), "ahead": ("qty", "status = 'F' AND label <> 'cR'"), "behind": ("qty", "status = 'O'"), "edge": ("tax", "tax BETWEEN 0.03 AND 0.06"),
 }
-_SS = ", ".join(f"""count({v}) FILTER (WHERE {c}) AS {n}_n, round(coalesce(sum({v}) FILTER (WHERE {c}), 0), 4) AS {n}_v, round(coalesce(sum({v} * {v}) FILTER (WHERE {c}), 0), 2) AS {n}_vv""" for n, (v, c) in MEASURES.items())
+_SS = ", ".join(f"""count({v}) FILTER (WHERE {c}) AS {n}_n, round(coalesce(sum({v}) FILTER (WHERE {c}), 0), 4) AS {n}_v, round(coalesce(sum({v} * {v}) FILTER (WHERE {c}), 0), 4) AS {n}_vv""" for n, (v, c) in MEASURES.items())
 
 
 @query("A2 X15", f"WITH {PA} SELECT pitcher, d, count(*) AS n, {_SS} FROM pa GROUP BY 1, 2")
 def sufficient_statistics(spark, d):
     m = {n: (F.expr(v), F.expr(c)) for n, (v, c) in MEASURES.items()}
     r = A.sufficient_stats(appearances(spark, d), ["pitcher", "d"], m)
-    return r.select("pitcher", "d", "n", *[x for n in MEASURES for x in (F.col(f"{n}_n"), F.round(f"{n}_v", 4).alias(f"{n}_v"), F.round(f"{n}_vv", 2).alias(f"{n}_vv"))])
+    return r.select("pitcher", "d", "n", *[x for n in MEASURES for x in (F.col(f"{n}_n"), F.round(f"{n}_v", 4).alias(f"{n}_v"), F.round(f"{n}_vv", 4).alias(f"{n}_vv"))])
 
 
 @query("A3 L1 P3", f"""WITH {PA}, r AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY {PA_ORD}) AS a, row_number() OVER (PARTITION BY game ORDER BY {', '.join(c + ' DESC' for c in PA_ORDER)}) AS z FROM pa)

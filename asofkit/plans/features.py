@@ -181,10 +181,10 @@ j AS (SELECT e.event_id, s.n_d * power(2.0, -date_diff('day', s.d, e.d) / 30.0)
   s.view_d * power(2.0, -date_diff('day', s.d, e.d) / 30.0) AS sv,
   f.n_d * power(2.0, -date_diff('day', f.d, e.d) / 3.0) AS fn, f.error_d * power(2.0, -date_diff('day', f.d, e.d) / 3.0) AS fe
   FROM ev e ASOF LEFT JOIN slow s ON e.user_id = s.user_id AND e.d > s.d ASOF LEFT JOIN fast f ON e.user_id = f.user_id AND e.d > f.d)
-SELECT event_id, round(se / greatest(sn, 1e-9), 6) AS error_slow, round(fe / greatest(fn, 1e-9), 6) AS error_fast,
-  round(fe / greatest(fn, 1e-9) - se / greatest(sn, 1e-9), 6) AS error_trend,
-  CASE WHEN sn >= 5 THEN round(sv / sn, 6) END AS view_gated, round((se / greatest(sn, 1e-9)) * (sv / greatest(sn, 1e-9)), 6) AS mx_error_view,
-  round(ln(1 + coalesce(sn, 0)), 6) AS log_n FROM j""")
+SELECT event_id, round(se / greatest(sn, 1e-9), 9) AS error_slow, round(fe / greatest(fn, 1e-9), 9) AS error_fast,
+  round(fe / greatest(fn, 1e-9) - se / greatest(sn, 1e-9), 9) AS error_trend,
+  CASE WHEN sn >= 5 THEN round(sv / sn, 9) END AS view_gated, round((se / greatest(sn, 1e-9)) * (sv / greatest(sn, 1e-9)), 9) AS mx_error_view,
+  round(ln(1 + coalesce(sn, 0)), 9) AS log_n FROM j""")
 def assembled_features(spark, d):
     """Several panels of one entity joined as of each row in a single window pass, then ratios and products."""
     ev, daily = events(spark, d), _daily(spark, d)
@@ -194,9 +194,9 @@ def assembled_features(spark, d):
     j = multi_panel_asof(ev, ["user_id"], panels)
     es, ef, vs = (ratio_floor(a, b) for a, b in (("slow_error_d", "slow_n_d"), ("fast_error_d", "fast_n_d"), ("slow_view_d", "slow_n_d")))
     return j.select(
-        "event_id", F.round(es, 6).alias("error_slow"), F.round(ef, 6).alias("error_fast"), F.round(ef - es, 6).alias("error_trend"),
-        F.when(F.col("slow_n_d") >= 5, F.round(F.col("slow_view_d") / F.col("slow_n_d"), 6)).alias("view_gated"),
-        F.round(es * vs, 6).alias("mx_error_view"), F.round(F.log1p(F.coalesce("slow_n_d", F.lit(0.0))), 6).alias("log_n"))
+        "event_id", F.round(es, 9).alias("error_slow"), F.round(ef, 9).alias("error_fast"), F.round(ef - es, 9).alias("error_trend"),
+        F.when(F.col("slow_n_d") >= 5, F.round(F.col("slow_view_d") / F.col("slow_n_d"), 9)).alias("view_gated"),
+        F.round(es * vs, 9).alias("mx_error_view"), F.round(F.log1p(F.coalesce("slow_n_d", F.lit(0.0))), 9).alias("log_n"))
 
 
 @query("Q5", f"""

@@ -58,14 +58,14 @@ WITH {PA}, dd AS (SELECT d, count(*) AS n, sum(price) AS v FROM pa GROUP BY 1),
 cal AS (SELECT CAST(unnest(generate_series((SELECT min(d) FROM dd), (SELECT max(d) + 40 FROM dd), INTERVAL 1 DAY)) AS DATE) AS d),
 c AS (SELECT cal.d, coalesce(n, 0) AS n, coalesce(v, 0) AS v FROM cal LEFT JOIN dd ON cal.d = dd.d),
 w AS (SELECT d, sum(n) OVER (ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS n30, sum(v) OVER (ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS v30 FROM c)
-SELECT d, CAST(coalesce(n30, 0) AS BIGINT) AS n30, round(CASE WHEN n30 >= 500 THEN v30 / n30 END, 4) AS env FROM w""")
+SELECT d, CAST(coalesce(n30, 0) AS BIGINT) AS n30, round(CASE WHEN n30 >= 500 THEN v30 / n30 END, 6) AS env FROM w""")
 def trailing_environment(spark, d):
     """League level over the 30 days before each calendar day, NULL on a thin sample; one row per day."""
     daily = appearances(spark, d).groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("v")).withColumn("lg", F.lit(1))
     b = daily.agg(F.min("d").alias("a"), F.date_add(F.max("d"), 40).alias("b"))
     cal = b.select(F.explode(F.sequence("a", "b")).alias("d")).withColumn("lg", F.lit(1))
     r = W.trailing_sums(cal, daily, ["lg"], "d", ["n", "v"], {"30": 30})
-    return r.select("d", F.col("n_30").alias("n30"), F.round(F.when(F.col("n_30") >= 500, F.col("v_30") / F.col("n_30")), 4).alias("env"))
+    return r.select("d", F.col("n_30").alias("n30"), F.round(F.when(F.col("n_30") >= 500, F.col("v_30") / F.col("n_30")), 6).alias("env"))
 
 
 @query("W8", f"""
@@ -243,9 +243,9 @@ def stint_pairing(spark, d):
 
 
 @query("L2 D4", f"""
-WITH {LED} SELECT market, d, game, p, rn FROM (SELECT *, row_number() OVER (PARTITION BY market, d ORDER BY p DESC, game) AS rn FROM led) WHERE rn <= 3""")
+WITH {LED} SELECT market, d, game, round(p, 9) AS p, rn FROM (SELECT *, row_number() OVER (PARTITION BY market, d ORDER BY p DESC, game) AS rn FROM led) WHERE rn <= 3""")
 def top_three_per_slate(spark, d):
-    return top_k(ledger(spark, d), ["market", "d"], [F.desc("p"), F.asc("game")], 3).select("market", "d", "game", "p", "rn")
+    return top_k(ledger(spark, d), ["market", "d"], [F.desc("p"), F.asc("game")], 3).select("market", "d", "game", F.round("p", 9).alias("p"), "rn")
 
 
 @query("L3 W23", """
