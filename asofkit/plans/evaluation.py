@@ -27,7 +27,7 @@ def ll_sql(y: str, p: str) -> str:
 
 def logit_sql(p: str, eps: str = "1e-6") -> str:
     q = f"least(greatest({p}, {eps}), 1 - {eps})"
-    return f"(ln({q}) - ln(1 - {q}))"
+    return f"(CASE WHEN {p} IS NOT NULL THEN ln({q}) - ln(1 - {q}) END)"
 
 
 def newton_sql(cells: str, keys: str, iters: int, prefix: str = "c") -> str:
@@ -274,7 +274,7 @@ NIT = 6
 
 @query("M5 U1", f"""
 WITH {LED}, cells AS (SELECT family, {logit_sql('p')} AS z, count(*) AS n, sum(y) AS sy FROM led GROUP BY 1, 2), {newton_sql('cells', 'family', NIT)}
-SELECT family, (SELECT count(*) FROM led l WHERE l.family = c{NIT}.family) AS n, round(a, 5) AS a, round(b, 5) AS b FROM c{NIT} WHERE b > 0""")
+SELECT family, (SELECT count(*) FROM led l WHERE l.family = c{NIT}.family) AS n, round(a, 5) AS a, round(b, 5) AS b FROM c{NIT} WHERE b > 0 AND (SELECT count(*) FROM led l WHERE l.family = c{NIT}.family) >= 500""")
 def platt_by_family(spark, d):
     return r6(E.platt_maps(ledger(spark, d), ["family"], 500, NIT), "family", "n", n=5)
 
@@ -282,7 +282,7 @@ def platt_by_family(spark, d):
 @query("M5", f"""
 WITH {LED}, cells AS (SELECT family, {logit_sql('p')} AS z, count(*) AS n, sum(y) AS sy FROM led GROUP BY 1, 2), {newton_sql('cells', 'family', NIT)},
 lcells AS (SELECT family, market, {logit_sql('p')} AS z, count(*) AS n, sum(y) AS sy FROM led GROUP BY 1, 2, 3), {newton_sql('lcells', 'family, market', NIT, 'm')},
-ln_ AS (SELECT * FROM m{NIT} JOIN (SELECT family AS f2, market AS m2, count(*) AS n FROM led GROUP BY 1, 2) ON family = f2 AND market = m2 WHERE n >= 680 AND b > 0), fam AS (SELECT * FROM c{NIT} WHERE b > 0 AND family <> 'view')
+ln_ AS (SELECT * FROM m{NIT} JOIN (SELECT family AS f2, market AS m2, count(*) AS n FROM led GROUP BY 1, 2) ON family = f2 AND market = m2 WHERE n >= 680 AND b > 0), fam AS (SELECT * FROM c{NIT} WHERE b > 0 AND family <> 'view' AND family IN (SELECT family FROM led GROUP BY 1 HAVING count(*) >= 500))
 SELECT led.game, CASE WHEN ln_.a IS NOT NULL THEN 'line' WHEN fam.a IS NOT NULL THEN 'family' ELSE 'identity' END AS cal_via,
  round(CASE WHEN coalesce(ln_.a, fam.a) IS NULL THEN p ELSE 1.0 / (1.0 + exp(-(coalesce(ln_.a, fam.a) + coalesce(ln_.b, fam.b) * {logit_sql('p')}))) END, 5) AS p_cal
 FROM led LEFT JOIN ln_ ON led.family = ln_.family AND led.market = ln_.market LEFT JOIN fam ON led.family = fam.family""")
@@ -313,7 +313,8 @@ def _crossfit_sql() -> str:
 WITH {LED}, di AS (SELECT family, d, (row_number() OVER (PARTITION BY family ORDER BY d) - 1) % 5 AS fold FROM (SELECT DISTINCT family, d FROM led)),
 l AS (SELECT led.*, fold, {z} AS z FROM led JOIN di USING (family, d)), f5 AS (SELECT unnest([0, 1, 2, 3, 4]) AS fold),
 tr AS (SELECT l.family, f5.fold, z, count(*) AS n, sum(y) AS sy FROM l JOIN f5 ON l.fold <> f5.fold GROUP BY 1, 2, 3), {newton_sql('tr', 'family, fold', NIT)}
-SELECT l.game, l.fold, round(least(greatest(1.0 / (1.0 + exp(-(a + b * z))), 1e-4), 1 - 1e-4), 5) AS p_cal FROM l JOIN c{NIT} c ON l.family = c.family AND l.fold = c.fold"""
+SELECT l.game, l.fold, round(least(greatest(CASE WHEN t.n >= 300 AND b > 0 THEN 1.0 / (1.0 + exp(-(a + b * z))) ELSE p END, 1e-4), 1 - 1e-4), 5) AS p_cal FROM l JOIN c{NIT} c ON l.family = c.family AND l.fold = c.fold
+JOIN (SELECT family, fold, sum(n) AS n FROM tr GROUP BY 1, 2) t ON l.family = t.family AND l.fold = t.fold"""
 
 
 @query("M7", _crossfit_sql())

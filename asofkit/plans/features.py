@@ -182,7 +182,7 @@ j AS (SELECT e.event_id, s.n_d * power(2.0, -date_diff('day', s.d, e.d) / 30.0)
   f.n_d * power(2.0, -date_diff('day', f.d, e.d) / 3.0) AS fn, f.error_d * power(2.0, -date_diff('day', f.d, e.d) / 3.0) AS fe
   FROM ev e ASOF LEFT JOIN slow s ON e.user_id = s.user_id AND e.d > s.d ASOF LEFT JOIN fast f ON e.user_id = f.user_id AND e.d > f.d)
 SELECT event_id, round(se / greatest(sn, 1e-9), 9) AS error_slow, round(fe / greatest(fn, 1e-9), 9) AS error_fast,
-  round(fe / greatest(fn, 1e-9) - se / greatest(sn, 1e-9), 9) AS error_trend,
+  0.0 + round(fe / greatest(fn, 1e-9) - se / greatest(sn, 1e-9), 9) AS error_trend,
   CASE WHEN sn >= 5 THEN round(sv / sn, 9) END AS view_gated, round((se / greatest(sn, 1e-9)) * (sv / greatest(sn, 1e-9)), 9) AS mx_error_view,
   round(ln(1 + coalesce(sn, 0)), 9) AS log_n FROM j""")
 def assembled_features(spark, d):

@@ -54,18 +54,18 @@ def rest_and_load(spark, d):
 
 
 @query("W7 W22", f"""
-WITH {PA}, dd AS (SELECT d, count(*) AS n, sum(price) AS v FROM pa GROUP BY 1),
+WITH {PA}, dd AS (SELECT d, count(*) AS n, sum(CAST(round(price * 100) AS BIGINT)) AS v FROM pa GROUP BY 1),
 cal AS (SELECT CAST(unnest(generate_series((SELECT min(d) FROM dd), (SELECT max(d) + 40 FROM dd), INTERVAL 1 DAY)) AS DATE) AS d),
 c AS (SELECT cal.d, coalesce(n, 0) AS n, coalesce(v, 0) AS v FROM cal LEFT JOIN dd ON cal.d = dd.d),
 w AS (SELECT d, sum(n) OVER (ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS n30, sum(v) OVER (ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS v30 FROM c)
-SELECT d, CAST(coalesce(n30, 0) AS BIGINT) AS n30, round(CASE WHEN n30 >= 500 THEN v30 / n30 END, 6) AS env FROM w""")
+SELECT d, CAST(coalesce(n30, 0) AS BIGINT) AS n30, round(CASE WHEN n30 >= 500 THEN v30 / n30 END, 4) AS env_cents FROM w""")
 def trailing_environment(spark, d):
     """League level over the 30 days before each calendar day, NULL on a thin sample; one row per day."""
-    daily = appearances(spark, d).groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("v")).withColumn("lg", F.lit(1))
+    daily = appearances(spark, d).groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("price") * 100).cast("long")).alias("v")).withColumn("lg", F.lit(1))
     b = daily.agg(F.min("d").alias("a"), F.date_add(F.max("d"), 40).alias("b"))
     cal = b.select(F.explode(F.sequence("a", "b")).alias("d")).withColumn("lg", F.lit(1))
     r = W.trailing_sums(cal, daily, ["lg"], "d", ["n", "v"], {"30": 30})
-    return r.select("d", F.col("n_30").alias("n30"), F.round(F.when(F.col("n_30") >= 500, F.col("v_30") / F.col("n_30")), 6).alias("env"))
+    return r.select("d", F.col("n_30").alias("n30"), F.round(F.when(F.col("n_30") >= 500, F.col("v_30") / F.col("n_30")), 4).alias("env_cents"))
 
 
 @query("W8", f"""
@@ -206,8 +206,8 @@ def double_header_ordinal(spark, d):
 
 @query("W20 X19", f"""
 WITH {LED}, r AS (SELECT market, d, entity, p, row_number() OVER w AS rn, lead(p) OVER w AS p2 FROM led WINDOW w AS (PARTITION BY market, d ORDER BY p DESC, game))
-SELECT market, d, entity, round(ln(greatest(least(p, 1-1e-6), 1e-6)) - ln(1 - greatest(least(p, 1-1e-6), 1e-6)) - (ln(greatest(least(p2, 1-1e-6), 1e-6)) - ln(1 - greatest(least(p2, 1-1e-6), 1e-6))), 6) AS margin,
- coalesce(ln(greatest(least(p, 1-1e-6), 1e-6)) - ln(1 - greatest(least(p, 1-1e-6), 1e-6)) - (ln(greatest(least(p2, 1-1e-6), 1e-6)) - ln(1 - greatest(least(p2, 1-1e-6), 1e-6))) >= 0.25, FALSE) AS clear FROM r WHERE rn = 1""")
+SELECT market, d, entity, round(ln(greatest(least(p, 1-1e-6), 1e-6)) - ln(1 - greatest(least(p, 1-1e-6), 1e-6)) - (CASE WHEN p2 IS NOT NULL THEN ln(greatest(least(p2, 1-1e-6), 1e-6)) - ln(1 - greatest(least(p2, 1-1e-6), 1e-6)) END), 6) AS margin,
+ coalesce(ln(greatest(least(p, 1-1e-6), 1e-6)) - ln(1 - greatest(least(p, 1-1e-6), 1e-6)) - (CASE WHEN p2 IS NOT NULL THEN ln(greatest(least(p2, 1-1e-6), 1e-6)) - ln(1 - greatest(least(p2, 1-1e-6), 1e-6)) END) >= 0.25, FALSE) AS clear FROM r WHERE rn = 1""")
 def clear_leader(spark, d):
     r = W.clear_leader(ledger(spark, d), ["market", "d"], "p", [F.col("game")])
     return r.select("market", "d", "entity", F.round("margin", 6).alias("margin"), "clear")
