@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from asofkit.llm import bpe
+from asofkit.llm import bpe, hilbert, rules
 from asofkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +24,20 @@ def query(fn):
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents to ids and back."""
     return bpe.encode_column(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every text and the verdict of its group's limits."""
+    counts = rules.written(rules.measured(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"]), "measures")
+    return rules.judged(counts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents along a curve over language, source, size and id, in 40 runs."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32")
+    )
+    shards = hilbert.cut_runs(hilbert.along_curve(docs, ["lang", "source", "size", "doc_id"]), "curve", ["doc_id"], 40)
+    return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
