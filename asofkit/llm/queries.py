@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofkit.llm import bpe, hilbert, rules
+from asofkit.llm import bpe, hilbert, packing, rules
 from asofkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,9 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     shards = hilbert.cut_runs(hilbert.along_curve(docs, ["lang", "source", "size", "doc_id"]), "curve", ["doc_id"], 40)
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+@query
+def op6_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in as few sequences of 2048 tokens as the exchanges find."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
