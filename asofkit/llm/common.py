@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +82,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 def add_key(df: DataFrame, name: str) -> DataFrame:
     """A unique row key, fixed by writing the result before it is used twice."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def row_keyed(df: DataFrame, file: str = "__file", pos: str = "__pos") -> DataFrame:
+    """``df`` with a row key that is the same at every evaluation: its file and its place there.
+
+    What was not read from Parquet files is written first. Columns of the same
+    names give way to the key.
+    """
+    try:
+        return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in (file, pos)], F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(pos))
+    except AnalysisException:
+        return row_keyed(written(df, "rows"), file, pos)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofkit.llm import bpe, hilbert, packing, rules
-from asofkit.llm.common import table
+from asofkit.llm import bpe, hilbert, minhash, packing, rules
+from asofkit.llm.common import row_keyed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,3 +47,10 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in as few sequences of 2048 tokens as the exchanges find."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query
+def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copies among all documents: four-word shingles, similarity 0.8."""
+    docs = row_keyed(table(spark, sf_dir, "documents"), "file", "pos").select("file", "pos", "doc_id", "text")
+    return minhash.grouped(docs, 4, 80).select("doc_id", "n_shingles", "component_id", "kept")
