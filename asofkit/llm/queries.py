@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofkit.llm import bpe, hilbert, minhash, packing, rules
+from asofkit.llm import bpe, classifier, hilbert, minhash, packing, rules, warc
 from asofkit.llm.common import row_keyed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,17 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copies among all documents: four-word shingles, similarity 0.8."""
     docs = row_keyed(table(spark, sf_dir, "documents"), "file", "pos").select("file", "pos", "doc_id", "text")
     return minhash.grouped(docs, 4, 80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op3_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to archives and back, in the order of the merged index."""
+    index, folder = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_back(index, folder).withColumnRenamed("id", "page_id")
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calibrated quality score of every document."""
+    scores = classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return scores.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= classifier.THRESHOLD).cast("int").alias("predicted"))
