@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofkit.llm import bpe, classifier, hilbert, minhash, packing, rules, warc
+from asofkit.llm import bpe, classifier, hilbert, minhash, packing, rabitq, rules, warc
 from asofkit.llm.common import row_keyed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A calibrated quality score of every document."""
     scores = classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
     return scores.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= classifier.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op9_binary_code_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copies among all embeddings: cosine 0.9."""
+    return rabitq.near_copies(table(spark, sf_dir, "embeddings"), 0.9)
