@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofkit.llm import bpe, classifier, hilbert, minhash, packing, rabitq, rules, warc
+from asofkit.llm import bpe, classifier, hilbert, minhash, packing, rabitq, rules, suffix, warc
 from asofkit.llm.common import row_keyed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_binary_code_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copies among all embeddings: cosine 0.9."""
     return rabitq.near_copies(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+@query
+def op5_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 200-byte strings that occur elsewhere."""
+    return suffix.digests(row_keyed(table(spark, sf_dir, "documents"), "file", "pos").select("file", "pos", "doc_id", "text"))
