@@ -24,6 +24,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -249,3 +250,8 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, end: int = 0, capac
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
     cut = written(pieces(docs, path, pattern, end, capacity), "pieces")
     return packed(cut, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences of what the stages before have left."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofkit.llm import bpe, classifier, hilbert, minhash, packing, rabitq, rules, suffix, warc
+from asofkit.llm import bpe, classifier, hilbert, lm, minhash, packing, rabitq, rules, suffix, warc
 from asofkit.llm.common import row_keyed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,10 @@ def op9_binary_code_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the bytes of 200-byte strings that occur elsewhere."""
     return suffix.digests(row_keyed(table(spark, sf_dir, "documents"), "file", "pos").select("file", "pos", "doc_id", "text"))
+
+
+@query
+def op2_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-log-likelihood of every document under the network trained on all of them."""
+    docs = table(spark, sf_dir, "documents")
+    return lm.scored(docs, lm.trained(docs), ["doc_id"])
