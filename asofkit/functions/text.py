@@ -51,12 +51,12 @@ def key_text(v) -> Column:
     blank = s.isin("", "nan", "None", "none", "NaN", "<NA>")
     # Ordinary decimals are normalised as text; only unusual spellings go through a cast, because a
     # failing cast costs an exception per row.
-    plain = s.rlike(r"^(0|-?[1-9][0-9]{0,14})([.][0-9]{1,10})?$")
+    plain = s.rlike(r"^(0|-?[1-9][0-9]*)([.](0+|[0-9]{1,10}))?$")
     trimmed = F.regexp_replace(s, r"[.]0+$|([.][0-9]*[1-9])0+$", "$1")
     odd = s.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$")
     d = s.try_cast("double")
-    whole = (F.abs(d) < 1e15) & (d == F.floor(d))
-    spelled = F.when(whole, d.cast("long").cast("string")).otherwise(d.cast("string"))
+    whole = (F.abs(d) < 1e38) & (d == F.round(d))
+    spelled = F.when(whole, d.cast("decimal(38,0)").cast("string")).otherwise(d.cast("string"))
     return F.when(blank, F.lit("")).when(plain, trimmed).when(odd, F.coalesce(spelled, s)).otherwise(s)
 
 

@@ -63,8 +63,9 @@ def blend_geometric(members) -> Column:
 
 
 def member_logit_std(members, j: int) -> Column:
-    """Population standard deviation across members of the logit of class j (1-based)."""
-    z = F.transform(_c(members), lambda v: F.log(F.element_at(v, j) / (1 - F.element_at(v, j))))
+    """Population standard deviation across members of the logit of class j (1-based), probabilities kept off 0 and 1 by 1e-12."""
+    inner = lambda v: F.greatest(F.least(F.element_at(v, j), F.lit(1 - 1e-12)), F.lit(1e-12))
+    z = F.transform(_c(members), lambda v: F.log(inner(v) / (1 - inner(v))))
     n = F.size(z)
     mean = asum(z) / n
     return F.sqrt(asum(F.transform(z, lambda x: (x - mean) * (x - mean))) / n)

@@ -130,12 +130,13 @@ def blended_exit(own: DataFrame, league: DataFrame, keys: Sequence[str], pseudo:
 
 
 def choice_rank_pmf(
-    candidates: DataFrame, choice: Sequence[str], orderings: dict[str, Sequence[Column]], context: str, chosen: str, size: int
+    candidates: DataFrame, choice: Sequence[str], orderings: dict[str, Sequence[Column]], context: str, chosen: str, use: Sequence[Column], size: int
 ) -> DataFrame:
     """Rank of the chosen candidate under the ordering of its context, as a distribution over ranks.
 
-    ``orderings`` gives each context its ascending sort values (same number for all); one window
-    serves every context, and only the first ``size`` candidates of a choice pass the shuffle.
+    The ``size`` most used candidates of a choice (first by ``use``) pass the shuffle and are then
+    ordered. ``orderings`` gives each context its ascending sort values (same number for all); one
+    window serves every context.
     """
     width = len(next(iter(orderings.values())))
     order = []
@@ -145,7 +146,8 @@ def choice_rank_pmf(
             hit = F.col(context) == ctx
             pick = F.when(hit, cols[i].cast("double")) if pick is None else pick.when(hit, cols[i].cast("double"))
         order.append(pick)
-    ranked = top_k(candidates, list(choice), order, size, "rank").filter(F.col(chosen))
+    used = top_k(candidates, list(choice), use, size, "__use").drop("__use")
+    ranked = used.withColumn("rank", F.row_number().over(Window.partitionBy(*choice).orderBy(*order))).filter(F.col(chosen))
     n = ranked.groupBy(context, "rank").agg(F.count(F.lit(1)).alias("n"))
     return group_totals(n, [context], __t=F.sum("n")).select(context, "rank", "n", (F.col("n") / F.col("__t")).alias("p"))
 

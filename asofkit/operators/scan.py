@@ -91,7 +91,8 @@ def ordered_scan(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], chunk: Column, scans: Sequence[Scan]
 ) -> DataFrame:
     keys = list(keys)
-    base = df.withColumn("__chunk", chunk)
+    # One struct of keys and chunk: NULL keys equal each other in it, and the join below reuses the window's partitioning.
+    base = df.withColumn("__chunk", chunk).withColumn("__gk", F.struct(*keys, "__chunk"))
     # Order columns and inputs are named so both levels see the same values.
     for i, o in enumerate(order):
         base = base.withColumn(f"__o{i}", F.col(o) if isinstance(o, str) else o)
@@ -100,8 +101,7 @@ def ordered_scan(
             base = base.withColumn(f"__v{i}", s.value)
     ocols = [F.col(f"__o{i}") for i in range(len(order))]
     rank = F.struct(*ocols)
-    gk = keys + ["__chunk"]
-    w = Window.partitionBy(*gk).orderBy(*ocols)
+    w = Window.partitionBy("__gk").orderBy(*ocols)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     wc = Window.partitionBy(*keys).orderBy("__chunk")
@@ -146,9 +146,9 @@ def ordered_scan(
             local.append(F.min(v).over(upto).alias(loc))
             final.append(F.least(F.col(loc), F.col(q)).alias(s.out))
 
-    parts = base.groupBy(*gk).agg(*part_aggs).select(*gk, *part_outs)
-    rows = base.select(*df.columns, "__chunk", *local)
-    return null_safe_join(rows, parts, gk).select(*df.columns, *final)
+    parts = base.groupBy("__gk").agg(*part_aggs).select("__gk", "__gk.*", *[f"__p{i}" for i in range(len(scans))]).select("__gk", *part_outs)
+    rows = base.select(*df.columns, "__gk", *local)
+    return rows.join(parts, "__gk", "left").select(*df.columns, *final)
 
 
 def group_totals(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:

@@ -114,8 +114,8 @@ def conditional_offsets(spark, d):
 @query("A20", f"""WITH {PA}, day AS (SELECT s_nationkey AS team, pitcher, d, count(*) AS np, sum(qty) AS q FROM pa JOIN supplier ON pitcher = s_suppkey GROUP BY 1, 2, 3),
 f AS (SELECT team, d, arg_min(pitcher, (first_seq, pitcher)) AS chosen, min(first_seq) AS fs FROM (SELECT s_nationkey AS team, d, pitcher, min((seq, game)) AS first_seq FROM pa JOIN supplier ON pitcher = s_suppkey GROUP BY 1, 2, 3) GROUP BY 1, 2),
 c AS (SELECT f.team, f.d, day.pitcher, any_value(chosen) AS chosen, sum(day.np) FILTER (WHERE day.d < f.d AND day.d >= f.d - 30) AS n30, sum(day.q) FILTER (WHERE day.d < f.d AND day.d >= f.d - 365) AS q365 FROM f JOIN day ON f.team = day.team AND day.d < f.d AND day.d >= f.d - 365 GROUP BY 1, 2, 3),
-e AS (SELECT *, CASE WHEN day(d) % 2 = 0 THEN 'hi' ELSE 'lo' END AS ctx FROM c WHERE n30 > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY team, d ORDER BY CASE WHEN ctx = 'hi' THEN -n30 ELSE -q365 END, pitcher) AS rank FROM e), n AS (SELECT ctx, rank, count(*) AS n FROM r WHERE pitcher = chosen AND rank <= 8 GROUP BY 1, 2)
+e AS (SELECT * FROM (SELECT *, CASE WHEN day(d) % 2 = 0 THEN 'hi' ELSE 'lo' END AS ctx, row_number() OVER (PARTITION BY team, d ORDER BY n30 DESC, pitcher) AS ru FROM c WHERE n30 > 0) WHERE ru <= 8),
+r AS (SELECT *, row_number() OVER (PARTITION BY team, d ORDER BY CASE WHEN ctx = 'hi' THEN -n30 ELSE -q365 END, pitcher) AS rank FROM e), n AS (SELECT ctx, rank, count(*) AS n FROM r WHERE pitcher = chosen GROUP BY 1, 2)
 SELECT ctx, CAST(rank AS INT) AS rank, n, round(n * 1.0 / sum(n) OVER (PARTITION BY ctx), 6) AS p FROM n""")
 def choice_rank_distribution(spark, d):
     """Rank of the arm actually chosen among those with recent use, under two orderings.
@@ -132,7 +132,7 @@ def choice_rank_distribution(spark, d):
     spine = recent.join(first, ["team", "d"])
     s = trailing_sums(spine, day, ["team", "pitcher"], "d", ["np", "q"], {"30": 30, "365": 365})
     s = s.withColumn("ctx", F.when(F.day("d") % 2 == 0, "hi").otherwise("lo")).withColumn("hit", F.col("pitcher") == F.col("chosen"))
-    r = A.choice_rank_pmf(s, ["team", "d"], {"hi": [-F.col("np_30"), F.col("pitcher")], "lo": [-F.col("q_365"), F.col("pitcher")]}, "ctx", "hit", 8)
+    r = A.choice_rank_pmf(s, ["team", "d"], {"hi": [-F.col("np_30"), F.col("pitcher")], "lo": [-F.col("q_365"), F.col("pitcher")]}, "ctx", "hit", [F.desc("np_30"), F.asc("pitcher")], 8)
     return r.select("ctx", "rank", "n", F.round("p", 6).alias("p"))
 
 

@@ -180,12 +180,12 @@ def tree_composition(spark, d):
     return r6(t.select("game", *[F.element_at(v, i).alias(f"c{i}") for i in range(1, 5)], F.element_at(F.element_at(c, 1), 1).alias("k1_given_c3")), "game")
 
 
-@query("X24 X25 M14", f"""WITH {LED}, m AS (SELECT game, p, p * 0.5 AS a1, 1 - p * 0.5 AS a2, p * 0.8 AS b1, 1 - p * 0.8 AS b2 FROM led), g AS (SELECT *, sqrt(a1 * b1) AS u1, sqrt(a2 * b2) AS u2, ln(a1 / a2) AS z1, ln(b1 / b2) AS z2 FROM m)
-SELECT game, round((a1 + b1) / 2, 6) AS mean1, round(u1 / (u1 + u2), 6) AS geo1, round(abs(z1 - z2) / 2, 6) AS sd1, round(a1 * exp(0.4 * p) / (a1 * exp(0.4 * p) + a2), 6) AS tilt1 FROM g WHERE a1 > 1e-10""")
+@query("X24 X25 M14", f"""WITH {LED}, m AS (SELECT game, p, p * 0.5 AS a1, 1 - p * 0.5 AS a2, p * 0.8 AS b1, 1 - p * 0.8 AS b2 FROM led), g AS (SELECT *, sqrt(a1 * b1) AS u1, sqrt(a2 * b2) AS u2, ln(greatest(least(a1, 1 - 1e-12), 1e-12) / (1 - greatest(least(a1, 1 - 1e-12), 1e-12))) AS z1, ln(greatest(least(b1, 1 - 1e-12), 1e-12) / (1 - greatest(least(b1, 1 - 1e-12), 1e-12))) AS z2 FROM m)
+SELECT game, round((a1 + b1) / 2, 6) AS mean1, round(u1 / (u1 + u2), 6) AS geo1, round(abs(z1 - z2) / 2, 6) AS sd1, round(a1 * exp(0.4 * p) / (a1 * exp(0.4 * p) + a2), 6) AS tilt1 FROM g""")
 def member_blends(spark, d):
     """Mean and geometric blends of member vectors, their logit spread and an exponential tilt."""
     p = F.col("p")
-    t = ledger(spark, d).filter(p * 0.5 > 1e-10).select("game", "p", F.array(F.array(p * 0.5, 1 - p * 0.5), F.array(p * 0.8, 1 - p * 0.8)).alias("m"))
+    t = ledger(spark, d).select("game", "p", F.array(F.array(p * 0.5, 1 - p * 0.5), F.array(p * 0.8, 1 - p * 0.8)).alias("m"))
     one = lambda c: F.element_at(c, 1)
     return r6(t.select("game", one(V.blend_mean("m")).alias("mean1"), one(V.blend_geometric("m")).alias("geo1"), V.member_logit_std("m", 1).alias("sd1"),
                        one(V.class_tilt(F.element_at("m", 1), [0.4, 0.0], p)).alias("tilt1")), "game")

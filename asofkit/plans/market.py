@@ -69,9 +69,9 @@ def shin_sql(o: str, u: str) -> str:
 
 
 @query("X17 X18", f"""WITH {EV}, {CAP} SELECT seq, round({prob_sql('over')}, 8) AS p_over, round(1 / {prob_sql('over')}, 8) AS dec_over,
- round({prob_sql('over')} / ({prob_sql('over')} + {prob_sql('under')}), 8) AS fair, round({shin_sql('over', 'under')}, 8) AS shin FROM cap WHERE over IS NOT NULL""")
+ round({prob_sql('over')} / ({prob_sql('over')} + {prob_sql('under')}), 8) AS fair, round({shin_sql('over', 'under')}, 8) AS shin FROM cap""")
 def odds_functions(spark, d):
-    c = captures(spark, d).filter("over IS NOT NULL")
+    c = captures(spark, d)  # blank prices give NULL
     return r6(c.select("seq", O.american_to_prob("over").alias("p_over"), O.decimal_odds("over").alias("dec_over"), O.no_vig("over", "under").alias("fair"),
                        O.shin_no_vig("over", "under").alias("shin")), "seq", n=8)
 

@@ -258,7 +258,7 @@ def multi_key_rank(spark, d):
     s = table(spark, d, "supplier")
     tier = F.when(F.col("s_acctbal") > 5000, 0).otherwise(1)
     dev = F.abs(F.col("s_acctbal") - 3000)
-    return global_rank(s, [tier, F.desc_nulls_last(dev), F.asc("s_suppkey")], tier * 1000000 - F.floor(F.coalesce(dev, F.lit(-1.0))), "rank_pos").select("s_suppkey", "rank_pos")
+    return global_rank(s, [tier, F.desc_nulls_last(dev), F.asc("s_suppkey")], F.struct(tier.alias("tier"), (-F.floor(F.coalesce(dev, F.lit(-1.0)))).alias("depth")), "rank_pos").select("s_suppkey", "rank_pos")
 
 
 @query("S19", f"""WITH {EV} SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS seq_no FROM ev WHERE event_type = 'purchase'""")

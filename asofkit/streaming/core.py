@@ -27,19 +27,8 @@ def open_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
 def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], name: str, mode: str = "append") -> None:
     """Process everything available with a batch function, then stop. Offsets live in the shared folder.
 
-    State is spread over at most two partitions per core: a keyed store costs files per partition.
+    State has as many partitions as the session's shuffle setting at the start; no setting is changed here.
     """
-    spark = stream.sparkSession
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
-    try:
-        _run(stream, each, name, mode)
-    finally:
-        spark.conf.set(key, before)
-
-
-def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], name: str, mode: str) -> None:
     q = (stream.writeStream.outputMode(mode).foreachBatch(each)
          .option("checkpointLocation", shared_path(stream.sparkSession, f"offsets-{name}")).trigger(availableNow=True).start())
     q.awaitTermination()

@@ -62,9 +62,10 @@ def retry_merge(path: str, key: str, order: list[str], rows: str, limit: int = 3
         spark = batch.sparkSession
         hit = batch.groupBy(key).agg((F.max(rows) > 0).alias("__hit"))
         now = empty_attempts(batch, key, order, rows, limit).drop("give_up").join(hit, key)
-        prev = f"{path}/v={epoch - 1}"
-        if epoch > 0 and _exists(spark, prev):
-            old = spark.read.parquet(prev).select(key, F.col("misses").alias("__old"))
+        held = spark.read.parquet(path).filter(F.col("v") < epoch) if epoch > 0 and _exists(spark, path) else None
+        newest = held.agg(F.max("v")).scalar() if held is not None else None
+        if newest is not None:  # the newest version below this epoch, whatever epochs had no rows
+            old = held.filter(F.col("v") == newest).select(key, F.col("misses").alias("__old"))
             now = now.join(old, key, "full_outer").select(key, F.when(F.coalesce("__hit", F.lit(False)), F.col("misses")).otherwise(
                 F.coalesce("misses", F.lit(0)) + F.coalesce("__old", F.lit(0))).alias("misses"))
         now.select(key, "misses").write.mode("overwrite").parquet(f"{path}/v={epoch}")
