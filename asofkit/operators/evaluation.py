@@ -162,7 +162,8 @@ def ab_report(pairs: DataFrame, reps: int = 500, alpha: float = 0.05, min_n: int
     tot = day.groupBy("family").agg(F.sum("n").alias("n"), (F.sum("sa") / F.sum("n")).alias("ll_a"), (F.sum("sb") / F.sum("n")).alias("ll_b"),
                                     (F.sum("s") / F.sum("n")).alias("delta"))
     ci = bootstrap_summary(block_bootstrap(day, ["family"], "d", "s", "n", reps, seed), ["family"])
-    rep = tot.join(ci, "family").withColumn("p_raw", F.col("p_two"))
+    # one row per family; read by the adjustment, its count and the report
+    rep = cut_lineage(tot.join(ci, "family").withColumn("p_raw", F.col("p_two")))
     fam = bh_adjust(rep.filter("family <> 'ALL'"), "p_raw", "family").select("family", "p_bh")
     rep = rep.join(fam, "family", "left")
     verdict = (F.when(F.col("family") == "ALL", "").when(F.col("n") < min_n, "INSUFFICIENT n")
@@ -206,37 +207,58 @@ def goal_board(led: DataFrame, keys: Sequence[str], date: str, tie: Sequence[Col
                       "hi_n", "hi_stated", "hi_hit", F.coalesce("depth", F.lit(0)).cast("int").alias("trust_depth"))
 
 
-def logistic_fits(cells: DataFrame, keys: Sequence[str], z: str, n: str, sy: str, iters: int = 8, a0: float = 0.0, b0: float = 1.0,
+TOL, LIMIT = 1e-10, 50
+
+
+def settled(start: DataFrame, step, tol: float = TOL, limit: int = LIMIT) -> DataFrame:
+    """Repeat ``step`` (table of keys, values and ``move``, the last step's size) until every key moves less than ``tol``.
+
+    Each table is small (a row per key), written, and joined back to the cells by its true size,
+    so the cells stay where they are and a hot key's sums are partial in every task. Keys still
+    moving after ``limit`` steps keep their ``move`` for the caller to see.
+    """
+    now = cut_lineage(start)
+    for _ in range(limit):
+        now = cut_lineage(step(now))
+        worst = now.agg(F.max("move")).first()[0]
+        if worst is None or worst < tol:
+            break
+    return now
+
+
+def logistic_fits(cells: DataFrame, keys: Sequence[str], z: str, n: str, sy: str, a0: float = 0.0, b0: float = 1.0,
                   start: DataFrame | None = None) -> DataFrame:
     """Two-parameter logistic fit per key by Newton steps; each step is one grouped aggregate of five sums
     for all keys at once. ``cells`` is pre-folded: rows (keys, z) with weight n and positives sy.
-
-    The folded cells are materialised once; every step reads them again.
+    Keys whose steps do not settle (separable data) are left out.
     """
     keys = list(keys)
     cells = cut_lineage(cells)
     coef = start if start is not None else cells.groupBy(*keys).agg(F.lit(a0).alias("a"), F.lit(b0).alias("b"))
-    for _ in range(iters):
+
+    def step(coef: DataFrame) -> DataFrame:
         mu = P.sigmoid(F.col("a") + F.col("b") * F.col(z))
         wd = F.col(n) * mu * (1 - mu)
         r = F.col(sy) - F.col(n) * mu
-        s = cells.join(coef, keys).groupBy(*keys).agg(
+        s = cells.join(coef.drop("move"), keys).groupBy(*keys).agg(
             F.first("a").alias("a"), F.first("b").alias("b"), F.sum(wd).alias("h0"), F.sum(wd * F.col(z)).alias("h1"),
             F.sum(wd * F.col(z) * F.col(z)).alias("h2"), F.sum(r).alias("g0"), F.sum(r * F.col(z)).alias("g1"))
         det = F.col("h0") * F.col("h2") - F.col("h1") * F.col("h1")
         ok = F.abs(det) >= 1e-12
         da = F.when(ok, (F.col("h2") * F.col("g0") - F.col("h1") * F.col("g1")) / det).otherwise(0.0)
         db = F.when(ok, (F.col("h0") * F.col("g1") - F.col("h1") * F.col("g0")) / det).otherwise(0.0)
-        coef = s.select(*keys, (F.col("a") + da).alias("a"), (F.col("b") + db).alias("b"))
-    return coef
+        return s.select(*keys, (F.col("a") + da).alias("a"), (F.col("b") + db).alias("b"), F.greatest(F.abs(da), F.abs(db)).alias("move"))
+
+    fit = settled(coef.withColumn("move", F.lit(float("inf"))), step)
+    return fit.filter(F.col("move") < 1e-6).drop("move")
 
 
-def platt_maps(led: DataFrame, keys: Sequence[str], min_n: int, iters: int = 8) -> DataFrame:
+def platt_maps(led: DataFrame, keys: Sequence[str], min_n: int) -> DataFrame:
     """Usable maps only: enough rows, both classes present, positive slope. Others mean identity."""
     keys = list(keys)
     cells = led.groupBy(*keys, P.logit("p").alias("z")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"))
     size = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"))
-    fit = logistic_fits(cells, keys, "z", "n", "sy", iters)
+    fit = logistic_fits(cells, keys, "z", "n", "sy")
     return fit.join(size, keys).filter((F.col("n") >= min_n) & (F.col("sy") > 0) & (F.col("sy") < F.col("n")) & (F.col("b") > 0)).select(
         *keys, "n", "a", "b")
 
@@ -251,7 +273,7 @@ def calibrated(led: DataFrame, family_maps: DataFrame, line_maps: DataFrame, fam
         "cal_via", F.when(F.col("__l").isNotNull(), "line").when(F.col("__f").isNotNull(), "family").otherwise("identity")).drop("__f", "__l")
 
 
-def crossfit_calibration(led: DataFrame, family: str, date: str, folds: int = 5, min_train: int = 300, iters: int = 8) -> DataFrame:
+def crossfit_calibration(led: DataFrame, family: str, date: str, folds: int = 5, min_train: int = 300) -> DataFrame:
     """Day-block cross-fit map: each fold uses the map fitted on the other days of its family.
 
     All (family, fold) fits run together. Folds come from the position of the day, so a fold
@@ -265,40 +287,42 @@ def crossfit_calibration(led: DataFrame, family: str, date: str, folds: int = 5,
         family, F.col("t").cast("long").alias("fold"), "z").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"))
     j = j.withColumn("fold", F.col("fold").cast("long"))
     size = train.groupBy(family, "fold").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"))
-    fit = logistic_fits(train, [family, "fold"], "z", "n", "sy", iters).join(size, [family, "fold"]).filter(
+    fit = logistic_fits(train, [family, "fold"], "z", "n", "sy").join(size, [family, "fold"]).filter(
         (F.col("n") >= min_train) & (F.col("sy") > 0) & (F.col("sy") < F.col("n")) & (F.col("b") > 0)).select(family, "fold", "a", "b")
     out = j.join(fit, [family, "fold"], "left")
     p = F.when(F.col("a").isNull(), F.col("p")).otherwise(P.platt("p", "a", "b"))
     return out.withColumn("p_cal", P.clip(p, 1e-4, 1 - 1e-4)).drop("a", "b")
 
 
-def offset_logistic(cells: DataFrame, keys: Sequence[str], offset: Column, x: Column, n: str, sy: str, iters: int = 12) -> DataFrame:
-    """One slope with a fixed offset per key: estimate, standard error and z value."""
+def offset_logistic(cells: DataFrame, keys: Sequence[str], offset: Column, x: Column, n: str, sy: str) -> DataFrame:
+    """One slope with a fixed offset per key: estimate, standard error and z value; Newton steps until they settle."""
     keys = list(keys)
     c = cut_lineage(cells.select(*keys, offset.alias("__o"), x.alias("__x"), n, sy))
     beta = c.groupBy(*keys).agg(F.lit(0.0).alias("beta"))
-    info = None
-    for i in range(iters + 1):
+
+    def sums(beta: DataFrame) -> DataFrame:
         mu = P.sigmoid(F.col("__o") + F.col("beta") * F.col("__x"))
-        s = c.join(beta, keys).groupBy(*keys).agg(
+        return c.join(beta.select(*keys, "beta"), keys).groupBy(*keys).agg(
             F.first("beta").alias("beta"), F.sum(F.col("__x") * (F.col(sy) - F.col(n) * mu)).alias("g"),
             F.sum(F.col("__x") * F.col("__x") * F.col(n) * mu * (1 - mu)).alias("h"))
-        if i == iters:
-            info = s
-        beta = s.select(*keys, (F.col("beta") + F.coalesce(P.safe_div("g", "h"), F.lit(0.0))).alias("beta"))
+
+    move = F.coalesce(P.safe_div("g", "h"), F.lit(0.0))
+    beta = settled(beta.withColumn("move", F.lit(float("inf"))), lambda b: sums(b).select(*keys, (F.col("beta") + move).alias("beta"), F.abs(move).alias("move")))
     se = 1.0 / F.sqrt(F.nullif(F.col("h"), F.lit(0.0)))
-    return info.select(*keys, "beta", se.alias("se"), (F.col("beta") / se).alias("z"))
+    return sums(beta).select(*keys, "beta", se.alias("se"), (F.col("beta") / se).alias("z"))
 
 
-def bin_heads(train: DataFrame, family: str, bin_: str, offset: str, y: str, ridge: float = 1.0, iters: int = 6) -> DataFrame:
-    """Logit shift per (family, bin) with logit(p_cal) as offset and a ridge toward zero."""
+def bin_heads(train: DataFrame, family: str, bin_: str, offset: str, y: str, ridge: float = 1.0) -> DataFrame:
+    """Logit shift per (family, bin) with logit(p_cal) as offset and a ridge toward zero; steps until they settle."""
     cells = train.groupBy(family, bin_, F.col(offset).alias("__o")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"))
     cells = cut_lineage(cells)
-    shift = cells.groupBy(family, bin_).agg(F.lit(0.0).alias("shift"))
-    for _ in range(iters):
+    start = cells.groupBy(family, bin_).agg(F.lit(0.0).alias("shift"), F.lit(float("inf")).alias("move"))
+
+    def step(shift: DataFrame) -> DataFrame:
         mu = P.sigmoid(F.col("__o") + F.col("shift"))
-        s = cells.join(shift, [family, bin_]).groupBy(family, bin_).agg(
+        s = cells.join(shift.drop("move"), [family, bin_]).groupBy(family, bin_).agg(
             F.first("shift").alias("shift"), F.sum(F.col("sy") - F.col("n") * mu).alias("g"), F.sum(F.col("n") * mu * (1 - mu)).alias("h"))
-        step = (F.col("g") - ridge * F.col("shift")) / (F.col("h") + ridge)
-        shift = s.select(family, bin_, (F.col("shift") + step).alias("shift"))
-    return shift
+        move = (F.col("g") - ridge * F.col("shift")) / (F.col("h") + ridge)
+        return s.select(family, bin_, (F.col("shift") + move).alias("shift"), F.abs(move).alias("move"))
+
+    return settled(start, step).drop("move")

@@ -278,7 +278,7 @@ def ledger_report(spark, d):
     return M.ledger_report(s).withColumn("bankroll", F.round(M.bankroll(s), 4)).select("market", "n", "won", "push", F.round("pnl", 4).alias("pnl"), F.round("mean_clv", 6).alias("mean_clv"), "bankroll")
 
 
-GREPS = 80
+GREPS = 500
 
 
 def _gate_sql() -> str:

@@ -67,7 +67,7 @@ def walk_forward(spark, d):
         m = M.fit_classifier(r.filter(F.col("season") <= fold - 2), FEATS, "open", "binary", maxIter=10)
         one = lambda s: M.predict(m, r.filter(F.col("season") == s), "v").select("game", "open", F.element_at("v", 2).alias("p"), F.lit(fold).alias("fold"))  # noqa: E731,B023
         cal = one(fold - 1).select("fold", "p", F.col("open").cast("int").alias("y"))
-        ab = E.platt_maps(cal, ["fold"], 500, 6)
+        ab = E.platt_maps(cal, ["fold"], 500)
         te = one(fold).join(ab.select("fold", "a", "b"), "fold", "left")
         te = te.withColumn("p_cal", F.when(F.col("a").isNull(), F.col("p")).otherwise(P.platt("p", "a", "b")))
         out = te if out is None else out.unionByName(te)

@@ -76,7 +76,7 @@ def test_bh_monotone(spark):
 
 def test_platt_recovers_a_shift_and_falls_back(spark):
     led = ledger(spark, 6000, shade=0.8)
-    ab = E.platt_maps(led, ["family"], 500, 10).collect()[0]
+    ab = E.platt_maps(led, ["family"], 500).collect()[0]
     assert abs(ab.a + 0.8 * ab.b) < 0.2 and abs(ab.b - 1) < 0.15
     assert E.platt_maps(led.limit(100), ["family"], 500).count() == 0
     assert E.platt_maps(led.withColumn("y", F.lit(1)), ["family"], 500).count() == 0
