@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from asofkit.plans._roles import CAP, EV, captures, events, games
+from asofkit.plans._roles import CAP, EV, captures, events
 from asofkit.plans.market import ARR_T, BETS, COMPACT, LEDG, STORE_SEL, _ledger_rows
 from asofkit.registry import query
 from asofkit.sources.files import shared_path
 from asofkit.streaming import aggregates as A
 from asofkit.streaming import merges as M
 from asofkit.streaming.core import drain, drain_updates, open_stream, stage
-from asofkit.streaming.stateful import rating_stream, stint_stream
+from asofkit.streaming.stateful import stint_stream
 
 PARTS = 3
 
@@ -99,20 +99,6 @@ def stream_stints(spark, d):
                                        F.sum(F.datediff("act_date", "place_date")).alias("days"))
 
 
-@query("ST7 W12")
-def stream_ratings(spark, d):
-    """Ratings carried across arrivals; equal to the batch chain (checked in the tests)."""
-    g = games(spark, d).filter("home <> away").withColumn("league", F.col("home") % 5)
-    part = F.least(F.floor((F.col("season") - 1995) / 3), F.lit(PARTS - 1)).cast("int")
-    path = shared_path(spark, "ratings")
-
-    def each(batch, epoch):
-        batch.write.mode("overwrite").parquet(f"{path}/e={epoch}")
-
-    drain(rating_stream(_event_stream(spark, d, g, part)), each, "ratings")
-    return spark.read.parquet(path).select("league", "game", F.round("home_elo", 6).alias("home_elo"), F.round("away_elo", 6).alias("away_elo"))
-
-
 @query("ST6", f"""WITH {EV}, l AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS got FROM ev), h AS (SELECT user_id, max((ts, event_id)) FILTER (WHERE got > 0) AS hit FROM l GROUP BY 1)
 SELECT user_id, CAST(count(*) FILTER (WHERE hit IS NULL OR (ts, event_id) > hit) AS BIGINT) AS misses FROM l JOIN h USING (user_id) GROUP BY 1""")
 def stream_negative_cache(spark, d):

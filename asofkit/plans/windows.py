@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from asofkit.functions.physics import haversine_km, zone_shift_hours
 from asofkit.operators import windows as W
 from asofkit.operators.scan import Index, Previous, Running, group_totals, ordered_scan, top_k
-from asofkit.operators.sequential import elo_ratings
 from asofkit.plans._roles import EV, GAMES, LED, PA, PA_ORD, PA_ORDER, appearances, events, games, ledger, table
 from asofkit.registry import query
 
@@ -121,13 +120,6 @@ def pythagorean_before(spark, d):
     return t.select("team", "season", "d", "games", F.round(W.pythagorean(F.col("rf_sofar"), F.col("ra_sofar"), F.col("games")), 6).alias("pyth"))
 
 
-@query("W12 ST7 U3")
-def elo_by_league(spark, d):
-    """Ratings per region-sized league; one chain each, results visible from the next date."""
-    g = games(spark, d).filter("home <> away").withColumn("league", F.col("home") % 5)
-    return elo_ratings(g).select("league", "game", F.round("home_elo", 6).alias("home_elo"), F.round("away_elo", 6).alias("away_elo"))
-
-
 @query("W13 X12", f"""
 WITH {GAMES}, t AS (SELECT game, d, venue, daynight, home AS team FROM games UNION ALL SELECT game, d, venue, daynight, away FROM games),
 l AS (SELECT *, lag(d) OVER w AS pd, lag(venue) OVER w AS pv, lag(daynight) OVER w AS pdn FROM t WINDOW w AS (PARTITION BY team ORDER BY d, game, daynight))

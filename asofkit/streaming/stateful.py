@@ -1,16 +1,13 @@
-"""Keyed state: stints per player and ratings per league."""
+"""Keyed state: stints per player."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from asofkit.operators.sequential import EloState
-
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -21,33 +18,46 @@ def use_rocksdb(spark: SparkSession) -> None:
 STINT_SCHEMA = "user_id long, place_date date, act_date date, il60 int, rehab int"
 
 
+def islands(events: pd.DataFrame) -> pd.DataFrame:
+    """Stints of one player's events in order: what lies between two activations is one island.
+
+    An island counts if something opened it; a rehab counts after the first opening. The same rule as
+    the batch form (``operators.windows.stints``).
+    """
+    e = events.reset_index(drop=True)
+    closes, opens = e["kind"] == "activate", e["kind"].isin(["place", "transfer"])
+    e["island"] = closes.cumsum() - closes
+    e["at"] = e.index
+    first = e[opens].groupby("island").agg(place_date=("d", "first"), start=("at", "first"), il60=("k", lambda k: int((k.fillna(0) >= 60).any())))
+    out = first.join(e[closes].groupby("island").agg(act_date=("d", "first"))).join(e[e["kind"] == "rehab"].groupby("island").agg(last=("at", "last")))
+    out["rehab"] = (out["last"] > out["start"]).astype(int)
+    return out
+
+
 class StintProcessor(StatefulProcessor):
-    """Placement opens, transfer extends, activation closes; an open stint is emitted with no end date."""
+    """The open island of a player is the state; it leads the next batch as the events that made it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", "place date, il60 int, rehab int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # a micro-batch of one key is bounded by the trigger's file limit
-        batch = pd.concat(list(rows)).sort_values(["d", "event_id"], kind="mergesort")
-        cur = self.open.get() if self.open.exists() else None
-        out = []
-        for r in batch.itertuples(index=False):
-            if r.kind in ("place", "transfer"):
-                long = 1 if (r.k or 0) >= 60 else 0
-                cur = (r.d, long, 0) if cur is None else (cur[0], max(cur[1], long), cur[2])
-            elif r.kind == "rehab" and cur is not None:
-                cur = (cur[0], cur[1], 1)
-            elif r.kind == "activate" and cur is not None:
-                out.append((key[0], cur[0], r.d, cur[1], cur[2]))
-                cur = None
-        if cur is not None:
-            self.open.update(cur)
-            out.append((key[0], cur[0], None, cur[1], cur[2]))
-        elif self.open.exists():
+        batch = pd.concat(list(rows)).sort_values(["d", "event_id"], kind="mergesort")[["d", "kind", "k"]]
+        if self.open.exists():
+            place, long, rehab = self.open.get()
+            lead = [(place, "place", 60 if long else 0)] + [(place, "rehab", 0)] * int(rehab)
+            batch = pd.concat([pd.DataFrame(lead, columns=["d", "kind", "k"]), batch])
+        out = islands(batch)
+        left = out[out["act_date"].isna()]
+        if len(left):
+            r = left.iloc[-1]
+            self.open.update((r["place_date"], int(r["il60"]), int(r["rehab"])))
+        else:
             self.open.clear()
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "place_date", "act_date", "il60", "rehab"])
+        if len(out):
+            out["user_id"] = key[0]
+            out["act_date"] = out["act_date"].astype(object).where(out["act_date"].notna(), None)
+            yield out[["user_id", "place_date", "act_date", "il60", "rehab"]].reset_index(drop=True)
 
     def close(self) -> None:
         pass
@@ -57,34 +67,3 @@ def stint_stream(events: DataFrame) -> DataFrame:
     """Stream of (user_id, d, event_id, kind, k) to stint versions."""
     use_rocksdb(events.sparkSession)
     return events.groupBy("user_id").transformWithStateInPandas(StintProcessor(), STINT_SCHEMA, "Update", "None")
-
-
-RATING_SCHEMA = "league long, game long, home_elo double, away_elo double"
-
-
-class RatingProcessor(StatefulProcessor):
-    """Elo of one league across micro-batches; results show from the next date on."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ratings", "body string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = EloState()
-        if self.state.exists():
-            b = json.loads(self.state.get()[0])
-            s = EloState({int(k): v for k, v in b["elo"].items()}, {int(k): v for k, v in b["season"].items()}, [tuple(w) for w in b["waiting"]], b["last"])
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["d", "game"], kind="mergesort").itertuples(index=False):
-            val = lambda v: None if v is None or v != v else float(v)
-            h, a = s.step((str(r.d), int(r.season), int(r.home), int(r.away), val(r.home_score), val(r.away_score)))
-            out.append((int(key[0]), int(r.game), h, a))
-        self.state.update((json.dumps({"elo": s.elo, "season": s.season, "waiting": s.waiting, "last": s.last}),))
-        yield pd.DataFrame(out, columns=["league", "game", "home_elo", "away_elo"])
-
-    def close(self) -> None:
-        pass
-
-
-def rating_stream(games: DataFrame) -> DataFrame:
-    use_rocksdb(games.sparkSession)
-    return games.groupBy("league").transformWithStateInPandas(RatingProcessor(), RATING_SCHEMA, "Append", "None")

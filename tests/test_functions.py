@@ -69,3 +69,23 @@ def test_rules(spark):
 def test_transactions(spark):
     r = one(spark, classify_transaction(F.lit("X placed Y on the 10-day injured list")), classify_transaction(F.lit("sent on a rehab assignment")), classify_transaction(F.lit("signed Y")))
     assert (r[0].kind, r[0].days) == ("place", 10) and r[1].kind == "rehab" and r[2].kind is None
+
+
+def test_key_text_keeps_digits(spark):
+    from asofkit.functions.text import key_text
+
+    want = {"1234567890123456789": "1234567890123456789", "1234567890123456788": "1234567890123456788", "777.0": "777", "1.50": "1.5", "1e3": "1000", "nan": "", " 5 ": "5", "abc": "abc", "12345678901234567.000": "12345678901234567", "2.5e17": "250000000000000000"}
+    got = {r.s: r.k for r in spark.createDataFrame([(s,) for s in want], "s string").select("s", key_text("s").alias("k")).collect()}
+    assert got == want
+
+
+def test_rank_over_wide_deviations(spark):
+    from pyspark.sql import functions as F
+
+    from asofkit.operators.ranking import global_rank
+
+    rows = [(1, 0, 3000.0), (2, 0, 6000.0), (3, 1, 2.5e6), (4, 1, 10.0), (5, 1, None)]
+    s = spark.createDataFrame(rows, "k int, tier int, dev double")
+    chunk = F.struct("tier", (-F.floor(F.coalesce("dev", F.lit(-1.0)))).alias("depth"))
+    got = global_rank(s, [F.col("tier"), F.desc_nulls_last("dev"), F.col("k")], chunk, "r").orderBy("r").collect()
+    assert [r.k for r in got] == [2, 1, 3, 4, 5]

@@ -19,7 +19,7 @@ REG = {n: q for n, q in load_all().items() if q.fn.__module__ not in SKIP}
 def test_no_cross_join_and_no_row_python(spark, name):
     f = facts(REG[name].fn(spark, SF))
     assert f["cartesian"] == 0 and f["bnlj"] == 0
-    assert f["python"] == (1 if name == "elo_by_league" else 0)
+    assert f["python"] == 0
 
 
 def test_scan_reads_only_what_it_needs(spark):

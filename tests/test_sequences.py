@@ -1,16 +1,15 @@
-"""State machines: stints, Elo, streams against batch."""
+"""State machines: stints and runs of days."""
 
 import datetime as dt
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from asofkit.operators.sequential import elo_ratings
 from asofkit.operators.windows import date_runs, last_n_form, stints
-from asofkit.registry import load_all
+from asofkit.streaming.stateful import islands
 
 D0 = dt.date(2024, 1, 1)
-SF = "/root/testdata/sf0.001"
 
 
 def test_stints_match_the_state_machine(spark):
@@ -36,42 +35,21 @@ def test_stints_match_the_state_machine(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def games(spark, n=400):
-    rnd = random.Random(9)
-    out = []
-    for i in range(n):
-        h, a = rnd.sample(range(6), 2)
-        d = D0 + dt.timedelta(days=i // 3 + (300 if i > n // 2 else 0))
-        s = None if rnd.random() < 0.1 else rnd.randint(0, 9)
-        out.append((0, d.year, d, i, h, a, s, None if s is None else rnd.randint(0, 9)))
-    return out, spark.createDataFrame(out, "league long, season int, d date, game long, home long, away long, home_score int, away_score int")
-
-
-def test_elo_matches_twin_and_hides_same_day_results(spark):
-    rows, df = games(spark)
-    elo, seen, want, pend, last = {}, {}, {}, [], None
-    for _, season, d, g, h, a, hs, as_ in sorted(rows, key=lambda r: (r[2], r[3])):
-        if d != last:
-            for hh, aa, w in pend:
-                e = 1 / (1 + 10 ** (-(elo[hh] + 24 - elo[aa]) / 400))
-                elo[hh] += 4 * (w - e)
-                elo[aa] -= 4 * (w - e)
-            pend, last = [], d
-        for t in (h, a):
-            if seen.get(t) != season:
-                elo[t] = 1500 + 2 / 3 * (elo.get(t, 1500.0) - 1500)
-                seen[t] = season
-        want[g] = (elo[h], elo[a])
-        if hs is not None:
-            pend.append((h, a, float(hs > as_)))
-    for r in elo_ratings(df.repartition(5)).collect():
-        assert abs(r.home_elo - want[r.game][0]) < 1e-9 and abs(r.away_elo - want[r.game][1]) < 1e-9
-
-
-def test_streamed_ratings_equal_batch(spark):
-    reg = load_all()
-    key = lambda q: sorted(map(tuple, reg[q].fn(spark, SF).select("league", "game", "home_elo", "away_elo").collect()))
-    assert key("stream_ratings") == key("elo_by_league")
+def test_islands_carry_over_batches():
+    """Feeding the events in pieces, with the open island leading the next piece, gives the stints of one pass."""
+    rnd = random.Random(3)
+    for _ in range(60):
+        ev = pd.DataFrame([(D0 + dt.timedelta(days=i), rnd.choice(["place", "transfer", "activate", "rehab"]), rnd.choice([None, 10, 60])) for i in range(25)], columns=["d", "kind", "k"])
+        cols = ["place_date", "act_date", "il60", "rehab"]
+        whole = islands(ev)[cols].astype(object).where(lambda x: x.notna(), None).values.tolist()
+        got, lead = [], []
+        for at in range(0, 25, 7):
+            out = islands(pd.concat([pd.DataFrame(lead, columns=["d", "kind", "k"]), ev[at : at + 7]]) if lead else ev[at : at + 7])
+            out = out[cols].astype(object).where(lambda x: x.notna(), None).values.tolist()
+            got += [x for x in out if x[1] is not None]
+            left = [x for x in out if x[1] is None]
+            lead = [(left[0][0], "place", 60 if left[0][2] else 0)] + [(left[0][0], "rehab", 0)] * left[0][3] if left else []
+        assert got + left == whole
 
 
 def test_last_n_ignores_the_same_day(spark):
