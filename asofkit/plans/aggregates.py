@@ -81,7 +81,7 @@ def pre_event_rate(spark, d):
     return r6(r, "event", "n_events")
 
 
-@query("A15 J2", f"""WITH {PA}, opp AS (SELECT game, seq, season FROM pa WHERE status = 'O' AND batter % 5 <> 0), ev2 AS (SELECT game, seq, max((disc >= 0.05)::INT) AS success FROM pa WHERE label = 'cR' GROUP BY 1, 2),
+@query("A15 J2", f"""WITH {PA}, opp AS (SELECT game, seq, season FROM pa WHERE status = 'O'), ev2 AS (SELECT game, seq, max((disc >= 0.05)::INT) AS success FROM pa WHERE label = 'cR' GROUP BY 1, 2),
 er AS (SELECT game, min(season) AS season FROM pa GROUP BY 1), o AS (SELECT CASE WHEN opp.season < 1998 THEN 'early' ELSE 'late' END AS era, (ev2.game IS NOT NULL)::INT AS att, coalesce(success, 0) AS suc FROM opp LEFT JOIN ev2 USING (game, seq)),
 t AS (SELECT CASE WHEN season < 1998 THEN 'early' ELSE 'late' END AS era, count(*) AS true_n, avg(success) AS st FROM ev2 JOIN er USING (game) GROUP BY 1)
 SELECT era, count(*) AS n, CAST(sum(att) AS BIGINT) AS attempts, CAST(sum(suc) AS BIGINT) AS successes, round(any_value(true_n) * 1.0 / greatest(sum(att), 1), 6) AS attempt_scale, round(any_value(st), 6) AS success_true FROM o JOIN t USING (era) GROUP BY 1""")
@@ -90,7 +90,7 @@ def attempt_success_table(spark, d):
     pa = appearances(spark, d)
     ev = pa.filter("label = 'cR'").groupBy("game", "seq").agg(F.max((F.col("disc") >= 0.05).cast("int")).alias("success"))
     era = F.when(F.col("season") < 1998, "early").otherwise("late").alias("era")
-    opp = pa.filter("status = 'O' AND batter % 5 <> 0").select("game", "seq", "season").join(ev.withColumn("hit", F.lit(1)), ["game", "seq"], "left")
+    opp = pa.filter("status = 'O'").select("game", "seq", "season").join(ev.withColumn("hit", F.lit(1)), ["game", "seq"], "left")
     o = opp.groupBy(era).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("hit", F.lit(0))).alias("attempts"), F.sum(F.coalesce("success", F.lit(0))).alias("successes"))
     season = pa.groupBy("game").agg(F.min("season").alias("season"))
     t = ev.join(season, "game").groupBy(era).agg(F.count(F.lit(1)).alias("true_n"), F.avg("success").alias("success_true"))
@@ -137,15 +137,14 @@ def choice_rank_distribution(spark, d):
 
 
 CELLS = ["k", "slot", "inn", "lead"]
-RISK = "risk AS (SELECT least(CAST(seq AS INT), 6) AS k, CAST(pitcher % 3 AS INT) AS slot, CASE WHEN price < 30000 THEN 0 WHEN price < 60000 THEN 1 ELSE 2 END AS inn, (disc > 0.05)::INT AS lead, (label = 'cR')::INT AS event, season FROM pa WHERE NOT (season = 1996 AND pitcher % 3 = 2 AND seq = 6))"
+RISK = "risk AS (SELECT least(CAST(seq AS INT), 6) AS k, CAST(pitcher % 3 AS INT) AS slot, CASE WHEN price < 30000 THEN 0 WHEN price < 60000 THEN 1 ELSE 2 END AS inn, (disc > 0.05)::INT AS lead, (label = 'cR')::INT AS event, season FROM pa)"
 
 
 def _risk(spark, d):
     p = F.col("price")
     return appearances(spark, d).select(
         F.least("seq", F.lit(6)).alias("k"), (F.col("pitcher") % 3).cast("int").alias("slot"), F.when(p < 30000, 0).when(p < 60000, 1).otherwise(2).alias("inn"),
-        (F.col("disc") > 0.05).cast("int").alias("lead"), (F.col("label") == "cR").cast("int").alias("event"), "season", "seq", "pitcher").filter(
-        ~((F.col("season") == 1996) & (F.col("pitcher") % 3 == 2) & (F.col("seq") == 6))).drop("seq", "pitcher")
+        (F.col("disc") > 0.05).cast("int").alias("lead"), (F.col("label") == "cR").cast("int").alias("event"), "season")
 
 
 @query("A21 A48", f"""WITH {PA}, {RISK}, m AS (SELECT k, slot, avg(event) AS m FROM risk GROUP BY 1, 2), g AS (SELECT k, slot, inn, lead, count(*) AS n, sum(event) AS ev FROM risk GROUP BY 1, 2, 3, 4),
@@ -187,13 +186,13 @@ def day_and_game_actuals(spark, d):
     return g.select("user_id", "d", F.when(F.col("g") == 1, "day").otherwise("game").alias("grain"), "game", "h", "v")
 
 
-@query("A49 ST2", f"""WITH {GAMES}, f AS (SELECT game, d FROM games WHERE home_score IS NOT NULL), c AS (SELECT l_orderkey AS game, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1)
+@query("A49 ST2", f"""WITH {GAMES}, f AS (SELECT game, d FROM games WHERE home_score IS NOT NULL), c AS (SELECT l_orderkey AS game, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT f.d, f.game, coalesce(n, 0) AS n, coalesce(n, 0) < 2 AS stub FROM f LEFT JOIN c USING (game) WHERE f.d >= DATE '2001-05-01' AND f.d <= DATE '2001-05-31'""")
 def count_completeness(spark, d):
     from asofkit.sources.repair import stub_counts
 
     f = games(spark, d).filter("home_score IS NOT NULL").select("game", "d")
-    stored = table(spark, d, "lineitem").filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("game"))
+    stored = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("game"))
     return stub_counts(f, stored, "game", "d", "2001-05-31", 30, 2)
 
 

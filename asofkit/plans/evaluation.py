@@ -379,7 +379,7 @@ def composite_score_tiers(spark, d):
 def _baseline_sql() -> str:
     return f"""
 WITH {PA}, tr AS (SELECT * FROM pa WHERE season < 2000), sh AS (SELECT label, count(*) * 1.0 / (SELECT count(*) FROM tr) AS q FROM tr GROUP BY 1),
-en AS (SELECT pitcher, label, count(*) AS c FROM tr GROUP BY 1, 2), te AS (SELECT pitcher, label FROM pa WHERE season = 2000),
+en AS (SELECT pitcher, label, count(*) AS c FROM tr GROUP BY 1, 2), te AS (SELECT pitcher, label FROM pa WHERE season >= 2000),
 m AS (SELECT te.label, sh.q AS ql, (coalesce(en.c, 0) + 100.0 * sh.q) / (t.n + 100.0) AS qe FROM te JOIN sh ON te.label = sh.label LEFT JOIN en ON en.pitcher = te.pitcher AND en.label = te.label JOIN (SELECT pitcher, count(*) AS n FROM tr GROUP BY 1) t ON t.pitcher = te.pitcher)
 SELECT label, count(*) AS n, round(avg(-ln(greatest(ql, 1e-9))), 6) AS ll_league, round(avg(-ln(greatest(qe, 1e-9))), 6) AS ll_entity FROM m GROUP BY 1"""
 
@@ -390,7 +390,7 @@ def class_baselines(spark, d):
     from asofkit.operators.shrink import category_shares
 
     pa = appearances(spark, d)
-    tr, te = pa.filter("season < 2000"), pa.filter("season = 2000")
+    tr, te = pa.filter("season < 2000"), pa.filter("season >= 2000")
     lg = category_shares(tr, [], "label", "q").select("label", "q")
     en = tr.groupBy("pitcher", "label").agg(F.count(F.lit(1)).alias("c"))
     n = tr.groupBy("pitcher").agg(F.count(F.lit(1)).alias("n"))

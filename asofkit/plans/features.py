@@ -308,12 +308,12 @@ def season_zscore(spark, d):
 
 
 @query("W3", f"""
-WITH {PA}, q AS (SELECT batter, season, avg(qty) AS v FROM pa WHERE (batter + season) % 5 <> 0 GROUP BY 1, 2)
+WITH {PA}, q AS (SELECT batter, season, avg(qty) AS v FROM pa GROUP BY 1, 2)
 SELECT batter, season, round(CASE WHEN season - lag(season) OVER w = 1 THEN v - lag(v) OVER w END, 6) AS v_chg
 FROM q WINDOW w AS (PARTITION BY batter ORDER BY season)""")
 def year_over_year_change(spark, d):
-    """Seasons with a gap (entities inactive in a season by rule) give no change."""
-    q = appearances(spark, d).filter((F.col("batter") + F.col("season")) % 5 != 0).groupBy("batter", "season").agg(F.avg("qty").alias("v"))
+    """Seasons with a gap (entities without rows in a season) give no change."""
+    q = appearances(spark, d).groupBy("batter", "season").agg(F.avg("qty").alias("v"))
     return S.year_over_year(q, ["batter"], "season", ["v"]).select("batter", "season", F.round("v_chg", 6).alias("v_chg"))
 
 

@@ -158,16 +158,16 @@ def probability_functions(spark, d):
     return r6(r, "game")
 
 
-@query("X20 M9", f"""WITH {PA}, c AS (SELECT pitcher, count(*) AS n, count(*) FILTER (WHERE label = 'cA') AS a, count(*) FILTER (WHERE label = 'cR') AS r FROM pa WHERE season = 1995 GROUP BY 1)
-SELECT pitcher, round((a + 60.0 * CASE WHEN n < 80 AND pitcher % 3 = 0 THEN 0.2 ELSE 0.33 END) / (n + 60.0), 6) AS "cA_rate", round((r + 90.0 * 0.33) / (n + 90.0), 6) AS "cR_rate", round(ln(1 + n), 6) AS log_n FROM c""")
+@query("X20 M9", f"""WITH {PA}, c AS (SELECT pitcher, season, count(*) AS n, count(*) FILTER (WHERE label = 'cA') AS a, count(*) FILTER (WHERE label = 'cR') AS r FROM pa GROUP BY 1, 2)
+SELECT pitcher, season, round((a + 60.0 * CASE WHEN n < 80 AND pitcher % 3 = 0 THEN 0.2 ELSE 0.33 END) / (n + 60.0), 6) AS "cA_rate", round((r + 90.0 * 0.33) / (n + 90.0), 6) AS "cR_rate", round(ln(1 + n), 6) AS log_n FROM c""")
 def shrunk_class_rates(spark, d):
     """Class rates with a personal prior standing in while the sample is thin."""
     from asofkit.operators.shrink import class_counts
 
-    c = class_counts(appearances(spark, d).filter("season = 1995"), ["pitcher"], "label", ["cA", "cR"])
+    c = class_counts(appearances(spark, d), ["pitcher", "season"], "label", ["cA", "cR"])
     own = {"cA": F.when(F.col("pitcher") % 3 == 0, 0.2)}
     cols = P.shrunk_rates(["cA", "cR"], {k: F.col(k) for k in ("cA", "cR")}, F.col("n"), {k: F.lit(0.33) for k in ("cA", "cR")}, {"cA": F.lit(60.0), "cR": F.lit(90.0)}, own_priors=own, min_own=80)
-    return r6(c.select("pitcher", *cols), "pitcher")
+    return r6(c.select("pitcher", "season", *cols), "pitcher", "season")
 
 
 @query("X23", f"""WITH {LED}, t AS (SELECT game, p, (1 - p) * 0.5 AS g1, (1 - p) * 0.5 AS g2, p AS gi, 0.6 AS k1, 0.4 AS k2 FROM led)

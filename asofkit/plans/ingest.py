@@ -91,20 +91,22 @@ def inning_linescores(spark, d):
     return J.linescores(_docs(spark, d, F.struct(inn.alias("innings")), F.col("event_id").alias("GamePk")))
 
 
-@query("S9", f"""WITH {GAMES}, days AS (SELECT n_nationkey AS place, CAST(unnest(generate_series(DATE '1998-01-01', DATE '1998-03-31', INTERVAL 1 DAY)) AS DATE) AS dd FROM nation WHERE n_nationkey < 20),
+@query("S9", f"""WITH {GAMES}, days AS (SELECT n_nationkey AS place, CAST(unnest(generate_series((SELECT min(d) FROM games), (SELECT max(d) FROM games), INTERVAL 1 DAY)) AS DATE) AS dd FROM nation WHERE n_nationkey < 20),
 hr AS (SELECT place, dd, h, (place * 7 + h * 3 + day(dd)) % 50 + 30.0 AS hum, (place + h) % 9 * 0.1 AS rain FROM days, (SELECT unnest([13, 14, 15, 19, 20, 21]) AS h)),
-g AS (SELECT game, home AS place, d, CASE daynight WHEN 'night' THEN 19 ELSE 13 END AS h FROM games WHERE d >= DATE '1998-03-01' AND d <= DATE '1998-04-15')
+g AS (SELECT game, home AS place, d, CASE daynight WHEN 'night' THEN 19 ELSE 13 END AS h FROM games)
 SELECT g.game, CAST(max(hum) FILTER (WHERE hr.h = g.h) AS DOUBLE) AS humidity, round(CASE WHEN max(hum) FILTER (WHERE hr.h = g.h) IS NOT NULL THEN sum(rain) END, 6)::DOUBLE AS precip FROM g LEFT JOIN hr ON hr.place = g.place AND hr.dd = g.d AND hr.h >= g.h AND hr.h < g.h + 3 GROUP BY 1""")
 def hourly_weather_join(spark, d):
     """Hourly payloads per place and day, joined to games at their start hour; places without data stay NULL."""
-    n = table(spark, d, "nation").filter("n_nationkey < 20").select(F.col("n_nationkey").cast("long").alias("place"), F.explode(F.expr("sequence(DATE'1998-01-01', DATE'1998-03-31')")).alias("dd"))
+    all_games = games(spark, d)
+    ends = [all_games.select(f("d")).scalar() for f in (F.min, F.max)]
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("place"), F.explode(F.sequence(*ends)).alias("dd"))
     hs = [13, 14, 15, 19, 20, 21]
     arr = lambda f: F.array(*[f(h) for h in hs])
     p = F.col("place")
     body = F.struct(F.struct(arr(lambda h: F.concat(F.col("dd").cast("string"), F.lit(f"T{h:02d}:00"))).alias("time"), arr(lambda h: (p * 7 + h * 3 + F.day("dd")) % 50 + 30.0).alias("relative_humidity_2m"),
                              arr(lambda h: F.lit(1000.0)).alias("surface_pressure"), arr(lambda h: (p + h) % 9 * 0.1).alias("precipitation")).alias("hourly"))
-    hours = J.hourly_weather(n.select("place", F.to_json(body).alias("body")))
-    g = games(spark, d).filter("d >= DATE'1998-03-01' AND d <= DATE'1998-04-15'").select("game", F.col("home").alias("place"), (
+    hours = J.hourly_weather(n.select("place", F.when(p < 20, F.to_json(body)).alias("body")))
+    g = all_games.select("game", F.col("home").alias("place"), (
         F.col("d").cast("timestamp_ntz") + F.make_dt_interval(hours=F.when(F.col("daynight") == "night", 19).otherwise(13))).alias("start"))
     r = J.game_weather(g, hours, "game", "start", "place")
     return r.select("game", "humidity", F.round("precip", 6).alias("precip"))
@@ -330,9 +332,9 @@ def provenance_report(spark, d):
     return Q.provenance(ledger(spark, d), "ledger", "d", "entity")
 
 
-@query("ST12 Q7", f"""WITH {EV} SELECT event_type, max(d) AS newest, CAST(date_diff('day', max(d), DATE '2024-02-03') AS INT) AS age_days, date_diff('day', max(d), DATE '2024-02-03') > 4 AS stale FROM ev WHERE NOT (event_type = 'view' AND d > DATE '2024-01-28') GROUP BY 1""")
+@query("ST12 Q7", f"""WITH {EV} SELECT event_type, max(d) AS newest, CAST(date_diff('day', max(d), DATE '2024-02-03') AS INT) AS age_days, date_diff('day', max(d), DATE '2024-02-03') > 4 AS stale FROM (SELECT event_type, CASE WHEN NOT (event_type = 'view' AND d > DATE '2024-01-28') THEN d END AS d FROM ev) GROUP BY 1""")
 def freshness_report(spark, d):
-    ev = events(spark, d).filter("NOT (event_type = 'view' AND d > DATE'2024-01-28')")
+    ev = events(spark, d).withColumn("d", F.expr("CASE WHEN NOT (event_type = 'view' AND d > DATE'2024-01-28') THEN d END"))
     return Q.freshness(ev, "d", "2024-02-03", 4, ["event_type"])
 
 
@@ -360,7 +362,7 @@ def forecast_sheet_settlement(spark, d):
 
 
 @query("G14", f"""WITH {GAMES}, tg AS (SELECT game, d, season, home AS team, home_score AS rf FROM games WHERE home_score IS NOT NULL UNION ALL SELECT game, d, season, away, away_score FROM games WHERE home_score IS NOT NULL),
-up AS (SELECT DISTINCT team, DATE '2001-07-15' AS d FROM tg) SELECT up.team, count(tg.game) AS games, round(avg(rf), 6) AS rf_mean, CAST(date_diff('day', max(tg.d), up.d) AS INT) AS rest FROM up LEFT JOIN tg ON tg.team = up.team AND tg.season = 2001 AND tg.d < up.d GROUP BY up.team, up.d""")
+up AS (SELECT DISTINCT team, DATE '2001-07-15' AS d FROM tg) SELECT up.team, count(tg.game) FILTER (WHERE tg.season = 2001) AS games, round(avg(rf) FILTER (WHERE tg.season = 2001), 6) AS rf_mean, CAST(date_diff('day', max(tg.d), up.d) AS INT) AS rest FROM up LEFT JOIN tg ON tg.team = up.team AND tg.d < up.d GROUP BY up.team, up.d""")
 def upcoming_slate_context(spark, d):
     """Scoreless pseudo-rows for an upcoming date ride through the same history operators."""
     from asofkit.operators.asof import asof_join
@@ -369,9 +371,9 @@ def upcoming_slate_context(spark, d):
 
     tg = _team_games(spark, d)
     up = tg.select("team").distinct().select("team", F.lit(2001).alias("season"), F.lit("2001-07-15").cast("date").alias("d"))
-    hist = tg.filter("season = 2001").select("team", "season", "d", F.lit(1).alias("one"), "rf").unionByName(up.withColumn("one", F.lit(0)), allowMissingColumns=True)
+    hist = tg.select("team", "season", "d", F.lit(1).alias("one"), "rf").unionByName(up.withColumn("one", F.lit(0)), allowMissingColumns=True)
     t = season_totals_before(hist, "team", "season", "d", ["one", "rf"]).join(up, ["team", "season", "d"])
-    prev = tg.filter("season = 2001").select("team", "d").distinct().withColumn("pd", F.col("d"))
+    prev = tg.select("team", "d").distinct().withColumn("pd", F.col("d"))
     j = asof_join(t, prev, ["team"], ["pd"])
     return j.select("team", F.col("one_sofar").cast("long").alias("games"), F.round(F.col("rf_sofar") / F.nullif("one_sofar", F.lit(0)), 6).alias("rf_mean"), F.datediff("d", "pd").alias("rest"))
 

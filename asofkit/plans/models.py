@@ -11,6 +11,8 @@ from asofkit.plans._roles import LABELS, appearances, table
 from asofkit.registry import query
 
 FEATS = ["qty", "disc", "tax", "prior"]
+#: Settings of the fits: iterations of a linear model (it stops at its tolerance before), trees and their depth.
+ITERS, TREES, DEPTH = 100, 20, 5
 
 
 def training_rows(spark, d):
@@ -30,8 +32,8 @@ def time_split_classifier(spark, d):
     """Fit before the calibration season, scale on it, evaluate after it; recency-weighted training rows."""
     r = training_rows(spark, d)
     tr = M.recency_weighted(r.filter("season < 1999"), "d", F.lit("1998-12-31").cast("date"), 2.0)
-    m = M.fit_classifier(tr, FEATS, "y", "logistic", weight="w", maxIter=20)
-    cal, te = (M.predict(m, r.filter(f), "p") for f in ("season = 1999", "season = 2000"))
+    m = M.fit_classifier(tr, FEATS, "y", "logistic", weight="w", maxIter=ITERS)
+    cal, te = (M.predict(m, r.filter(f), "p") for f in ("season = 1999", "season >= 2000"))
     sc = M.scaled(M.vector_scaling(cal, "p", "y", 0.01), te, "p", "p_cal")
     ll = lambda c: F.round(F.avg(V.vector_log_loss(c, F.col("y") + 1)), 5)
     return sc.groupBy("season").agg(F.count(F.lit(1)).alias("n"), ll("p").alias("ll_raw"), ll("p_cal").alias("ll_cal"), F.round(F.avg(V.asum(F.col("p_cal"))), 6).alias("mass"))
@@ -42,8 +44,8 @@ def class_tree(spark, d):
     """Gate, kind and outcome models composed back to one vector that sums to one."""
     r = training_rows(spark, d)
     tr = r.filter("season < 2000").withColumn("gate", F.when(F.col("y") == 2.0, 1.0).otherwise(0.0))
-    m = M.fit_tree(tr, FEATS, "gate", "hi", "open", 2, 1, maxIter=10)
-    te = M.predict_tree(m, r.filter("season = 2000"))
+    m = M.fit_tree(tr, FEATS, "gate", "hi", "open", 2, 1, maxIter=ITERS)
+    te = M.predict_tree(m, r.filter("season >= 2000"))
     return te.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.round(F.min(V.asum(F.col("p_tree"))), 6).alias("min_mass"), F.round(F.max(V.asum(F.col("p_tree"))), 6).alias("max_mass"),
                                     F.round(F.avg(F.element_at("p_tree", 1)), 4).alias("p_out"))
 
@@ -52,7 +54,7 @@ def class_tree(spark, d):
 def bagged_forest(spark, d):
     """Two seeds averaged; the members' spread comes along."""
     r = training_rows(spark, d)
-    b = M.bagged(r.filter("season < 1998"), r.filter("season = 1998"), FEATS, "y", [1, 2], "forest", numTrees=5, maxDepth=3)
+    b = M.bagged(r.filter("season < 1998"), r.filter("season >= 1998"), FEATS, "y", [1, 2], "forest", numTrees=TREES, maxDepth=DEPTH)
     return b.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(V.member_logit_std("members", 1)), 5).alias("spread"),
                                    F.round(F.avg(V.vector_log_loss("p", F.col("y") + 1)), 5).alias("ll"))
 
@@ -63,25 +65,30 @@ def walk_forward(spark, d):
     from asofkit.operators import evaluation as E
 
     r, out = training_rows(spark, d), None
-    for fold in (1999, 2000):
-        m = M.fit_classifier(r.filter(F.col("season") <= fold - 2), FEATS, "open", "binary", maxIter=10)
+    for fold in (1998, 1999, 2000, 2001):
+        m = M.fit_classifier(r.filter(F.col("season") <= fold - 2), FEATS, "open", "binary", maxIter=ITERS)
         one = lambda s: M.predict(m, r.filter(F.col("season") == s), "v").select("game", "open", F.element_at("v", 2).alias("p"), F.lit(fold).alias("fold"))  # noqa: E731,B023
         cal = one(fold - 1).select("fold", "p", F.col("open").cast("int").alias("y"))
         ab = E.platt_maps(cal, ["fold"], 500)
         te = one(fold).join(ab.select("fold", "a", "b"), "fold", "left")
         te = te.withColumn("p_cal", F.when(F.col("a").isNull(), F.col("p")).otherwise(P.platt("p", "a", "b")))
+        te = te.withColumn("train_to", F.lit(fold - 2)).withColumn("calibrated_on", F.lit(fold - 1))
         out = te if out is None else out.unionByName(te)
-    return M.evaluate_folds(out, "fold", "open", "p_cal").select("fold", "n", F.round("ll", 5).alias("ll"), "honest")
+    # a fold is honest if its fit windows end before it
+    out = out.withColumn("honest", (F.greatest("train_to", "calibrated_on") < F.col("fold")) & F.col("a").isNotNull())
+    return M.evaluate_folds(out, "fold", "open", "p_cal", "honest").select("fold", "n", F.round("ll", 5).alias("ll"), "honest")
 
 
 @query("M11")
 def anchored_attempts(spark, d):
     """Imputed, scaled logistic whose level is moved to the true rate."""
     r = training_rows(spark, d)
-    m = M.fit_classifier(r.filter("season < 2000"), FEATS, "hi", "binary", maxIter=10)
-    p = M.predict(m, r.filter("season = 2000"), "v").withColumn("p", F.element_at("v", 2))
-    mean, truth = p.agg(F.avg("p")).scalar(), r.filter("season = 2000").agg(F.avg("hi")).scalar()
-    a = p.withColumn("p_mean", mean).withColumn("p_true", truth).withColumn("p_anchored", M.anchored(F.col("p"), F.col("p_true"), F.col("p_mean")))
+    train = r.filter("season < 2000")
+    m = M.fit_classifier(train, FEATS, "hi", "binary", maxIter=ITERS)
+    p = M.predict(m, r.filter("season >= 2000"), "v").withColumn("p", F.element_at("v", 2))
+    fit = M.predict(m, train, "v")  # the level comes from the training seasons alone
+    mean, level = fit.agg(F.avg(F.element_at("v", 2))).scalar(), train.agg(F.avg("hi")).scalar()
+    a = p.withColumn("p_mean", mean).withColumn("p_level", level).withColumn("p_anchored", M.anchored(F.col("p"), F.col("p_level"), F.col("p_mean")))
     return a.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 5).alias("p_model"), F.round(F.avg("p_anchored"), 5).alias("p_anchored"), F.round(F.avg("hi"), 5).alias("truth"))
 
 
@@ -89,7 +96,7 @@ def anchored_attempts(spark, d):
 def advance_tilt(spark, d):
     """Coefficient of a prior-season trait with situation controls."""
     r = training_rows(spark, d).fillna({"prior": 0.33}).withColumn("late", (F.col("seq") >= 5).cast("double"))
-    m = M.fit_classifier(r, ["prior", "late", "qty"], "open", "binary", maxIter=10)
+    m = M.fit_classifier(r, ["prior", "late", "qty"], "open", "binary", maxIter=ITERS)
     coef = m.stages[-1].coefficients
     n = r.agg(F.count(F.lit(1)).alias("n"))
     return n.select("n", *[F.lit(round(float(c), 6)).alias(f"b_{f}") for f, c in zip(("prior", "late", "qty"), coef)])
@@ -100,6 +107,6 @@ def boosted_labels(spark, d):
     """Binary boosted trees on document features against the quality label."""
     lab = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
     r = lab.select("doc_id", F.log1p("n_chars").alias("size"), F.col("toxic").cast("double").alias("toxic"), F.col("quality").cast("double").alias("y"))
-    m = M.fit_classifier(r.filter("doc_id % 4 <> 0"), ["size", "toxic"], "y", "boosted", maxIter=5, maxDepth=3)
+    m = M.fit_classifier(r.filter("doc_id % 4 <> 0"), ["size", "toxic"], "y", "boosted", maxIter=TREES, maxDepth=DEPTH)
     te = M.predict(m, r.filter("doc_id % 4 = 0"), "v")
     return te.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(P.log_loss("y", F.element_at("v", 2))), 5).alias("ll"), F.round(F.avg("y"), 5).alias("base"))

@@ -253,11 +253,11 @@ def multi_key_rank(spark, d):
     return global_rank(s, [tier, F.desc_nulls_last(dev), F.asc("s_suppkey")], F.struct(tier.alias("tier"), (-F.floor(F.coalesce(dev, F.lit(-1.0)))).alias("depth")), "rank_pos").select("s_suppkey", "rank_pos")
 
 
-@query("S19", f"""WITH {EV} SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS seq_no FROM ev WHERE event_type = 'purchase'""")
+@query("S19", f"""WITH {EV} SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS seq_no FROM ev""")
 def global_sequence_number(spark, d):
     from asofkit.operators.ranking import global_rank
 
-    e = events(spark, d).filter("event_type = 'purchase'")
+    e = events(spark, d)
     return global_rank(e, [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"), "seq_no").select("event_id", "seq_no")
 
 
