@@ -119,14 +119,17 @@ def interval_active(
 ) -> DataFrame:
     """Flag points that fall in [start, end) of an interval of their key; open ends allowed.
 
-    Intervals are cut into months and joined by (key, month), so the join is an equi join
-    however long an interval or however hot a key.
+    Intervals of a key that start on the same day are folded to the longest, so a key has at most one
+    per day; they are cut into months and joined by (key, month), an equi join however long an
+    interval or however hot a key.
     """
     keys = list(keys)
     top = points.agg(F.max(date)).scalar()
     iv = intervals.select(*keys, start, end).filter(F.col(start).isNotNull()).withColumn(
         "__end", F.coalesce(F.col(end), F.date_add(top, 1)))
-    iv = iv.filter(F.col("__end") > F.col(start)).withColumn("__m", F.explode(F.sequence(
+    # of intervals with the same start the longest covers the others
+    iv = iv.filter(F.col("__end") > F.col(start)).groupBy(*keys, start).agg(F.max("__end").alias("__end"))
+    iv = iv.withColumn("__m", F.explode(F.sequence(
         F.trunc(start, "month"), F.trunc("__end", "month"), F.expr("interval 1 month"))))
     asks = points.select(*keys, date).distinct().withColumn("__m", F.trunc(date, "month"))
     hit = asks.join(iv, [*keys, "__m"]).filter((F.col(start) <= F.col(date)) & (F.col(date) < F.col("__end")))

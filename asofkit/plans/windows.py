@@ -10,6 +10,7 @@ from asofkit.operators import windows as W
 from asofkit.operators.scan import Index, Previous, Running, group_totals, ordered_scan, top_k
 from asofkit.plans._roles import EV, GAMES, LED, PA, PA_ORD, PA_ORDER, appearances, events, games, ledger, table
 from asofkit.registry import query
+from asofkit.session import cut_lineage
 
 ORD = PA_ORDER
 
@@ -110,6 +111,49 @@ def last_ten_form(spark, d):
     return r.select("team", "game", F.col("n_before").cast("long").alias("n_before"), *[F.round(f"{c}_last10", 6).alias(f"{c}_last10") for c in ("win", "rf", "ra")])
 
 
+STAFF_SQL = """sg AS (SELECT home AS team, games.season, games.d, games.game, coalesce(CAST(sum(qty) FILTER (WHERE seq = 1) AS DOUBLE), 0) AS st, coalesce(CAST(sum(qty) FILTER (WHERE seq > 1) AS DOUBLE), 0) AS po,
+ CAST(count(*) FILTER (WHERE seq > 1 AND label = 'cR') AS DOUBLE) AS er, CAST(count(*) FILTER (WHERE seq > 1) AS DOUBLE) AS np, any_value(home_score) - CAST(count(*) AS DOUBLE) AS luck FROM games JOIN pa ON pa.game = games.game GROUP BY ALL)"""
+
+
+def _staff_games(spark, d):
+    """Per home game: the first arm's outs, the others' outs, runs and pitches, and runs over their estimate."""
+    pa = appearances(spark, d).select("game", "seq", "qty", "label")
+    late = F.col("seq") > 1
+    q = F.col("qty").cast("double")
+    per = pa.groupBy("game").agg(
+        F.sum(F.when(~late, q).otherwise(0.0)).alias("st"), F.sum(F.when(late, q).otherwise(0.0)).alias("po"), F.count_if(late & (F.col("label") == "cR")).cast("double").alias("er"),
+        F.count_if(late).cast("double").alias("np"), F.count(F.lit(1)).cast("double").alias("__est"))
+    g = games(spark, d).select(F.col("home").alias("team"), "season", "d", "game", "home_score").join(per, "game")
+    return g.withColumn("luck", F.col("home_score") - F.col("__est")).drop("home_score", "__est")
+
+
+def _last_sql(src: str, name: str, cols: str, n: int, where: str = "TRUE") -> str:
+    """CTEs numbering the rows of ``src`` and averaging ``cols`` over the n rows of earlier dates of the season."""
+    avgs = ", ".join(f"avg(p.{c}) AS {c}" for c in cols.split())
+    return f"""{name}_s AS (SELECT *, row_number() OVER (PARTITION BY team, season ORDER BY d, game) AS i FROM {src} WHERE {where}),
+{name}_b AS (SELECT a.team, a.season, a.game, coalesce(max(p.i), 0) AS nb FROM {name}_s a LEFT JOIN {name}_s p ON a.team = p.team AND a.season = p.season AND p.d < a.d GROUP BY 1, 2, 3),
+{name} AS (SELECT b.team, b.game, {avgs} FROM {name}_b b LEFT JOIN {name}_s p ON p.team = b.team AND p.season = b.season AND p.i <= b.nb AND p.i > b.nb - {n} GROUP BY 1, 2)"""
+
+
+@query("W11", f"""
+WITH {GAMES}, {PA}, {STAFF_SQL}, lk AS (SELECT * FROM sg WHERE luck IS NOT NULL), {_last_sql('sg', 'pen', 'er po', 30, 'po > 0')}, {_last_sql('sg', 'sta', 'st', 20)}, {_last_sql('lk', 'luk', 'luck', 20)},
+load AS (SELECT a.game, coalesce(sum(p.np), 0) AS pen_load FROM sg a LEFT JOIN sg p ON p.team = a.team AND p.season = a.season AND p.d < a.d AND p.d >= a.d - 3 GROUP BY 1)
+SELECT sg.team, sg.game, round(27.0 * pen.er / nullif(pen.po, 0), 6) AS pen_era30, round(sta.st, 6) AS starter_outs20, round(luk.luck, 6) AS luck20, pen_load
+FROM sg JOIN load USING (game) LEFT JOIN pen ON pen.game = sg.game LEFT JOIN sta ON sta.game = sg.game LEFT JOIN luk ON luk.game = sg.game""")
+def staff_form(spark, d):
+    """Bullpen run average over its last thirty games, starter outs and estimate luck over twenty, bullpen load of three days; earlier dates of the season only."""
+    from asofkit.operators.windows import trailing_sums
+
+    g = cut_lineage(_staff_games(spark, d))
+    last = lambda df, cols, n: W.last_n_form(df.select("team", "season", "d", "game", *cols), "team", "season", "d", ["game"], cols, n).select("game", *[f"{c}_last{n}" for c in cols])
+    pen, st, luck = last(g.filter("po > 0"), ["er", "po"], 30), last(g, ["st"], 20), last(g.filter("luck IS NOT NULL"), ["luck"], 20)
+    day = g.groupBy("team", "season", "d").agg(F.sum("np").alias("np"))
+    load = trailing_sums(g.select("team", "season", "d", "game"), day, ["team", "season"], "d", ["np"], {"3": 3}).select("game", F.coalesce("np_3", F.lit(0.0)).alias("pen_load"))
+    j = g.select("team", "game").join(load, "game").join(pen, "game", "left").join(st, "game", "left").join(luck, "game", "left")
+    return j.select("team", "game", F.round(27.0 * F.col("er_last30") / F.nullif("po_last30", F.lit(0.0)), 6).alias("pen_era30"), F.round("st_last20", 6).alias("starter_outs20"),
+                    F.round("luck_last20", 6).alias("luck20"), "pen_load")
+
+
 @query("W11 X13", f"""
 WITH {GAMES}, {TEAM_SQL}, dd AS (SELECT team, season, d, count(*) AS n, sum(rf) AS rf, sum(ra) AS ra FROM tg GROUP BY 1, 2, 3),
 r AS (SELECT team, season, d, coalesce(sum(n) OVER w, 0) AS n, coalesce(sum(rf) OVER w, 0) AS rf, coalesce(sum(ra) OVER w, 0) AS ra FROM dd
