@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from asofkit.functions.prob import _c
 
-# Accented letters and their plain forms, position tokens.
-ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõøōúùûüūýÿñçšžčćđłńśźżğşÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕØÚÙÛÜÝÑÇŠŽČĆ"
-PLAIN = "aaaaaaaeeeeeiiiiiooooooouuuuuyyncszccdlnszzgsAAAAAAEEEEIIIIOOOOOOUUUUYNCSZCC"
+# Letters that a compatibility decomposition turns into one plain letter; others that are not ASCII (such as a slashed o) are dropped.
+_LETTERS = {c: d for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if len(d := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) == 1}
+ACCENTED, PLAIN = "".join(_LETTERS), "".join(_LETTERS.values())
+# Position tokens.
 POSITION_TOKENS = (
     "p", "c", "1b", "2b", "3b", "ss", "lf", "cf", "rf", "of", "dh", "if", "sp", "rp", "ph", "pr", "util",
 )

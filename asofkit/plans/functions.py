@@ -13,6 +13,7 @@ from asofkit.functions import timefn as D
 from asofkit.functions import vectors as V
 from asofkit.plans._roles import EV, GAMES, LED, PA, appearances, events, games, ledger, table
 from asofkit.plans.evaluation import logit_sql, r6
+from asofkit.plans._roles import prob_sql
 from asofkit.registry import query
 
 
@@ -203,7 +204,7 @@ def bucketed_tilt(spark, d):
     return t.select("k", "label", F.round(F.col("e") / F.col("s"), 6).alias("p"))
 
 
-@query("X26 U6", f"""WITH {PA}, v AS (SELECT pitcher, season, avg(disc) AS v FROM pa GROUP BY 1, 2) SELECT o_orderkey, round(coalesce(v.v, 0.05), 6) AS v FROM orders LEFT JOIN v ON v.pitcher = o_orderkey % 100 AND v.season = year(o_orderdate)""")
+@query("X26", f"""WITH {PA}, v AS (SELECT pitcher, season, avg(disc) AS v FROM pa GROUP BY 1, 2) SELECT o_orderkey, round(coalesce(v.v, 0.05), 6) AS v FROM orders LEFT JOIN v ON v.pitcher = o_orderkey % 100 AND v.season = year(o_orderdate)""")
 def keyed_value_lookup(spark, d):
     """A (season, entity) value map: the season map of an entity as one map column, looked up per row."""
     v = appearances(spark, d).groupBy("pitcher", "season").agg(F.avg("disc").alias("v"))
@@ -230,3 +231,16 @@ def rule_ladders(spark, d):
     g = ev.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("fail"), F.count_if(F.col("event_type") == "view").alias("rows"))
     dd = F.day("d")
     return g.select("d", R.capture_verdict("n", "fail", "rows", dd % 7 == 0).alias("capture"), R.slate_floor(dd % 5, F.when(dd % 3 != 0, F.when(dd % 5 == 0, (dd + 1) % 2).otherwise(dd % 2 * 4))).alias("slate"))
+
+
+@query("U6 P7 X17 X19", f"""WITH {LED}, t AS (SELECT game, p, entity, CAST(entity % 9 AS DOUBLE) + 0.5 AS line, CAST((game % 7 - 3) * 55 AS DOUBLE) AS price, CAST(110 - game % 5 * 60 AS DOUBLE) AS back FROM led)
+SELECT game, round({prob_sql('price')}, 6) AS implied, round({prob_sql('price')} / ({prob_sql('price')} + {prob_sql('back')}), 6) AS fair, round({logit_sql('p')}, 6) AS z, round(1 / (1 + exp(-(0.1 + 0.8 * {logit_sql('p')}))), 6) AS platt,
+ round((entity + 50.0 * 0.3) / (entity * 2 + 50.0), 6) AS eb, 'K > ' || CAST(line AS VARCHAR) AS label, line FROM t""")
+def sql_functions(spark, d):
+    """The scalar functions called by name from SQL expressions; labels are built and read back."""
+    from asofkit.functions.sql import register
+
+    register(spark)
+    t = ledger(spark, d).selectExpr("game", "p", "entity", "entity % 9 + 0.5D AS line0", "CAST((game % 7 - 3) * 55 AS DOUBLE) AS price", "CAST(110 - game % 5 * 60 AS DOUBLE) AS back")
+    return t.selectExpr("game", "round(implied_prob(price), 6) AS implied", "round(fair_over(price, back), 6) AS fair", "round(log_odds(p), 6) AS z", "round(platt_map(p, 0.1D, 0.8D), 6) AS platt",
+                        "round(shrunk_rate(entity, entity * 2, 0.3D, 50.0D), 6) AS eb", "line_text('K', line0) AS label", "line_number(line_text('K', line0)) AS line")

@@ -89,3 +89,15 @@ def test_rank_over_wide_deviations(spark):
     chunk = F.struct("tier", (-F.floor(F.coalesce("dev", F.lit(-1.0)))).alias("depth"))
     got = global_rank(s, [F.col("tier"), F.desc_nulls_last("dev"), F.col("k")], chunk, "r").orderBy("r").collect()
     assert [r.k for r in got] == [2, 1, 3, 4, 5]
+
+
+def test_names_follow_the_decomposition_rule(spark):
+    import unicodedata
+
+    from asofkit.functions.text import norm_name
+
+    letters = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(c).isalpha()]
+    plain = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in letters}
+    rows = [(f"x{c}y", f"x{p}y".lower()) for c, p in plain.items() if len(p) < 2]
+    got = spark.createDataFrame(rows, "s string, want string").withColumn("got", norm_name("s")).filter("got <> want")
+    assert [(r.s, r.got) for r in got.collect()] == []
