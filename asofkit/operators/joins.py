@@ -166,31 +166,67 @@ def slot_means(
     return rows.join(means, row_id, "left")
 
 
-def resolve_entities(asks: DataFrame, index: DataFrame, ask_id: str, team: str, name: str, entity: str) -> DataFrame:
-    """Entity id for a name by ever looser keys; a tier answers only with exactly one id.
+def _name_keys(df: DataFrame, name: str, strip: bool) -> DataFrame:
+    n = T.norm_name(T.strip_position(F.col(name)) if strip else F.col(name))
+    df = df.withColumn("__n", n).filter(F.col("__n") != "")
+    return df.withColumn("__c", T.collapsed("__n")).withColumn("__l", T.last_name("__n")).withColumn("__i", T.first_initial("__n"))
+
+
+def _name_tiers(asks: DataFrame, idx: DataFrame, tiers, entity: str, latest: str) -> DataFrame:
+    """One left join per tier (label, ask columns, index columns, exact). An exact tier answers with the latest
+    entry; the looser ones only with exactly one id, told by the minimum and maximum of partial aggregations."""
+    out = asks
+    for k, (_, ours, theirs, exact) in enumerate(tiers):
+        pick = F.max_by(entity, F.struct(latest, entity)) if exact else F.when(F.min(entity) == F.max(entity), F.min(entity))
+        found = idx.groupBy(*[F.col(t).alias(f"__k{i}") for i, t in enumerate(theirs)]).agg(pick.alias(f"__t{k}")).filter(F.col(f"__t{k}").isNotNull())
+        on = [out[o] == found[f"__k{i}"] for i, o in enumerate(ours)]
+        out = out.join(found, on, "left").drop(*[f"__k{i}" for i in range(len(ours))])
+    return out
+
+
+def resolve_entities(asks: DataFrame, index: DataFrame, ask_id: str, team: str, name: str, entity: str, latest: str | None = None) -> DataFrame:
+    """Entity id for a name by ever looser keys.
 
-    Tiers: exact name in team, collapsed in team, exact name anywhere, collapsed anywhere,
-    last name with first initial in team.
+    Tiers: exact name in team (the latest by ``latest``, the id if not given), collapsed in team, exact
+    name anywhere, collapsed anywhere, last name with first initial in team.
     """
-    def keyed(df: DataFrame, strip: bool) -> DataFrame:
-        n = T.norm_name(T.strip_position(F.col(name)) if strip else F.col(name))
-        df = df.withColumn("__n", n).filter(F.col("__n") != "")
-        return df.withColumn("__c", T.collapsed("__n")).withColumn("__l", T.last_name("__n")).withColumn("__i", T.first_initial("__n"))
-
-    idx, q = keyed(index, False), keyed(asks, True)
-    tiers = [("exact", [team, "__n"]), ("team_collapsed", [team, "__c"]), ("name", ["__n"]), ("collapsed", ["__c"]),
-             ("initial", [team, "__l", "__i"])]
-    out = q
-    for t, keys in tiers:
-        # min and max over an entity tell uniqueness with plain partial aggregation
-        uniq = idx.groupBy(*keys).agg(F.min(entity).alias("__a"), F.max(entity).alias("__b")).filter("__a = __b")
-        out = out.join(uniq.select(*keys, F.col("__a").alias(f"__t_{t}")), keys, "left")
-    ids = [F.col(f"__t_{t}") for t, _ in tiers]
-    via = F.coalesce(*[F.when(F.col(f"__t_{t}").isNotNull(), t) for t, _ in tiers])
-    found = out.select(ask_id, F.coalesce(*ids).alias(entity), via.alias("tier"))
+    idx, q = _name_keys(index, name, False), _name_keys(asks, name, True)
+    keys = [("exact", [team, "__n"]), ("team_collapsed", [team, "__c"]), ("name", ["__n"]), ("collapsed", ["__c"]), ("initial", [team, "__l", "__i"])]
+    out = _name_tiers(q, idx, [(t, k, k, t == "exact") for t, k in keys], entity, latest or entity)
+    via = F.coalesce(*[F.when(F.col(f"__t{i}").isNotNull(), t) for i, (t, _) in enumerate(keys)])
+    found = out.select(ask_id, F.coalesce(*[f"__t{i}" for i in range(len(keys))]).alias(entity), via.alias("tier"))
     return asks.join(found, ask_id, "left")
 
 
+def resolve_for_clubs(asks: DataFrame, index: DataFrame, ask_id: str, clubs: Sequence[str], team: str, name: str, entity: str, latest: str | None = None) -> DataFrame:
+    """Entity and club of a name that may belong to any of the ask's ``clubs`` (columns, in order of trust).
+
+    Per club: exact, collapsed, last name with first initial; a hit names the club. A name that is
+    unique anywhere still gives the entity, with no club.
+    """
+    idx, q = _name_keys(index, name, False), _name_keys(asks, name, True)
+    tiers, owner = [], []
+    for c in clubs:
+        for label, k in (("exact", ["__n"]), ("team_collapsed", ["__c"]), ("initial", ["__l", "__i"])):
+            tiers.append((label, [c, *k], [team, *k], label == "exact"))
+            owner.append(F.col(c))
+    for label, k in (("name", ["__n"]), ("collapsed", ["__c"])):
+        tiers.append((label, k, k, False))
+        owner.append(F.lit(None))
+    out = _name_tiers(q, idx, tiers, entity, latest or entity)
+    hit = [F.col(f"__t{i}").isNotNull() for i in range(len(tiers))]
+    first = lambda values: F.coalesce(*[F.when(h & ~_any(hit[:i]), v) for i, (h, v) in enumerate(zip(hit, values, strict=True))])
+    found = out.select(ask_id, F.coalesce(*[f"__t{i}" for i in range(len(tiers))]).alias(entity), first(owner).alias("club"), first([F.lit(t[0]) for t in tiers]).alias("tier"))
+    return asks.join(found, ask_id, "left")
+
+
+def _any(flags: Sequence[Column]) -> Column:
+    out = F.lit(False)
+    for f in flags:
+        out = out | f
+    return out
+
+
 def merge_sources(primary: DataFrame, fallback: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Full outer join, then each column from the second source where the first has none."""
     f = fallback.select(*keys, *[F.col(c).alias(f"__f_{c}") for c in cols])

@@ -75,13 +75,43 @@ def _name_index(spark, d):
         F.concat(F.lit("José Núñez x"), F.chr(97 + k % 26), F.chr(97 + F.floor(k / 26) % 26), F.lit(" Jr.")).alias("name"))
 
 
+CLUB_TIERS = [(lab, c, k) for c in ("home", "away") for lab, k in (("exact", "n"), ("team_collapsed", "c"), ("initial", "l"))]
+
+
+def _clubs_sql() -> str:
+    one = "HAVING count(DISTINCT entity) = 1"
+    joins = " ".join(f"LEFT JOIN {t} AS x{i} ON x{i}.team = qk.{c} AND x{i}.{k} = qk.{k}" + (f" AND x{i}.i = qk.i" if k == "l" else "") for i, (t, c, k) in enumerate((lab, c, k) for lab, c, k in CLUB_TIERS))
+    ids = ", ".join([f"x{i}.e" for i in range(6)] + ["g1.e", "g2.e"])
+    club = " ".join(f"WHEN x{i}.e IS NOT NULL THEN qk.{c}" for i, (_, c, _) in enumerate(CLUB_TIERS))
+    tier = " ".join(f"WHEN x{i}.e IS NOT NULL THEN '{lab}'" for i, (lab, _, _) in enumerate(CLUB_TIERS))
+    return f"""
+WITH {NAMES}, nidx AS (SELECT entity, team, 'jose nunez x' || chr(CAST(97 + entity % 26 AS INT)) || chr(CAST(97 + entity // 26 % 26 AS INT)) AS n FROM idx),
+k AS (SELECT *, replace(n, ' ', '') AS c, split_part(n, ' ', 3) AS l, 'j' AS i FROM nidx),
+q AS (SELECT entity AS ask_id, (team + entity % 3) % 25 AS home, (team + 1) % 25 AS away, CASE WHEN entity % 3 = 0 THEN n WHEN entity % 3 = 1 THEN 'josenunez ' || split_part(n, ' ', 3) ELSE 'j ' || split_part(n, ' ', 3) END AS n FROM k),
+qk AS (SELECT *, replace(n, ' ', '') AS c, split_part(n, ' ', -1) AS l, substr(n, 1, 1) AS i FROM q),
+exact AS (SELECT team, n, max(entity) AS e FROM k GROUP BY 1, 2), team_collapsed AS (SELECT team, c, min(entity) AS e FROM k GROUP BY 1, 2 {one}), initial AS (SELECT team, l, i, min(entity) AS e FROM k GROUP BY 1, 2, 3 {one}),
+gn AS (SELECT n, min(entity) AS e FROM k GROUP BY 1 {one}), gc AS (SELECT c, min(entity) AS e FROM k GROUP BY 1 {one})
+SELECT ask_id, coalesce({ids}) AS entity, CASE {club} END AS club, CASE {tier} WHEN g1.e IS NOT NULL THEN 'name' WHEN g2.e IS NOT NULL THEN 'collapsed' END AS tier
+FROM qk {joins} LEFT JOIN gn AS g1 ON g1.n = qk.n LEFT JOIN gc AS g2 ON g2.c = qk.c"""
+
+
+@query("J12", _clubs_sql())
+def two_club_resolution(spark, d):
+    """A name on one of two clubs: the club's own tiers first, then names unique anywhere, without a club."""
+    idx = _name_index(spark, d)
+    tail, k = F.element_at(F.split("name", " "), 3), F.col("entity")
+    asks = idx.select(k.alias("ask_id"), ((F.col("team") + k % 3) % 25).alias("home"), ((F.col("team") + 1) % 25).alias("away"),
+                      F.when(k % 3 == 0, F.col("name")).when(k % 3 == 1, F.concat(F.lit("JoseNunez "), tail)).otherwise(F.concat(F.lit("J. "), tail)).alias("name"))
+    return J.resolve_for_clubs(asks, idx, "ask_id", ["home", "away"], "team", "name", "entity").select("ask_id", "entity", "club", "tier")
+
+
 @query("J12 X1 X2", f"""
 WITH {NAMES}, nidx AS (SELECT entity, team, 'jose nunez x' || chr(CAST(97 + entity % 26 AS INT)) || chr(CAST(97 + entity // 26 % 26 AS INT)) AS n FROM idx),
 k AS (SELECT *, replace(n, ' ', '') AS c, split_part(n, ' ', 3) AS l, 'j' AS i FROM nidx),
 q AS (SELECT entity AS ask_id, CASE WHEN entity % 5 = 4 THEN -1 ELSE team END AS team, CASE WHEN entity % 3 = 0 THEN 'jose nunez ' || split_part(n, ' ', 3)
    WHEN entity % 3 = 1 THEN 'josenunez ' || split_part(n, ' ', 3) ELSE 'j ' || split_part(n, ' ', 3) END AS n FROM k),
 qk AS (SELECT *, replace(n, ' ', '') AS c, split_part(n, ' ', -1) AS l, substr(n, 1, 1) AS i FROM q),
-u1 AS (SELECT team, n, min(entity) AS e FROM k GROUP BY 1, 2 HAVING count(DISTINCT entity) = 1), u2 AS (SELECT team, c, min(entity) AS e FROM k GROUP BY 1, 2 HAVING count(DISTINCT entity) = 1),
+u1 AS (SELECT team, n, max(entity) AS e FROM k GROUP BY 1, 2), u2 AS (SELECT team, c, min(entity) AS e FROM k GROUP BY 1, 2 HAVING count(DISTINCT entity) = 1),
 u3 AS (SELECT n, min(entity) AS e FROM k GROUP BY 1 HAVING count(DISTINCT entity) = 1), u4 AS (SELECT c, min(entity) AS e FROM k GROUP BY 1 HAVING count(DISTINCT entity) = 1),
 u5 AS (SELECT team, l, i, min(entity) AS e FROM k GROUP BY 1, 2, 3 HAVING count(DISTINCT entity) = 1)
 SELECT ask_id, coalesce(u1.e, u2.e, u3.e, u4.e, u5.e) AS entity,
