@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from asofkit.session import checkpoint_dir
 
 #: Bytes of text that one numpy step looks at; a longer text stands alone.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,12 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]
         a = b
 
 
+def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, for steps that turn rows into Python objects."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and xor-shift); a bijection on uint64."""
     x = np.asarray(x, np.uint64).copy()
@@ -79,11 +85,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def add_key(df: DataFrame, name: str) -> DataFrame:
-    """A unique row key, fixed by writing the result before it is used twice."""
-    return df.withColumn(name, F.monotonically_increasing_id())
-
-
 def row_keyed(df: DataFrame, file: str = "__file", pos: str = "__pos") -> DataFrame:
     """``df`` with a row key that is the same at every evaluation: its file and its place there.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import mix, row_keyed, views, written
+from asofkit.llm.common import mix, row_keyed, slices, views, written
 from asofkit.llm.components import Forest, components
 from asofkit.llm.shingles import shingle_sets
 
@@ -86,7 +86,7 @@ def place_sets(rows: DataFrame, k: int) -> DataFrame:
     """One row per class and place with its full shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch)):
             places, reps = b.column("places").to_pylist(), b.column("rep").to_pylist()
             keys = b.column("bands").to_pylist()
             out: list[tuple] = []
@@ -96,7 +96,7 @@ def place_sets(rows: DataFrame, k: int) -> DataFrame:
                 for x in own:
                     out.append((rep, x["i"], x["key"], x["p"], x["q"], x["own"], band, raw))
                     held += len(raw)
-                if held > 16 << 20:
+                if held > 4 << 20:
                     yield placed(out)
                     out, held = [], 0
             if out:
@@ -155,7 +155,7 @@ def verified(placed: DataFrame, share: int) -> DataFrame:
         def close() -> list[tuple[int, int]]:
             return linked(at[0], at[2], at[3], members, share) if len(members) > 1 else []
 
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch)):
             found: list[tuple[int, int]] = []
             c = b.to_pydict()
             for rep, i, key, p, q, own, band, raw in zip(*(c[x] for x in ("rep", "i", "key", "p", "q", "own", "bands", "shingles")), strict=True):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import written
+from asofkit.llm.common import slices, written
 from asofkit.llm.components import Forest, components
 
 RECALL = 0.997
@@ -140,7 +140,7 @@ def linked(places: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, members, turns = None, [], {}
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch)):
             found: list[tuple] = []
             c = b.to_pydict()
             for row in zip(*(c[x] for x in ("dims", "t", "key", "p", "q", "rid", "own", "keys", "vector")), strict=True):

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import blocks, mix, row_keyed, views, written
+from asofkit.llm.common import blocks, mix, row_keyed, slices, views, written
 from asofkit.llm.shingles import BYTE, P, P_INV, powers
 
 LENGTH, GRAM = 200, 32
@@ -221,7 +221,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = views(batch.column("text"))
-            for x, y in blocks(offsets, 1 << 20):
+            for x, y in blocks(offsets):
                 base = offsets[x]
                 row, a, b, h, s1, s2 = segments(raw[base : offsets[y]], offsets[x : y + 1] - base, length)
                 at = pa.array(row + x)
@@ -234,7 +234,7 @@ def shipped(texts: DataFrame, length: int) -> DataFrame:
     """Bytes of the wanted segments of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b)):
             raw, offsets = views(batch.column("text"))
             out, held = [], 0
             for k, (file, pos, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("file", "pos", "wanted")), strict=True)):
@@ -271,7 +271,7 @@ def indexed(pieces: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, 4096)):
             found: list[tuple] = []
             for row in zip(*(batch.column(c).to_pylist() for c in ("h", "n", "file", "pos", "a", "bytes")), strict=True):
                 if size >= INDEX_BYTES and row[0] != held[-1][0]:
@@ -347,7 +347,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans, texts = repeated(docs, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b)):
             out = []
             for t, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
                 raw = t.as_buffer().to_pybytes()
