@@ -30,7 +30,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every text and the verdict of its group's limits."""
     counts = rules.written(rules.measured(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"]), "measures")
-    return rules.judged(counts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return rules.judged(counts, rules.limits(counts)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @query

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import written
+from asofkit.llm.common import slices, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -60,14 +60,17 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def measured(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` and COUNTS per row."""
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    """``keep`` and COUNTS per row; ``text`` may be a field of a kept struct (``column.field``)."""
+    whole, _, field = text.partition(".")
+    source = df.select(*[F.col(f"`{c}`") for c in keep], *([] if field else [F.col(f"`{text}`").alias("__text")]))
+    at = [f.name.lower() for f in source.schema[whole].dataType.fields].index(field) if field else None
     schema = ", ".join([f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in COUNTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [measure(t.as_py()) for t in b.column("__text")]
-            cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(COUNTS)
+        for b in (x for batch in batches for x in slices(batch, 2048)):
+            texts = b.column("__text") if at is None else b.column(whole).field(at)
+            rows = [measure(t.as_py()) for t in texts]
+            cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + cols, [*keep, *COUNTS])
 
     return source.mapInArrow(run, schema)
@@ -124,9 +127,9 @@ def limits(counts: DataFrame, lang: str = "lang", source: str = "source") -> Dat
     return written(both.select(own[lang], own[source], *pick), "limits")
 
 
-def judged(counts: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """``counts`` with base_failed and kept."""
-    lim = limits(counts, lang, source).withColumnsRenamed({lang: "__lang", source: "__source"})
+def judged(counts: DataFrame, lim: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """``counts`` with base_failed and kept by the limits ``lim``: a small written table, which Spark broadcasts by its size."""
+    lim = lim.withColumnsRenamed({lang: "__lang", source: "__source"})
     joined = counts.join(lim, counts[lang].eqNullSafe(lim["__lang"]) & counts[source].eqNullSafe(lim["__source"]), "left")
     good = F.lit(True)
     for m, c in rates().items():
@@ -137,10 +140,9 @@ def judged(counts: DataFrame, lang: str = "lang", source: str = "source") -> Dat
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass. A verdict depends on text, language and source alone, so rejects are joined by these."""
-    mark = F.struct(F.xxhash64("text"), F.sha1(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
-    key = F.sha1(F.to_json(F.struct(mark.alias("t"), F.col("lang"), F.col("source"))))
-    marked = docs.withColumn("__key", key)
-    counts = written(measured(marked, ["__key", "lang", "source"]), "measures")
-    rejected = written(judged(counts).where(~F.col("kept")).select(F.col("__key")).distinct(), "rejected")
-    return marked.join(rejected, "__key", "left_anti").select(*docs.columns)
+    """Documents that pass. Texts are measured again with the limits known, so they are never shuffled."""
+    groups = [F.col("lang").alias("__l"), F.col("source").alias("__s")]
+    lim = limits(written(measured(docs.select(*groups, "text"), ["__l", "__s"]), "measures"), "__l", "__s")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+    counts = measured(rows, ["__doc"], "__doc.text").select("*", F.col("__doc.lang").alias("__l"), F.col("__doc.source").alias("__s"))
+    return judged(counts, lim, "__l", "__s").where("kept").select("__doc.*")

@@ -43,7 +43,7 @@ def rows():
 def test_verdicts_and_stage(spark):
     docs = spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string").withColumnRenamed("doc_id", "doc_id")
     counts = rules.written(rules.measured(docs, ["doc_id", "lang", "source"]), "m")
-    got = {(r.doc_id, r.kept) for r in rules.judged(counts).collect()}
+    got = {(r.doc_id, r.kept) for r in rules.judged(counts, rules.limits(counts)).collect()}
     assert {k for k, kept in got if not kept} == {1000, 1001, 1002, 1003}
     kept = rules.stage(spark, docs.selectExpr("*", "'x' as n_words"), "")
     assert kept.columns == [*docs.columns, "n_words"] and kept.count() == 600
