@@ -32,7 +32,7 @@ from asofkit.llm.shingles import shingle_sets
 
 M, ROWS = 7, 2
 #: Members of a group that one side of a task holds.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 512
 _RNG = np.random.default_rng(77)
 MULT = _RNG.integers(0, 1 << 63, 2 * M * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RNG.integers(0, 1 << 64, 2 * M * ROWS, dtype=np.uint64)
@@ -71,6 +71,7 @@ def groups(classes: DataFrame) -> DataFrame:
     """Per class that shares some A_i: the places (i, A_i, block pair) where it must be."""
     rows = classes.select("rep", F.posexplode(F.slice("bands", 1, M)).alias("i", "key"))
     sizes = rows.groupBy("i", "key").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
+    sizes = written(sizes, "sizes")  # a join between two plain exchanges can be split where a key is hot
     met = rows.join(sizes, ["i", "key"])
     blocks = F.ceil(F.col("g") / BLOCK_ROWS)
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
