@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import blocks, mix, table, views, written
+from asofkit.llm.common import blocks, mix, slices, table, views, written
 from asofkit.llm.shingles import P_INV, powers, prefix
 
 BUCKETS, DIMS, BLOCK_BUCKETS = 1 << 15, 32, 1 << 10
@@ -212,7 +212,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = shared.value
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, 1024)):
             yield b.filter(pa.array(net.score(pooled(b.column(at), vectors)) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
