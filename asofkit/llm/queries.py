@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from asofkit.llm import bpe, classifier, hilbert, lm, minhash, packing, rabitq, rules, suffix, warc
 from asofkit.llm.common import row_keyed, table
+from asofkit.llm.oracles import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def query(fn):
@@ -60,7 +62,7 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to archives and back, in the order of the merged index."""
     index, folder = warc.archive(table(spark, sf_dir, "pages"))
-    return warc.read_back(index, folder).withColumnRenamed("id", "page_id")
+    return warc.read_back(index, folder).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query
