@@ -312,12 +312,14 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFram
     ``docs``: file, pos, text. spans: byte ranges that cover every repeated window.
     """
     found = written(anchors(docs, length), "anchors")
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
+    # written, so that the join below is between two plain exchanges, which Spark can split where a key is hot
+    often = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"), "often")
     found = written(found.join(often, "h", "left_semi"), "shared")
     kinds = found.groupBy("h", "s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "pos", "a", "b")).alias("at"))
     kinds = written(kinds, "kinds")
     whole = found.join(kinds.where("n > 1").select("h", "s1", "s2"), ["h", "s1", "s2"], "left_semi").select("file", "pos", "a", (F.col("b") + length).alias("e"))
     keys = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.min("n").alias("fewest")).where("d > 1 and fewest = 1").select("h", "d")
+    keys = written(keys, "keys")
     wanted = kinds.join(keys, "h").select("at.*", "h", "n", "d")
     wanted = wanted.groupBy("file", "pos").agg(F.collect_list(F.struct("a", "b", "h", "n", "d")).alias("wanted"))
     rows = found.select("file", "pos").distinct().join(wanted, ["file", "pos"], "left")
