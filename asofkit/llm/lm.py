@@ -1,16 +1,19 @@
 """Masked pseudo-likelihood of documents by a bidirectional window network.
 
-A word or run of signs is hashed to one of CODES * CODES token ids. The network
-sees two tokens on either side of a hidden one, adds their vectors (one table
-per place), and predicts the hidden token's id in two steps, its first code and
-then, given that, its second; both steps are normalised, so the probabilities
-of all ids sum to one. A document's score is the sum of the log-probabilities of
-all its tokens, each from both sides.
-
-Training is numpy in tasks, over every document once: in each round every task
-trains on its share of the documents from the shared parameters and returns its
-own, which are summed by blocks with the token counts as weights (a shuffle that
-grows with the number of tasks, that is with the corpus) and averaged.
+Words and runs of signs are counted over all documents. Each that occurs often
+enough (``least_count``, which grows slower than the corpus, so the vocabulary
+grows with it) has an id of its own by falling count; the others share the id 0
+and are spelled byte by byte, each byte given the one before, so they never take
+the probability of another word. An id is three codes of the same number. The
+network sees two tokens on either side of a hidden one, adds their vectors
+(turned by a matrix per place), and predicts the hidden token's codes one after
+the other, each given those before; each step is normalised. A document's score
+is the sum of the log-probabilities of all its tokens, each from both sides.
+
+Training is numpy in tasks: in each round every task trains on its part of the
+round's share of the documents from the shared parameters and returns its own,
+which are summed by blocks with the token counts as weights and averaged. The
+shares come round again until the loss on texts held out of training settles.
 
 Cases: null and empty texts have no tokens, the sum 0 and no mean; places
 beyond a text's ends have a vector of their own; very long texts are scored
@@ -20,51 +23,64 @@ whole; repeated rows get equal scores; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.classifier import buckets
-from asofkit.llm.common import blocks, views, written
-
-CODES, DIMS, SIDE = 64, 16, 2
-TOKENS = CODES * CODES
-ROUNDS, BATCH, RATE = 2, 8192, 0.05
-PARTS = 64
+from asofkit.llm.classifier import KIND
+from asofkit.llm.common import blocks, mix, views, written
+from asofkit.llm.shingles import P_INV, powers, prefix
+
+#: Codes of an id in a network without a vocabulary; TOKENS stands for places beyond a text's ends.
+CODES, DIMS, SIDE = 16, 16, 2
+TOKENS = CODES**3
+BATCH, RATE = 2048, 0.05
+#: A word has its own id if it occurs so often at least (see least_count).
+LEAST = 5
+#: Rounds that see every text once; one text in SHARES * HELD is held out. Rounds end when the held-out loss falls by less than SETTLED of itself.
+SHARES, HELD, SETTLED, MOST_ROUNDS = 4, 32, 0.005, 32
+#: Numbers in one row of summed parameters, and different words that a counting task holds.
+PART, HELD_WORDS = 1 << 15, 1 << 19
+END = 256
 
 Parameters = dict[str, np.ndarray]
+TABLES = ("vectors", "given", "pair")
+TRAINED = ("base", "first", "first_base", "given", "pair", "places", "second", "second_base", "third", "third_base", "vectors")
 
 
-def start() -> Parameters:
+def start(ids: int = TOKENS) -> Parameters:
     rng = np.random.default_rng(17)
     small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+    c = next(k for k in range(2, ids + 3) if k**3 >= ids)
     return {
-        "places": small(2 * SIDE, TOKENS + 1, DIMS), "base": np.zeros(DIMS, np.float32), "given": small(CODES, DIMS),
-        "first": small(DIMS, CODES), "first_base": np.zeros(CODES, np.float32), "second": small(DIMS, CODES), "second_base": np.zeros(CODES, np.float32),
+        "vectors": small(ids + 1, DIMS), "places": small(2 * SIDE, DIMS, DIMS) + np.eye(DIMS, dtype=np.float32), "base": np.zeros(DIMS, np.float32),
+        "given": small(c, DIMS), "pair": small(c * c, DIMS), "first": small(DIMS, c), "first_base": np.zeros(c, np.float32),
+        "second": small(DIMS, c), "second_base": np.zeros(c, np.float32), "third": small(DIMS, c), "third_base": np.zeros(c, np.float32),
     }
 
 
 def flat(p: Parameters) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in sorted(p)])
+    return np.concatenate([p[k].ravel() for k in TRAINED])
 
 
-def shaped(v: np.ndarray) -> Parameters:
-    out, at = {}, 0
-    like = start()
-    for k in sorted(like):
+def shaped(v: np.ndarray, like: Parameters) -> Parameters:
+    """``like`` with its trained parameters from ``v``."""
+    out, at = dict(like), 0
+    for k in TRAINED:
         out[k] = v[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
         at += like[k].size
     return out
 
 
-def windows(tokens: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """Per place in the window the neighbour of every token; beyond a text's ends the id TOKENS."""
+def windows(tokens: np.ndarray, counts: np.ndarray, beyond: int = TOKENS) -> list[np.ndarray]:
+    """Per place in the window the neighbour of every token; beyond a text's ends ``beyond``."""
     row = np.repeat(np.arange(len(counts)), counts)
     out = []
     for d in [x for x in range(-SIDE, SIDE + 1) if x]:
-        n = np.full(len(tokens), TOKENS, np.int64)
+        n = np.full(len(tokens), beyond, np.int64)
         k = abs(d)
         same = row[k:] == row[:-k]
         if d < 0:
@@ -80,43 +96,111 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def forward(p: Parameters, near: list[np.ndarray], one: np.ndarray):
-    a = p["base"] + sum(p["places"][k][n] for k, n in enumerate(near))
-    h1, h2 = np.tanh(a), np.tanh(a + p["given"][one])
-    return h1, h2, log_softmax(h1 @ p["first"] + p["first_base"]), log_softmax(h2 @ p["second"] + p["second_base"])
+def codes(p: Parameters, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first code, first and second as one number, third code)."""
+    c = len(p["given"])
+    return ids // (c * c), ids // c, ids % c
+
+
+def forward(p: Parameters, near: list[np.ndarray], one: np.ndarray, pair: np.ndarray):
+    a = p["base"] + sum(p["vectors"][n] @ p["places"][k] for k, n in enumerate(near))
+    b = a + p["given"][one]
+    h = np.tanh(a), np.tanh(b), np.tanh(b + p["pair"][pair])
+    return h, [log_softmax(x @ p[k] + p[f"{k}_base"]) for x, k in zip(h, ("first", "second", "third"), strict=True)]
+
+
+def of_ids(p: Parameters, ids: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
+    """Log-probability of every id between its neighbours."""
+    out = []
+    for i in range(0, len(ids), BATCH):
+        b = slice(i, i + BATCH)
+        one, pair, three = codes(p, ids[b])
+        _, (l1, l2, l3) = forward(p, [n[b] for n in near], one, pair)
+        at = np.arange(len(one))
+        out.append(l1[at, one].astype(np.float64) + l2[at, pair % len(p["given"])] + l3[at, three])
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+class Words(np.ndarray):
+    """Hashes of words; slices share the block (hashes, starts, ends, bytes) that spells them."""
+
+    def __array_finalize__(self, other) -> None:
+        self.block = getattr(other, "block", None)
+
+
+def known(p: Parameters, words: np.ndarray) -> np.ndarray:
+    """Ids of hashed words: 0 for those outside the vocabulary, the last vector's for places beyond the ends."""
+    words = np.asarray(words)
+    out = np.zeros(len(words), np.int64)
+    if len(p["words"]):
+        at = np.minimum(np.searchsorted(p["words"], words), len(p["words"]) - 1)
+        out = np.where(p["words"][at] == words, p["word_ids"][at], 0)
+    out[words == TOKENS] = len(p["vectors"]) - 1
+    return out
+
+
+def spelled(p: Parameters, tokens: Words, ids: np.ndarray) -> np.ndarray:
+    """Log-probability of the spelling of every word outside the vocabulary; 0 for the others."""
+    out, rare = np.zeros(len(tokens)), np.flatnonzero(ids == 0)
+    if len(rare):
+        h, starts, ends, raw = tokens.block
+        if len(tokens) == len(h):
+            at = rare
+        else:
+            seen, first = np.unique(h, return_index=True)
+            at = first[np.searchsorted(seen, np.asarray(tokens)[rare])]
+        step = np.concatenate([[0.0], np.cumsum(p["spelling"][raw[:-1], raw[1:]])])  # up to each byte
+        out[rare] = p["spelling"][END, raw[starts[at]]] + step[ends[at] - 1] - step[starts[at]] + p["spelling"][raw[ends[at] - 1], END]
+    return out
 
 
 def log_probabilities(p: Parameters, tokens: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
-    one, two = tokens % CODES, tokens // CODES
-    _, _, l1, l2 = forward(p, near, one)
-    at = np.arange(len(tokens))
-    return l1[at, one].astype(np.float64) + l2[at, two]
+    if "words" not in p:
+        return of_ids(p, tokens, near)
+    ids = known(p, tokens)
+    return of_ids(p, ids, [known(p, n) for n in near]) + spelled(p, tokens, ids)
 
 
-def add_rows(table: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(ids.astype(np.uint16), kind="stable")
+def block_probabilities(p: Parameters, tokens: Words, counts: np.ndarray) -> np.ndarray:
+    ids = known(p, tokens)
+    return of_ids(p, ids, windows(ids, counts, len(p["vectors"]) - 1)) + spelled(p, tokens, ids)
+
+
+def summed(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different ids, sum of the rows of each)."""
+    order = np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")
     s = ids[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    table[s[first]] += np.add.reduceat(values[order], first, axis=0)
+    return s[first], np.add.reduceat(values[order], first, axis=0)
+
+
+def row_gradients(p: Parameters, ids: np.ndarray, near: list[np.ndarray]) -> dict:
+    """Of the mean negative log-probability; of TABLES only the rows touched: (rows, values)."""
+    one, pair, three = codes(p, ids)
+    h, logs = forward(p, near, one, pair)
+    at, n = np.arange(len(ids)), np.float32(len(ids))
+    g, back = {}, []
+    for x, z, k, code in zip(h, logs, ("first", "second", "third"), (one, pair % len(p["given"]), three), strict=True):
+        d = np.exp(z)
+        d[at, code] -= 1
+        d /= n
+        g[k], g[f"{k}_base"] = x.T @ d, d.sum(axis=0)
+        back.append((d @ p[k].T) * (1 - x * x))
+    b = back[1] + back[2]
+    a = back[0] + b
+    g["base"], g["given"], g["pair"] = a.sum(axis=0), summed(one, b), summed(pair, back[2])
+    g["places"] = np.stack([p["vectors"][m].T @ a for m in near])
+    g["vectors"] = summed(np.concatenate(near), np.concatenate([a @ p["places"][k].T for k in range(len(near))]))
+    return g
 
 
 def gradients(p: Parameters, tokens: np.ndarray, near: list[np.ndarray]) -> Parameters:
-    """Of the mean negative log-probability."""
-    one, two = tokens % CODES, tokens // CODES
-    h1, h2, l1, l2 = forward(p, near, one)
-    at, n = np.arange(len(tokens)), np.float32(len(tokens))
-    d1, d2 = np.exp(l1), np.exp(l2)
-    d1[at, one] -= 1
-    d2[at, two] -= 1
-    d1 /= n
-    d2 /= n
-    a2 = (d2 @ p["second"].T) * (1 - h2 * h2)
-    a = (d1 @ p["first"].T) * (1 - h1 * h1) + a2
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    g["first"], g["first_base"], g["second"], g["second_base"], g["base"] = h1.T @ d1, d1.sum(axis=0), h2.T @ d2, d2.sum(axis=0), a.sum(axis=0)
-    add_rows(g["given"], one, a2)
-    for k, m in enumerate(near):
-        add_rows(g["places"][k], m, a)
+    """``row_gradients`` with whole tables."""
+    g = row_gradients(p, tokens, near)
+    for k in TABLES:
+        rows, values = g[k]
+        g[k] = np.zeros_like(p[k])
+        g[k][rows] = values
     return g
 
 
@@ -124,76 +208,194 @@ class Trainer:
     """Adagrad over batches of tokens in the order of the documents."""
 
     def __init__(self, p: Parameters) -> None:
-        self.p = {k: v.copy() for k, v in p.items()}
-        self.squares = {k: np.full_like(v, 1e-6) for k, v in p.items()}
+        self.p = {k: v.copy() if k in TRAINED else v for k, v in p.items()}
+        self.squares = {k: np.full_like(p[k], 1e-6) for k in TRAINED}
         self.seen = 0
 
-    def text(self, tokens: np.ndarray, counts: np.ndarray) -> None:
-        near = windows(tokens, counts)
-        for i in range(0, len(tokens), BATCH):
+    def text(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        near = windows(ids, counts, len(self.p["vectors"]) - 1)
+        for i in range(0, len(ids), BATCH):
             b = slice(i, i + BATCH)
-            g = gradients(self.p, tokens[b], [n[b] for n in near])
-            for k, v in g.items():
-                self.squares[k] += v * v
-                self.p[k] -= RATE * v / np.sqrt(self.squares[k])
-        self.seen += len(tokens)
-
-
-def token_blocks(column: pa.Array, chosen: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, tokens, tokens per row) by blocks of whole texts; rows not chosen have none."""
-    raw, offsets = views(column)
-    for a, b in blocks(offsets):
-        base = offsets[a]
-        w, n = buckets(raw[base : offsets[b]], offsets[a : b + 1] - base)
-        if chosen is not None:
-            keep = chosen[a:b]
-            w, n = w[np.repeat(keep, n)], np.where(keep, n, 0)
-        yield a, b, (w % TOKENS).astype(np.int64), n
-
-
-def trained(docs: DataFrame, rounds: int = ROUNDS) -> Parameters:
-    """Parameters from all of ``docs``: the driver holds one set of them."""
-    share = F.pmod(F.xxhash64("text"), F.lit(rounds)).cast("int")
-    source = docs.select("text", F.coalesce(share, F.lit(0)).alias("share"))
-    p = start()
-    size = flat(p).size
-    step = -(-size // PARTS)
-    schema = "part int, weight long, sums binary"
-    for r in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast(p)
-
-        def train(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> Iterator[pa.RecordBatch]:
-            t = Trainer(shared.value)
-            for batch in batches:
-                chosen = np.asarray(batch.column("share")) == r
-                for _, _, tokens, counts in token_blocks(batch.column("text"), chosen):
-                    t.text(tokens, counts)
+            for k, v in row_gradients(self.p, ids[b], [n[b] for n in near]).items():
+                rows, v = v if k in TABLES else (..., v)
+                s = self.squares[k][rows] + v * v
+                self.squares[k][rows] = s
+                self.p[k][rows] -= RATE * v / np.sqrt(s)
+        self.seen += len(ids)
+
+
+def token_blocks(column: pa.Array) -> Iterator[tuple[int, int, Words, np.ndarray]]:
+    """(first row, end row, hashed words, words per row) by blocks of whole texts: runs of letters or of signs, case kept."""
+    whole, all_offsets = views(column)
+    for a, b in blocks(all_offsets):
+        base = all_offsets[a]
+        raw, offsets = whole[base : all_offsets[b]], all_offsets[a : b + 1] - base
+        kind = KIND[raw]
+        cut = np.ones(len(raw) + 1, bool)
+        if len(raw):
+            cut[1:-1] = kind[1:] != kind[:-1]
+        cut[offsets] = True
+        edges = np.flatnonzero(cut)
+        starts, ends = edges[:-1], edges[1:]
+        word = kind[starts] > 0
+        starts, ends = starts[word], ends[word]
+        c = prefix(raw)
+        h = mix((c[ends] - c[starts]) * powers(P_INV, len(raw) + 1)[starts] + (ends - starts).astype(np.uint64))
+        h = ((h >> np.uint64(2)) | np.uint64(1 << 62)).astype(np.int64)  # far above TOKENS
+        tokens = h.view(Words)
+        tokens.block = (h, starts, ends, raw)
+        yield a, b, tokens, np.diff(np.searchsorted(starts, offsets))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """Every different word of ``docs`` with its count: hash, word, n."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        merged = lambda: pa.concat_tables(held).group_by(["hash", "word"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["hash", "word", "n"])
+        for batch in batches:
+            for _, _, tokens, _ in token_blocks(batch.column("text")):
+                if not len(tokens):
+                    continue
+                h, starts, ends, raw = tokens.block
+                seen, first, n = np.unique(h, return_index=True, return_counts=True)
+                size = ends[first] - starts[first]
+                at = np.concatenate([[0], np.cumsum(size)])
+                data = raw[np.repeat(starts[first] - at[:-1], size) + np.arange(at[-1])]
+                word = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(seen), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+                held.append(pa.table({"hash": pa.array(seen), "word": word, "n": pa.array(n.astype(np.int64))}))
+                if sum(t.num_rows for t in held) > HELD_WORDS:
+                    held[:] = [merged()]
+                    if held[0].num_rows > HELD_WORDS // 2:
+                        yield from held.pop().combine_chunks().to_batches(max_chunksize=1 << 14)
+        if held:
+            yield from merged().combine_chunks().to_batches(max_chunksize=1 << 14)
+
+    return docs.select("text").mapInArrow(count, "hash long, word binary, n long").groupBy("hash", "word").agg(F.sum("n").alias("n"))
+
+
+def least_count(total: int) -> int:
+    """How often a word must occur for an id of its own among ``total`` words: as the root of the corpus, so the vocabulary grows about as the root too."""
+    return max(LEAST, isqrt(total) // 100)
+
+
+def sums(parts: list[int], weights: list[int], values: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(weights, pa.int64()), pa.array([v.astype(np.float32).tobytes() for v in values], pa.binary())], ["part", "weight", "sums"])
+
+
+SUMS = "part int, weight long, sums binary"
+
+
+def added(partial: DataFrame, name: str) -> list:
+    """Weights and values of every part, summed over the tasks in a shuffle: one row per part."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, weight, raw in zip(batch.column("part").to_pylist(), batch.column("weight").to_pylist(), batch.column("sums"), strict=True):
+                x = np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64)
+                if part in held:
+                    held[part][0] += weight
+                    held[part][1] += x
+                else:
+                    held[part] = [weight, x]
+        if held:
+            yield sums(list(held), [h[0] for h in held.values()], [h[1] / h[0] for h in held.values()])
+
+    return written(partial.repartition("part").mapInArrow(add, SUMS), name).collect()
+
+
+def spelling(rare: DataFrame) -> np.ndarray:
+    """Log-probabilities of a byte (or END) after another (or the start) in words outside the vocabulary, with one added to every count."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((END + 1) ** 2)
+        for batch in batches:
+            raw, offsets = views(batch.column("word"))
+            n, size = np.asarray(batch.column("n")), np.diff(offsets)
+            if len(raw):
+                before = np.concatenate([[END], raw[:-1].astype(np.int64)])
+                before[offsets[:-1]] = END
+                total += np.bincount(before * (END + 1) + raw, np.repeat(n, size), len(total))
+                total += np.bincount(raw[offsets[1:] - 1].astype(np.int64) * (END + 1) + END, n, len(total))
+        t = total.reshape(END + 1, END + 1)
+        some = np.flatnonzero(t.any(axis=1))
+        if len(some):
+            yield sums(some.tolist(), [1] * len(some), list(t[some]))
+
+    count = np.ones((END + 1, END + 1))
+    for row in added(rare.select("word", "n").mapInArrow(pairs, SUMS), "spelling"):  # END + 1 rows
+        count[row.part] += np.frombuffer(row.sums, np.float32).astype(np.float64) * row.weight
+    count[END, END] = 1e-9  # no word is empty
+    return np.log(count / count.sum(axis=1, keepdims=True))
+
+
+def with_vocabulary(docs: DataFrame) -> Parameters:
+    """Parameters before training, with the vocabulary of ``docs``: the driver holds the words with an id."""
+    counts = written(counted(docs), "words")
+    least = least_count(counts.agg(F.sum("n")).first()[0] or 0)
+    often = counts.where(F.col("n") >= least).select("hash", "n").toArrow()
+    h, n = (np.asarray(often.column(c).combine_chunks(), np.int64) for c in ("hash", "n"))
+    h, first = np.unique(h[np.lexsort((h, -n))], return_index=True)
+    return start(len(h) + 1) | {"words": h, "word_ids": first + 1, "spelling": spelling(counts.where(F.col("n") < least))}
+
+
+def mean_loss(docs: DataFrame, p: Parameters) -> float | None:
+    """Mean negative log-probability of a word; None without words."""
+    shared = docs.sparkSession.sparkContext.broadcast(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, 0.0
+        for batch in batches:
+            for _, _, tokens, counts in token_blocks(batch.column("text")):
+                n += len(tokens)
+                total -= block_probabilities(shared.value, tokens, counts).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total], pa.float64())], ["n", "total"])
+
+    n, total = docs.select("text").mapInArrow(run, "n long, total double").agg(F.sum("n"), F.sum("total")).first()
+    shared.unpersist()
+    return total / n if n else None
+
+
+def one_round(docs: DataFrame, p: Parameters) -> Parameters:
+    """The average of what every task makes of ``p`` by its part of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(p)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = Trainer(shared.value)
+        for batch in batches:
+            for _, _, tokens, counts in token_blocks(batch.column("text")):
+                t.text(known(t.p, tokens), counts)
+        if t.seen:
             v = flat(t.p).astype(np.float64) * t.seen
-            if t.seen:
-                yield sums(list(range(PARTS)), [t.seen] * PARTS, [v[i * step : (i + 1) * step].astype(np.float32) for i in range(PARTS)])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list] = {}
-            for batch in batches:
-                for part, weight, raw in zip(batch.column("part").to_pylist(), batch.column("weight").to_pylist(), batch.column("sums"), strict=True):
-                    x = np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64)
-                    if part in held:
-                        held[part][0] += weight
-                        held[part][1] += x
-                    else:
-                        held[part] = [weight, x]
-            yield sums(list(held), [h[0] for h in held.values()], [(h[1] / h[0]).astype(np.float32) for h in held.values()])
-
-        def sums(parts: list[int], weights: list[int], values: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(weights, pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], ["part", "weight", "sums"])
-
-        averaged = written(source.mapInArrow(train, schema).repartition("part").mapInArrow(add, schema), "parameters").collect()  # PARTS rows
-        if averaged:
-            v = flat(p)
-            for row in averaged:
-                v[row.part * step : (row.part + 1) * step] = np.frombuffer(row.sums, np.float32)
-            p = shaped(v)
-        shared.unpersist()
+            for part, i in enumerate(range(0, len(v), PART)):
+                yield sums([part], [t.seen], [v[i : i + PART]])
+
+    averaged = added(docs.select("text").mapInArrow(train, SUMS), "parameters")
+    shared.unpersist()
+    if not averaged:
+        return p
+    v = flat(p)
+    for row in averaged:
+        v[row.part * PART : (row.part + 1) * PART] = np.frombuffer(row.sums, np.float32)
+    return shaped(v, p)
+
+
+def trained(docs: DataFrame) -> Parameters:
+    """Parameters from ``docs``: the driver holds one set of them."""
+    p = with_vocabulary(docs)
+    share = F.pmod(F.xxhash64("text"), F.lit(SHARES * HELD))
+    held, rest = docs.where(share == 0), docs.where(share != 0)
+    old = mean_loss(held, p)
+    if old is None:  # too few texts to hold any out
+        held, rest = docs, docs
+        old = mean_loss(held, p)
+    for r in range(MOST_ROUNDS if old is not None else 0):
+        p = one_round(rest.where(F.pmod(share, F.lit(SHARES)) == r % SHARES), p)
+        new = mean_loss(held, p)
+        if r + 1 >= SHARES and old - new < SETTLED * old:
+            break
+        old = new
     return p
 
 
@@ -209,8 +411,7 @@ def scored(docs: DataFrame, p: Parameters, keep: list[str]) -> DataFrame:
             for a, b, tokens, counts in token_blocks(batch.column("__text")):
                 n[a:b] = counts
                 if len(tokens):
-                    near = windows(tokens, counts)
-                    lp = np.concatenate([log_probabilities(shared.value, tokens[i : i + BATCH], [m[i : i + BATCH] for m in near]) for i in range(0, len(tokens), BATCH)])
+                    lp = block_probabilities(shared.value, tokens, counts)
                     some = np.flatnonzero(counts)
                     total[a + some] = np.add.reduceat(lp, (np.cumsum(counts) - counts)[some])
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)

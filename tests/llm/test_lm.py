@@ -90,3 +90,18 @@ def test_query_against_plain_sum(spark):
             want += float(lm.log_probabilities(p, tokens[i : i + 1], near)[0])
         assert got[r.doc_id].log_likelihood == pytest.approx(want, rel=1e-4)
     assert len(got) == 200
+
+
+def test_rare_words_take_no_frequent_words_probability(spark):
+    """Made-up words, any of whose hashed ids would fall on a trained word, score far below clean text; the vocabulary grows with the corpus."""
+    rng = random.Random(5)
+    clean = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    train = [(i, clean(300)) for i in range(200)]
+    docs = spark.createDataFrame(train, "doc_id long, text string").repartition(2)
+    p = lm.trained(docs)
+    half = lm.with_vocabulary(spark.createDataFrame([(i, t.replace("w2", "v")) for i, t in train[:20]], "doc_id long, text string"))
+    assert len(p["words"]) > 2 * len(half["words"]) > 0 and len(p["vectors"]) == len(p["words"]) + 2
+    junk = lambda n: " ".join("".join(rng.choice("bcdfgqxz") for _ in range(7)) for _ in range(n))
+    held = [(i, clean(100) if i % 2 else junk(100)) for i in range(20)]
+    got = {r.doc_id: r.mean_log_likelihood for r in lm.scored(spark.createDataFrame(held, "doc_id long, text string"), p, ["doc_id"]).collect()}
+    assert max(got[i] for i in range(0, 20, 2)) + 5 < min(got[i] for i in range(1, 20, 2))
