@@ -1,10 +1,12 @@
 """Quality rules with adaptive thresholds.
 
 Every text is measured once. Mergeable quantile sketches (KLL) of each measure
-are kept per (language, source); sketches merge upwards, so a small group takes
-the limits of its language, a small language those of the whole corpus. Limits
-are fences around the quartiles of the group. Documents are then joined with
-the limits of their group and filtered.
+are kept per (language, source), over the documents that pass the base rule (all
+of them where none does); sketches merge upwards. The limits of a group lie
+around its median, as far out as its quartiles or its tail say, and are drawn
+towards those of its language, and these towards the whole corpus, by weights
+that follow the numbers of documents. Documents are then joined with the limits
+of their group and filtered.
 
 Cases: a null text has no words and fails; null languages and sources form
 groups of their own; repeated rows get equal verdicts; a very long text is
@@ -27,12 +29,14 @@ SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 #: Sketch size: a rank error of about 0.1 %.
 SKETCH_K = 2048
-#: Groups with fewer documents take the limits of the next larger group.
+#: A group of so many documents weighs as much as what it is drawn towards.
 GROUP_ROWS = 200
-#: Width of the fence in interquartile ranges.
-FENCE = 6.0
-#: measure -> (sides, least distance of the fence from the median). The distance keeps a group of near-constant values from rejecting small changes.
-MEASURES = {"mean_word": ("both", 3.5), "symbol_rate": ("high", 0.1), "upper_rate": ("high", 0.4), "dup_line_rate": ("high", 0.5), "repeat_rate": ("high", 0.2)}
+#: Width of the fence in interquartile ranges, and in distances of the tail from the median: the larger one holds.
+FENCE, STRETCH = 6.0, 2.0
+#: measure -> (sides, tail quantile, least width). Symbols have junk of up to a tenth beyond the base rule, so their tail starts below it.
+#: The least width is a small change to a text of a group whose values are all alike.
+MEASURES = {"mean_word": ("both", 0.95, 0.25), "symbol_rate": ("high", 0.85, 0.02), "upper_rate": ("high", 0.99, 0.02), "dup_line_rate": ("high", 0.99, 0.05), "repeat_rate": ("high", 0.99, 0.02)}
+ENDS = [f"{m}_{e}" for m, (s, _, _) in MEASURES.items() for e in (("hi", "lo") if s == "both" else ("hi",))]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines"]
 
 
@@ -93,8 +97,13 @@ def rates() -> dict[str, Column]:
 
 def sketches(counts: DataFrame, keys: list[str]) -> DataFrame:
     """One row per group of ``keys``: rows and a sketch of each measure. Partial sketches merge before the shuffle."""
-    r = rates()
-    return counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[F.kll_sketch_agg_double(r[m], F.lit(SKETCH_K)).alias(m) for m in MEASURES])
+    r, good = rates(), ~base_failed()
+    sketch = lambda c: F.kll_sketch_agg_double(c, F.lit(SKETCH_K))
+    both = counts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("all_rows"), F.count_if(good).alias("good_rows"),
+        *[sketch(r[m]).alias(f"all_{m}") for m in MEASURES], *[sketch(F.when(good, r[m])).alias(f"good_{m}") for m in MEASURES],
+    )
+    return both.select(*keys, *[F.when(F.col("good_rows") > 0, F.col(f"good_{c}")).otherwise(F.col(f"all_{c}")).alias(c) for c in ["rows", *MEASURES]])
 
 
 def merged(leaf: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,19 +111,21 @@ def merged(leaf: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketched: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """Limits of each group from its quartiles."""
+    """Limits of each group from its own quantiles, and what set each: quartiles, tail or least."""
     out = []
-    for m, (sides, least) in MEASURES.items():
-        q1, q2, q3 = (F.kll_sketch_get_quantile_double(F.col(m), F.lit(q)) for q in (0.25, 0.5, 0.75))
-        width = F.greatest(FENCE * (q3 - q1), F.lit(least))
-        out.append((q2 + width).alias(f"{tag}_{m}_hi"))
-        if sides == "both":
-            out.append((q2 - width).alias(f"{tag}_{m}_lo"))
+    for m, (sides, tail, least) in MEASURES.items():
+        at = lambda q, m=m: F.kll_sketch_get_quantile_double(F.col(m), F.lit(q))
+        q2, spread = at(0.5), FENCE * (at(0.75) - at(0.25))
+        for end, sign, q in (("hi", 1, tail), ("lo", -1, 1 - tail))[: 2 if sides == "both" else 1]:
+            far = STRETCH * sign * (at(q) - q2)
+            width = F.greatest(spread, far, F.lit(least))
+            by = F.when(spread >= width, "quartiles").when(far >= width, "tail").otherwise("least")
+            out += [(q2 + sign * width).alias(f"{tag}_{m}_{end}"), by.alias(f"{tag}_{m}_{end}_by")]
     return sketched.where("rows > 0").select(*keys, F.col("rows").alias(f"{tag}_rows"), *out)
 
 
 def limits(counts: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Limits per (lang, source): one row each, with the fallbacks resolved."""
+    """Limits per (lang, source), drawn towards the larger groups: one row each, with what in the group's own values set each limit (``_by``)."""
     usable = counts.where("n_words > 0")
     leaf = written(sketches(usable, [lang, source]), "sketches")
     by_lang = merged(leaf, [lang])
@@ -122,9 +133,9 @@ def limits(counts: DataFrame, lang: str = "lang", source: str = "source") -> Dat
     own, mid = fences(leaf, [lang, source], "o"), fences(by_lang, [lang], "l")
     mid = mid.withColumnRenamed(lang, "__lang")
     both = own.join(mid, own[lang].eqNullSafe(mid["__lang"]), "left")
-    ends = [f"{m}_{e}" for m, (s, _) in MEASURES.items() for e in (("hi", "lo") if s == "both" else ("hi",))]
-    pick = [F.when(F.col("o_rows") >= GROUP_ROWS, F.col(f"o_{e}")).when(F.col("l_rows") >= GROUP_ROWS, F.col(f"l_{e}")).otherwise(F.lit(whole[f"w_{e}"] if whole else None)).alias(e) for e in ends]
-    return written(both.select(own[lang], own[source], *pick), "limits")
+    drawn = lambda tag, e, to: (F.col(f"{tag}_rows") * F.col(f"{tag}_{e}") + GROUP_ROWS * to) / (F.col(f"{tag}_rows") + GROUP_ROWS)
+    pick = [drawn("o", e, drawn("l", e, F.lit(whole[f"w_{e}"] if whole else None))).alias(e) for e in ENDS]
+    return written(both.select(own[lang], own[source], *pick, *[F.col(f"o_{e}_by").alias(f"{e}_by") for e in ENDS]), "limits")
 
 
 def judged(counts: DataFrame, lim: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:

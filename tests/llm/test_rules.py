@@ -68,3 +68,24 @@ def test_sketch_limits_follow_the_group(spark):
     df = spark.createDataFrame([(i, "ab " * 10 if i % 2 else "abcdefgh " * 10, "en", "s") for i in range(400)], "doc_id long, text string, lang string, source string")
     lim = rules.limits(rules.written(rules.measured(df, ["doc_id", "lang", "source"]), "m")).first()
     assert lim.mean_word_hi - lim.mean_word_lo == pytest.approx(2 * rules.FENCE * 6)
+
+
+def test_limits_come_from_the_groups_values(spark):
+    """Tails of the groups set the limits, not fixed widths, and repeats below the base rule's line can be rejected."""
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    clean = lambda i: " ".join(words[(i + 7 * k) % 100] for k in range(60))
+    few = " ".join(["the"] * 8 + words[:60])  # 8 of 68 words repeat
+    docs = spark.createDataFrame([(i, clean(i), "en", "s") for i in range(600)] + [(1000, few, "en", "s"), (1001, clean(0).replace(words[7], words[7].upper() + "##"), "en", "s")], "doc_id long, text string, lang string, source string")
+    counts = rules.written(rules.measured(docs, ["doc_id", "lang", "source"]), "m")
+    lim = rules.limits(counts)
+    assert {r.doc_id for r in rules.judged(counts, lim).where("not kept and not base_failed").collect()} == {1000, 1001}
+    loud = spark.createDataFrame([(i, clean(i).replace("a", "A").replace("k", "K") if i % 20 == 0 else clean(i), "en", "s") for i in range(600)], docs.schema)
+    own = rules.limits(rules.written(rules.measured(loud, ["doc_id", "lang", "source"]), "m")).first()
+    assert lim.first().upper_rate_hi_by == "least" and own.upper_rate_hi_by == "tail" and own.upper_rate_hi > lim.first().upper_rate_hi
+
+
+def test_small_groups_are_drawn_towards_their_language(spark):
+    rows = [(i, " ".join(["abcd" if i % 2 else "abc"] * 20), "en", "big") for i in range(400)] + [(i, " ".join(["abcdefgh" if i % 2 else "ab"] * 20), "en", "small") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    lim = {r.source: r.mean_word_hi for r in rules.limits(rules.written(rules.measured(df, ["doc_id", "lang", "source"]), "m")).collect()}
+    assert lim["big"] < lim["small"] < 2 + rules.FENCE * 6
