@@ -6,6 +6,20 @@ _DIGITS, _BASE32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _NIBBLE = f"(instr('{_DIGITS}', substr(h, CAST((5 * i) // 4 + {{}} AS BIGINT), 1)) - 1)"
 _BASE32_OF_H = f"array_to_string(list_transform(range(0, 32), lambda i: substr('{_BASE32}', CAST(((({_NIBBLE.format(1)} * 16 + {_NIBBLE.format(2)}) >> CAST(3 - (5 * i) % 4 AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '')"
 
+_FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _leaf(n: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", f"({n})", "text")) + ")"
+
+
+def _crc(text: str) -> str:
+    """Unsigned crc32 of a text, bit by bit."""
+    bits = "list_reduce(list_prepend({0}, CAST(range(0, 8) AS BIGINT[])), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)"
+    start = f"list_prepend(4294967295, list_transform(range(0, strlen({text})), lambda k: CAST(('0x' || substr(hex({text}), CAST(2 * k + 1 AS BIGINT), 2)) AS BIGINT)))"
+    return f"xor(4294967295, list_reduce({start}, lambda a, b: {bits.format('xor(a, b)')}))"
+
+
 SQL = {
     "op3_warc_index_merge": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), d AS (SELECT page_id, strlen(body) AS n, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS top FROM p)
@@ -24,4 +38,18 @@ c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.
 e AS (SELECT x, y FROM c JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
 {_COMPONENTS}
 SELECT id AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, id = component_id AS kept FROM comp LEFT JOIN n USING (id)""",
+    "op13_postorder_manifest": f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, CASE WHEN {_crc('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_leaf('n_chars + 1')} END AS tampered FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+lv(lang, l, i, n, node) AS (SELECT lang, 0, i, n, leaf FROM r UNION ALL SELECT lang, l + 1, i // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM lv WHERE n > 1 GROUP BY lang, l, i // 2, n),
+subs AS (SELECT lang, l AS h, node AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS i, count(*) OVER () AS n FROM lv WHERE n = 1),
+tp(l, i, n, node) AS (SELECT 0, i, n, subroot FROM subs UNION ALL SELECT l + 1, i // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM tp WHERE n > 1 GROUP BY l, i // 2, n),
+f(doc_id, lang, leaf, i, l, cur, proof) AS (SELECT doc_id, lang, leaf, i, 0, coalesce(tampered, leaf), '' FROM r UNION ALL
+  SELECT f.doc_id, f.lang, f.leaf, f.i // 2, f.l + 1, sha256(CASE WHEN s.node IS NULL THEN cur WHEN f.i % 2 = 1 THEN s.node || cur ELSE cur || s.node END), proof || coalesce(s.node, '')
+  FROM f JOIN subs ON subs.lang IS NOT DISTINCT FROM f.lang AND f.l < subs.h LEFT JOIN lv s ON s.lang IS NOT DISTINCT FROM f.lang AND s.l = f.l AND s.i = xor(f.i, 1)),
+g(doc_id, leaf, subroot, i, l, cur, proof) AS (SELECT f.doc_id, f.leaf, subs.subroot, subs.i, 0, f.cur, f.proof FROM f JOIN subs ON subs.lang IS NOT DISTINCT FROM f.lang AND f.l = subs.h UNION ALL
+  SELECT g.doc_id, g.leaf, g.subroot, g.i // 2, g.l + 1, sha256(CASE WHEN s.node IS NULL THEN cur WHEN g.i % 2 = 1 THEN s.node || cur ELSE cur || s.node END), proof || coalesce(s.node, '')
+  FROM g JOIN (SELECT max(l) AS h FROM tp) ON g.l < h LEFT JOIN tp s ON s.l = g.l AND s.i = xor(g.i, 1)),
+top AS (SELECT node AS root, l AS h FROM tp WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified FROM g JOIN top ON g.l = top.h""",
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofkit.llm import bpe, classifier, hilbert, lm, minhash, packing, rabitq, rules, suffix, warc
+from asofkit.llm import bpe, classifier, hilbert, lm, merkle, minhash, packing, rabitq, rules, suffix, warc
 from asofkit.llm.common import row_keyed, table
 from asofkit.llm.oracles import SQL
 
@@ -89,3 +89,15 @@ def op2_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihood of every document under the network trained on all of them."""
     docs = table(spark, sf_dir, "documents")
     return lm.scored(docs, lm.trained(docs), ["doc_id"])
+
+
+@query
+def op13_postorder_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents; every seventh id (by checksum) is verified against a changed row."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = lambda n: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    rows = docs.select("doc_id", "lang", fields(F.col("n_chars")).alias("leaf"), F.when(changed, fields(F.col("n_chars") + 1)).alias("tampered"))
+    got = merkle.proofs(rows, "lang", ["doc_id"], "leaf")
+    got = got.withColumn("proof_sha256", merkle.proof_digest(F.col("steps"))).withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("steps")))
+    return got.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
