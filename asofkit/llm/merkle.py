@@ -18,8 +18,8 @@ proofs read siblings at computed places without a search.
 Cases: null fields hash as ``-``; a null group is a group of its own that comes
 first; rows with equal order and equal leaf are interchangeable (each is a leaf);
 a group of one row has its leaf as root; an empty table gives no rows; other
-columns of the table are kept by ``proofs`` unless they bear the names that it
-adds, in which case they give way.
+columns are kept by ``proofs``; columns named subroot, root or steps give way to
+its own.
 """
 
 from __future__ import annotations

@@ -20,6 +20,40 @@ def _crc(text: str) -> str:
     return f"xor(4294967295, list_reduce({start}, lambda a, b: {bits.format('xor(a, b)')}))"
 
 
+def _tree(text: str) -> str:
+    """Paragraphs of a text as (hash, phrase hashes)."""
+    lines = f"regexp_extract_all({text}, '[^\\n]*\\n|[^\\n]+')"
+    cut = "list_transform(regexp_extract_all(p, '[^.!?,;:\\n]{1,32}[.!?,;:\\n]*|[.!?,;:\\n]+'), lambda x: sha256(x))"
+    return f"list_transform({lines}, lambda p: {{'h': sha256(array_to_string({cut}, '')), 'x': {cut}}})"
+
+
+_TRIM = "regexp_replace(array_to_string(list_transform({}, lambda p: {} || CASE WHEN p.h < '4' THEN ';' ELSE '|' END), ''), '[;|]$', '')"
+
+
+def _body(tree: str) -> str:
+    return _TRIM.format(tree, "p.h || ':' || array_to_string(list_transform(p.x, lambda y: substr(y, 1, 6)), ',')")
+
+
+def _runs(tree: str) -> str:
+    return f"string_split({_body(tree)}, ';')"
+
+
+def _print(tree: str) -> str:
+    return f"sha256(array_to_string(list_transform(string_split({_TRIM.format(tree, 'p.h')}, ';'), lambda s: sha256(s)), '')) || '=' || {_body(tree)}"
+
+
+def _leaves(tree: str) -> str:
+    return f"list_distinct(flatten(list_transform({tree}, lambda p: list_transform(p.x, lambda y: substr(y, 1, 6)))))"
+
+
+def _like(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
+
+
+def _first(a: str, b: str) -> str:
+    return f"list_position(list_transform(range(1, greatest(len({a}), len({b})) + 1), lambda i: {a}[i] IS NOT DISTINCT FROM {b}[i]), false) - 1"
+
+
 SQL = {
     "op3_warc_index_merge": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), d AS (SELECT page_id, strlen(body) AS n, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS top FROM p)
@@ -52,4 +86,12 @@ g(doc_id, leaf, subroot, i, l, cur, proof) AS (SELECT f.doc_id, f.leaf, subs.sub
   FROM g JOIN (SELECT max(l) AS h FROM tp) ON g.l < h LEFT JOIN tp s ON s.l = g.l AND s.i = xor(g.i, 1)),
 top AS (SELECT node AS root, l AS h FROM tp WHERE n = 1)
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified FROM g JOIN top ON g.l = top.h""",
+    "op12_merkle_fingerprints": f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS nx FROM documents WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT doc_id, text, nx, substr(text, 1, length(text) - length(text) // 3) || substr(nx, 1, length(text) // 3) AS ed FROM t),
+f AS (SELECT *, {_tree('text')} AS a, {_tree('ed')} AS b, {_tree('nx')} AS c FROM e),
+g AS (SELECT *, {_print('a')} AS fingerprint, {_print('b')} AS edited_fingerprint, {_leaves('a')} AS la, {_leaves('b')} AS lb, {_leaves('c')} AS lc, {_runs('a')} AS sa, {_runs('b')} AS sb FROM f),
+h AS (SELECT *, CASE WHEN fingerprint <> edited_fingerprint THEN {_first('sa', 'sb')} END AS edit_section FROM g)
+SELECT doc_id, length(text) AS n_chars, sha256(ed) AS edited_sha256, fingerprint, edited_fingerprint, {_like('la', 'lb')} AS near_edited, {_like('la', 'lc')} AS near_next, edit_section,
+ CASE WHEN edit_section IS NOT NULL THEN {_first("string_split(coalesce(sa[edit_section + 1], ''), '|')", "string_split(coalesce(sb[edit_section + 1], ''), '|')")} END AS edit_paragraph FROM h""",
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofkit.llm import bpe, classifier, hilbert, lm, merkle, minhash, packing, rabitq, rules, suffix, warc
+from asofkit.llm import bpe, classifier, fingerprint, hilbert, lm, merkle, minhash, packing, rabitq, rules, suffix, warc
 from asofkit.llm.common import row_keyed, table
 from asofkit.llm.oracles import SQL
 
@@ -101,3 +101,10 @@ def op13_postorder_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = merkle.proofs(rows, "lang", ["doc_id"], "leaf")
     got = got.withColumn("proof_sha256", merkle.proof_digest(F.col("steps"))).withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("steps")))
     return got.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op12_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edit by the next one, and where the two part."""
+    got = fingerprint.edited(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edit_section", "edit_paragraph")
