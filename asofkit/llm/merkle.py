@@ -27,12 +27,12 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from asofkit.llm.common import fresh, written
-from asofkit.llm.order import placed
+from asofkit.llm.order import ranked
 
 #: Levels of one builder: a run has 1 << BITS leaves.
 BITS = 11
@@ -105,20 +105,6 @@ def proof_digest(steps: Column) -> Column:
     return digest(F.array_join(F.transform(steps, lambda s: F.substring(s, 2, 64)), ""))
 
 
-def ranked(df: DataFrame, tree: str, order: list[Column], rank: str, n: str) -> DataFrame:
-    """``df`` with each row's place within its tree and the tree's size.
-
-    Trees are contiguous in one global order; their bounds come back by (tree,
-    part), so the rows of a hot tree meet them part by part.
-    """
-    place, part, low, size = (fresh(x, [*df.columns, rank, n]) for x in ("place", "part", "low", "size"))
-    lined = placed(df, [F.col(tree).asc_nulls_first(), *order], place, part)
-    bounds = lined.groupBy(tree, part).agg(F.min(place).alias(low), F.count(F.lit(1)).alias(size))
-    w = Window.partitionBy(tree)
-    bounds = bounds.select(tree, part, F.min(low).over(w).alias(low), F.sum(size).over(w).alias(n))
-    return lined.join(bounds, [tree, part]).withColumn(rank, F.col(place) - F.col(low)).drop(place, part, low)
-
-
 LOG = T.StructType([T.StructField("tree", T.StringType()), T.StructField("block", T.LongType()), T.StructField("n", T.LongType()), T.StructField("nodes", T.BinaryType()), T.StructField("root", T.StringType())])
 
 

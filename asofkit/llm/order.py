@@ -25,3 +25,19 @@ def placed(df: DataFrame, by: list[Column], place: str, part: str) -> DataFrame:
     starts = counts.select(part, F.coalesce(F.sum(start).over(before), F.lit(0)).alias(start))
     within = F.col(at).bitwiseAND((1 << 33) - 1)
     return lined.join(F.broadcast(starts), part).withColumn(place, F.col(start) + within).drop(at, start)
+
+
+def ranked(df: DataFrame, group: str, order: list[Column], rank: str, n: str, place: str | None = None) -> DataFrame:
+    """``df`` with each row's ``rank`` within its ``group`` (not null), the group's size and, if named, its global ``place``.
+
+    Groups are contiguous in one global order; their bounds come back by (group,
+    part), so the rows of a hot group meet them part by part.
+    """
+    at = place or fresh("place", [*df.columns, rank, n])
+    part, low, size = (fresh(x, [*df.columns, rank, n, at]) for x in ("part", "low", "size"))
+    lined = placed(df, [F.col(group).asc(), *order], at, part)
+    bounds = lined.groupBy(group, part).agg(F.min(at).alias(low), F.count(F.lit(1)).alias(size))
+    w = Window.partitionBy(group)
+    bounds = bounds.select(group, part, F.min(low).over(w).alias(low), F.sum(size).over(w).alias(n))
+    got = lined.join(bounds, [group, part]).withColumn(rank, F.col(at) - F.col(low)).drop(part, low)
+    return got if place else got.drop(at)

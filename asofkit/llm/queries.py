@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofkit.llm import bpe, classifier, fingerprint, hilbert, lm, merkle, minhash, packing, rabitq, rules, suffix, warc
+from asofkit.llm import bpe, classifier, fingerprint, hilbert, lm, merkle, minhash, packing, rabitq, repair, rules, suffix, warc
 from asofkit.llm.common import row_keyed, table
 from asofkit.llm.oracles import SQL
 
@@ -108,3 +108,10 @@ def op12_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edit by the next one, and where the two part."""
     got = fingerprint.edited(table(spark, sf_dir, "documents"), "doc_id", "text")
     return got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edit_section", "edit_paragraph")
+
+
+@query
+def op11_least_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, their faults and the least of their cheapest repairs."""
+    rows = repair.keyed(table(spark, sf_dir, "conversations"))
+    return repair.repaired(repair.damaged(rows), rows.select("conv", "conv_id").distinct())
