@@ -100,31 +100,36 @@ def changed_branches(old: DataFrame, new: DataFrame, key: str, fingerprint: str)
     return lines.join(known, [key, "line"], "left_anti").select(key, "section", "paragraph")
 
 
-def head_of_next(docs: DataFrame, order: str, text: str, share: int) -> DataFrame:
-    """Each text (key ``file``, ``pos``), its fingerprint, and of the next one in descending ``order``: as many first characters as 1/``share`` of this one.
+def phrases_of(text: Column) -> Column:
+    """The same straight from a text."""
+    cut = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PHRASE), F.lit(0)), lambda x: F.substring(sha(x), 1, 6))
+    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), cut)))
 
-    Only keys, order and lengths are sorted. Texts are shuffled by their key once; a
-    text sends its head and its phrases on to the one before it. After the last comes the first.
+
+def head_of_next(docs: DataFrame, share: int) -> DataFrame:
+    """``docs`` (file, pos, doc_id, text) with as many first characters of the next text in descending id as 1/``share`` of this one, and its phrases.
+
+    Only keys, ids and lengths are sorted. Texts are shuffled by their key, once for
+    both joins (each takes the same four columns); a text sends its head and its
+    phrases on to the one before it. After the last comes the first.
     """
-    size = F.length(text)
-    narrow = docs.select("file", "pos", F.col(order).alias("o"), size.alias("size"), F.xxhash64(text).alias("h"))
-    lined = placed(narrow, [F.col("o").desc_nulls_last(), F.col("h").asc(), F.col("file").asc(), F.col("pos").asc()], "place", "part").select("file", "pos", "size", "place")
+    narrow = docs.select("file", "pos", "doc_id", F.length("text").alias("size"), F.xxhash64("text").alias("h"))
+    lined = placed(narrow, [F.col("doc_id").desc_nulls_last(), F.col("h").asc(), F.col("file").asc(), F.col("pos").asc()], "place", "part").select("file", "pos", "size", "place")
     total = lined.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     take = lined.select(F.pmod(F.col("place") + 1, F.lit(max(total, 1))).alias("place"), F.col("file").alias("to_file"), F.col("pos").alias("to_pos"), F.floor(F.col("size") / share).cast("int").alias("take"))
     sends = lined.select("file", "pos", "place").join(take, "place").drop("place")
-    heads = docs.join(sends, ["file", "pos"]).select(
-        F.col("to_file").alias("file"), F.col("to_pos").alias("pos"), F.substring(F.col(text), F.lit(1), F.col("take")).alias("head"), F.col(order).alias("next_id"), phrases(F.col("fingerprint")).alias("next_phrases")
-    )
+    head = F.substring(F.col("text"), F.lit(1), F.col("take"))
+    heads = docs.join(sends, ["file", "pos"]).select(F.col("to_file").alias("file"), F.col("to_pos").alias("pos"), head.alias("head"), F.col("doc_id").alias("next_id"), phrases_of(F.col("text")).alias("next_phrases"))
     return docs.join(heads, ["file", "pos"])
 
 
 def edited(df: DataFrame, id_: str, text: str, share: int = 3) -> DataFrame:
     """Every text beside its edit (its last 1/``share`` replaced by the head of the next text), with both fingerprints and their likeness."""
     rows = row_keyed(df.select(F.col(f"`{id_}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), "file", "pos").select("file", "pos", "doc_id", "text")
-    rows = head_of_next(with_fingerprint(rows, "text", "fingerprint"), "doc_id", "text", share)
+    rows = head_of_next(rows, share)
     n = F.length("text")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / share)).cast("int")), F.col("head")))
-    rows = with_fingerprint(rows, "edited", "edited_fingerprint")
+    rows = with_fingerprint(with_fingerprint(rows, "text", "fingerprint"), "edited", "edited_fingerprint")
     rows = edited_span(rows.withColumn("own", phrases(F.col("fingerprint"))), "fingerprint", "edited_fingerprint")
     return rows.select(
         "doc_id", n.cast("long").alias("n_chars"), "text", "edited", "fingerprint", "edited_fingerprint",

@@ -87,11 +87,12 @@ g(doc_id, leaf, subroot, i, l, cur, proof) AS (SELECT f.doc_id, f.leaf, subs.sub
 top AS (SELECT node AS root, l AS h FROM tp WHERE n = 1)
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified FROM g JOIN top ON g.l = top.h""",
     "op12_merkle_fingerprints": f"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS nx FROM documents WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-e AS (SELECT doc_id, text, nx, substr(text, 1, length(text) - length(text) // 3) || substr(nx, 1, length(text) // 3) AS ed FROM t),
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS nx,
+  coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM documents WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT doc_id, text, nx, next_id, substr(text, 1, length(text) - length(text) // 3) || substr(nx, 1, length(text) // 3) AS ed FROM t),
 f AS (SELECT *, {_tree('text')} AS a, {_tree('ed')} AS b, {_tree('nx')} AS c FROM e),
 g AS (SELECT *, {_print('a')} AS fingerprint, {_print('b')} AS edited_fingerprint, {_leaves('a')} AS la, {_leaves('b')} AS lb, {_leaves('c')} AS lc, {_runs('a')} AS sa, {_runs('b')} AS sb FROM f),
 h AS (SELECT *, CASE WHEN fingerprint <> edited_fingerprint THEN {_first('sa', 'sb')} END AS edit_section FROM g)
-SELECT doc_id, length(text) AS n_chars, sha256(ed) AS edited_sha256, fingerprint, edited_fingerprint, {_like('la', 'lb')} AS near_edited, {_like('la', 'lc')} AS near_next, edit_section,
+SELECT doc_id, length(text) AS n_chars, sha256(ed) AS edited_sha256, fingerprint, edited_fingerprint, {_like('la', 'lb')} AS near_edited, {_like('la', 'lc')} AS near_next, next_id, edit_section,
  CASE WHEN edit_section IS NOT NULL THEN {_first("string_split(coalesce(sa[edit_section + 1], ''), '|')", "string_split(coalesce(sb[edit_section + 1], ''), '|')")} END AS edit_paragraph FROM h""",
 }

@@ -107,7 +107,7 @@ def op13_postorder_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edit by the next one, and where the two part."""
     got = fingerprint.edited(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edit_section", "edit_paragraph")
+    return got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_id", "edit_section", "edit_paragraph")
 
 
 @query

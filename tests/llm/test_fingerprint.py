@@ -79,7 +79,9 @@ def test_changed_branches_locate_an_edit(spark):
 
 
 def test_native_and_texts_shuffled_once(spark):
-    df = fp.edited(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "doc_id", "text")
+    from asofkit.llm.queries import op12_merkle_fingerprints
+
+    df = op12_merkle_fingerprints(spark, "/root/testdata/sf0.001")
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
