@@ -253,10 +253,10 @@ def after(f: Column, other: Column, _: int) -> Column:
     return F.when(other.isNotNull(), F.transform(other, lambda s: F.get(f, s)))
 
 
-def flawed(rows: DataFrame) -> DataFrame:
-    """Rows (conv, turn, role, text; conv a text that is not null) in order, with their faults.
+def flawed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (conv, turn, role, text; conv a text that is not null) in order, and their faults without the texts.
 
-    The first place of each (conversation, role, text) comes from an aggregation; a row is a repeat if its place is none of those.
+    Texts are sorted once; what follows reads digests, lengths and last letters. The first place of each (conversation, role, text) comes from an aggregation; a row is a repeat if its place is none of those.
     """
     digest = F.sha2("text", 256)
     bare = F.regexp_replace("text", r"[\x20\x09-\x0D]+$", "")
@@ -264,12 +264,12 @@ def flawed(rows: DataFrame) -> DataFrame:
         "conv", "turn", "role", "text", digest.alias("digest"), (F.length(bare) == 0).alias("blank"), (~F.substring(bare, -1, 1).isin(".", "!", "?")).alias("open"),
         F.coalesce(F.element_at(F.create_map(*[F.lit(x) for x in ("s", 1, "u", 2, "a", 3)]), F.substring("role", 1, 1)), F.lit(0)).cast("long").alias("code"),
     )
-    lined = written(ranked(rows, "conv", [F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("digest").asc()], "rank", "n", "place"), "turns")
+    lined = written(ranked(rows, "conv", [F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("digest").asc()], "rank", "n", "place").withColumn("start", F.col("place") - F.col("rank")), "turns")
     firsts = lined.groupBy("conv", "role", "digest").agg(F.min("place").alias("place")).select("place", F.lit(True).alias("first"))
     seen = F.col("first").isNull()
-    lined = lined.join(firsts, "place", "left").withColumn("fault", F.when(F.col("blank"), "blank").when(seen, "duplicate").when(F.col("open"), "truncated"))
-    lined = lined.withColumn("drop", F.coalesce(F.col("fault").isin("blank", "duplicate"), F.lit(False))).withColumn("cut", F.coalesce(F.col("fault") == "truncated", F.lit(False)))
-    return written(lined.withColumn("start", F.col("place") - F.col("rank")).drop("digest", "blank", "open", "first"), "faults")
+    marked = lined.drop("role", "text", "digest").join(firsts, "place", "left").withColumn("fault", F.when(F.col("blank"), "blank").when(seen, "duplicate").when(F.col("open"), "truncated"))
+    marked = marked.withColumn("drop", F.coalesce(F.col("fault").isin("blank", "duplicate"), F.lit(False))).withColumn("cut", F.coalesce(F.col("fault") == "truncated", F.lit(False)))
+    return lined, written(marked.drop("blank", "open", "first"), "faults")
 
 
 def edited(lined: DataFrame, bits: int = BITS) -> DataFrame:
@@ -323,12 +323,13 @@ def digests(pieces: DataFrame) -> DataFrame:
         if state is not None:
             yield row()
 
-    return pieces.select("start", "place", "piece").repartition("start").sortWithinPartitions("start", "place").mapInArrow(hashed, "start long, repaired_sha256 string")
+    narrow = pieces.select("start", "place", "piece")
+    return narrow.repartition("start").sortWithinPartitions("start", "place").mapInArrow(hashed, "start long, repaired_sha256 string")
 
 
-def report(ids: DataFrame, lined: DataFrame, ops: DataFrame, bits: int = BITS) -> DataFrame:
+def report(ids: DataFrame, lined: DataFrame, marked: DataFrame, ops: DataFrame) -> DataFrame:
     """One row per conversation of ``ids`` (conv and others): faults, gaps, cost, audit and digest."""
-    facts = lined.groupBy("conv").agg(
+    facts = marked.groupBy("conv").agg(
         F.min("start").alias("start"), (F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")).alias("gaps"),
         *[F.count(F.when(F.col("fault") == f, 1)).alias(f) for f in ("blank", "duplicate", "truncated")],
     )
@@ -359,5 +360,5 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 def repaired(rows: DataFrame, ids: DataFrame, bits: int = BITS) -> DataFrame:
     """Report over ``rows`` of ``keyed`` form, one row for every conversation of ``ids``."""
-    lined = flawed(rows)
-    return report(ids, lined, edited(lined, bits), bits)
+    lined, marked = flawed(rows)
+    return report(ids, lined, marked, edited(marked, bits))
