@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import mix, row_keyed, slices, views, written
+from asofkit.llm.common import fresh, mix, row_keyed, slices, views, written
 from asofkit.llm.components import Forest, components
 from asofkit.llm.shingles import shingle_sets
 
@@ -201,8 +201,9 @@ def grouped(docs: DataFrame, k: int = 4, share: int = 80) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies (five words, 0.8); documents without words stay."""
-    keyed = row_keyed(docs)
-    kept = grouped(keyed.select(F.col("__file").alias("file"), F.col("__pos").alias("pos"), "doc_id", "text"), 5)
-    dropped = written(kept.where(~F.col("kept")).select(F.col("file").alias("__f"), F.col("pos").alias("__p")), "dropped")
-    return keyed.join(dropped, (keyed["__file"] == dropped["__f"]) & (keyed["__pos"] == dropped["__p"]), "left_anti").select(*docs.columns)
+    """One document of each group of near-copies (five words, 0.8); documents without words stay. Columns of any names stay."""
+    file, pos = fresh("file", docs.columns), fresh("pos", docs.columns)
+    keyed = row_keyed(docs, file, pos)
+    kept = grouped(keyed.select(F.col(file).alias("file"), F.col(pos).alias("pos"), "doc_id", "text"), 5)
+    dropped = written(kept.where(~F.col("kept")).select(F.col("file").alias(file), F.col("pos").alias(pos)), "dropped")
+    return keyed.join(dropped, [file, pos], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -55,7 +55,7 @@ def op6_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copies among all documents: four-word shingles, similarity 0.8."""
     docs = row_keyed(table(spark, sf_dir, "documents"), "file", "pos").select("file", "pos", "doc_id", "text")
-    return minhash.grouped(docs, 4, 80).select("doc_id", "n_shingles", "component_id", "kept")
+    return minhash.grouped(docs, 4, 80).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 @query

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import blocks, mix, row_keyed, slices, views, written
+from asofkit.llm.common import blocks, fresh, mix, row_keyed, slices, views, written
 from asofkit.llm.shingles import BYTE, P, P_INV, powers
 
 LENGTH, GRAM = 200, 32
@@ -375,15 +375,16 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with repeated passages cut out; characters that a cut breaks go, too."""
-    keyed = row_keyed(docs)
-    part = cleaned(keyed.select(F.col("__file").alias("file"), F.col("__pos").alias("pos"), "text"))
+    """Documents with repeated passages cut out; characters that a cut breaks go, too. Columns of any names stay."""
+    file, pos, left = (fresh(n, docs.columns) for n in ("file", "pos", "left"))
+    keyed = row_keyed(docs, file, pos)
+    part = cleaned(keyed.select(F.col(file).alias("file"), F.col(pos).alias("pos"), "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("__f"), b.column("__p"), pa.array([x.as_buffer().to_pybytes().decode(errors="ignore") for x in b.column("kept_bytes")], pa.string())], ["__f", "__p", "__text"])
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("pos"), pa.array([x.as_buffer().to_pybytes().decode(errors="ignore") for x in b.column("kept_bytes")], pa.string())], [file, pos, left])
 
-    cut = written(part.select(F.col("file").alias("__f"), F.col("pos").alias("__p"), "kept_bytes").mapInArrow(run, "__f long, __p long, __text string"), "cut")
-    joined = keyed.join(cut, (keyed["__file"] == cut["__f"]) & (keyed["__pos"] == cut["__p"]), "left")
+    cut = written(part.select("file", "pos", "kept_bytes").mapInArrow(run, f"`{file}` long, `{pos}` long, `{left}` string"), "cut")
     text = next(c for c in docs.columns if c.lower() == "text")
-    return joined.withColumn(text, F.coalesce("__text", text)).select(*docs.columns)
+    joined = keyed.join(cut, [file, pos], "left").withColumn(text, F.coalesce(left, text))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
