@@ -310,19 +310,3 @@ def offset_logistic(cells: DataFrame, keys: Sequence[str], offset: Column, x: Co
     beta = settled(beta.withColumn("move", F.lit(float("inf"))), lambda b: sums(b).select(*keys, (F.col("beta") + move).alias("beta"), F.abs(move).alias("move")))
     se = 1.0 / F.sqrt(F.nullif(F.col("h"), F.lit(0.0)))
     return sums(beta).select(*keys, "beta", se.alias("se"), (F.col("beta") / se).alias("z"))
-
-
-def bin_heads(train: DataFrame, family: str, bin_: str, offset: str, y: str, ridge: float = 1.0) -> DataFrame:
-    """Logit shift per (family, bin) with logit(p_cal) as offset and a ridge toward zero; steps until they settle."""
-    cells = train.groupBy(family, bin_, F.col(offset).alias("__o")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"))
-    cells = cut_lineage(cells)
-    start = cells.groupBy(family, bin_).agg(F.lit(0.0).alias("shift"), F.lit(float("inf")).alias("move"))
-
-    def step(shift: DataFrame) -> DataFrame:
-        mu = P.sigmoid(F.col("__o") + F.col("shift"))
-        s = cells.join(shift.drop("move"), [family, bin_]).groupBy(family, bin_).agg(
-            F.first("shift").alias("shift"), F.sum(F.col("sy") - F.col("n") * mu).alias("g"), F.sum(F.col("n") * mu * (1 - mu)).alias("h"))
-        move = (F.col("g") - ridge * F.col("shift")) / (F.col("h") + ridge)
-        return s.select(family, bin_, (F.col("shift") + move).alias("shift"), F.abs(move).alias("move"))
-
-    return settled(start, step).drop("move")

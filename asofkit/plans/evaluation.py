@@ -430,22 +430,3 @@ def fatigue_offset_logistic(spark, d):
     cells = cells.join(base, ["user_id", "cls"]).groupBy("cls", "b", "f").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"))
     fit = E.offset_logistic(cells, ["cls"], F.log(F.col("b") / (1 - F.col("b"))), F.col("f"), "n", "sy")
     return fit.join(cells.groupBy("cls").agg(F.sum("n").alias("n")), "cls").select("cls", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"), F.round("z", 4).alias("z"), "n")
-
-
-@query("M10")
-def residual_heads(spark, d):
-    """Context-only shifts with logit(p_cal) as offset: fit on the first 75% of days, keep a family only if held-out loss falls."""
-    led = ledger(spark, d)
-    fam = E.platt_maps(led, ["family"], 500)
-    none = fam.limit(0).withColumn("market", F.lit(""))
-    cal = E.calibrated(led, fam, none, "family", "market").withColumn("bin", (F.col("entity") % 7).cast("int")).withColumn("off", P.logit("p_cal"))
-    span = led.groupBy("family").agg(F.min("d").alias("a"), F.max("d").alias("b"))
-    cut = F.date_add("a", F.floor(F.datediff("b", "a") * 0.75).cast("int"))
-    cal = cal.join(span.select("family", cut.alias("cut")), "family")
-    heads = E.bin_heads(cal.filter("d <= cut"), "family", "bin", "off", "y")
-    test = cal.filter("d > cut").join(heads, ["family", "bin"], "left")
-    adj = P.sigmoid(F.col("off") + F.coalesce("shift", F.lit(0.0)))
-    r = test.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.avg(P.log_loss("y", "p_cal")).alias("ll_cal"), F.avg(P.log_loss("y", adj)).alias("ll_head"))
-    return r.select("family", "n", F.round("ll_cal", 6).alias("ll_cal"), F.round("ll_head", 6).alias("ll_head"), (F.col("ll_head") < F.col("ll_cal")).alias("keep"))
-
-
