@@ -174,7 +174,7 @@ def newest_snapshot_at_serve(spark, d):
         "event_id", "match_ts", "snap_value")
 
 
-@query("M1 W1 J3 X21 P9 Q6", f"""
+@query("W1 J3 P9", f"""
 WITH {EV}, {DAILY},
 {panel_sql('daily', 'user_id', ['n'] + EVENT_CLASSES, 30.0, 'slow')}, {panel_sql('daily', 'user_id', ['n'] + EVENT_CLASSES, 3.0, 'fast')},
 j AS (SELECT e.event_id, s.n_d * power(2.0, -date_diff('day', s.d, e.d) / 30.0) AS sn, s.error_d * power(2.0, -date_diff('day', s.d, e.d) / 30.0) AS se,
