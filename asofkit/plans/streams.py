@@ -23,41 +23,68 @@ def _part(day="d"):
 
 def _event_stream(spark, d, df=None, part=None):
     df = events(spark, d) if df is None else df
-    return open_stream(spark, stage(df, _part() if part is None else part, PARTS, "arrivals"), df.schema)
+    arrivals = stage(df, _part() if part is None else part, PARTS, "arrivals")
+    return open_stream(arrivals), arrivals
 
 
+def _delayed():
+    """Arrival number where every twentieth row comes with the last one, whatever its day."""
+    return F.when(F.col("event_id") % 20 == 0, PARTS - 1).otherwise(_part())
+
+
+#: Rows with their arrival; the watermark an arrival meets, from the newest row of those before it; and the last one.
+MARKS = f"""{EV}, p AS (SELECT *, CASE WHEN event_id % 20 = 0 THEN 2 ELSE least(day(d) // 11, 2) END AS part FROM ev),
+wm AS (SELECT a.part, coalesce(date_trunc('millisecond', max(b.ts)) - INTERVAL 3 DAY, TIMESTAMP '1970-01-01') AS wm FROM (SELECT DISTINCT part FROM p) a LEFT JOIN p b ON b.part < a.part GROUP BY 1),
+q AS (SELECT p.*, wm.wm, (SELECT max(ts) FROM p) - INTERVAL 3 DAY AS last_wm FROM p JOIN wm USING (part))"""
+DELAY = "3 days"
+
 @query("ST5 D7", f"WITH {EV}, {CAP}, {ARR_T}, {COMPACT}, {STORE_SEL} SELECT entity, market, line, book, game, open_ts, open_over, open_under, close_ts, close_over, close_under FROM s")
 def stream_capture_store(spark, d):
     c = captures(spark, d).select("entity", "market", F.col("line").cast("double").alias("line"), "book", F.coalesce("game", F.lit(-1)).alias("game"), "ts", "d", "over", "under",
                                   F.col("seq").alias("arr"), (F.col("entity") % 8).alias("slot"))
     path = shared_path(spark, "capture-store")
     keys = ["entity", "market", "line", "book", "game"]
-    drain(_event_stream(spark, d, c), M.capture_merge(path, keys, "slot"), "captures")
+    stream, arrivals = _event_stream(spark, d, c)
+    drain(stream, arrivals, M.capture_merge(path, keys, "slot"), "captures")
     s = spark.read.parquet(path)
     return s.select(*keys[:4], F.when(F.col("game") != -1, F.col("game")).alias("game"), "open_ts", "open_over", "open_under", "close_ts", "close_over", "close_under")
 
 
-@query("ST8", f"WITH {EV} SELECT d, user_id, count(*) AS n, round(sum(value), 4) AS v FROM ev GROUP BY 1, 2")
+@query("ST8", f"WITH {MARKS} SELECT d, user_id, count(*) AS n, round(sum(value), 4) AS v FROM q WHERE d + 1 > wm AND d + 1 <= last_wm GROUP BY 1, 2")
 def stream_daily_counts(spark, d):
-    s = A.daily_counts(_event_stream(spark, d), "ts", ["user_id"], "40 days", {"n": F.count(F.lit(1)), "v": F.sum("value")})
-    return drain_updates(s, "daily", ["d", "user_id"]).select("d", "user_id", "n", F.round("v", 4).alias("v"))
+    """Days are emitted once, when the watermark has passed them; rows that come later than that are left out (and kept by ``stream_late_windows``)."""
+    stream, arrivals = _event_stream(spark, d, part=_delayed())
+    s = A.daily_counts(stream, "ts", ["user_id"], DELAY, {"n": F.count(F.lit(1)), "v": F.sum("value")})
+    return drain_updates(s, arrivals, "daily", ["d", "user_id"], "append").select("d", "user_id", "n", F.round("v", 4).alias("v"))
+
+
+@query("ST8 ST2", f"WITH {MARKS} SELECT d, count(*) AS n, CAST(count(*) FILTER (WHERE d + 1 <= wm) AS BIGINT) AS late FROM q GROUP BY 1")
+def stream_late_windows(spark, d):
+    """Rows per day, and how many of them came behind the watermark of their day."""
+    path = shared_path(spark, "late-windows")
+    stream, arrivals = _event_stream(spark, d, part=_delayed())
+    end = F.date_add("d", 1).cast("timestamp")
+    drain(stream, arrivals, M.late_split(path, F.date_trunc("millisecond", F.col("ts").cast("timestamp")), lambda top: end <= top - F.expr("INTERVAL 3 DAYS")), "late-windows")
+    return spark.read.parquet(f"{path}/rows").groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("late"))
 
 
-@query("ST9", f"""WITH {EV}, w AS (SELECT CAST(unnest(generate_series((SELECT min(d) FROM ev) - 6, (SELECT max(d) FROM ev), INTERVAL 1 DAY)) AS DATE) AS start)
-SELECT w.start, w.start + 7 AS "end", event_type, count(*) AS n FROM w JOIN ev ON ev.d >= w.start AND ev.d < w.start + 7 GROUP BY 1, 2, 3""")
+@query("ST9", f"""WITH {MARKS}, w AS (SELECT CAST(unnest(generate_series((SELECT min(d) FROM ev) - 6, (SELECT max(d) FROM ev), INTERVAL 1 DAY)) AS DATE) AS start)
+SELECT w.start, w.start + 7 AS "end", event_type, count(*) AS n FROM w JOIN q ON q.d >= w.start AND q.d < w.start + 7 WHERE w.start + 7 > wm AND w.start + 7 <= last_wm GROUP BY 1, 2, 3""")
 def stream_sliding_counts(spark, d):
-    s = A.sliding_sums(_event_stream(spark, d), "ts", ["event_type"], "7 days", "1 day", "40 days", {"n": F.count(F.lit(1))})
-    return drain_updates(s, "sliding", ["start", "end", "event_type"])
+    """A late row still counts in those of its windows that the watermark has not passed."""
+    stream, arrivals = _event_stream(spark, d, part=_delayed())
+    s = A.sliding_sums(stream, "ts", ["event_type"], "7 days", "1 day", DELAY, {"n": F.count(F.lit(1))})
+    return drain_updates(s, arrivals, "sliding", ["start", "end", "event_type"], "append")
 
 
-@query("ST10", "SELECT event_id, user_id FROM events")
+@query("ST10", f"WITH {MARKS} SELECT event_id, user_id FROM q WHERE ts > wm")
 def stream_deduplicated(spark, d):
-    """Every second row is delivered again in the next arrival; each key comes out once."""
-    e = events(spark, d)
-    again = e.filter("event_id % 2 = 0").withColumn("part", F.least(_part() + 1, F.lit(PARTS - 1)))
-    twice = e.withColumn("part", _part()).unionByName(again)
-    s = A.deduplicated(_event_stream(spark, d, twice, F.col("part")), "ts", ["event_id"], "40 days")
-    return drain_updates(s, "dedupe", ["event_id"], "append").select("event_id", "user_id")
+    """Every second row is delivered again in the next arrival; each key comes out once, rows behind the watermark not at all."""
+    e = events(spark, d).withColumn("part", _delayed())
+    again = e.filter("event_id % 2 = 0").withColumn("part", F.least(F.col("part") + 1, F.lit(PARTS - 1)))
+    stream, arrivals = _event_stream(spark, d, e.unionByName(again), F.col("part"))
+    s = A.deduplicated(stream, "ts", ["event_id"], DELAY)
+    return drain_updates(s, arrivals, "dedupe", ["event_id"], "append").select("event_id", "user_id")
 
 
 @query("ST11 G5", f"""WITH {EV}, {BETS}, {LEDG}, g AS (SELECT *, CAST(seq % 3 AS INT) AS gen FROM lg), n0 AS (SELECT * FROM g WHERE gen = 0), n1 AS (SELECT * FROM g WHERE gen = 1 AND bet_key NOT IN (SELECT bet_key FROM n0 WHERE outcome = 'win')),
@@ -68,7 +95,8 @@ def stream_ledger_generations(spark, d):
     """Three servings of the ledger; newer generations retire older live rows, settled ones stay."""
     led = _ledger_rows(spark, d).drop("ts")
     path = shared_path(spark, "ledger")
-    drain(_event_stream(spark, d, led, (F.col("seq") % 3).cast("int")), M.ledger_merge(path), "ledger")
+    stream, arrivals = _event_stream(spark, d, led, (F.col("seq") % 3).cast("int"))
+    drain(stream, arrivals, M.ledger_merge(path), "ledger")
     return spark.read.parquet(path).select("seq", "bet_key", "status", "outcome", "stake")
 
 
@@ -88,7 +116,8 @@ def stream_stints(spark, d):
     def each(batch, epoch):
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/e={epoch}")
 
-    drain(stint_stream(_event_stream(spark, d, e)), each, "stints", "update")
+    stream, arrivals = _event_stream(spark, d, e)
+    drain(stint_stream(stream), arrivals, each, "stints", "update")
     s = spark.read.parquet(path)
     closed = s.filter("act_date IS NOT NULL").select("user_id", "place_date", "act_date", "il60", "rehab")
     # an open version counts only if it came with the newest batch that emitted anything for its player
@@ -104,7 +133,8 @@ SELECT user_id, CAST(count(*) FILTER (WHERE hit IS NULL OR (ts, event_id) > hit)
 def stream_negative_cache(spark, d):
     e = events(spark, d).select("user_id", "ts", "d", "event_id", (F.col("event_type") == "purchase").cast("int").alias("got"))
     path = shared_path(spark, "retries")
-    drain(_event_stream(spark, d, e), M.retry_merge(path, "user_id", ["ts", "event_id"], "got"), "retries")
+    stream, arrivals = _event_stream(spark, d, e)
+    drain(stream, arrivals, M.retry_merge(path, "user_id", ["ts", "event_id"], "got"), "retries")
     return spark.read.parquet(path).filter(F.col("v") == PARTS - 1).select("user_id", "misses")
 
 
@@ -112,32 +142,26 @@ def stream_negative_cache(spark, d):
 SELECT event_id, coalesce(p.d < t.top - 3, FALSE) AS late FROM p JOIN t USING (part)""")
 def stream_late_rows(spark, d):
     """Rows that arrive long after their day go to a repair table."""
-    part = F.when(F.col("event_id") % 20 == 0, 2).otherwise(_part())
     path = shared_path(spark, "late")
-    drain(_event_stream(spark, d, None, part), M.late_split(path, "d", 3), "late")
+    stream, arrivals = _event_stream(spark, d, part=_delayed())
+    drain(stream, arrivals, M.late_split(path, F.col("d"), lambda top: F.col("d") < F.date_sub(top, 3)), "late")
     return spark.read.parquet(f"{path}/rows").select("event_id", "late")
 
 
 @query("ST12", f"""WITH {EV} SELECT CAST(least(day(d) // 11, 2) AS INT) AS epoch, event_type, max(d) AS newest, CAST(date_diff('day', max(d), DATE '2024-02-01') AS INT) AS age_days, date_diff('day', max(d), DATE '2024-02-01') > 5 AS stale FROM ev GROUP BY 1, 2""")
 def stream_freshness(spark, d):
     path = shared_path(spark, "freshness")
-    drain(_event_stream(spark, d), M.freshness_watch(path, "d", "2024-02-01", 5, ["event_type"]), "freshness")
+    stream, arrivals = _event_stream(spark, d)
+    drain(stream, arrivals, M.freshness_watch(path, "d", "2024-02-01", 5, ["event_type"]), "freshness")
     return spark.read.parquet(path).select("epoch", "event_type", "newest", "age_days", "stale")
 
 
-@query("ST4", f"""WITH {EV}, r AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 2 DAY THEN 0 ELSE 1 END AS nw FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM r)
-SELECT user_id, count(DISTINCT s) AS sessions, count(*) AS n FROM g GROUP BY 1""")
+@query("ST4", f"""WITH {EV}, r AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 2 DAY THEN 0 ELSE 1 END AS nw FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM r),
+c AS (SELECT user_id, s, count(*) AS n FROM g GROUP BY 1, 2 HAVING max(ts) + INTERVAL 2 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM ev) - INTERVAL 2 DAY)
+SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1""")
 def stream_sessions(spark, d):
-    """Runs of activity with gaps of two days at most, merged across arrivals."""
-    s = A.sessions(_event_stream(spark, d), "ts", ["user_id"], "2 days", "40 days")
-    path = shared_path(spark, "sessions")
-
-    def each(batch, epoch):
-        batch.write.mode("overwrite").parquet(f"{path}/e={epoch}")
-
-    # complete mode keeps every merged session, so the last epoch is the answer
-    drain(s, each, "sessions", "complete")
-    r = spark.read.parquet(path).filter(F.col("e") == PARTS - 1)
+    """Runs of activity with gaps of two days at most, merged across arrivals; a session is emitted once the watermark has passed its end, and its state is dropped."""
+    stream, arrivals = _event_stream(spark, d)
+    s = A.sessions(stream, "ts", ["user_id"], "2 days", "2 days")
+    r = drain_updates(s, arrivals, "sessions", ["user_id", "start"], "append")
     return r.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("n"))
-
-

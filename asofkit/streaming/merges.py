@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -73,18 +73,20 @@ def retry_merge(path: str, key: str, order: list[str], rows: str, limit: int = 3
     return each
 
 
-def late_split(path: str, date: str, horizon_days: int) -> Callable[[DataFrame, int], None]:
-    """On-time rows to ``main``; rows older than the newest earlier day minus the horizon to ``late`` for repair."""
+def late_split(path: str, mark: Column, late: Callable[[Column], Column]) -> Callable[[DataFrame, int], None]:
+    """Every row with its verdict, in a table beside the stream: ``late`` is a test of the row against the highest ``mark`` of earlier batches.
+
+    A stream drops what comes behind its watermark without a word; this keeps those rows for repair.
+    """
 
     def each(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         top = None
         if epoch > 0 and _exists(spark, f"{path}/marks"):
             top = spark.read.parquet(f"{path}/marks").filter(F.col("epoch") < epoch).agg(F.max("top")).scalar()
-        late = F.lit(False) if top is None else F.coalesce(F.col(date) < F.date_sub(top, horizon_days), F.lit(False))
-        tagged = batch.withColumn("late", late)
-        tagged.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
-        batch.agg(F.max(date).alias("top")).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{path}/marks")
+        verdict = F.lit(False) if top is None else F.coalesce(late(top), F.lit(False))
+        batch.withColumn("late", verdict).write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        batch.agg(F.max(mark).alias("top")).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{path}/marks")
 
     return each
 
