@@ -343,24 +343,6 @@ def store_manifest(spark, d):
     return S.manifest(spark, {t: table(spark, d, t) for t in ("region", "orders")}).select("store", "n_rows", "n_columns")
 
 
-@query("G12 P7 J15", f"""WITH {GAMES}, b AS (SELECT game, home, away, CASE WHEN game % 3 = 0 THEN 'moneyline' WHEN game % 3 = 1 THEN 'total runs' ELSE 'team total runs' END AS prop, CASE WHEN game % 2 = 0 THEN 'Over' ELSE 'Under' END AS side, CAST(3 + game % 9 AS DOUBLE) AS line FROM games)
-SELECT b.game, CASE WHEN home_score IS NULL THEN 'open' WHEN prop = 'moneyline' THEN CASE WHEN (home_score > away_score) = (side = 'Over') THEN 'win' ELSE 'lose' END WHEN a = line THEN 'push' WHEN (a > line) = (side = 'Over') THEN 'win' ELSE 'lose' END AS result
-FROM (SELECT b.*, g.home_score, g.away_score, CASE WHEN prop = 'total runs' THEN g.home_score + g.away_score ELSE g.home_score END AS a FROM b JOIN games g ON g.game = b.game) b""")
-def forecast_sheet_settlement(spark, d):
-    """Sheet rows (moneyline, totals, team totals) graded against their final; no final leaves them open."""
-    from asofkit.operators.market import market_outcomes
-
-    g = games(spark, d)
-    k = F.col("game")
-    mk = F.when(k % 3 == 0, "moneyline").when(k % 3 == 1, "total runs").otherwise("team total runs")
-    b = g.select("game", mk.alias("market"), F.when(k % 2 == 0, "Over").otherwise("Under").alias("side"), (3 + k % 9).cast("double").alias("line"), F.lit(-1).cast("long").alias("entity"), F.col("home").alias("team"))
-    cfg = spark.createDataFrame([("moneyline", "side", None), ("total runs", "total", None), ("team total runs", "team", None)], "market string, scope string, stat string")
-    none = b.limit(0).select("game", "entity", F.lit("").alias("stat"), F.lit(0).alias("value"), F.lit(0).alias("started"), F.lit(0).alias("exposure"))
-    r = market_outcomes(b, none, g.filter("home_score IS NOT NULL").select("game", "home", "away", "home_score", "away_score"), cfg)
-    won = (F.col("side") == "Over") == (F.col("y") == 1)
-    return r.select("game", F.when(~F.col("final"), "open").when(F.col("push"), "push").when(won, "win").otherwise("lose").alias("result"))
-
-
 @query("G14", f"""WITH {GAMES}, tg AS (SELECT game, d, season, home AS team, home_score AS rf FROM games WHERE home_score IS NOT NULL UNION ALL SELECT game, d, season, away, away_score FROM games WHERE home_score IS NOT NULL),
 up AS (SELECT DISTINCT team, DATE '2001-07-15' AS d FROM tg) SELECT up.team, count(tg.game) FILTER (WHERE tg.season = 2001) AS games, round(avg(rf) FILTER (WHERE tg.season = 2001), 6) AS rf_mean, CAST(date_diff('day', max(tg.d), up.d) AS INT) AS rest FROM up LEFT JOIN tg ON tg.team = up.team AND tg.d < up.d GROUP BY up.team, up.d""")
 def upcoming_slate_context(spark, d):
