@@ -12,19 +12,12 @@ from asofkit.functions import prob as P
 from asofkit.session import cut_lineage
 
 
-def design(terms: dict[str, Column]) -> Column:
-    """Row of the design: an intercept, then the terms."""
-    return F.array(F.lit(1.0), *[t.cast("double") for t in terms.values()])
+def design(terms: dict[str, str]) -> Column:
+    """Row of the design: an intercept, then the terms (SQL expressions by name)."""
+    return F.array(F.lit(1.0), *[F.expr(t).cast("double") for t in terms.values()])
 
 
-def linear(x: Column, beta: Sequence[float]) -> Column:
-    out = F.lit(0.0)
-    for i, b in enumerate(beta):
-        out = out + F.get(x, i) * F.lit(float(b))
-    return out
-
-
-def fit_logistic(cells: DataFrame, key: str, terms: dict[str, Column], n: str, sy: str, offset: Column | None = None, ridge: float = 0.0, tol: float = 1e-9, limit: int = 50) -> DataFrame:
+def fit_logistic(cells: DataFrame, key: str, terms: dict[str, str], n: str, sy: str, offset: Column | None = None, ridge: float = 0.0, tol: float = 1e-9, limit: int = 50) -> DataFrame:
     """(key, term, beta, se, z, settled) for every key: ``cells`` hold rows folded to (key, terms), their number ``n`` and positives ``sy``.
 
     A step is one aggregation over the cells of k * (k + 3) / 2 sums for all keys. The driver
@@ -71,11 +64,11 @@ def fit_logistic(cells: DataFrame, key: str, terms: dict[str, Column], n: str, s
 def coefficients(fit: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:
     """(key, beta): the estimates of each settled key as an array in the order of the design."""
     order = F.create_map(*[F.lit(x) for i, t in enumerate(["intercept", *terms]) for x in (t, i)])
-    got = fit.filter("settled").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.element_at(order, "term").alias("i"), "beta"))).alias("b"))
+    got = fit.filter("settled").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.element_at(order, F.col("term")).alias("i"), "beta"))).alias("b"))
     return got.select(key, F.transform("b", lambda s: s["beta"]).alias("beta"))
 
 
-def score(df: DataFrame, coefs: DataFrame, key: str, terms: dict[str, Column], out: str, offset: Column | None = None) -> DataFrame:
+def score(df: DataFrame, coefs: DataFrame, key: str, terms: dict[str, str], out: str, offset: Column | None = None) -> DataFrame:
     """``df`` with the probability of its key's fit; null where there is none."""
     eta = (F.lit(0.0) if offset is None else offset) + F.aggregate(F.zip_with(design(terms), F.col("beta"), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
     return df.join(coefs, key, "left").withColumn(out, F.when(F.col("beta").isNotNull(), P.sigmoid(eta))).drop("beta")

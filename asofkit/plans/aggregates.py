@@ -222,15 +222,17 @@ def source_accounting(spark, d):
     return c.groupBy("d").agg(F.count(F.lit(1)).alias("sides"), *[F.count_if(F.col(f"s.{x}")).alias(x) for x in ("contributed", "fully", "topped", "completed")])
 
 
-@query("A22 W2 W4 W17 J4 J5 J9 M12", f"""WITH {PA}, st AS (SELECT pitcher, d, count(*) AS np, sum(qty) AS outs FROM pa GROUP BY 1, 2),
+RISK = f"""{PA}, st AS (SELECT pitcher, d, count(*) AS np, sum(qty) AS outs FROM pa GROUP BY 1, 2),
 rg AS (SELECT *, date_diff('day', lag(d) OVER w, d) AS gap, coalesce(lag(np) OVER w < 2, FALSE)::INT AS ramp, coalesce(lag(outs) OVER w <= 12, FALSE)::INT AS short FROM st WINDOW w AS (PARTITION BY pitcher ORDER BY d)),
 il AS (SELECT l_suppkey AS pitcher, CAST(l_shipdate AS DATE) AS pd FROM lineitem WHERE l_discount >= 0.1 AND l_linenumber = 1 GROUP BY 1, 2),
 fw AS (SELECT rg.*, il.pd FROM rg ASOF LEFT JOIN il ON rg.pitcher = il.pitcher AND rg.d <= il.pd), bw AS (SELECT fw.*, il.pd AS bd FROM fw ASOF LEFT JOIN il ON fw.pitcher = il.pitcher AND fw.d >= il.pd),
-m AS (SELECT *, max(seq) OVER (PARTITION BY game, status) AS ol, max(seq) OVER (PARTITION BY game) AS tl FROM pa), h AS (SELECT *, (seq = ol)::INT AS removed FROM m WHERE NOT (seq = ol AND seq = tl))
-SELECT ramp, short, CASE WHEN removed = 1 THEN CASE WHEN coalesce(date_diff('day', h.d, bw.pd) <= 3, FALSE) THEN 'injury' ELSE 'hook' END ELSE '' END AS cause, coalesce(date_diff('day', bw.bd, h.d) <= 30, FALSE)::INT AS il_ret30, count(*) AS n, CAST(sum(removed) AS BIGINT) AS removed, round(avg(gap), 4) AS mean_gap
-FROM h JOIN bw ON h.pitcher = bw.pitcher AND h.d = bw.d GROUP BY 1, 2, 3, 4""")
-def removal_risk_table(spark, d):
-    """Rows at risk with regime context and a competing-risk cause for each exit."""
+m AS (SELECT *, max(seq) OVER (PARTITION BY game, status) AS ol, max(seq) OVER (PARTITION BY game) AS tl FROM pa), h AS (SELECT *, (seq = ol)::INT AS removed FROM m WHERE NOT (seq = ol AND seq = tl))"""
+CAUSE = "CASE WHEN removed = 1 THEN CASE WHEN coalesce(date_diff('day', h.d, bw.pd) <= 3, FALSE) THEN 'injury' ELSE 'hook' END ELSE '' END"
+RET30 = "coalesce(date_diff('day', bw.bd, h.d) <= 30, FALSE)::INT"
+
+
+def risk_rows(spark, d):
+    """Rows at risk of removal with regime context and the cause of each exit (empty where there is none)."""
     pa = appearances(spark, d)
     st = pa.groupBy("pitcher", "d").agg(F.count(F.lit(1)).alias("np"), F.sum("qty").alias("outs"))
     w = Window.partitionBy("pitcher").orderBy("d")
@@ -243,8 +245,15 @@ def removal_risk_table(spark, d):
     h = h.filter(~((F.col("seq") == F.col("ol")) & (F.col("seq") == F.col("tl")))).withColumn("removed", (F.col("seq") == F.col("ol")).cast("int"))
     j = h.join(rg, ["pitcher", "d"])
     cause = F.when(F.col("removed") == 1, F.when(F.col("placed").isNotNull(), "injury").otherwise("hook")).otherwise("")
-    return j.groupBy("ramp", "short", cause.alias("cause"), flag(F.datediff("d", "act") <= 30).alias("il_ret30")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("removed").alias("removed"), F.round(F.avg("gap"), 4).alias("mean_gap"))
+    return j.withColumn("cause", cause).withColumn("il_ret30", flag(F.datediff("d", "act") <= 30))
+
+
+@query("A22 W2 W4 W17 J4 J5 J9", f"""WITH {RISK}
+SELECT ramp, short, CASE WHEN removed = 1 THEN CASE WHEN coalesce(date_diff('day', h.d, bw.pd) <= 3, FALSE) THEN 'injury' ELSE 'hook' END ELSE '' END AS cause, coalesce(date_diff('day', bw.bd, h.d) <= 30, FALSE)::INT AS il_ret30, count(*) AS n, CAST(sum(removed) AS BIGINT) AS removed, round(avg(gap), 4) AS mean_gap
+FROM h JOIN bw ON h.pitcher = bw.pitcher AND h.d = bw.d GROUP BY 1, 2, 3, 4""")
+def removal_risk_table(spark, d):
+    """Rows at risk with regime context and a competing-risk cause for each exit."""
+    return risk_rows(spark, d).groupBy("ramp", "short", "cause", "il_ret30").agg(F.count(F.lit(1)).alias("n"), F.sum("removed").alias("removed"), F.round(F.avg("gap"), 4).alias("mean_gap"))
 
 
 @query("M15 P6 J1", f"""WITH {EV}, lines AS (SELECT unnest([0.5, 1.5, 2.5]) AS line), box AS (SELECT user_id, d, count(*) AS h, count(*) FILTER (WHERE event_type = 'click') AS c FROM ev GROUP BY 1, 2),

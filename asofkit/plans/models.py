@@ -59,7 +59,7 @@ def bagged_forest(spark, d):
                                    F.round(F.avg(V.vector_log_loss("p", F.col("y") + 1)), 5).alias("ll"))
 
 
-@query("M8 M12 M5")
+@query("M8 M5")
 def walk_forward(spark, d):
     """Rolling origin: train, calibrate with a Platt map, score; honest folds pooled by exposure."""
     from asofkit.operators import evaluation as E
@@ -92,16 +92,6 @@ def anchored_attempts(spark, d):
     return a.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 5).alias("p_model"), F.round(F.avg("p_anchored"), 5).alias("p_anchored"), F.round(F.avg("hi"), 5).alias("truth"))
 
 
-@query("M13 J2")
-def advance_tilt(spark, d):
-    """Coefficient of a prior-season trait with situation controls."""
-    r = training_rows(spark, d).fillna({"prior": 0.33}).withColumn("late", (F.col("seq") >= 5).cast("double"))
-    m = M.fit_classifier(r, ["prior", "late", "qty"], "open", "binary", maxIter=ITERS)
-    coef = m.stages[-1].coefficients
-    n = r.agg(F.count(F.lit(1)).alias("n"))
-    return n.select("n", *[F.lit(round(float(c), 6)).alias(f"b_{f}") for f, c in zip(("prior", "late", "qty"), coef)])
-
-
 @query("M2")
 def boosted_labels(spark, d):
     """Binary boosted trees on document features against the quality label."""
