@@ -227,10 +227,10 @@ def settled(start: DataFrame, step, tol: float = TOL, limit: int = LIMIT) -> Dat
 
 
 def logistic_fits(cells: DataFrame, keys: Sequence[str], z: str, n: str, sy: str, a0: float = 0.0, b0: float = 1.0,
-                  start: DataFrame | None = None) -> DataFrame:
+                  start: DataFrame | None = None, keep_unsettled: bool = False) -> DataFrame:
     """Two-parameter logistic fit per key by Newton steps; each step is one grouped aggregate of five sums
     for all keys at once. ``cells`` is pre-folded: rows (keys, z) with weight n and positives sy.
-    Keys whose steps do not settle (separable data) are left out.
+    Keys whose steps do not settle (separable data) are left out, or kept with their last values and ``settled`` false.
     """
     keys = list(keys)
     cells = cut_lineage(cells)
@@ -250,7 +250,8 @@ def logistic_fits(cells: DataFrame, keys: Sequence[str], z: str, n: str, sy: str
         return s.select(*keys, (F.col("a") + da).alias("a"), (F.col("b") + db).alias("b"), F.greatest(F.abs(da), F.abs(db)).alias("move"))
 
     fit = settled(coef.withColumn("move", F.lit(float("inf"))), step)
-    return fit.filter(F.col("move") < 1e-6).drop("move")
+    ok = F.coalesce(F.col("move") < 1e-6, F.lit(False))
+    return fit.withColumn("settled", ok).drop("move") if keep_unsettled else fit.filter(ok).drop("move")
 
 
 def platt_maps(led: DataFrame, keys: Sequence[str], min_n: int) -> DataFrame:

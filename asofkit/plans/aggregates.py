@@ -256,7 +256,7 @@ def removal_risk_table(spark, d):
     return risk_rows(spark, d).groupBy("ramp", "short", "cause", "il_ret30").agg(F.count(F.lit(1)).alias("n"), F.sum("removed").alias("removed"), F.round(F.avg("gap"), 4).alias("mean_gap"))
 
 
-@query("M15 P6 J1", f"""WITH {EV}, lines AS (SELECT unnest([0.5, 1.5, 2.5]) AS line), box AS (SELECT user_id, d, count(*) AS h, count(*) FILTER (WHERE event_type = 'click') AS c FROM ev GROUP BY 1, 2),
+@query("J1", f"""WITH {EV}, lines AS (SELECT unnest([0.5, 1.5, 2.5]) AS line), box AS (SELECT user_id, d, count(*) AS h, count(*) FILTER (WHERE event_type = 'click') AS c FROM ev GROUP BY 1, 2),
 hist AS (SELECT user_id, d, sum(h) OVER w AS ph, count(*) OVER w AS pn, sum((h > 0.5)::INT) OVER w AS g1, sum((h > 1.5)::INT) OVER w AS g2, sum((h > 2.5)::INT) OVER w AS g3, h FROM box WINDOW w AS (PARTITION BY user_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT user_id, d, 'H > ' || CAST(line AS VARCHAR) AS market, round((coalesce(CASE line WHEN 0.5 THEN g1 WHEN 1.5 THEN g2 ELSE g3 END, 0) + 2.0) / (pn + 4.0), 6) AS p, (h > line)::INT AS y FROM hist, lines""")
 def replay_ledger(spark, d):

@@ -338,14 +338,14 @@ def composite(led, reps):
     cells = led.groupBy("family", "d", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).join(w, ["family", "d"])
     cells = cut_lineage(cells.groupBy("family", "rep", "p").agg(ws("pos").alias("pos"), ws("neg").alias("neg")))
     k = ["family", "rep"]
-    fit = E.logistic_fits(cells.select(*k, P.logit("p").alias("z"), (F.col("pos") + F.col("neg")).alias("n"), F.col("pos").alias("sy")), k, "z", "n", "sy")
+    fit = E.logistic_fits(cells.select(*k, P.logit("p").alias("z"), (F.col("pos") + F.col("neg")).alias("n"), F.col("pos").alias("sy")), k, "z", "n", "sy", keep_unsettled=True)
     j = s.join(E.auc(cells, k), k).join(E.weighted_ece(cells, k), k).join(fit, k)
     base = F.col("sy") / F.col("n")
     ent = P.entropy2(base)
     rel = 100 * (ent - F.col("nll") / F.col("n")) / ent
     lift = P.odds_ratio_lift((F.col("ky") / F.col("kn")) / base, base)
     score = P.composite_score(rel, F.col("auc"), F.col("ece") / (base * (1 - base)), F.col("b"), lift, F.lit(None).cast("double"))
-    return j.select(*k, score.alias("score"))
+    return j.select(*k, score.alias("score"), "settled")
 
 
 def _composite_sql() -> str:
@@ -365,15 +365,16 @@ cells AS (SELECT family, rep, {logit_sql('p')} AS z, pos + neg AS n, pos AS sy F
 q AS (SELECT s.family, s.rep, s.sy * 1.0 / s.n AS base, s.nll / s.n AS ll, (s.ky * 1.0 / s.kn) AS top, auc, ece, b AS slope FROM s JOIN au USING (family, rep) JOIN ec USING (family, rep) JOIN c{NIT} USING (family, rep)),
 e AS (SELECT *, -(base * ln(base) + (1 - base) * ln(1 - base)) AS ent, (least(top, 1 - 1e-6) / (1 - least(top, 1 - 1e-6))) / (base / (1 - base)) AS orl FROM q),
 sc AS (SELECT family, rep, 100 * (0.4 * {un('100 * (ent - ll) / ent / 8.0')} + 0.2 * {un('(auc - 0.5) / 0.2')} + 0.2 * (0.5 * {un('1 - (ece / (base * (1 - base))) / 0.1')} + 0.5 * {un('1 - abs(slope - 1) / 0.5')}) + 0.1 * {un('(orl - 1) / 1.5')}) / 0.9 AS score FROM e)
-SELECT family, round(avg(score), 4) AS score_mean, round(quantile_cont(score, 0.10), 4) AS score_lo,
+SELECT family, round(avg(score), 4) AS score_mean, round(quantile_cont(score, 0.10), 4) AS score_lo, count(*) AS replicates, CAST(0 AS BIGINT) AS unsettled,
  CASE WHEN quantile_cont(score, 0.10) >= 72 THEN '1 ELITE' WHEN quantile_cont(score, 0.10) >= 60 THEN '2 STRONG' WHEN quantile_cont(score, 0.10) >= 48 THEN '3 SOLID' WHEN quantile_cont(score, 0.10) >= 44 THEN '4 DECENT' WHEN quantile_cont(score, 0.10) >= 41 THEN '5 LOW CEILING' ELSE '6 AVOID' END AS tier FROM sc GROUP BY 1"""
 
 
 @query("A45 U5 A28 A29", _composite_sql())
 def composite_score_tiers(spark, d):
     """Score lower bound under day reweighting and the tier it earns."""
-    sc = composite(ledger(spark, d), CREPS).groupBy("family").agg(F.avg("score").alias("score_mean"), F.percentile("score", F.lit(0.10)).alias("score_lo"))
-    return sc.select("family", F.round("score_mean", 4).alias("score_mean"), F.round("score_lo", 4).alias("score_lo"), P.tier_of("score_lo").alias("tier"))
+    sc = composite(ledger(spark, d), CREPS).groupBy("family").agg(F.avg("score").alias("score_mean"), F.percentile("score", F.lit(0.10)).alias("score_lo"),
+                                                               F.count(F.lit(1)).alias("replicates"), F.count_if(~F.col("settled")).alias("unsettled"))
+    return sc.select("family", F.round("score_mean", 4).alias("score_mean"), F.round("score_lo", 4).alias("score_lo"), "replicates", "unsettled", P.tier_of("score_lo").alias("tier"))
 
 
 def _baseline_sql() -> str:

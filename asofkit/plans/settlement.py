@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from asofkit.functions.labels import BATTER_EVENTS
+from asofkit.operators.ledger import BATTER_FAMILY, PITCHER_FAMILY, graded, priced
 from asofkit.operators.settlement import settle_sheet
 from asofkit.plans._roles import GAMES, PA, appearances, games
 from asofkit.registry import query
 
 PROPS = ("HR o{}", "hits o{}", "total bases o{}", "RBIs o{}", "runs o{}", "singles o{}", "doubles o{}", "walks o{}", "stolen bases o{}", "H+R+RBI o{}",
          "pitcher strikeouts o{}", "pitcher outs o{}", "pitcher hits allowed o{}", "pitcher walks o{}", "pitcher earned runs o{}", "moneyline", "total runs", "team total runs", "pitcher quality starts o{}")
-BAT = {"h": "qty > 10", "b2": "qty > 25 AND qty <= 35", "b3": "qty > 35 AND qty <= 40", "hr": "qty > 40", "r": "disc >= 0.05", "rbi": "price > 40000", "bb": "label = 'cN'", "sb": "tax >= 0.06"}
+BAT = {"h": "qty > 10", "b2": "qty > 25 AND qty <= 35", "b3": "qty > 35 AND qty <= 40", "hr": "qty > 40", "r": "disc >= 0.05", "rbi": "price > 40000", "bb": "label = 'cN'", "sb": "tax >= 0.06", "so": "status = 'O'", "pa": "qty > 2"}
 PIT = {"so": "status = 'O'", "outs": "qty > 20", "h": "qty > 30", "bb": "label = 'cN'", "er": "disc >= 0.08"}
 SLATE = """sl AS (SELECT game, d, 'T' || CAST(away % 5 + 5 AS VARCHAR) || '@T' || CAST(home % 5 AS VARCHAR) AS matchup, 'T' || CAST(home % 5 AS VARCHAR) AS home, 'T' || CAST(away % 5 + 5 AS VARCHAR) AS away, home_score, away_score FROM games),
 ord AS (SELECT *, CAST(row_number() OVER (PARTITION BY d, matchup ORDER BY game) AS INT) AS g FROM sl)"""
@@ -92,3 +94,37 @@ def settlement_by_label(spark, d):
     stem = F.regexp_replace("prop", r" o[0-9.]+$", "")
     place = F.create_map(*[F.lit(x) for i, p in enumerate(PROPS) for x in (p.replace(" o{}", ""), i)])
     return got.groupBy(F.element_at(place, stem).alias("label"), "result").agg(F.count(F.lit(1)).alias("n"))
+
+
+LINES = {"pk": (0.5, 1.5), "pout": (0.5, 1.5), "pha": (0.5, 1.5), "pbb": (0.5,), "per": (0.5,), "tot": (6.5, 8.5, 10.5), "tt": (2.5, 4.5)}
+
+
+def _graded_sql() -> str:
+    bat = ", ".join(f"{{'family': '{BATTER_FAMILY[m]}', 'market': '{m}', 'y': ({e})::INT, 'who': CAST(entity AS VARCHAR)}}" for m, e in BATTER_EVENTS.items())
+    pit = ", ".join(f"{{'family': '{f}', 'market': '{lab} > {x}', 'y': ({st} > {x})::INT, 'who': CAST(entity AS VARCHAR)}}" for f, (lab, st) in PITCHER_FAMILY.items() for x in LINES[f])
+    game = ["{'family': 'ml', 'market': 'home ML', 'y': (home_score > away_score)::INT, 'who': home}"]
+    game += [f"{{'family': 'tot', 'market': 'Runs > {x}', 'y': (home_score + away_score > {x})::INT, 'who': home}}" for x in LINES["tot"]]
+    game += [f"{{'family': 'tt', 'market': '{s} Runs > {x}', 'y': ({s.lower()}_score > {x})::INT, 'who': {s.lower()}}}" for s in ("Away", "Home") for x in LINES["tt"]]
+    return f"""{SHEET}, g0 AS (SELECT game, d, unnest([{bat}]) AS r FROM bat WHERE pa > 0 UNION ALL SELECT game, d, unnest([{pit}]) FROM pit WHERE started = 1 UNION ALL SELECT game, d, unnest([{', '.join(game)}]) FROM sl WHERE home_score IS NOT NULL AND away_score IS NOT NULL),
+gl AS (SELECT game, d, r.family AS family, r.market AS market, r.who AS who, r.y AS y FROM g0),
+dy AS (SELECT market, who, d, count(*) AS n, sum(y) AS s FROM gl GROUP BY 1, 2, 3), ow AS (SELECT *, coalesce(sum(n) OVER w, 0) AS no, coalesce(sum(s) OVER w, 0) AS so FROM dy WINDOW w AS (PARTITION BY market, who ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+le AS (SELECT *, coalesce(sum(n) OVER w, 0) AS na, coalesce(sum(s) OVER w, 0) AS sa FROM (SELECT market, d, sum(n) AS n, sum(s) AS s FROM dy GROUP BY 1, 2) WINDOW w AS (PARTITION BY market ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lp AS (SELECT gl.*, (ow.so + 20.0 * ((le.sa + 1.0) / (le.na + 2.0))) / (ow.no + 20.0) AS p FROM gl JOIN ow USING (market, who, d) JOIN le USING (market, d))"""
+
+
+def graded_rows(spark, d):
+    bat, pit = boxes(spark, d)
+    return priced(graded(bat, pit, slate(spark, d), LINES))
+
+
+@query("M15 P6 J1", f"WITH {_graded_sql()} SELECT family, market, who, count(*) AS n, CAST(sum(y) AS BIGINT) AS hits, round(sum(p), 6) AS expected FROM lp GROUP BY 1, 2, 3")
+def graded_ledger(spark, d):
+    """Every market of every box line graded against a price as of its day; void lines give no row."""
+    return graded_rows(spark, d).groupBy("family", "market", "who").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits"), F.round(F.sum("p"), 6).alias("expected"))
+
+
+@query("M15 P6 A27", f"WITH {_graded_sql()} SELECT family, market, count(*) AS n, round(avg(y), 6) AS base, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS ll FROM lp GROUP BY 1, 2")
+def graded_ledger_loss(spark, d):
+    """Loss of the as-of prices by market, over the whole ledger."""
+    r = graded_rows(spark, d).groupBy("family", "market").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("base"), F.avg(-(F.col("y") * F.log("p") + (1 - F.col("y")) * F.log(1 - F.col("p")))).alias("ll"))
+    return r.select("family", "market", "n", F.round("base", 6).alias("base"), F.round("ll", 6).alias("ll"))

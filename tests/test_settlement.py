@@ -44,3 +44,19 @@ def test_double_headers_wait_until_the_finals_cover_the_day(spark):
     assert settled(spark, [row(1), row(2)], two) == ["lose", "win"]
     assert settled(spark, [row(None)], two) == ["open"]
     assert settled(spark, [row(None)], one) == ["lose"]
+
+
+def test_ledger_voids_what_has_no_answer(spark):
+    from asofkit.operators.ledger import graded, priced
+
+    bat = spark.createDataFrame([(1, D, 7, 4, 2, 1, 0, 0, 3, 1, 2, 1, 0, 1), (1, D, 6, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)], "game long, d date, entity long, pa long, h long, b2 long, b3 long, hr long, tb long, r long, rbi long, bb long, sb long, so long")
+    pit = spark.createDataFrame([(1, D, 9, 1, 6, 17, 5, 2, 3), (1, D, 8, 0, 2, 3, 1, 0, 0)], PIT)
+    fin = spark.createDataFrame([(1, D, "B", "A", 5, 3), (2, D, "B", "A", None, None)], "game long, d date, home string, away string, home_score int, away_score int")
+    lines = {"pk": (5.5, 6.0), "pout": (16.5,), "pha": (4.5,), "pbb": (2.5,), "per": (2.5,), "tot": (7.5,), "tt": (3.5,)}
+    got = {(r.who, r.market): r.y for r in graded(bat, pit, fin, lines).collect()}
+    assert len(got) == 21 + 6 + 4 and not {w for w, _ in got} & {"6", "8"}
+    assert [got[("7", m)] for m in ("HR", "2+ Hits", "Single", "3+ TB", "H+R+RBI 4+", "SB", "K", "2+ K")] == [0, 1, 1, 1, 1, 0, 1, 0]
+    assert [got[("9", m)] for m in ("K > 5.5", "K > 6.0", "Outs > 16.5", "BB > 2.5", "ER > 2.5")] == [1, 0, 1, 0, 1]
+    assert [got[("B", m)] for m in ("home ML", "Runs > 7.5", "Home Runs > 3.5")] == [1, 1, 1] and got[("A", "Away Runs > 3.5")] == 0
+    p = {(r.d, r.who): r.p for r in priced(spark.createDataFrame([("m", "a", D, 1), ("m", "b", D, 0), ("m", "a", dt.date(2024, 6, 2), 1)], "market string, who string, d date, y int")).collect()}
+    assert p[(D, "a")] == 0.5 and p[(dt.date(2024, 6, 2), "a")] == (1 + 20 * 0.5) / 21
