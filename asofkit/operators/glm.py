@@ -17,7 +17,7 @@ def design(terms: dict[str, str]) -> Column:
     return F.array(F.lit(1.0), *[F.expr(t).cast("double") for t in terms.values()])
 
 
-def fit_logistic(cells: DataFrame, key: str, terms: dict[str, str], n: str, sy: str, offset: Column | None = None, ridge: float = 0.0, tol: float = 1e-9, limit: int = 50) -> DataFrame:
+def fit_logistic(cells: DataFrame, key: str, terms: dict[str, str], n: str, sy: str, offset: Column | None = None, ridge: float = 0.0, tol: float = 1e-9, limit: int = 25) -> DataFrame:
     """(key, term, beta, se, z, settled) for every key: ``cells`` hold rows folded to (key, terms), their number ``n`` and positives ``sy``.
 
     A step is one aggregation over the cells of k * (k + 3) / 2 sums for all keys. The driver

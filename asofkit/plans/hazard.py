@@ -31,7 +31,8 @@ def glm_sql(cells: str, key: str, terms: list[str], steps: int) -> str:
             last = f"e{s}_{p}"
         out.append(f"n{s + 1} AS (SELECT {key}, {', '.join(f'b{i} + g{i} AS b{i}' for i in range(k))} FROM {last})")
     names = ["intercept", *terms]
-    pick = " UNION ALL ".join(f"SELECT f.{key}, '{t}' AS term, f.b{i} AS beta, sqrt(e.v{i}_{i}) AS se FROM n{steps - 1} f JOIN e{steps - 1}_{k - 1} e ON f.{key} = e.{key}" for i, t in enumerate(names))
+    small = "greatest(" + ", ".join(f"abs(e.g{i})" for i in range(k)) + ") < 1e-6"  # keys whose last step has settled
+    pick = " UNION ALL ".join(f"SELECT f.{key}, '{t}' AS term, f.b{i} AS beta, sqrt(e.v{i}_{i}) AS se FROM n{steps - 1} f JOIN e{steps - 1}_{k - 1} e ON f.{key} = e.{key} WHERE {small}" for i, t in enumerate(names))
     return ",\n".join(out) + f",\nfit AS (SELECT {key}, term, beta, se, beta / se AS z FROM ({pick}))"
 
 
