@@ -10,6 +10,7 @@ from asofkit.operators import glm as G
 from asofkit.plans._roles import LABELS, PA, appearances
 from asofkit.plans.aggregates import CAUSE, RET30, RISK, risk_rows
 from asofkit.registry import query
+from asofkit.session import cut_lineage
 
 
 def glm_sql(cells: str, key: str, terms: list[str], steps: int) -> str:
@@ -71,6 +72,7 @@ def removal_hazard(spark, d):
     scored = G.score(cells, G.coefficients(fit, "cause", list(HAZARD)), "cause", HAZARD, "p")
     wide = scored.groupBy("season", *HAZARD).agg(F.max("n").alias("n"), F.sum("sy").alias("sy"), *[F.max(F.when(F.col("cause") == c, F.col("p"))).alias(f"p_{c}") for c in CAUSES])
     wide = wide.withColumn("p", P.clip(F.col("p_hook") + F.col("p_injury"), 1e-6, 1 - 1e-6)).withColumn("one", F.lit("all"))
+    wide = cut_lineage(wide)  # a row per cell of covariates, read three times
     cal = wide.filter(F.col("season") == CALIBRATE).groupBy("one", P.logit("p").alias("z")).agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"))
     size = cal.groupBy("one").agg(F.sum("n").alias("cal_n"), F.sum("sy").alias("cal_sy"))
     # the rule of the maps: rows enough, both outcomes and a positive slope, else identity
@@ -114,7 +116,7 @@ def attempt_state_deltas(spark, d):
     """Logit deltas of the states off the serving baseline (one out, close), and the shift of each era's level to its truth."""
     flag = lambda c: F.expr(c).cast("int")
     r = appearances(spark, d).filter("season < 2000").select(F.lit("attempt").alias("k"), F.expr("CASE WHEN season < 1997 THEN 'before' ELSE 'after' END").alias("era"), (F.col("seq") % 3).alias("outs"), flag("seq % 3 = 1").alias("outs1"), flag("status = 'O'").alias("close"), flag("price > 50000").alias("y"))
-    cells = r.groupBy("k", "era", *STATES).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"))
+    cells = cut_lineage(r.groupBy("k", "era", *STATES).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy")))  # few cells, read twice
     fit = G.fit_logistic(cells.groupBy("k", *STATES).agg(F.sum("n").alias("n"), F.sum("sy").alias("sy")), "k", STATES, "n", "sy")
     at = lambda t: F.max(F.when(F.col("term") == t, F.col("beta")))
     w = fit.agg((-at("outs") - at("outs1")).alias("outs0"), (at("outs") - at("outs1")).alias("outs2"), (-at("close")).alias("far"))
