@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from asofkit.operators import aggs as A
+from asofkit.operators import choice as C
 from asofkit.operators.asof import asof_join
 from asofkit.operators.scan import Index, group_totals, ordered_scan
-from asofkit.operators.windows import trailing_sums
 from asofkit.plans._roles import EV, GAMES, PA, PA_ORD, PA_ORDER, appearances, events, games, table
 from asofkit.plans.evaluation import r6
 from asofkit.registry import query
+from asofkit.session import cut_lineage
 
 # measure -> (value, condition) in Spark SQL, shared with the oracle text
 MEASURES = {
@@ -111,28 +112,32 @@ def conditional_offsets(spark, d):
                       F.round(b.select("b1").scalar(), 4).alias("b1"), b.select("n").scalar().alias("n_entities"))
 
 
-@query("A20", f"""WITH {PA}, day AS (SELECT s_nationkey AS team, pitcher, d, count(*) AS np, sum(qty) AS q FROM pa JOIN supplier ON pitcher = s_suppkey GROUP BY 1, 2, 3),
-f AS (SELECT team, d, arg_min(pitcher, (first_seq, pitcher)) AS chosen, min(first_seq) AS fs FROM (SELECT s_nationkey AS team, d, pitcher, min((seq, game)) AS first_seq FROM pa JOIN supplier ON pitcher = s_suppkey GROUP BY 1, 2, 3) GROUP BY 1, 2),
-c AS (SELECT f.team, f.d, day.pitcher, any_value(chosen) AS chosen, sum(day.np) FILTER (WHERE day.d < f.d AND day.d >= f.d - 30) AS n30, sum(day.q) FILTER (WHERE day.d < f.d AND day.d >= f.d - 365) AS q365 FROM f JOIN day ON f.team = day.team AND day.d < f.d AND day.d >= f.d - 365 GROUP BY 1, 2, 3),
-e AS (SELECT * FROM (SELECT *, CASE WHEN day(d) % 2 = 0 THEN 'hi' ELSE 'lo' END AS ctx, row_number() OVER (PARTITION BY team, d ORDER BY n30 DESC, pitcher) AS ru FROM c WHERE n30 > 0) WHERE ru <= 8),
-r AS (SELECT *, row_number() OVER (PARTITION BY team, d ORDER BY CASE WHEN ctx = 'hi' THEN -n30 ELSE -q365 END, pitcher) AS rank FROM e), n AS (SELECT ctx, rank, count(*) AS n FROM r WHERE pitcher = chosen GROUP BY 1, 2)
+@query("A20", f"""WITH {PA}, x AS (SELECT n_regionkey AS team, pitcher, d, game, seq, CAST(qty AS INT) AS np, (label = 'cA')::INT AS sv, (label = 'cR')::INT AS hld, CAST(qty AS INT) % 4 AS o,
+ CAST(qty AS INT) % 9 >= 6 AND abs(CAST(round(disc * 100) AS INT) - 5) <= 2 AS hi FROM pa JOIN supplier ON pitcher = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+u AS (SELECT team, pitcher, d, count(*) AS n, sum(np) AS np, sum(sv) AS sv, sum(hld) AS hld, sum(o) AS o, min((seq, game, hi)) AS f FROM x GROUP BY 1, 2, 3),
+ch AS (SELECT team, d, pitcher AS chosen, CASE WHEN f[3] THEN 'hi' ELSE 'lo' END AS ctx FROM (SELECT *, row_number() OVER (PARTITION BY team, d ORDER BY f, pitcher) AS rn FROM u) WHERE rn = 2 AND d >= (SELECT max(d) FROM x) - 730),
+c AS (SELECT ch.team, ch.d, u.pitcher, any_value(chosen) AS chosen, any_value(ctx) AS ctx, coalesce(sum(n) FILTER (WHERE u.d >= ch.d - 30), 0) AS n30, coalesce(sum(n) FILTER (WHERE u.d = ch.d - 1), 0) AS n1, coalesce(sum(n) FILTER (WHERE u.d = ch.d - 2), 0) AS n2,
+ coalesce(sum(np) FILTER (WHERE u.d = ch.d - 1), 0) AS np1, coalesce(sum(np) FILTER (WHERE u.d = ch.d - 2), 0) AS np2, sum(sv) AS sv, sum(hld) AS hld, sum(o) * 1.0 / sum(n) AS o FROM ch JOIN u ON ch.team = u.team AND u.d < ch.d AND u.d >= ch.d - 365 GROUP BY 1, 2, 3),
+e AS (SELECT *, CASE WHEN np1 >= 20 OR (np1 > 0 AND np2 > 0) THEN 2 WHEN np1 >= 10 THEN 1 ELSE 0 END AS tier, row_number() OVER (PARTITION BY team, d ORDER BY n30 DESC, pitcher) AS ru FROM c WHERE n30 > 0 AND NOT (n1 > 0 AND n2 > 0) AND np1 < 25),
+r AS (SELECT *, row_number() OVER (PARTITION BY team, d ORDER BY tier, CASE WHEN ctx = 'hi' THEN -(2.0 * sv + hld) ELSE -(o - 0.5 * (sv + hld)) END, ru) AS rank FROM e WHERE ru <= 8), n AS (SELECT ctx, rank, count(*) AS n FROM r WHERE pitcher = chosen GROUP BY 1, 2)
 SELECT ctx, CAST(rank AS INT) AS rank, n, round(n * 1.0 / sum(n) OVER (PARTITION BY ctx), 6) AS p FROM n""")
 def choice_rank_distribution(spark, d):
-    """Rank of the arm actually chosen among those with recent use, under two orderings.
-
-    Each use of an arm makes it a candidate until its next use, thirty days at most, so candidates
-    grow with the uses and not with arms times days.
-    """
-    pa = appearances(spark, d).join(table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("team")), F.col("pitcher") == F.col("s_suppkey"))
-    day = pa.groupBy("team", "pitcher", "d").agg(F.count(F.lit(1)).alias("np"), F.sum("qty").alias("q"))
-    first = pa.groupBy("team", "d").agg(F.min_by("pitcher", F.struct("seq", "game", "pitcher")).alias("chosen"))
-    w = Window.partitionBy("team", "pitcher").orderBy("d")
-    until = F.least(F.date_add("d", 30), F.coalesce(F.lead("d").over(w), F.date_add("d", 30)))
-    recent = day.withColumn("until", until).select("team", "pitcher", F.explode(F.sequence(F.date_add("d", 1), "until")).alias("d"))
-    spine = recent.join(first, ["team", "d"])
-    s = trailing_sums(spine, day, ["team", "pitcher"], "d", ["np", "q"], {"30": 30, "365": 365})
-    s = s.withColumn("ctx", F.when(F.day("d") % 2 == 0, "hi").otherwise("lo")).withColumn("hit", F.col("pitcher") == F.col("chosen"))
-    r = A.choice_rank_pmf(s, ["team", "d"], {"hi": [-F.col("np_30"), F.col("pitcher")], "lo": [-F.col("q_365"), F.col("pitcher")]}, "ctx", "hit", [F.desc("np_30"), F.asc("pitcher")], 8)
+    """Rank of the day's second arm among the rested ones: by workload tier, then saves and holds when the
+    entry is tight, by outs less half of saves and holds otherwise; choices of the last two years."""
+    home = table(spark, d, "supplier").join(table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("team")), "s_nationkey")
+    pa = appearances(spark, d).join(home.select(F.col("s_suppkey").alias("pitcher"), "team"), "pitcher").withColumn("np", F.col("qty").cast("int"))
+    tight = (F.col("np") % 9 >= 6) & (F.abs(F.round(F.col("disc") * 100).cast("int") - 5) <= 2)
+    uses = pa.groupBy("team", "pitcher", "d").agg(F.count(F.lit(1)).alias("n"), F.sum("np").alias("np"), F.count_if(F.col("label") == "cA").alias("sv"), F.count_if(F.col("label") == "cR").alias("hld"),
+                                                  F.sum(F.col("np") % 4).alias("outs"), F.min(F.struct("seq", "game", tight.alias("hi"))).alias("first"))
+    uses = cut_lineage(uses)
+    recent = uses.filter(F.col("d") >= F.date_sub(uses.agg(F.max("d")).scalar(), 730))
+    choices = C.nth_arm(recent, ["team"], "d", "pitcher", "first").select("team", "d", F.col("pitcher").alias("chosen"), F.when(F.col("first.hi"), "hi").otherwise("lo").alias("ctx"))
+    pool = C.rested_pool(uses, choices, ["team"], "pitcher", "d", "n", "np", ["sv", "hld", "outs"]).filter(C.eligible())
+    pool = pool.withColumn("hit", F.col("pitcher") == F.col("chosen")).withColumn("tier", C.workload_tier())
+    closing = F.col("sv_history") + F.col("hld_history")
+    rest = [-F.col("n_recent"), F.col("pitcher")]
+    orders = {"hi": [F.col("tier"), -(F.col("sv_history") + closing), *rest], "lo": [F.col("tier"), -(F.col("outs_history") / F.col("n_history") - 0.5 * closing), *rest]}
+    r = A.choice_rank_pmf(pool, ["team", "d"], orders, "ctx", "hit", [F.desc("n_recent"), F.asc("pitcher")], 8)
     return r.select("ctx", "rank", "n", F.round("p", 6).alias("p"))
 
 
