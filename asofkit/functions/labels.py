@@ -40,6 +40,23 @@ LABEL_STAT = (
 )
 
 
+# Shown names of priced markets, at one and at more.
+NAME_OF_ONE = {
+    "batter_hits": "1+ hit", "batter_home_runs": "1+ HR", "batter_runs_scored": "run scored", "batter_walks": "1+ walk",
+    "batter_stolen_bases": "stolen base", "batter_singles": "1+ single", "batter_doubles": "1+ double",
+}
+NAME_OF_MORE = {
+    "batter_hits": "hits", "batter_home_runs": "HR", "batter_total_bases": "total bases", "batter_runs_scored": "runs scored",
+    "batter_rbis": "RBI", "batter_hits_runs_rbis": "H+R+RBI", "batter_singles": "singles",
+}
+NAME_OF_PITCHER = {
+    "pitcher_strikeouts": "strikeouts", "pitcher_outs": "outs", "pitcher_hits_allowed": "hits allowed", "pitcher_walks": "walks",
+    "pitcher_earned_runs": "earned runs",
+}
+# Stems of the ladder columns that have a map per line.
+LINE_STEM = {"pitcher_outs": "Outs"}
+
+
 def _lookup(pairs: dict, key: Column) -> Column:
     flat = [F.lit(x) for kv in pairs.items() for x in kv]
     return F.element_at(F.create_map(*flat), key)
@@ -74,6 +91,20 @@ def line_label(stem, line) -> Column:
     return F.concat(_c(stem), F.lit(" > "), _c(line).cast("string"))
 
 
+def market_label(market, line) -> Column:
+    """Ladder column of a market whose lines have maps of their own, else NULL."""
+    return line_label(_lookup(LINE_STEM, _c(market)), _c(line))
+
+
+def shown_name(market, line) -> Column:
+    """Name a priced market is shown under; an unknown market keeps its own."""
+    m, x = _c(market), _c(line)
+    one, more, pit = (_lookup(t, m) for t in (NAME_OF_ONE, NAME_OF_MORE, NAME_OF_PITCHER))
+    n = (x + 0.5).cast("int")
+    batter = F.when(one.isNotNull() & (more.isNull() | (n == 1)), one).otherwise(F.concat(n.cast("string"), F.lit("+ "), more))
+    return F.coalesce(batter, F.concat(F.lit("pitcher "), pit, F.lit(" o"), x.cast("string")), m)
+
+
 def line_stat(market) -> Column:
     """Stat a pitcher line label grades, NULL when it is not a line label."""
     stem = F.regexp_extract(_c(market), r"^(K|Outs|Hits|BB|ER) > \d+(?:\.\d+)?$", 1)

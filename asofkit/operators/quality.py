@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -119,6 +119,43 @@ def contracts_from_table(specs: DataFrame) -> dict[str, Contract]:
     return out
 
 
+def registry(specs: DataFrame) -> tuple[dict[str, Contract], dict[str, str]]:
+    """Contracts by file name and the reasons why a spec gives none.
+
+    ``specs`` is one short row per table (name, parent, fields of ``Contract``). A null field comes
+    from the parent, at any depth; a missing parent or a circle leaves the name without a contract.
+    """
+    raw = {s.pop("name"): s for s in (r.asDict(recursive=True) for r in specs.toLocalIterator())}
+    good, broken = {}, {}
+    for name in raw:
+        line, at = [], name
+        while at is not None and at in raw and at not in line:
+            line.append(at)
+            at = raw[at].get("parent")
+        if at is not None:
+            broken[name] = f"parent {at} is " + ("its own ancestor" if at in raw else "not registered")
+            continue
+        fields = {}
+        for ancestor in reversed(line):
+            fields |= {k: v for k, v in raw[ancestor].items() if v is not None and k != "parent"}
+        good[name] = Contract(**{"columns": (), **fields})
+    return good, broken
+
+
+def validate_files(spark: SparkSession, paths: Sequence[str], specs: DataFrame, today: str | None = None) -> DataFrame:
+    """Problems as rows (file, check, detail); a file whose name has no contract is itself a problem."""
+    good, broken = registry(specs)
+    out = spark.createDataFrame([], "file string, check string, detail string")
+    for path in paths:
+        name = path.rstrip("/").rsplit("/", 1)[-1].split(".")[0]
+        if name in good:
+            found = validate(spark.read.parquet(path), good[name], today=today)
+        else:
+            found = spark.createDataFrame([("contract", broken.get(name, "not registered"))], "check string, detail string")
+        out = out.unionByName(found.select(F.lit(name).alias("file"), "check", "detail"))
+    return out
+
+
 # Contracts of the tables the flatteners and the ledger write.
 CONTRACTS: dict[str, Contract] = {
     "games": Contract(

@@ -84,6 +84,22 @@ def label_parsing(spark, d):
     return b.select("game", "label", L.line_of("label").alias("line"), L.line_stat("label").alias("stat"), L.label_actual("label").alias("actual"))
 
 
+MARKETS = [*L.NAME_OF_ONE, "batter_total_bases", "batter_rbis", "batter_hits_runs_rbis", *L.NAME_OF_PITCHER, "batter_triples"]
+
+
+@query("P7", f"""WITH {PA}, m AS (SELECT ({MARKETS})[1 + game % {len(MARKETS)}] AS market, CAST(qty AS INT) % 7 + 0.5::DOUBLE AS line, CAST(qty AS INT) % 7 + 1 AS n FROM pa)
+SELECT market, line, CASE market WHEN 'batter_walks' THEN '1+ walk' WHEN 'batter_stolen_bases' THEN 'stolen base' WHEN 'batter_doubles' THEN '1+ double' WHEN 'batter_total_bases' THEN n || '+ total bases' WHEN 'batter_rbis' THEN n || '+ RBI'
+  WHEN 'batter_hits_runs_rbis' THEN n || '+ H+R+RBI' WHEN 'batter_hits' THEN CASE n WHEN 1 THEN '1+ hit' ELSE n || '+ hits' END WHEN 'batter_home_runs' THEN n || '+ HR' WHEN 'batter_runs_scored' THEN CASE n WHEN 1 THEN 'run scored' ELSE n || '+ runs scored' END
+  WHEN 'batter_singles' THEN CASE n WHEN 1 THEN '1+ single' ELSE n || '+ singles' END WHEN 'batter_triples' THEN market ELSE 'pitcher ' || replace(replace(market, 'pitcher_', ''), '_', ' ') || ' o' || line END AS shown,
+ CASE market WHEN 'pitcher_outs' THEN 'Outs > ' || line END AS ladder, CASE market WHEN 'pitcher_outs' THEN line END AS parsed, CASE market WHEN 'pitcher_outs' THEN 'outs' END AS stat, count(*) AS n FROM m GROUP BY ALL""")
+def market_names(spark, d):
+    """Names built from market and line, and ladder labels read back to the line and stat they came from."""
+    names = F.array(*[F.lit(x) for x in MARKETS])
+    m = appearances(spark, d).select(F.get(names, (F.col("game") % len(MARKETS)).cast("int")).alias("market"), (F.col("qty").cast("int") % 7 + 0.5).cast("double").alias("line"))
+    m = m.groupBy("market", "line").agg(F.count(F.lit(1)).alias("n")).withColumn("ladder", L.market_label("market", "line"))
+    return m.select("market", "line", L.shown_name("market", "line").alias("shown"), "ladder", L.line_of("ladder").alias("parsed"), L.line_stat("ladder").alias("stat"), "n")
+
+
 @query("P10", f"""WITH {LED} SELECT family, count(*) AS n FROM led WHERE d BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' AND d NOT IN (DATE '2024-01-10', DATE '2024-01-11') GROUP BY 1""")
 def quarantined_dates(spark, d):
     bad = spark.createDataFrame([("2024-01-10",), ("2024-01-11",)], "d string").select(F.col("d").cast("date").alias("d"))

@@ -14,6 +14,10 @@ from asofkit.sources import flatten as J
 from asofkit.sources import repair as R
 
 
+SPECS = "name string, parent string, columns array<string>, key array<string>, min_rows long, max_dup_frac double, numeric map<string,double>"
+SLATE = r"slate=(\d{4}-\d{2}-\d{2})(?:_v(\d+))?/"
+
+
 def _docs(spark, d, body, *keep):
     """One JSON document per event row."""
     e = events(spark, d)
@@ -208,6 +212,17 @@ def newest_version_per_date(spark, d):
     return R.newest_version(e.select("path", day.alias("d"), ver.alias("version")), "d", "version", "path").select("d", "version", "path")
 
 
+@query("S18", f"""WITH {EV}, v AS (SELECT d, max(1 + k % 3) AS version FROM ev GROUP BY 1) SELECT ev.d, version, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM ev JOIN v ON ev.d = v.d AND 1 + k % 3 = version GROUP BY 1, 2""")
+def newest_version_files(spark, d):
+    """Slates written as versioned folders (the first without a suffix); only the newest of a date is read back."""
+    e = events(spark, d).withColumn("version", 1 + F.col("k") % 3)
+    suffix = F.when(F.col("version") > 1, F.concat(F.lit("_v"), F.col("version").cast("string"))).otherwise("")
+    out = e.select("event_id", "d", "version", F.concat(F.col("d").cast("string"), suffix).alias("slate"))
+    base = S.shared_path(spark, "slates")
+    out.hint("rebalance", "slate").write.partitionBy("slate").parquet(base)
+    return S.read_newest(spark, base, SLATE, out.schema).groupBy("d", "version").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query("S20 J26 W18", f"""WITH {EV}, s AS (SELECT event_id % 5000 AS pk, min(event_id) AS e FROM ev WHERE k % 7 <> 0 GROUP BY 1), f AS (SELECT s.pk, ev.d, user_id % 30 AS h, ts, user_id FROM s JOIN ev ON ev.event_id = s.e)
 SELECT pk AS "GamePk", d AS "Date", CASE WHEN h % 4 <> 0 THEN 'T' || h ELSE CAST(h AS VARCHAR) END AS home_code, row_number() OVER (PARTITION BY d, h ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S'), pk) AS game_order FROM f""")
 def schedule_rows(spark, d):
@@ -302,6 +317,18 @@ def table_contract(spark, d):
     return Q.validate(li, c, today="2003-01-01")
 
 
+@query("Q2 Q1", """SELECT * FROM (VALUES ('region', 'contract', 'not registered'), ('part', 'contract', 'parent ghost is not registered'), ('supplier', 'rows', 'rows ' || (SELECT count(*) FROM supplier)), ('orders', 'numeric:o_orderstatus', 'unreadable 1.0'),
+ ('lineitem', 'key', 'duplicates ' || (SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem)), ('nation', 'columns', 'missing n_flag')) t(file, "check", detail)""")
+def contract_registry(spark, d):
+    """Files held against the contract of their name; parents hand down what a child leaves open, and a file without a contract is an error."""
+    specs = spark.createDataFrame([
+        ("store", None, None, None, 1, 0.0, None), ("customer", "store", ["c_custkey", "c_nationkey"], ["c_custkey"], None, None, None),
+        ("supplier", "customer", ["s_suppkey"], ["s_suppkey"], 1 << 60, None, None), ("part", "ghost", ["p_partkey"], ["p_partkey"], None, None, None),
+        ("orders", "store", ["o_orderkey"], ["o_orderkey"], None, None, {"o_orderstatus": 0.1}), ("lineitem", "store", ["l_orderkey"], ["l_orderkey", "l_linenumber"], None, None, None),
+        ("nation", "store", ["n_nationkey", "n_flag"], None, None, None, None)], SPECS)
+    return Q.validate_files(spark, [f"{d}/{t}.parquet" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")], specs)
+
+
 @query("Q1 D3 Q3", """SELECT 'shrink' AS "check", (SELECT count(*) FROM orders) || ' -> ' || (SELECT count(*) FROM orders WHERE year(o_orderdate) <> 1997) AS detail UNION ALL SELECT 'season', 'vanished 1997'""")
 def version_continuity(spark, d):
     """A candidate that lost a season and too many rows against its previous version."""

@@ -101,3 +101,22 @@ def melt_sidecar(df: DataFrame, ids: Sequence[str], value: str = "p", name: str
 def file_versions(path: Column, pattern: str) -> tuple[Column, Column]:
     """Date text and version number out of file names like slate_2024-01-05_v2."""
     return F.regexp_extract(path, pattern, 1), F.coalesce(F.regexp_extract(path, pattern, 2).try_cast("int"), F.lit(1))
+
+
+def newest_folders(spark: SparkSession, base: str, pattern: str) -> DataFrame:
+    """Per date the version and folder of its newest files under ``base``, from the files' paths alone (contents stay unread)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(base).select("path")
+    day, version = file_versions(F.col("path"), pattern)
+    named = files.select(day.alias("d"), version.alias("version"), F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder")).filter("d <> ''")
+    return named.groupBy("d").agg(F.max("version").alias("version"), F.max_by("folder", F.struct("version", "folder")).alias("folder"))
+
+
+def read_newest(spark: SparkSession, base: str, pattern: str, schema: T.StructType) -> DataFrame:
+    """Rows of the newest version of every date; older versions are not opened.
+
+    One path per date passes the driver, which has to name the paths to read anyway.
+    """
+    folders = sorted(r.folder for r in newest_folders(spark, base, pattern).select("folder").toLocalIterator())
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", base).parquet(*folders)
