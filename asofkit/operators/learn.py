@@ -24,6 +24,20 @@ def walk_forward_windows(df: DataFrame, season: str, folds: Sequence[int]) -> Da
         "fold", (f - 2).alias("train_to"), (f - 1).alias("calibrate"), f.alias("score"), "n_train", "n_cal", "n_score")
 
 
+def fit_window(rows: DataFrame, fold: str, date: str) -> DataFrame:
+    """First and last day of the rows a fold's fit (training and calibration) has read: kept beside the model."""
+    return rows.groupBy(fold).agg(F.min(date).alias("fit_start"), F.max(date).alias("fit_end"))
+
+
+def judge_folds(scored: DataFrame, windows: DataFrame, fold: str, date: str) -> DataFrame:
+    """Per fold its fit window, the days it was scored on and whether the fit ended before them.
+
+    Both ranges come from the rows themselves. A fold without a window, or without days, is not honest.
+    """
+    days = scored.groupBy(fold).agg(F.min(date).alias("eval_start"), F.max(date).alias("eval_end"))
+    return days.join(windows, fold, "left").withColumn("honest", F.coalesce(F.col("fit_end") < F.col("eval_start"), F.lit(False)))
+
+
 def feature_stages(features: Sequence[str], out: str = "features") -> list:
     """Median imputation, assembly and scaling."""
     filled = [f"{c}__f" for c in features]

@@ -7,8 +7,9 @@ from pyspark.sql import types as T
 
 from asofkit.operators import quality as Q
 from asofkit.operators.scan import group_totals, pick_one
-from asofkit.plans._roles import EV, GAMES, LED, events, games, ledger, table
+from asofkit.plans._roles import EV, GAMES, LED, PA, appearances, events, games, ledger, table
 from asofkit.registry import query
+from asofkit.session import cut_lineage
 from asofkit.sources import files as S
 from asofkit.sources import flatten as J
 from asofkit.sources import repair as R
@@ -387,6 +388,43 @@ def upcoming_slate_context(spark, d):
     return j.select("team", F.col("one_sofar").cast("long").alias("games"), F.round(F.col("rf_sofar") / F.nullif("one_sofar", F.lit(0)), 6).alias("rf_mean"), F.datediff("d", "pd").alias("rest"))
 
 
+@query("M8", f"""WITH {PA}, f AS (SELECT * FROM (VALUES (1998, 1996, 1997), (1999, 1997, 1998), (2000, 1998, 1999), (2001, 2001, 2000)) t(fold, train_to, cal)),
+c AS (SELECT pitcher, season, count(*) AS n, sum((label = 'cR')::INT) AS k, min(d) AS d0, max(d) AS d1 FROM pa GROUP BY 1, 2), x AS (SELECT * FROM f, c),
+w AS (SELECT fold, min(d0) AS fit_start, max(d1) AS fit_end FROM x WHERE season <= train_to OR season = cal GROUP BY 1), lg AS (SELECT fold, sum(k) * 1.0 / sum(n) AS q FROM x WHERE season <= train_to GROUP BY 1),
+tr AS (SELECT fold, pitcher, sum(n) AS tn, sum(k) AS tk FROM x WHERE season <= train_to GROUP BY 1, 2),
+p AS (SELECT x.*, (coalesce(tk, 0) + 100.0 * q) / (coalesce(tn, 0) + 100.0) AS p FROM x JOIN lg ON x.fold = lg.fold LEFT JOIN tr ON x.fold = tr.fold AND x.pitcher = tr.pitcher WHERE season = cal OR season = x.fold),
+a AS (SELECT fold, sum(k) * 1.0 / sum(n) AS truth, sum(n * p) / sum(n) AS mean FROM p WHERE season = cal GROUP BY 1),
+s AS (SELECT p.*, 1 / (1 + exp(-(ln(p / (1 - p)) + ln(truth / (1 - truth)) - ln(mean / (1 - mean))))) AS pa FROM p JOIN a ON p.fold = a.fold WHERE season = p.fold),
+r AS (SELECT s.fold, any_value(fit_end) AS fit_end, min(d0) AS eval_start, any_value(fit_end) < min(d0) AS honest, sum(n) AS n, -sum(k * ln(pa) + (n - k) * ln(1 - pa)) AS nll FROM s JOIN w ON s.fold = w.fold GROUP BY 1)
+SELECT CAST(fold AS INT) AS fold, fit_end, eval_start, honest, CAST(n AS BIGINT) AS n, round(nll / n, 6) AS ll FROM r UNION ALL SELECT NULL, NULL, NULL, TRUE, CAST(sum(n) AS BIGINT), round(sum(nll) / sum(n), 6) FROM r WHERE honest""")
+def honest_folds(spark, d):
+    """Shrunk rates per fold, level set on the calibration season, scored on the next: the fit's own days decide which folds are pooled.
+
+    The last fold is fitted through its own season, as a model in use is, and falls out.
+    """
+    from asofkit.operators.learn import anchored, fit_window, judge_folds
+
+    hit = (F.col("label") == "cR").cast("int")
+    cells = appearances(spark, d).groupBy("pitcher", "season").agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("k"), F.min("d").alias("d0"), F.max("d").alias("d1"))
+    folds = F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(t).alias("train_to"), F.lit(c).alias("cal")) for f, t, c in ((1998, 1996, 1997), (1999, 1997, 1998), (2000, 1998, 1999), (2001, 2001, 2000))])
+    x = cut_lineage(cells).withColumn("f", F.explode(folds)).select("pitcher", "season", "n", "k", "d0", "d1", "f.*")
+    train, cal, score = F.col("season") <= F.col("train_to"), F.col("season") == F.col("cal"), F.col("season") == F.col("fold")
+    days = lambda rows: rows.select("fold", F.explode(F.array("d0", "d1")).alias("d"))
+    own = x.filter(train).groupBy("fold", "pitcher").agg(F.sum("n").alias("tn"), F.sum("k").alias("tk"))
+    league = own.groupBy("fold").agg((F.sum("tk") / F.sum("tn")).alias("q"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    p = x.filter(cal | score).join(league, "fold").join(own, ["fold", "pitcher"], "left").withColumn("p", (zero("tk") + 100.0 * F.col("q")) / (zero("tn") + 100.0))
+    level = p.filter(cal).groupBy("fold").agg((F.sum("k") / F.sum("n")).alias("truth"), (F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("mean"))
+    s = p.filter(score).join(level, "fold").withColumn("pa", anchored(F.col("p"), F.col("truth"), F.col("mean")))
+    nll = -F.sum(F.col("k") * F.log("pa") + (F.col("n") - F.col("k")) * F.log(1 - F.col("pa")))
+    judged = judge_folds(days(x.filter(score)), fit_window(days(x.filter(train | cal)), "fold", "d"), "fold", "d")
+    r = s.groupBy("fold").agg(F.sum("n").alias("n"), nll.alias("nll")).join(judged, "fold")
+    r = r.select("fold", "fit_end", "eval_start", "honest", "n", "nll")
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    pool = r.filter("honest").agg(F.sum("n").alias("n"), F.sum("nll").alias("nll")).select(none("fold", "int"), none("fit_end", "date"), none("eval_start", "date"), F.lit(True).alias("honest"), "n", "nll")
+    return r.unionByName(pool).select("fold", "fit_end", "eval_start", "honest", "n", F.round(F.col("nll") / F.col("n"), 6).alias("ll"))
+
+
 @query("M8 M2", """SELECT f AS fold, f - 2 AS train_to, f - 1 AS calibrate, f AS score, count(*) FILTER (WHERE year(o_orderdate) <= f - 2) AS n_train, count(*) FILTER (WHERE year(o_orderdate) = f - 1) AS n_cal, count(*) FILTER (WHERE year(o_orderdate) = f) AS n_score FROM orders, (SELECT CAST(unnest([1998, 1999, 2000, 2001]) AS INT) AS f) GROUP BY 1""")
 def walk_forward_folds(spark, d):
     """Rolling-origin windows and their sizes, from season counts."""

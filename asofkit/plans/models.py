@@ -64,18 +64,18 @@ def walk_forward(spark, d):
     """Rolling origin: train, calibrate with a Platt map, score; honest folds pooled by exposure."""
     from asofkit.operators import evaluation as E
 
-    r, out = training_rows(spark, d), None
+    r, out, windows = training_rows(spark, d), None, None
     for fold in (1998, 1999, 2000, 2001):
         m = M.fit_classifier(r.filter(F.col("season") <= fold - 2), FEATS, "open", "binary", maxIter=ITERS)
-        one = lambda s: M.predict(m, r.filter(F.col("season") == s), "v").select("game", "open", F.element_at("v", 2).alias("p"), F.lit(fold).alias("fold"))  # noqa: E731,B023
+        one = lambda s: M.predict(m, r.filter(F.col("season") == s), "v").select("game", "d", "open", F.element_at("v", 2).alias("p"), F.lit(fold).alias("fold"))  # noqa: E731,B023
         cal = one(fold - 1).select("fold", "p", F.col("open").cast("int").alias("y"))
         ab = E.platt_maps(cal, ["fold"], 500)
         te = one(fold).join(ab.select("fold", "a", "b"), "fold", "left")
         te = te.withColumn("p_cal", F.when(F.col("a").isNull(), F.col("p")).otherwise(P.platt("p", "a", "b")))
-        te = te.withColumn("train_to", F.lit(fold - 2)).withColumn("calibrated_on", F.lit(fold - 1))
-        out = te if out is None else out.unionByName(te)
-    # a fold is honest if its fit windows end before it
-    out = out.withColumn("honest", (F.greatest("train_to", "calibrated_on") < F.col("fold")) & F.col("a").isNotNull())
+        seen = M.fit_window(r.filter(F.col("season") < fold).withColumn("fold", F.lit(fold)), "fold", "d")
+        out, windows = (te, seen) if out is None else (out.unionByName(te), windows.unionByName(seen))
+    honest = M.judge_folds(out, windows, "fold", "d").select("fold", F.col("honest").alias("__h"))
+    out = out.join(honest, "fold").withColumn("honest", F.col("__h") & F.col("a").isNotNull())
     return M.evaluate_folds(out, "fold", "open", "p_cal", "honest").select("fold", "n", F.round("ll", 5).alias("ll"), "honest")
 
 
