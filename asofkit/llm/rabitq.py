@@ -7,19 +7,25 @@ of their cosine, with an error of about sqrt(1 / f**2 - 1) / sqrt(D - 1). Where
 the estimate plus EPS such errors reaches the threshold, both ways, the
 cosine is computed again in double precision; only that decides.
 
-Pairs to estimate come from hash tables of random hyperplanes. Bits per table
-grow with the logarithm of the number of vectors and the number of tables so
-that a pair at the threshold meets with probability RECALL. A bucket is cut
-into blocks of bounded size and tasks take block pairs; each pair counts in the
-first table that it shares. Tasks give link counts and spanning links only.
+Codes, factors and the turned vector in bytes (for the side that meets the
+code; the bound takes in its rounding) are computed and stored once. Equal
+vectors are folded into one with a weight. Pairs to estimate come from hash
+tables of random hyperplanes. Bits per table grow with the logarithm of the
+number of vectors and the number of tables so that a pair at the threshold
+meets with probability RECALL. A bucket is cut into blocks of bounded size and
+tasks take block pairs; codes alone travel there. Members with an open pair then
+fetch their full vectors and meet again in the same block pair. Each pair counts
+in the first table that it shares. Tasks give link counts and spanning links only.
 
 Cases: null vectors, zero vectors and such with null or non-finite components
 link with nothing; vectors of different lengths never link; repeated rows link
-like any others; null ids take part; an empty table gives an empty result.
+like any others; null ids take part; an empty table gives an empty result; other
+columns of any name are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -56,41 +62,135 @@ def planes(dims: int, bits: int, tables: int) -> np.ndarray:
 
 
 def signed(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
-    """rid, vec_id, dims (null: links with nothing), keys (one per table) and the vector in double precision."""
+    """What is stored of every vector: rid, vec_id, dims (null: links with nothing), keys (one per table), their bits
+    packed (``sides``), code, factor, the turned vector in bytes (``turned`` times ``step``), the vector in double
+    precision and a digest of it."""
     kind = vectors.schema["vec_id"].dataType.simpleString()
+    types = {"dims": "int", "keys": "array<long>", "sides": "binary", "code": "binary", "factor": "double", "turned": "binary", "step": "double", "vector": "binary", "same": "binary"}
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def stored(v: np.ndarray) -> list[tuple]:
+        dims = v.shape[1]
+        if dims not in held:
+            held[dims] = planes(dims, bits, tables), rotation(dims)
+        side = v @ held[dims][0] > 0
+        keys = (side.reshape(-1, tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
+        turned = (v / np.linalg.norm(v, axis=1)[:, None]) @ held[dims][1]
+        positive = turned > 0
+        factor = np.abs(turned).sum(axis=1) / math.sqrt(dims)
+        step = np.abs(turned).max(axis=1) / 127
+        small = np.rint(turned / step[:, None]).astype(np.int8)
+        packed, codes = np.packbits(side, axis=1), np.packbits(positive, axis=1)
+        return [(dims, keys[i].tolist(), packed[i].tobytes(), codes[i].tobytes(), float(factor[i]), small[i].tobytes(), float(step[i]), v[i].tobytes(), hashlib.blake2b(v[i].tobytes(), digest_size=16).digest()) for i in range(len(v))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            dims, keys, raw = [], [], []
+        for b in (x for batch in batches for x in slices(batch)):
             rows = [None if v is None or any(x is None for x in v) else np.array(v, np.float64) for v in b.column("embedding").to_pylist()]
-            ok = [v is not None and len(v) > 0 and bool(np.isfinite(v).all()) and bool(v.any()) for v in rows]
-            for v, good in zip(rows, ok, strict=True):
-                if not good:
-                    dims.append(None), keys.append(None), raw.append(None)
-                    continue
-                if len(v) not in held:
-                    held[len(v)] = planes(len(v), bits, tables)
-                v = v / np.abs(v).max()  # no overflow, the same direction
-                side = (v @ held[len(v)] > 0).reshape(tables, bits)
-                dims.append(len(v))
-                keys.append((side * (1 << np.arange(bits, dtype=np.int64))).sum(axis=1))
-                raw.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("vec_id"), pa.array(dims, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(raw, pa.binary())], ["rid", "vec_id", "dims", "keys", "vector"])
+            out: list[tuple] = [(None,) * len(types)] * len(rows)
+            by: dict[int, list[int]] = {}
+            for i, v in enumerate(rows):
+                if v is not None and len(v) and np.isfinite(v).all() and v.any():
+                    by.setdefault(len(v), []).append(i)
+            for at in by.values():
+                for i, one in zip(at, stored(np.stack([rows[i] / np.abs(rows[i]).max() for i in at])), strict=True):  # no overflow, the same direction
+                    out[i] = one
+            arrow = [pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.float64(), pa.binary(), pa.binary()]
+            cols = [pa.array([r[k] for r in out], t) for k, t in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("vec_id"), *cols], ["rid", "vec_id", *types])
 
     source = vectors.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "embedding")
-    return source.mapInArrow(run, f"rid long, vec_id {kind}, dims int, keys array<long>, vector binary")
+    return source.mapInArrow(run, f"rid long, vec_id {kind}, " + ", ".join(f"{n} {t}" for n, t in types.items()))
+
+
+AT = ["dims", "t", "key"]
+PAIR = [*AT, "p", "q"]
 
 
 def placed(codes: DataFrame) -> DataFrame:
-    """Every vector at each of its buckets that has others: table, key, block pair and its own block."""
-    rows = codes.where("dims is not null").select("rid", "dims", "keys", "vector", F.posexplode("keys").alias("t", "key"))
-    at = ["dims", "t", "key"]
-    sizes = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    blocks = F.ceil(F.col("g") / BLOCK_ROWS).cast("int")
-    met = rows.join(sizes, at).withColumn("own", F.pmod(F.xxhash64("rid"), blocks).cast("int"))
+    """Every code at each of its buckets: table, key, block pair and its own block. Only large buckets are cut."""
+    rows = codes.select("rid", "dims", "sides", "code", "factor", "turned", "step", F.posexplode("keys").alias("t", "key"))
+    large = rows.groupBy(*AT).agg(F.count(F.lit(1)).alias("g")).where(F.col("g") > BLOCK_ROWS)
+    blocks = F.coalesce(F.ceil(F.col("g") / BLOCK_ROWS), F.lit(1)).cast("int")
+    met = rows.join(large, AT, "left").withColumn("own", F.pmod(F.xxhash64("rid"), blocks).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return met.select(*at, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "rid", "own", "keys", "vector")
+    return met.select(*AT, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "rid", "own", "sides", "code", "factor", "turned", "step")
+
+
+def unpacked(rows: list[bytes], width: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), axis=1, count=width)
+
+
+def met_before(sides: np.ndarray, i: np.ndarray, j: np.ndarray, t: int, bits: int) -> np.ndarray:
+    """Do the pairs share the key of a table before ``t``?"""
+    if not t or not len(i):
+        return np.zeros(len(i), bool)
+    early = sides[:, : t * bits].reshape(len(sides), t, bits)
+    return (early[i] == early[j]).all(axis=2).any(axis=1)
+
+
+def by_pairs(places: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """``work(block pair, members)`` over the members (``columns``) of every block pair; it gives rows of ``schema``."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    ints = {"int": pa.int32(), "long": pa.int64()}
+    kinds = [ints[f.split()[1]] for f in schema.split(", ")]
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, members = None, []
+        for b in (x for batch in batches for x in slices(batch)):
+            found: list[tuple] = []
+            c = b.to_pydict()
+            for row in zip(*(c[x] for x in [*PAIR, *columns]), strict=True):
+                if row[:5] != at:
+                    if len(members) > 1:
+                        found += work(at, members)
+                    at, members = row[:5], []
+                members.append(row[5:])
+            yield rows(found)
+        yield rows(work(at, members) if len(members) > 1 else [])
+
+    return places.select(*PAIR, *columns).repartition(*PAIR).sortWithinPartitions(*PAIR).mapInArrow(run, schema)
+
+
+def halves(at: tuple, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members on either side of a block pair."""
+    left = np.flatnonzero(own == at[3])
+    return left, left if at[3] == at[4] else np.flatnonzero(own == at[4])
+
+
+def opened(places: DataFrame, least: float, bits: int) -> DataFrame:
+    """Members of block pairs that have a pair whose bounds reach ``least``."""
+
+    def work(at: tuple, members: list[tuple]) -> list[tuple]:
+        dims, t, _, p, q = at
+        rid, own, sides, code, factor, turned, step = (list(c) for c in zip(*members, strict=True))
+        own, f, step = np.array(own), np.array(factor), np.array(step)
+        sides = unpacked(sides, 8 * len(sides[0]))
+        signs = unpacked(code, dims).astype(np.float32) * 2 - 1
+        small = np.frombuffer(b"".join(turned), np.int8).reshape(len(members), dims).astype(np.float32)
+        root = math.sqrt(dims)
+        slack = EPS * np.sqrt(np.maximum(1 / f**2 - 1, 0)) / math.sqrt(max(dims - 1, 1))  # of the estimate by one's own code
+        rounding = step * root / 2  # of one's own turned vector
+        left, right = halves(at, own)
+        hit = np.zeros(len(members), bool)
+        for a in range(0, len(left), 512):
+            x = left[a : a + 512]
+            one = ((small[x] @ signs[right].T) * (step[x] / root)[:, None] + rounding[x, None]) / f[right] + slack[right]
+            maybe = one >= least
+            two = ((signs[x] @ small[right].T) * (step[right] / root) + rounding[right]) / f[x, None] + slack[x, None]
+            i, j = np.nonzero(maybe & (two >= least))
+            i, j = x[i], right[j]
+            if p == q:
+                i, j = i[i < j], j[i < j]
+            for c in range(0, len(i), 1 << 17):
+                ii, jj = i[c : c + (1 << 17)], j[c : c + (1 << 17)]
+                new = ~met_before(sides, ii, jj, t, bits)
+                hit[ii[new]] = hit[jj[new]] = True
+        return [(*at, int(own[k]), rid[k]) for k in np.flatnonzero(hit)]
+
+    return by_pairs(places, ["rid", "own", "sides", "code", "factor", "turned", "step"], work, "dims int, t int, key long, p int, q int, own int, rid long")
 
 
 def near(x: np.ndarray, y: np.ndarray, turn: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -112,63 +212,51 @@ def near(x: np.ndarray, y: np.ndarray, turn: np.ndarray, least: float) -> Iterat
             yield ii[good], jj[good]
 
 
-def linked(places: DataFrame, least: float) -> DataFrame:
-    """Rows (a, b, n): with b null, n further links of a; else a spanning link."""
+def linked(places: DataFrame, least: float, bits: int) -> DataFrame:
+    """Rows (a, b, n): with b null, n further links of a (by the others' weights); else a spanning link."""
+    turns: dict[int, np.ndarray] = {}
 
-    def close(at: tuple, members: list[tuple], turns: dict[int, np.ndarray]) -> list[tuple]:
+    def work(at: tuple, members: list[tuple]) -> list[tuple]:
         dims, t, _, p, q = at
         if dims not in turns:
             turns[dims] = rotation(dims)
-        own = np.array([m[1] for m in members])
-        left = np.flatnonzero(own == p)
-        right = left if p == q else np.flatnonzero(own == q)
-        v = np.frombuffer(b"".join(m[3] for m in members)).reshape(len(members), dims)
-        keys = np.array([m[2] for m in members])
+        rid, own, sides, weight, vector = (list(c) for c in zip(*members, strict=True))
+        sides, weight = unpacked(sides, 8 * len(sides[0])), np.array(weight, np.int64)
+        left, right = halves(at, np.array(own))
+        v = np.frombuffer(b"".join(vector)).reshape(len(members), dims)
         count, f, out = np.zeros(len(members), np.int64), Forest(), []
         for i, j in near(v[left], v[right], turns[dims], least):
             i, j = left[i], right[j]
-            first = ~(keys[i, :t] == keys[j, :t]).any(axis=1)
             if p == q:
-                first &= i < j
-            i, j = i[first], j[first]
-            count += np.bincount(i, minlength=len(count)) + np.bincount(j, minlength=len(count))
+                i, j = i[i < j], j[i < j]
+            new = ~met_before(sides, i, j, t, bits)
+            i, j = i[new], j[new]
+            np.add.at(count, i, weight[j])
+            np.add.at(count, j, weight[i])
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 if f.join(x, y):
-                    out.append((members[x][0], members[y][0], 0))
-        out += [(members[k][0], None, int(count[k])) for k in np.flatnonzero(count)]
+                    out.append((rid[x], rid[y], 0))
+        out += [(rid[k], None, int(count[k])) for k in np.flatnonzero(count)]
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, members, turns = None, [], {}
-        for b in (x for batch in batches for x in slices(batch)):
-            found: list[tuple] = []
-            c = b.to_pydict()
-            for row in zip(*(c[x] for x in ("dims", "t", "key", "p", "q", "rid", "own", "keys", "vector")), strict=True):
-                if row[:5] != at:
-                    if len(members) > 1:
-                        found += close(at, members, turns)
-                    at, members = row[:5], []
-                members.append(row[5:])
-            yield rows(found)
-        yield rows(close(at, members, turns) if len(members) > 1 else [])
-
-    def rows(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], ["a", "b", "n"])
-
-    by = ["dims", "t", "key", "p", "q"]
-    return places.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long, n long")
+    return by_pairs(places, ["rid", "own", "sides", "weight", "vector"], work, "a long, b long, n long")
 
 
 def near_copies(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
     bits, tables = tables_for(vectors.count(), least)
     codes = written(signed(vectors, bits, tables), "codes")
-    links = written(linked(placed(codes), least), "links")
-    counts = links.where("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n"))
-    roots = components(links.where("b is not null").select("a", "b"))
-    rows = codes.select("rid", "vec_id")
-    rows = rows.join(counts, "rid", "left").join(roots.withColumnRenamed("node", "rid"), "rid", "left")
-    rows = written(rows.select("rid", "vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("root", "rid").alias("root")), "rooted")
+    classes = codes.where("dims is not null").groupBy("dims", "same").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("weight"))
+    members = codes.select("rid", "vec_id", "dims", "same").join(classes, ["dims", "same"], "left")
+    members = written(members.select("rid", "vec_id", F.coalesce("rep", "rid").alias("rep"), F.coalesce("weight", F.lit(1)).alias("weight")), "members")
+    first = members.where("rid = rep").select("rid", "weight")
+    distinct = codes.where("dims is not null").join(first, "rid")
+    open_ = written(opened(placed(distinct), least, bits), "open")
+    links = written(linked(open_.join(distinct.select("rid", "sides", "weight", "vector"), "rid"), least, bits), "links")
+    counts = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    roots = components(links.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
+    rows = members.join(counts, "rep", "left").join(roots, "rep", "left")
+    rows = written(rows.select("rid", "vec_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "rooted")
     least_id = rows.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     out = rows.join(least_id, "root")
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -91,3 +91,32 @@ def test_query_recall(spark):
     assert len(got) == len(ids)
     assert sum(r.n_links for r in got) >= 0.99 * sum(w[1] for w in want.values())
     assert all(r.n_links <= want[r.vec_id][1] and r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+def test_equal_vectors_fold(spark):
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=32)
+    vectors = [list(map(float, c))] * 1500 + [list(map(float, c * 2))] * 500 + [list(map(float, c + rng.normal(size=32) * 0.1))] + [list(map(float, rng.normal(size=32)))] * 2
+    df = spark.createDataFrame([(i, v, "x", 0.5) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, same string, code double").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rabitq.near_copies(df).collect()}
+    assert all(got[i] == (2000, 0, i == 0) for i in range(2001))
+    assert got[2001] == (1, 2001, True) and got[2002] == (1, 2001, False)
+
+
+def test_codes_open_every_pair_that_links(spark):
+    """The bound from codes and bytes alone never closes a pair at the threshold."""
+    df = spark.createDataFrame(list(enumerate(sample())), "vec_id long, embedding array<double>")
+    codes = rabitq.signed(df, 1, 1)
+    rows = codes.collect()
+    v = {r.rid: np.frombuffer(r.vector) for r in rows}
+    unit = {k: x / np.linalg.norm(x) for k, x in v.items()}
+    open_ = {r.rid for r in rabitq.opened(rabitq.placed(codes), 0.9, 1).collect()}
+    key = {r.rid: r["keys"][0] for r in rows}
+    for a in v:
+        for b in v:
+            if a < b and key[a] == key[b] and unit[a] @ unit[b] >= 0.9:
+                assert a in open_ and b in open_
+    r = rows[0]
+    turned = unit[r.rid] @ rabitq.rotation(32)
+    assert np.abs(np.frombuffer(r.turned, np.int8) * r.step - turned).max() <= r.step / 2 + 1e-12
+    assert r.factor == pytest.approx(np.abs(turned).sum() / 32**0.5)
