@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,29 +51,64 @@ def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A number in the column's order: strings by their first seven bytes; null lowest."""
-    c, kind = F.col(f"`{name}`"), df.schema[name].dataType
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
-    return F.coalesce(F.nanvl(c.cast("double"), F.lit(None).cast("double")), F.lit(-1e300))
+def is_text(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.StringType, T.BinaryType))
+
+
+def as_number(name: str) -> Column:
+    """A number in the column's order, null lowest."""
+    return F.coalesce(F.nanvl(F.col(f"`{name}`").cast("double"), F.lit(None).cast("double")), F.lit(-1e300))
+
+
+def text_edges(df: DataFrame, name: str, bits: int) -> list:
+    """Equal-depth cuts of a text column on its whole values: the value at every 2**bits-th part of the rows, null lowest.
+
+    Distinct values are counted before they move, sorted by ranges and summed up within a range;
+    one count per range and 2**bits - 1 values reach the driver.
+    """
+    n = df.groupBy(F.col(f"`{name}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    lined = written(n.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    sums = sorted((r.part, r.n) for r in lined.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    start, starts, total = 0, [], sum(c for _, c in sums)
+    for part, c in sums:
+        starts.append((part, start))
+        start += c
+    if not total:
+        return []
+    begins = F.broadcast(df.sparkSession.createDataFrame(starts, "part int, start long"))  # one row per range
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    at = lined.join(begins, "part").withColumn("upto", upto)
+    step = lambda c: F.floor(c.cast("decimal(20)") * (1 << bits) / F.lit(total).cast("decimal(20)"))
+    cut = at.select("v", "upto", F.least(step(F.col("upto")), F.lit((1 << bits) - 1)).alias("b"), step(F.col("upto") - F.col("n")).alias("a")).where("b > a").orderBy("upto")
+    return [r.v for r in cut.collect() for _ in range(int(r.a), int(r.b))]
+
+
+def text_cell(name: str, edges: list) -> Column:
+    """Number of cuts under the value."""
+    low = sum(e is None for e in edges)
+    c, cell = F.col(f"`{name}`"), F.lit(low)
+    for e in edges[low:]:
+        cell = cell + (c > F.lit(e)).cast("int")
+    return F.when(c.isNull(), 0).otherwise(cell).cast("double")
 
 
 def along_curve(df: DataFrame, dims: list[str], out: str = "curve", bits: int = BITS) -> DataFrame:
     """``df`` with the Hilbert index of its quantised ``dims``.
 
-    The driver sees only the cuts: 2**bits - 1 numbers per dimension.
+    The driver sees only the cuts: 2**bits - 1 values per dimension. Text is cut by whole values.
     """
     share = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = df.agg(*[F.percentile_approx(as_number(df, d), share, 10000).alias(f"c{i}") for i, d in enumerate(dims)]).first()
-    edges = [np.array(cuts[i] or []) for i in range(len(dims))]
+    numbers = [d for d in dims if not is_text(df, d)]
+    cuts = df.agg(F.lit(0), *[F.percentile_approx(as_number(d), share, 10000).alias(f"c{i}") for i, d in enumerate(numbers)]).first()
+    edges = {d: np.array(cuts[i + 1] or []) for i, d in enumerate(numbers)}
+    held = [edges.get(d) for d in dims]
 
     @F.pandas_udf("long")
     def index(*cols: pd.Series) -> pd.Series:
-        return pd.Series(curve_index(np.stack([np.searchsorted(e, c.to_numpy(), side="left") for e, c in zip(edges, cols, strict=True)], axis=1), bits))
+        cells = [c.to_numpy().astype(np.int64) if e is None else np.searchsorted(e, c.to_numpy(), side="left") for e, c in zip(held, cols, strict=True)]
+        return pd.Series(curve_index(np.stack(cells, axis=1), bits))
 
-    return df.withColumn(out, index(*[as_number(df, d) for d in dims]))
+    return df.withColumn(out, index(*[as_number(d) if d in edges else text_cell(d, text_edges(df, d, bits)) for d in dims]))
 
 
 def cut_runs(df: DataFrame, order: str, ties: list[str], shards: int) -> DataFrame:

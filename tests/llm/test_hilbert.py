@@ -51,3 +51,23 @@ def test_files_prune(spark, tmp_path):
     spans = spark.read.parquet(str(tmp_path / "out")).groupBy("shard").agg({"source": "max", "size": "min"}).count()
     per = got.groupBy("shard").agg({"source": "approx_count_distinct"}).collect()
     assert spans == 16 and np.mean([r[1] for r in per]) < 9
+
+
+def test_text_is_cut_by_whole_values(spark):
+    """Values that part only after a long common head fall into cells of equal depth, as an exact sort gives them."""
+    rows = [(f"https://www.example.com/a{i % 40:02d}",) for i in range(400)] + [(None,)] * 20 + [("https://www.example.com/a07",)] * 200
+    df = spark.createDataFrame(rows, "source string").repartition(5)
+    line = sorted((r[0] for r in rows), key=lambda v: (v is not None, v or ""))
+    want = [line[-(-i * len(line) // 16) - 1] for i in range(1, 16)]
+    edges = hilbert.text_edges(df, "source", 4)
+    assert edges == want
+    cells = df.select("source", hilbert.text_cell("source", edges).alias("c")).distinct().collect()
+    for r in cells:
+        assert r.c == (0 if r.source is None else sum(e is None or e < r.source for e in want))
+    assert len({r.c for r in cells}) >= 9
+    mostly = spark.createDataFrame([(None,)] * 9 + [("a",), ("b",)], "source string")
+    low = hilbert.text_edges(mostly, "source", 2)
+    assert low == [None, None, None]
+    assert {r.source: r.c for r in mostly.select("source", hilbert.text_cell("source", low).alias("c")).collect()} == {None: 0, "a": 3, "b": 3}
+    assert hilbert.text_edges(mostly.limit(0), "source", 2) == []
+    assert hilbert.text_edges(spark.createDataFrame([(b"x\x00",), (b"x\x01",)], "source binary"), "source", 1) == [bytearray(b"x\x00")]
