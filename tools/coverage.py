@@ -11,7 +11,6 @@ sys.path.insert(0, str(ROOT))
 
 #: Ids whose queries do part of the method only: what is missing.
 PARTIAL = {
-    "A45": "scores per family, not per market; the close pillar is NULL",
     "Q2": "9 of 35 contracts; the registry takes the others as rows of data",
 }
 
