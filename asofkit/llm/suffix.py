@@ -50,6 +50,11 @@ P_2 = np.uint64(int(_RNG.integers(0, 1 << 63)) * 2 + 1)
 P_2_INV = np.uint64(pow(int(P_2), -1, 1 << 64))
 
 
+#: Low bits of a gram's rank that hold its place (64 GB of bytes in a block); the rest are of its hash. The width is the
+#: same in every block, so equal windows break ties alike (by place) whatever block they lie in.
+PLACE_BITS = 36
+
+
 def sums(raw: np.ndarray, of_byte: np.ndarray, base: np.uint64) -> np.ndarray:
     c = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(of_byte[raw] * powers(base, len(raw)), out=c[1:])
@@ -68,7 +73,7 @@ def segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
         return none, none, none, none, none, none
     c, inv = sums(raw, BYTE, P), powers(P_INV, n + 1)
     v = mix((c[gram:] - c[:-gram]) * inv[: n - gram + 1])
-    bits = np.uint64(n.bit_length())
+    bits = np.uint64(PLACE_BITS)
     v = (v >> bits << bits) | np.arange(len(v), dtype=np.uint64)
     span = 1
     while span * 2 <= width:
