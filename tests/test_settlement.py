@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from asofkit.operators.settlement import settle_sheet
 
 D = dt.date(2024, 6, 1)
@@ -60,3 +62,24 @@ def test_ledger_voids_what_has_no_answer(spark):
     assert [got[("B", m)] for m in ("home ML", "Runs > 7.5", "Home Runs > 3.5")] == [1, 1, 1] and got[("A", "Away Runs > 3.5")] == 0
     p = {(r.d, r.who): r.p for r in priced(spark.createDataFrame([("m", "a", D, 1), ("m", "b", D, 0), ("m", "a", dt.date(2024, 6, 2), 1)], "market string, who string, d date, y int")).collect()}
     assert p[(D, "a")] == 0.5 and p[(dt.date(2024, 6, 2), "a")] == (1 + 20 * 0.5) / 21
+
+
+def test_ledger_totals_equal_priced_rows_and_never_shuffle_single_markets(spark):
+    from pyspark.sql import functions as F
+
+    from asofkit.operators.ledger import graded, graded_totals, priced
+    from asofkit.plans.settlement import LINES, boxes, graded_ledger_loss, slate
+
+    sf = "/root/testdata/sf0.001"
+    bat, pit = boxes(spark, sf)
+    holes = bat.withColumn("entity", F.when(F.col("entity") % 7 != 0, F.col("entity"))).withColumn("r", F.when(F.col("entity") % 5 != 0, F.col("r")))
+    p, y = F.col("p"), F.col("y")
+    want = priced(graded(holes, pit, slate(spark, sf), LINES)).groupBy("family", "market", "who").agg(
+        F.count(F.lit(1)).alias("n"), F.count("y").alias("known"), F.sum("y").alias("hits"), F.round(F.sum("p"), 5).alias("expected"), F.round(F.sum(-(y * F.log(p) + (1 - y) * F.log(1 - p))), 5).alias("loss"))
+    got = graded_totals(holes, pit, slate(spark, sf), LINES).withColumns({c: F.round(c, 5) for c in ("expected", "loss")}).select(want.columns)
+    got, want = ({tuple(r)[:3]: tuple(r)[3:] for r in df.collect()} for df in (got, want))
+    assert got.keys() == want.keys() and len(got) > 1000
+    assert all(g == pytest.approx(w, abs=2e-5) for g, w in ((got[k], want[k]) for k in got))
+    # markets become rows only above the shuffles of lines and days: at most the totals by market move after it
+    plan = graded_ledger_loss(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [x for i, x in enumerate(plan) if "Join" in x and any("Generate explode" in z and z.index("Generate") > x.index("Join") for z in plan[i:])]
