@@ -39,3 +39,11 @@ def test_nth_arm_and_empty(spark):
     assert [(r.team, r.arm) for r in C.nth_arm(rows, ["team"], "d", "arm", "first").collect()] == [("x", 3)]
     none = rows.filter("false").select("team", "arm", "d", F.lit(1).alias("n"), F.lit(1).alias("np"))
     assert C.rested_pool(none, rows.select("team", "d").distinct(), ["team"], "arm", "d", "n", "np", []).count() == 0
+
+
+def test_every_frame_of_the_pool_only_grows(spark):
+    """A sliding frame is summed anew at each row, which costs rows times frame."""
+    u = spark.createDataFrame([("x", 1, D0, 1, 5, 0)], "team string, arm int, d date, n int, np int, sv int")
+    plan = C.rested_pool(u, u.select("team", "d"), ["team"], "arm", "d", "n", "np", ["sv"])._jdf.queryExecution().optimizedPlan().toString()
+    frames = [x.lower() for x in plan.split("specifiedwindowframe(RangeFrame, ")[1:]]
+    assert frames and all(x.startswith("unboundedpreceding") for x in frames)
