@@ -68,9 +68,10 @@ def settle_sheet(sheet: DataFrame, batters: DataFrame, pitchers: DataFrame, fina
     for box, stats, name in ((batters, BATTER_STATS, "bat"), (starts, PITCHER_STATS, "pit")):
         rows = rows.join(line(box.withColumnRenamed("game", "final_game"), stats, g, f"{name}_game"), g, "left").join(line(box, stats, day, f"{name}_day"), day, "left")
         rows = rows.withColumn(name, F.coalesce(f"{name}_game", F.when(F.col("day_ok"), F.col(f"{name}_day")))).drop(f"{name}_game", f"{name}_day")
-    boxed = [b.select(F.col("game").alias("final_game")).distinct().withColumn(n, F.lit(True)) for b, n in ((batters, "bat_boxed"), (pitchers, "pit_boxed"))]
-    rows = rows.join(finals.select(F.col("game").alias("final_game"), "home", "away", "home_score", "away_score"), "final_game", "left")
-    rows = rows.join(boxed[0], "final_game", "left").join(boxed[1], "final_game", "left")
+    facts = finals.select(F.col("game").alias("final_game"), "d", "matchup", "home", "away", "home_score", "away_score")
+    for box, name in ((batters, "bat_boxed"), (pitchers, "pit_boxed")):
+        facts = facts.join(box.select(F.col("game").alias("final_game")).distinct().withColumn(name, F.lit(True)), "final_game", "left")
+    rows = rows.join(facts, ["final_game", "d", "matchup"], "left")  # a final is of its row's day and matchup, and these spread rows without one
     prop, scope = F.col("prop"), scope_of(F.col("prop"))
     known = F.col("final_game").isNotNull()
     # the stat columns of one side at a time, under the names the expressions use

@@ -83,3 +83,15 @@ def test_ledger_totals_equal_priced_rows_and_never_shuffle_single_markets(spark)
     # markets become rows only above the shuffles of lines and days: at most the totals by market move after it
     plan = graded_ledger_loss(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert not [x for i, x in enumerate(plan) if "Join" in x and any("Generate explode" in z and z.index("Generate") > x.index("Join") for z in plan[i:])]
+
+
+def test_rows_without_a_final_are_spread(spark):
+    """Rows meet the finals by (game, day, matchup): by game alone, all rows without a final would share one task."""
+    from asofkit.plans.settlement import boxes, sheet, slate
+
+    sf = "/root/testdata/sf0.001"
+    bat, pit = boxes(spark, sf)
+    plan = settle_sheet(sheet(spark, sf), bat, pit, slate(spark, sf).filter("home_score IS NOT NULL"))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join LeftOuter" in x and "final_game" in x]
+    alone = [x for x in joins if " AND " not in x and " && " not in x]
+    assert len(alone) == 2 and any("matchup" in x for x in joins)  # the two of finals and boxes
