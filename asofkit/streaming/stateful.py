@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,30 +34,42 @@ def islands(events: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def walk(held: tuple | None, events: Iterable[tuple]) -> tuple[list[tuple], tuple | None]:
+    """The rule of ``islands``, one event (d, kind, k) at a time: stints closed by ``events`` and the open one (place, il60, rehab)."""
+    place, il60, rehab = held or (None, 0, 0)
+    opened, done = held is not None, []
+    for d, kind, k in events:
+        if kind == "activate":
+            if opened:
+                done.append((place, d, il60, rehab))
+            opened, place, il60, rehab = False, None, 0, 0
+        elif kind in ("place", "transfer"):
+            if not opened:
+                opened, place = True, d
+            il60 = int(il60 or (k or 0) >= 60)
+        elif kind == "rehab" and opened:
+            rehab = 1
+    return done, (place, il60, rehab) if opened else None
+
+
 class StintProcessor(StatefulProcessor):
-    """The open island of a player is the state; it leads the next batch as the events that made it."""
+    """The open island of a player is the state. Rows are walked as they are: a frame per player costs more than its events."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", "place date, il60 int, rehab int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # a micro-batch of one key is bounded by the trigger's file limit
-        batch = pd.concat(list(rows)).sort_values(["d", "event_id"], kind="mergesort")[["d", "kind", "k"]]
-        if self.open.exists():
-            place, long, rehab = self.open.get()
-            lead = [(place, "place", 60 if long else 0)] + [(place, "rehab", 0)] * int(rehab)
-            batch = pd.concat([pd.DataFrame(lead, columns=["d", "kind", "k"]), batch])
-        out = islands(batch)
-        left = out[out["act_date"].isna()]
-        if len(left):
-            r = left.iloc[-1]
-            self.open.update((r["place_date"], int(r["il60"]), int(r["rehab"])))
-        else:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # a micro-batch of one key is bounded by the trigger's file limit; missing days and ids come last
+        batch = sorted(rows, key=lambda r: (r["d"] is None, r["d"], r["event_id"] is None, r["event_id"]))
+        got = self.open.get()
+        held = None if got is None else tuple(got)
+        done, left = walk(held, [(r["d"], r["kind"], r["k"]) for r in batch])
+        if left is None and held is not None:
             self.open.clear()
-        if len(out):
-            out["user_id"] = key[0]
-            out["act_date"] = out["act_date"].astype(object).where(out["act_date"].notna(), None)
-            yield out[["user_id", "place_date", "act_date", "il60", "rehab"]].reset_index(drop=True)
+        elif left is not None and left != held:
+            self.open.update(left)
+        for place, act, il60, rehab in done + ([(left[0], None, *left[1:])] if left else []):
+            yield Row(user_id=key[0], place_date=place, act_date=act, il60=il60, rehab=rehab)
 
     def close(self) -> None:
         pass
@@ -66,4 +78,4 @@ class StintProcessor(StatefulProcessor):
 def stint_stream(events: DataFrame) -> DataFrame:
     """Stream of (user_id, d, event_id, kind, k) to stint versions."""
     use_rocksdb(events.sparkSession)
-    return events.groupBy("user_id").transformWithStateInPandas(StintProcessor(), STINT_SCHEMA, "Update", "None")
+    return events.groupBy("user_id").transformWithState(StintProcessor(), STINT_SCHEMA, "Update", "None")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from asofkit.operators.windows import date_runs, last_n_form, stints
-from asofkit.streaming.stateful import islands
+from asofkit.streaming.stateful import islands, walk
 
 D0 = dt.date(2024, 1, 1)
 
@@ -52,6 +52,20 @@ def test_islands_carry_over_batches():
         assert got + left == whole
 
 
+def test_walk_in_pieces_is_the_frame_form():
+    """The walk of the keyed state, fed in pieces with what it left open, gives the stints of the frames."""
+    rnd = random.Random(5)
+    for _ in range(60):
+        ev = [(D0 + dt.timedelta(days=i), rnd.choice(["place", "transfer", "activate", "rehab"]), rnd.choice([None, 10, 60])) for i in range(25)]
+        whole = islands(pd.DataFrame(ev, columns=["d", "kind", "k"]))[["place_date", "act_date", "il60", "rehab"]].astype(object)
+        got, held = [], None
+        for at in range(0, 25, 7):
+            done, held = walk(held, ev[at : at + 7])
+            got += done
+        got += [(held[0], None, *held[1:])] if held else []
+        assert got == [tuple(x) for x in whole.where(whole.notna(), None).values.tolist()]
+
+
 def test_last_n_ignores_the_same_day(spark):
     df = spark.createDataFrame([(1, 2024, D0, 1, 10.0), (1, 2024, D0, 2, 20.0), (1, 2024, D0 + dt.timedelta(days=1), 3, 30.0), (1, 2024, D0 + dt.timedelta(days=2), 4, 0.0), (1, 2025, D0 + dt.timedelta(days=400), 5, 0.0)],
                                "team int, season int, d date, game int, v double")
