@@ -227,13 +227,14 @@ def settled(start: DataFrame, step, tol: float = TOL, limit: int = LIMIT) -> Dat
 
 
 def logistic_fits(cells: DataFrame, keys: Sequence[str], z: str, n: str, sy: str, a0: float = 0.0, b0: float = 1.0,
-                  start: DataFrame | None = None, keep_unsettled: bool = False) -> DataFrame:
+                  start: DataFrame | None = None, keep_unsettled: bool = False, written: bool = False) -> DataFrame:
     """Two-parameter logistic fit per key by Newton steps; each step is one grouped aggregate of five sums
     for all keys at once. ``cells`` is pre-folded: rows (keys, z) with weight n and positives sy.
     Keys whose steps do not settle (separable data) are left out, or kept with their last values and ``settled`` false.
+    ``written``: the cells are a table already.
     """
     keys = list(keys)
-    cells = cut_lineage(cells)
+    cells = cells if written else cut_lineage(cells)
     coef = start if start is not None else cells.groupBy(*keys).agg(F.lit(a0).alias("a"), F.lit(b0).alias("b"))
 
     def step(coef: DataFrame) -> DataFrame:
@@ -257,9 +258,9 @@ def logistic_fits(cells: DataFrame, keys: Sequence[str], z: str, n: str, sy: str
 def platt_maps(led: DataFrame, keys: Sequence[str], min_n: int) -> DataFrame:
     """Usable maps only: enough rows, both classes present, positive slope. Others mean identity."""
     keys = list(keys)
-    cells = led.groupBy(*keys, P.logit("p").alias("z")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"))
+    cells = cut_lineage(led.groupBy(*keys, P.logit("p").alias("z")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy")))
     size = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"))
-    fit = logistic_fits(cells, keys, "z", "n", "sy")
+    fit = logistic_fits(cells, keys, "z", "n", "sy", written=True)
     return fit.join(size, keys).filter((F.col("n") >= min_n) & (F.col("sy") > 0) & (F.col("sy") < F.col("n")) & (F.col("b") > 0)).select(
         *keys, "n", "a", "b")
 

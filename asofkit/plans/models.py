@@ -9,6 +9,7 @@ from asofkit.functions import vectors as V
 from asofkit.operators import learn as M
 from asofkit.plans._roles import LABELS, appearances, table
 from asofkit.registry import query
+from asofkit.session import cut_lineage
 
 FEATS = ["qty", "disc", "tax", "prior"]
 #: Settings of the fits: iterations of a linear model (it stops at its tolerance before), trees and their depth.
@@ -23,8 +24,9 @@ def training_rows(spark, d):
     rate = class_counts(pa, ["pitcher", "season"], "label", LABELS).select("pitcher", "season", (F.col("cR") / F.col("n")).alias("prior"))
     rows = prior_season(pa, rate, ["pitcher"], "season", "season", ["prior"])
     label = F.when(F.col("label") == "cA", 0.0).when(F.col("label") == "cN", 1.0).otherwise(2.0)
-    return rows.select("game", "seq", "pitcher", "batter", "d", "season", *FEATS, label.alias("y"), (F.col("price") > 50000).cast("double").alias("hi"),
+    rows = rows.select("game", "d", "season", *FEATS, label.alias("y"), (F.col("price") > 50000).cast("double").alias("hi"),
                        F.when(F.col("status") == "O", 1.0).otherwise(0.0).alias("open"))
+    return cut_lineage(rows)  # fits and predictions read them many times: one join, not one per reader
 
 
 @query("M2 M4 X28")
@@ -64,16 +66,18 @@ def walk_forward(spark, d):
     """Rolling origin: train, calibrate with a Platt map, score; honest folds pooled by exposure."""
     from asofkit.operators import evaluation as E
 
-    r, out, windows = training_rows(spark, d), None, None
+    r = training_rows(spark, d)
+    scored = windows = None
     for fold in (1998, 1999, 2000, 2001):
         m = M.fit_classifier(r.filter(F.col("season") <= fold - 2), FEATS, "open", "binary", maxIter=ITERS)
-        one = lambda s: M.predict(m, r.filter(F.col("season") == s), "v").select("game", "d", "open", F.element_at("v", 2).alias("p"), F.lit(fold).alias("fold"))  # noqa: E731,B023
-        cal = one(fold - 1).select("fold", "p", F.col("open").cast("int").alias("y"))
-        ab = E.platt_maps(cal, ["fold"], 500)
-        te = one(fold).join(ab.select("fold", "a", "b"), "fold", "left")
-        te = te.withColumn("p_cal", F.when(F.col("a").isNull(), F.col("p")).otherwise(P.platt("p", "a", "b")))
+        one = M.predict(m, r.filter(F.col("season").isin(fold - 1, fold)), "v").select(
+            F.lit(fold).alias("fold"), (F.col("season") == fold).alias("late"), "d", "open", F.element_at("v", 2).alias("p"))
         seen = M.fit_window(r.filter(F.col("season") < fold).withColumn("fold", F.lit(fold)), "fold", "d")
-        out, windows = (te, seen) if out is None else (out.unionByName(te), windows.unionByName(seen))
+        scored, windows = (one, seen) if scored is None else (scored.unionByName(one), windows.unionByName(seen))
+    scored = cut_lineage(scored)  # every fold's two seasons scored once; the maps of all folds settle together
+    ab = E.platt_maps(scored.filter("NOT late").select("fold", "p", F.col("open").cast("int").alias("y")), ["fold"], 500)
+    out = scored.filter("late").join(ab.select("fold", "a", "b"), "fold", "left")
+    out = out.withColumn("p_cal", F.when(F.col("a").isNull(), F.col("p")).otherwise(P.platt("p", "a", "b")))
     honest = M.judge_folds(out, windows, "fold", "d").select("fold", F.col("honest").alias("__h"))
     out = out.join(honest, "fold").withColumn("honest", F.col("__h") & F.col("a").isNotNull())
     return M.evaluate_folds(out, "fold", "open", "p_cal", "honest").select("fold", "n", F.round("ll", 5).alias("ll"), "honest")
