@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from asofkit.functions.prob import log_loss, logit, recency_weight, sigmoid
 from asofkit.functions.vectors import blend_mean, tree_compose
+from asofkit.session import cut_lineage
 
 
 def walk_forward_windows(df: DataFrame, season: str, folds: Sequence[int]) -> DataFrame:
@@ -45,14 +46,17 @@ def feature_stages(features: Sequence[str], out: str = "features") -> list:
             StandardScaler(inputCol="__raw", outputCol=out, withMean=True)]
 
 
-def fit_classifier(train: DataFrame, features: Sequence[str], label: str, kind: str = "logistic", weight: str | None = None, seed: int = 7, **params):
-    """Pipeline model for a class index 0..k-1."""
+def classifier(label: str, kind: str = "logistic", weight: str | None = None, seed: int = 7, **params):
     kw = {"featuresCol": "features", "labelCol": label, **params}
     if weight:
         kw["weightCol"] = weight
-    est = {"logistic": lambda: LogisticRegression(family="multinomial", **kw), "binary": lambda: LogisticRegression(family="binomial", **kw),
-           "forest": lambda: RandomForestClassifier(seed=seed, **kw), "boosted": lambda: GBTClassifier(seed=seed, **kw)}[kind]()
-    return Pipeline(stages=[*feature_stages(features), est]).fit(train)
+    return {"logistic": lambda: LogisticRegression(family="multinomial", **kw), "binary": lambda: LogisticRegression(family="binomial", **kw),
+            "forest": lambda: RandomForestClassifier(seed=seed, **kw), "boosted": lambda: GBTClassifier(seed=seed, **kw)}[kind]()
+
+
+def fit_classifier(train: DataFrame, features: Sequence[str], label: str, kind: str = "logistic", weight: str | None = None, seed: int = 7, **params):
+    """Pipeline model for a class index 0..k-1."""
+    return Pipeline(stages=[*feature_stages(features), classifier(label, kind, weight, seed, **params)]).fit(train)
 
 
 def predict(model, rows: DataFrame, out: str) -> DataFrame:
@@ -65,10 +69,16 @@ def recency_weighted(df: DataFrame, date: str, last: Column, half_life_years: fl
 
 
 def bagged(train: DataFrame, rows: DataFrame, features: Sequence[str], label: str, seeds: Sequence[int], kind: str = "forest", **params) -> DataFrame:
-    """One fit per seed; the members' vectors are averaged per row and kept for their spread."""
-    out = rows
+    """One fit per seed; the members' vectors are averaged per row and kept for their spread.
+
+    The stages before the fits know no seed: they are fitted once, and their training rows written once for all members.
+    """
+    stages = Pipeline(stages=feature_stages(features)).fit(train)
+    ready = cut_lineage(stages.transform(train).select("features", label))
+    out = stages.transform(rows).select(*rows.columns, "features")
     for s in seeds:
-        out = predict(fit_classifier(train, features, label, kind, seed=s, **params), out, f"__m{s}")
+        out = predict(classifier(label, kind, seed=s, **params).fit(ready), out, f"__m{s}")
+    out = out.drop("features")
     members = F.array(*[F.col(f"__m{s}") for s in seeds])
     return out.withColumn("members", members).withColumn("p", blend_mean("members")).drop(*[f"__m{s}" for s in seeds])
 
