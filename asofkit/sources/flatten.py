@@ -72,18 +72,27 @@ def boxscore(docs: DataFrame, batting: list[str], pitching: list[str], body: str
     return game, bat, pit
 
 
-def _pairs(outcomes: Column, player: bool, default_line: float | None) -> Column:
-    """Distinct (who, line) of a market's outcomes with the last price of each side."""
+def _sides(outcomes: Column, player: bool, default_line: float | None) -> Column:
+    """Outcomes with a side and a line, as (side, who, line, price)."""
     o = F.transform(outcomes, lambda x: F.struct(bet_side(x["name"]).alias("side"), x["description"].alias("who"),
                                                  (F.coalesce(x["point"], F.lit(default_line)) if default_line is not None else x["point"]).alias("line"), x["price"].alias("price")))
-    o = F.filter(o, lambda x: x["side"].isNotNull() & x["line"].isNotNull() & ((F.coalesce(x["who"], F.lit("")) != "") if player else F.lit(True)))
-    keys = F.array_distinct(F.transform(o, lambda x: F.struct(x["who"], x["line"])))
+    return F.filter(o, lambda x: x["side"].isNotNull() & x["line"].isNotNull() & ((F.coalesce(x["who"], F.lit("")) != "") if player else F.lit(True)))
+
+
+def _paired(m: DataFrame, player: bool, default_line: float | None) -> DataFrame:
+    """Rows of ``m`` (column ``outs``) per distinct (who, line) of their outcomes, with the last price of each side as ``p``.
+
+    The sides are an exploded column of one element, so that every pair reads them and none computes them again.
+    """
+    m = m.withColumn("__o", F.explode(F.array(_sides(F.col("outs"), player, default_line))))
 
     def price(k: Column, s: str) -> Column:
-        hit = F.filter(o, lambda x: x["who"].eqNullSafe(k["who"]) & (x["line"] == k["line"]) & (x["side"] == s))
-        return F.when(F.size(hit) > 0, F.element_at(hit, -1)["price"])
+        hit = F.filter("__o", lambda x: x["who"].eqNullSafe(k["who"]) & (x["line"] == k["line"]) & (x["side"] == s))
+        return F.try_element_at(hit, F.lit(-1))["price"]
 
-    return F.transform(keys, lambda k: F.struct(k["who"], k["line"], price(k, "over").alias("over"), price(k, "under").alias("under")))
+    keys = F.array_distinct(F.transform("__o", lambda x: F.struct(x["who"], x["line"])))
+    pairs = F.transform(keys, lambda k: F.struct(k["who"], k["line"], price(k, "over").alias("over"), price(k, "under").alias("under")))
+    return m.withColumn("p", F.explode(pairs)).drop("__o", "outs")
 
 
 def _markets(docs: DataFrame, body: str) -> DataFrame:
@@ -97,7 +106,7 @@ def prop_prices(docs: DataFrame, base_market: dict[str, str], default_line: floa
     m = _markets(docs, body).filter(F.col("api").isin(*base_market))
     name = F.element_at(F.create_map(*[F.lit(x) for kv in base_market.items() for x in kv]), F.col("api"))
     keep = [c for c in docs.columns if c != body]
-    return m.select(*keep, "Book", name.alias("Market"), F.explode(_pairs(F.col("outs"), True, default_line)).alias("p")).select(
+    return _paired(m.select(*keep, "Book", name.alias("Market"), "outs"), True, default_line).select(
         *keep, "Book", "Market", F.col("p.who").alias("PlayerName"), F.col("p.line").alias("Line"), F.col("p.over").alias("OverPrice"), F.col("p.under").alias("UnderPrice"))
 
 
@@ -106,9 +115,8 @@ def game_prices(docs: DataFrame, body: str = "body") -> DataFrame:
     keep = [c for c in docs.columns if c != body]
     m = _markets(docs, body)
     two = lambda df: df.filter(F.col("p.over").isNotNull() & F.col("p.under").isNotNull())
-    tot = two(m.filter(F.col("api").isin("totals", "alternate_totals")).withColumn("outs", F.transform("outs", lambda o: o.withField("description", F.lit(None).cast("string")))).select(
-        *keep, "Book", F.explode(_pairs(F.col("outs"), False, None)).alias("p"))).select(*keep, "Book", F.lit("totals").alias("Market"), F.col("home").alias("Team"), "p.line", "p.over", "p.under")
-    tt = two(m.filter(F.col("api").isin("team_totals", "alternate_team_totals")).select(*keep, "Book", F.explode(_pairs(F.col("outs"), True, None)).alias("p"))).select(
+    tot = two(_paired(m.filter(F.col("api").isin("totals", "alternate_totals")).withColumn("outs", F.transform("outs", lambda o: o.withField("description", F.lit(None).cast("string")))), False, None)).select(*keep, "Book", F.lit("totals").alias("Market"), F.col("home").alias("Team"), "p.line", "p.over", "p.under")
+    tt = two(_paired(m.filter(F.col("api").isin("team_totals", "alternate_team_totals")), True, None)).select(
         *keep, "Book", F.lit("team_totals").alias("Market"), F.col("p.who").alias("Team"), "p.line", "p.over", "p.under")
     of = lambda who: F.get(F.filter("outs", lambda o: o["name"] == F.col(who)), F.lit(0))["price"]
     h2h = m.filter("api = 'h2h'").select(*keep, "Book", F.lit("h2h").alias("Market"), F.col("home").alias("Team"), F.lit(None).cast("double").alias("line"), of("home").alias("over"), of("away").alias("under"))

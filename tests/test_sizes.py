@@ -15,3 +15,7 @@ def test_sums_are_taken_behind_the_shuffle(spark):
     p = plan(spark, "sufficient_statistics")
     exchange = p.index("Exchange hashpartitioning")
     assert len(re.findall("Exchange hash", p)) == 1 and p.rindex("HashAggregate") < exchange
+
+
+def test_outcome_sides_are_computed_once(spark):
+    assert plan(spark, "odds_prop_rows", "optimizedPlan").count("lower(") <= 2
