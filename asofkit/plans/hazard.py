@@ -67,7 +67,7 @@ def removal_hazard_fit(spark, d):
 @query("M12 M5")
 def removal_hazard(spark, d):
     """Hazards of both causes, their sum calibrated on one season and scored on those after it, against a constant rate."""
-    cells = _cause_cells(risk_rows(spark, d))
+    cells = cut_lineage(_cause_cells(risk_rows(spark, d)))  # few cells; the fit and the scores read them
     fit = G.fit_logistic(cells.filter(F.col("season") < CALIBRATE), "cause", HAZARD, "n", "sy")
     scored = G.score(cells, G.coefficients(fit, "cause", list(HAZARD)), "cause", HAZARD, "p")
     wide = scored.groupBy("season", *HAZARD).agg(F.max("n").alias("n"), F.sum("sy").alias("sy"), *[F.max(F.when(F.col("cause") == c, F.col("p"))).alias(f"p_{c}") for c in CAUSES])
