@@ -1,9 +1,10 @@
 """Gradient boosting of binary outcomes with an offset per row, one model per key, as grouped aggregations.
 
-Rows keep small bin numbers; one level of one tree for all keys together is one
-aggregation of gradients and hessians by (key, node, feature, bin), partial in
-every task, so a hot key costs no more than its rows. Splits come from a scan over
-at most 256 bins. What moves between steps is the model: a row per key.
+Rows keep small bin numbers, and a row's node and score follow from them and its
+offset. So one tree for all keys together is one aggregation of the rows: gradients
+and hessians by (key, bins), partial in every task, so a hot key costs no more than
+its rows. All levels of the tree read that table. Splits come from a scan over at
+most 256 bins. What moves between steps is the model and the shift of each (key, bins).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ TREE = f"struct<splits:map<int,{SPLIT}>,leaf:map<int,double>>"
 
 @dataclass(frozen=True)
 class Boosting:
-    """Settings; the sums start afresh from stored scores every ``refresh`` trees."""
+    """Settings. ``refresh`` changes nothing: the trees' sum is stored per (key, bins) after every tree."""
 
     rounds: int = 400
     depth: int = 3
@@ -44,7 +45,8 @@ def binned(edges: dict[str, list[float]]) -> Column:
     """Bin numbers in the order of ``edges``: 0 for a missing value, else one more than the cut points below it."""
 
     def one(name: str, cuts: list[float]) -> Column:
-        below = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda e: e < F.col(name).cast("double")))
+        # plain comparisons are compiled, a filter over an array is not
+        below = sum(((F.col(name).cast("double") > float(c)).cast("int") for c in cuts), F.lit(0))
         return F.when(P.nan_to_null(F.col(name)).isNull(), 0).otherwise(below + 1).cast("int")
 
     return F.array(*[one(n, c) for n, c in edges.items()])
@@ -72,16 +74,28 @@ def raw_score(trees: Column, bins: Column, depth: int) -> Column:
     return F.aggregate(trees, F.lit(0.0), lambda a, t: a + tree_value(t, bins, depth))
 
 
+def gradients(rows: DataFrame, keys: Sequence[str], bins: str, score: Column, y: Column, *more: Column) -> DataFrame:
+    """Sums g, h and n of every (keys, bins): rows with equal bins share the node in every level."""
+    p = P.sigmoid(F.col("__score"))
+    at = rows.withColumns({"__score": score, "__yy": y})
+    return at.groupBy(*keys, bins).agg(F.sum(F.col("__yy") - p).alias("g"), F.sum(p * (1 - p)).alias("h"), F.count(F.lit(1)).alias("n"), *more)
+
+
 def best_splits(rows: DataFrame, keys: Sequence[str], node: Column, bins: Column, score: Column, y: Column, s: Boosting) -> DataFrame:
     """Best split of every (keys, node): feature index, last bin on the left, sums of both sides and gain; f is null where none helps.
 
     Ties go to the lower feature and bin.
     """
+    at = rows.select(*keys, node.alias("node"), bins.alias("__b"), score.alias("__z"), y.alias("__y"))
+    return cell_splits(gradients(at, [*keys, "node"], "__b", F.col("__z"), F.col("__y")), keys, F.col("node"), F.col("__b"), s)
+
+
+def cell_splits(cells: DataFrame, keys: Sequence[str], node: Column, bins: Column, s: Boosting) -> DataFrame:
+    """``best_splits`` from the sums g, h and n of ``gradients``."""
     keys = list(keys)
-    p = P.sigmoid(score)
-    # every row in every feature's histogram: sums are partial in the task that reads the row
-    wide = rows.select(*keys, node.alias("node"), (y - p).alias("g"), (p * (1 - p)).alias("h"), F.posexplode(bins).alias("f", "b"))
-    hist = wide.groupBy(*keys, "node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
+    # every cell in every feature's histogram: sums are partial in the task that reads the cell
+    wide = cells.select(*keys, node.alias("node"), "g", "h", "n", F.posexplode(bins).alias("f", "b"))
+    hist = wide.groupBy(*keys, "node", "f", "b").agg(*[F.sum(c).alias(c) for c in "ghn"])
     w = Window.partitionBy(*keys, "node", "f")
     upto = w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     cum = hist.select(*keys, "node", "f", "b", *[F.sum(c).over(upto).alias(f"{c}l") for c in "ghn"], *[F.sum(c).over(w).alias(f"{c}t") for c in "ghn"])
@@ -95,22 +109,23 @@ def best_splits(rows: DataFrame, keys: Sequence[str], node: Column, bins: Column
                        F.coalesce("s.gr", F.lit(0.0)).alias("gr"), F.coalesce("s.hr", F.lit(0.0)).alias("hr"))
 
 
-def boosted(rows: DataFrame, keys: Sequence[str], bins: str, offset: str, y: str, s: Boosting) -> DataFrame:
-    """(keys, trees) fitted on ``rows`` with the log-odds ``offset`` held fixed; leaves are Newton steps times the rate."""
+def boosted(rows: DataFrame, keys: Sequence[str], bins: str, offset: str, y: str, s: Boosting, written: bool = False) -> DataFrame:
+    """(keys, trees) fitted on ``rows`` with the log-odds ``offset`` held fixed; leaves are Newton steps times the rate.
+
+    ``written``: the rows are a table already.
+    """
     keys = list(keys)
-    rows = cut_lineage(rows.select(*keys, bins, F.col(offset).cast("double").alias("__z"), F.col(y).cast("double").alias("__y")))
-    model = cut_lineage(rows.select(*keys).distinct().withColumn("trees", F.array().cast(f"array<{TREE}>")))
-    recent = model
+    rows = rows.select(*keys, bins, F.col(offset).cast("double").alias("__z"), F.col(y).cast("double").alias("__y"))
+    rows = rows if written else cut_lineage(rows)
+    model, shift = None, None
     for t in range(s.rounds):
-        if t and t % s.refresh == 0:
-            score = F.col("__z") + raw_score(F.col("trees"), F.col(bins), s.depth)
-            rows = cut_lineage(rows.join(recent, keys).select(*keys, bins, score.alias("__z"), "__y"))
-            recent = recent.withColumn("trees", F.array().cast(f"array<{TREE}>"))
-        grown = cut_lineage(recent.withColumn("splits", F.map_from_arrays(F.array().cast("array<int>"), F.array().cast(f"array<{SPLIT}>"))))
+        at = rows.withColumn("__s", F.lit(0.0)) if shift is None else rows.join(shift, [*keys, bins])
+        cells = cut_lineage(gradients(at, keys, bins, F.col("__z") + F.col("__s"), F.col("__y"), F.first("__s").alias("__s")))
+        if model is None:
+            model = cut_lineage(cells.select(*keys).distinct().withColumn("trees", F.array().cast(f"array<{TREE}>")))
+        grown = model.select(*keys, F.map_from_arrays(F.array().cast("array<int>"), F.array().cast(f"array<{SPLIT}>")).alias("splits"))
         for level in range(s.depth):
-            at = rows.join(grown, keys)
-            score = F.col("__z") + raw_score(F.col("trees"), F.col(bins), s.depth)
-            found = best_splits(at, keys, node_of(F.col("splits"), F.col(bins), level), F.col(bins), score, F.col("__y"), s)
+            found = cell_splits(cells.join(grown, keys), keys, node_of(F.col("splits"), F.col(bins), level), F.col(bins), s)
             cut = F.map_from_entries(F.filter(F.collect_list(F.struct("node", F.when(F.col("f").isNotNull(), F.struct("f", "b")).alias("s"))), lambda e: e["s"].isNotNull()))
             value = lambda side: s.rate * F.col(f"g{side}") / (F.col(f"h{side}") + s.ridge)
             leaves = F.map_from_entries(F.flatten(F.collect_list(F.array(F.struct(F.col("node") * 2, value("l")), F.struct(F.col("node") * 2 + 1, value("r"))))))
@@ -120,17 +135,24 @@ def boosted(rows: DataFrame, keys: Sequence[str], bins: str, offset: str, y: str
                 grown = grown.withColumn("tree", F.struct("splits", "leaf").cast(TREE))
             grown = cut_lineage(grown.drop("cut", "leaf"))
         add = grown.select(*keys, "tree")
-        recent, model = (cut_lineage(m.join(add, keys).withColumn("trees", F.array_append("trees", F.col("tree"))).drop("tree")) for m in (recent, model))
-    return model
+        model = cut_lineage(model.join(add, keys).withColumn("trees", F.array_append("trees", F.col("tree"))).drop("tree"))
+        if t < s.rounds - 1:
+            shift = cut_lineage(cells.join(add, keys).select(*keys, bins, (F.col("__s") + tree_value(F.col("tree"), F.col(bins), s.depth)).alias("__s")))
+    return model if model is not None else rows.select(*keys).distinct().withColumn("trees", F.array().cast(f"array<{TREE}>"))
+
+
+def _of_bins(rows: DataFrame, model: DataFrame, keys: Sequence[str], bins: str, value: Column, out: str) -> DataFrame:
+    """(keys, bins, out): ``value`` of the model, once for each combination of bins and not for each row."""
+    return cut_lineage(rows.select(*keys, bins).distinct().join(model, list(keys)).select(*keys, bins, value.alias(out)))
 
 
 def best_rounds(rows: DataFrame, model: DataFrame, keys: Sequence[str], bins: str, offset: str, y: str, depth: int) -> DataFrame:
     """(keys, n_holdout, best_iter, ll_base, ll_head): the number of trees with the least loss on ``rows``, the first of equals, in one pass."""
     keys = list(keys)
-    z, b = F.col(offset).cast("double"), F.col(bins)
-    run = F.aggregate(F.col("trees"), F.array(z), lambda acc, t: F.array_append(acc, F.element_at(acc, -1) + tree_value(t, b, depth)))
-    long = rows.join(model, keys).select(*keys, F.col(y).alias("y"), F.posexplode(run).alias("trees", "z"))
-    ll = long.groupBy(*keys, "trees").agg(F.count(F.lit(1)).alias("n"), F.avg(P.log_loss("y", P.sigmoid(F.col("z")))).alias("ll"))
+    run = F.aggregate(F.col("trees"), F.array(F.lit(0.0)), lambda acc, t: F.array_append(acc, F.element_at(acc, -1) + tree_value(t, F.col(bins), depth)))
+    at = rows.select(*keys, bins, F.col(offset).cast("double").alias("__z"), F.col(y).alias("y")).join(_of_bins(rows, model, keys, bins, run, "__run"), [*keys, bins])
+    long = at.select(*keys, "y", "__z", F.posexplode("__run").alias("trees", "__s")).withColumn("__p", P.sigmoid(F.col("__z") + F.col("__s")))
+    ll = long.groupBy(*keys, "trees").agg(F.count(F.lit(1)).alias("n"), F.avg(P.log_loss("y", "__p")).alias("ll"))
     fitted = F.struct(F.round("ll", 12).alias("r"), "trees", "ll")
     return ll.groupBy(*keys).agg(F.max("n").alias("n_holdout"), F.min(F.when(F.col("trees") > 0, fitted)).alias("best"), F.max(F.when(F.col("trees") == 0, F.col("ll"))).alias("ll_base")).select(
         *keys, "n_holdout", F.col("best.trees").alias("best_iter"), "ll_base", F.col("best.ll").alias("ll_head"))
@@ -143,9 +165,9 @@ def apply_heads(rows: DataFrame, heads: DataFrame, keys: Sequence[str], bins: st
     """
     keys = list(keys)
     use = heads.filter("gain > 0").select(*keys, F.slice("trees", F.lit(1), F.col("best_iter")).alias("__trees"))
-    z = P.logit(p) + raw_score(F.col("__trees"), F.col(bins), depth)
-    shifted = P.clip(P.sigmoid(z), 1e-6, 1 - 1e-6)
-    return rows.join(use, keys, "left").withColumn(out, F.when(F.col("__trees").isNull(), F.col(p)).otherwise(shifted)).drop("__trees")
+    shift = _of_bins(rows, use, keys, bins, raw_score(F.col("__trees"), F.col(bins), depth), "__s")
+    shifted = P.clip(P.sigmoid(P.logit(p) + F.col("__s")), 1e-6, 1 - 1e-6)
+    return rows.join(shift, [*keys, bins], "left").select(*rows.columns, F.when(F.col("__s").isNull(), F.col(p)).otherwise(shifted).alias(out))
 
 
 def residual_heads(led: DataFrame, family: str, date: str, p: str, y: str, edges: dict[str, list[float]], s: Boosting, holdout: float = 0.25, least: int = 3000) -> tuple[DataFrame, DataFrame]:
@@ -162,7 +184,7 @@ def residual_heads(led: DataFrame, family: str, date: str, p: str, y: str, edges
     fit = cut_lineage(fit.select(family, "n", "fits", "__cut"))
     rows = led.join(fit.filter("fits").select(family, "__cut"), family)
     rows = cut_lineage(rows.select(family, binned(edges).alias("bins"), P.logit(p).alias("z"), F.col(y).cast("int").alias("y"), (F.col(date) >= F.col("__cut")).alias("late")))
-    model = boosted(rows.filter("NOT late"), [family], "bins", "z", "y", s)
+    model = boosted(rows.filter("NOT late"), [family], "bins", "z", "y", s, written=True)
     found = best_rounds(rows.filter("late"), model, [family], "bins", "z", "y", s.depth)
     found = cut_lineage(found.withColumn("gain", F.col("ll_base") - F.col("ll_head")))
     heads = model.join(found.select(family, "best_iter", "gain"), family)

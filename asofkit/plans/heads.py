@@ -11,6 +11,7 @@ from asofkit.operators.asof import asof_join, decayed_panel
 from asofkit.operators.windows import ladder_clamp
 from asofkit.plans._roles import EV, LED, ledger
 from asofkit.registry import query
+from asofkit.session import cut_lineage
 
 #: Context of a row: its line, side, distance of the price from even, the entity's form before the day and how much of it there is.
 EDGES = {"line": [0.5, 1.5], "home": [0.0], "p_dist": [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4], "form": [0.2, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6], "n_form": [1.0, 2.0, 4.0, 8.0, 16.0]}
@@ -19,14 +20,18 @@ STEP = B.Boosting(rounds=1, depth=2, rate=0.3, ridge=5.0, min_rows=20)
 HEADS = B.Boosting(rounds=4, depth=2, rate=0.4, ridge=5.0, min_rows=100, refresh=4)
 
 
-def ladders(spark, d):
-    """Three lines per forecast: falling probabilities of one game, and outcomes that lean on the side."""
-    line = F.explode(F.array(F.lit(0.5), F.lit(1.5), F.lit(2.5))).alias("line")
-    led = ledger(spark, d).select("game", "d", "family", "entity", F.col("p").alias("p0"), (F.col("game") % 2).cast("double").alias("home"), line)
-    led = led.withColumn("p", P.sigmoid(F.log(F.col("p0")) - F.log(1 - F.col("p0")) - 0.6 * (F.col("line") - 0.5)))
+def ladders(spark, d, led=None):
+    """Three lines per forecast: falling probabilities of one game, and outcomes that lean on the side. ``led``: the ledger, maybe with more columns."""
+    led = ledger(spark, d) if led is None else led
+    more = [c for c in led.columns if c not in ("game", "d", "family", "entity", "market", "p", "y")]
+    # exploded with its line, so that no reader computes p again
+    p = lambda line: P.sigmoid(F.log(F.col("p0")) - F.log(1 - F.col("p0")) - 0.6 * (line - 0.5))
+    rung = F.inline(F.array(*[F.struct(F.lit(x).alias("line"), p(x).alias("p")) for x in (0.5, 1.5, 2.5)]))
+    led = led.select("game", "d", "family", "entity", F.col("p").alias("p0"), (F.col("game") % 2).cast("double").alias("home"), *more)
+    led = led.select("game", "d", "family", "entity", "home", *more, rung)
     u = ((F.col("game") * 7919 + 13 + (F.col("line") * 2).cast("long") * 331) % 1000) / 1000.0
     y = (u < 0.1 + 0.6 * F.col("p") + 0.12 * F.col("home")).cast("int")
-    return led.select("game", "d", "family", "entity", "line", "home", F.concat("family", F.lit("_"), F.col("line").cast("string")).alias("market"), "p", y.alias("y"), F.abs(F.col("p") - 0.5).alias("p_dist"))
+    return led.select("game", "d", "family", "entity", "line", "home", F.concat("family", F.lit("_"), F.col("line").cast("string")).alias("market"), "p", y.alias("y"), F.abs(F.col("p") - 0.5).alias("p_dist"), *more)
 
 
 LADDERS = """lad AS (SELECT *, CASE WHEN u < 0.1 + 0.6 * p + 0.12 * home THEN 1 ELSE 0 END AS y, abs(p - 0.5) AS p_dist FROM (SELECT game, d, family, line, game % 2 AS home,
@@ -68,13 +73,17 @@ def boosting_first_tree(spark, d):
 def residual_heads(spark, d):
     """Boosted context shifts per family with logit(p_cal) as offset, kept on held-out gain alone; ladders stay in order afterwards."""
     led = ladders(spark, d)
-    cal = E.calibrated(led, E.platt_maps(led, ["family"], 500), E.platt_maps(led, ["family", "market"], 3000), "family", "market")
-    cal = cal.withColumn("p_cal", P.clip("p_cal", 1e-6, 1 - 1e-6)).withColumn("p_dist", F.abs(F.col("p_cal") - 0.5))
+    maps = E.platt_maps(led, ["family"], 500), E.platt_maps(led, ["family", "market"], 3000)
+    # the form is of an entity and a day, so it joins the forecasts before their lines multiply them
     daily = led.groupBy("entity", "d").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits"))
-    cal = asof_join(cal, decayed_panel(daily, ["entity"], ["n", "hits"], 7.0), ["entity"], ["n_d", "hits_d"], half_life=7.0)
-    cal = cal.withColumn("form", F.col("hits_d") / F.col("n_d")).withColumn("n_form", F.col("n_d"))
+    formed = asof_join(ledger(spark, d), decayed_panel(daily, ["entity"], ["n", "hits"], 7.0), ["entity"], ["n_d", "hits_d"], half_life=7.0)
+    formed = formed.withColumn("form", F.col("hits_d") / F.col("n_d")).withColumn("n_form", F.col("n_d")).drop("n_d", "hits_d")
+    cal = E.calibrated(ladders(spark, d, formed), *maps, "family", "market")
+    cal = cal.withColumn("p_cal", P.clip("p_cal", 1e-6, 1 - 1e-6)).withColumn("p_dist", F.abs(F.col("p_cal") - 0.5))
+    # written once: the day counts, the fit and the serving read it
+    cal = cut_lineage(cal.select("game", "d", "family", "y", "p_cal", *EDGES))
     heads, report = B.residual_heads(cal, "family", "d", "p_cal", "y", EDGES, HEADS, least=300)
-    served = B.apply_heads(cal.withColumn("bins", B.binned(EDGES)), heads, ["family"], "bins", "p_cal", HEADS.depth)
+    served = B.apply_heads(cal.select("game", "family", "line", "y", "p_cal", B.binned(EDGES).alias("bins")), heads, ["family"], "bins", "p_cal", HEADS.depth).drop("bins")
     served = ladder_clamp(served, ["family", "game"], "line", "p_head", "p_served")
     out = served.groupBy("family").agg(F.count_if(F.col("p_served") < F.col("p_head")).alias("clamped"), F.avg(P.log_loss("y", "p_cal")).alias("ll_cal_all"), F.avg(P.log_loss("y", "p_served")).alias("ll_served_all"))
     r6 = lambda c: F.round(c, 6).alias(c)

@@ -100,3 +100,26 @@ def test_heads_keep_only_what_gains(spark):
     served = B.apply_heads(led.withColumn("bins", B.binned({"x": [0.25, 0.5, 0.75]})), heads.filter("family <> 'noise'"), ["family"], "bins", "p", 1)
     means = {(x.family, x.hi): x.m for x in served.groupBy("family", (F.col("x") > 0.5).alias("hi")).agg(F.avg("p_head").alias("m")).collect()}
     assert means[("signal", True)] > 0.65 and means[("signal", False)] < 0.35 and means[("noise", True)] == 0.5
+
+
+def test_a_tree_reads_the_rows_once(spark, monkeypatch):
+    """Rows are summed by their bins once a tree; levels, shifts and models read tables of combinations, not of rows."""
+    r = random.Random(2)
+    rows = [("a", [r.randint(0, 3), r.randint(0, 2)], r.gauss(0, 1), int(r.random() < 0.5)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "k string, bins array<int>, z double, y int")
+    sizes, real = [], B.cut_lineage
+
+    def counted(d):
+        out = real(d)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(B, "cut_lineage", counted)
+    s = B.Boosting(rounds=3, depth=2, rate=0.4, ridge=1.0, min_rows=5)
+    model = B.boosted(df, ["k"], "bins", "z", "y", s)
+    assert sizes[0] == 3000 and sizes.count(12) == 2 * s.rounds - 1 and max(sizes[1:]) == 12
+    B.best_rounds(df, model, ["k"], "bins", "z", "y", s.depth).collect()
+    assert sizes[-1] == 12
+    # no join or aggregation of rows carries trees: the shift of a row comes from the table of its bins
+    plan = B.apply_heads(df.withColumn("p", F.lit(0.5)), model.withColumns({"best_iter": F.lit(3), "gain": F.lit(1.0)}), ["k"], "bins", "p", s.depth)._jdf.queryExecution().optimizedPlan().toString()
+    assert sizes[-1] == 12 and "trees" not in plan
