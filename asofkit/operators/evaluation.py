@@ -77,6 +77,43 @@ def weighted_ece(counts: DataFrame, keys: Sequence[str], bins: int = 10, p: str
     return g.groupBy(*keys).agg((F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.sum("w")).alias("ece"))
 
 
+# Ranges of a probability whose values, replicates and running sums stay in one task, and the tasks they are dealt to. The
+# number is given, since the values are few bytes before the replicates multiply them and would be put into one task.
+RESAMPLE_CHUNKS = RESAMPLE_PARTS = 128
+
+
+def resampled_cells(counts: DataFrame, weights: DataFrame, group: Sequence[str], date: str, p: str = "p") -> DataFrame:
+    """Weighted pos and neg of every (group, rep, value), from ``counts`` (group, date, value, pos, neg) and ``weights`` (group, rep,
+    date, w); ``below`` (negatives under the value) and ``upto`` (all up to it) count within the value's ``chunk``. Written once.
+
+    Values are placed by range before the replicates multiply them: neither the products nor their running sums are shuffled.
+    """
+    group = list(group)
+    at = counts.withColumn("chunk", F.floor(F.col(p) * RESAMPLE_CHUNKS)).repartition(RESAMPLE_PARTS, *group, "chunk").join(weights, [*group, date])
+    ws = lambda c: F.sum(F.col(c) * F.col("w")).alias(c)
+    cells = at.groupBy(*group, "chunk", "rep", p).agg(ws("pos"), ws("neg")).withColumn("n", F.col("pos") + F.col("neg"))
+    w = Window.partitionBy(*group, "chunk", "rep").orderBy(p)
+    below = F.coalesce(F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return cut_lineage(cells.select(*group, "rep", "chunk", p, P.logit(p).alias("z"), "pos", "neg", "n", below.alias("below"), upto.alias("upto")))
+
+
+def auc_and_ece(cells: DataFrame, keys: Sequence[str], bins: int = 10, p: str = "p") -> DataFrame:
+    """``auc`` and ``weighted_ece`` of ``resampled_cells``: one row per (keys, chunk) carries what came before the chunk."""
+    keys = list(keys)
+    area = F.sum(F.col("below") * F.col("pos") + 0.5 * F.col("pos") * F.col("neg"))
+    part = cells.groupBy(*keys, "chunk").agg(area.alias("area"), *[F.sum(c).alias(c) for c in ("pos", "neg", "n")])
+    w = Window.partitionBy(*keys)
+    before = w.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    part = cut_lineage(part.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("neg", "n")], F.sum("n").over(w).alias("n_all")))
+    ranks = part.groupBy(*keys).agg(
+        (F.sum(F.col("area") + F.col("neg_before") * F.col("pos")) / F.nullif((F.sum("pos") * F.sum("neg")).cast("double"), F.lit(0.0))).alias("auc"))
+    b = F.least(F.floor(bins * (F.col("n_before") + F.col("upto")) / F.col("n_all")), F.lit(bins - 1))
+    at = cells.filter("n > 0").join(part.select(*keys, "chunk", "n_before", "n_all"), [*keys, "chunk"])
+    g = at.groupBy(*keys, b.alias("__b")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col(p)).alias("sp"), F.sum("pos").alias("sy"))
+    return ranks.join(g.groupBy(*keys).agg((F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.sum("n")).alias("ece")), keys)
+
+
 def reliability(led: DataFrame, keys: Sequence[str], lo: float = 0.5, width: float = 0.05, p: str = "p") -> DataFrame:
     """Stated versus hit in half-open bands of fixed width from ``lo`` up."""
     b = F.floor((F.col(p) - lo) / width)

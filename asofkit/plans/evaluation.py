@@ -335,11 +335,15 @@ def composite(led, reps):
     w = cut_lineage(E.day_weights(E.slate_index(day, ["family"], "d"), ["family"], "d", reps, 11))
     ws = lambda c: F.sum(F.col(c) * F.col("w"))
     s = day.join(picks, ["family", "d"]).join(w, ["family", "d"]).groupBy("family", "rep").agg(*[ws(c).alias(c) for c in ("n", "sy", "nll", "ky", "kn")])
-    cells = led.groupBy("family", "d", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).join(w, ["family", "d"])
-    cells = cut_lineage(cells.groupBy("family", "rep", "p").agg(ws("pos").alias("pos"), ws("neg").alias("neg")))
+    counts = cut_lineage(E.value_counts(led, ["family", "d"]))
     k = ["family", "rep"]
-    fit = E.logistic_fits(cells.select(*k, P.logit("p").alias("z"), (F.col("pos") + F.col("neg")).alias("n"), F.col("pos").alias("sy")), k, "z", "n", "sy", keep_unsettled=True)
-    j = s.join(E.auc(cells, k), k).join(E.weighted_ece(cells, k), k).join(fit, k)
+    cells = E.resampled_cells(counts, w, ["family"], "d")
+    # replicates start where the fit of all days ends
+    whole = counts.groupBy("family", P.logit("p").alias("z")).agg(F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("sy"))
+    whole = E.logistic_fits(whole, ["family"], "z", "n", "sy", keep_unsettled=True)
+    start = w.select(*k).distinct().join(whole, "family").select(*k, F.when(F.col("settled"), F.col("a")).otherwise(0.0).alias("a"), F.when(F.col("settled"), F.col("b")).otherwise(1.0).alias("b"))
+    fit = E.logistic_fits(cells.select(*k, "z", "n", F.col("pos").alias("sy")), k, "z", "n", "sy", start=start, keep_unsettled=True, written=True)
+    j = s.join(E.auc_and_ece(cells, k), k).join(fit, k)
     base = F.col("sy") / F.col("n")
     ent = P.entropy2(base)
     rel = 100 * (ent - F.col("nll") / F.col("n")) / ent

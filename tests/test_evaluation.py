@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from asofkit.operators import evaluation as E
@@ -96,3 +97,37 @@ def test_prior_factors_use_only_earlier_seasons(spark):
     full, cut = f(df), f(df.filter("season = 2000"))
     assert full[("v", 2001)] == cut[("v", 2001)] == round(1 + 0.5 * (0.2 / 0.3 - 1), 9)
     assert ("v", 2002) in full and ("v", 2000) not in full
+
+
+def test_resampled_cells_are_placed_before_the_replicates_multiply_them(spark):
+    """Crowded and spread values against plain weighted AUC and ECE; no exchange above the join that multiplies rows by replicates."""
+    r = random.Random(8)
+    rows = [(f, d, r.choice([0.5, 0.501, 0.502, round(r.random(), 3)]), r.random() < 0.4) for f in "ab" for d in range(6) for _ in range(300)]
+    led = spark.createDataFrame([(f, d, p, int(y)) for f, d, p, y in rows], "family string, d int, p double, y int")
+    draws = [(f, rep, d, r.randint(1, 3)) for f in "ab" for rep in (1, 2, 3) for d in range(6) if r.random() < 0.7]
+    w = spark.createDataFrame(draws, "family string, rep int, d int, w long")
+    counts, w = E.cut_lineage(E.value_counts(led, ["family", "d"])), E.cut_lineage(w.coalesce(1))
+    cells = E.resampled_cells(counts, w, ["family"], "d")
+    got = {(x.family, x.rep): x for x in E.auc_and_ece(cells, ["family", "rep"]).collect()}
+    assert len(got) == 6
+    for (fam, rep), x in got.items():
+        wt = {d: n for f, q, d, n in draws if (f, q) == (fam, rep)}
+        mine = sorted((p, y, wt[d]) for f, d, p, y in rows if f == fam and d in wt)
+        pos, neg = [(p, n) for p, y, n in mine if y], [(p, n) for p, y, n in mine if not y]
+        area = sum(a * b * ((p > q) + 0.5 * (p == q)) for p, a in pos for q, b in neg)
+        assert x.auc == pytest.approx(area / (sum(a for _, a in pos) * sum(b for _, b in neg)))
+        total, bins = sum(n for _, _, n in mine), {}
+        for p in {m[0] for m in mine}:
+            upto = sum(n for q, _, n in mine if q <= p)
+            b = bins.setdefault(min(10 * upto // total, 9), [0.0, 0])
+            b[0] += sum(n * q for q, _, n in mine if q == p)
+            b[1] += sum(n * y for q, y, n in mine if q == p)
+        assert x.ece == pytest.approx(sum(abs(a - b) for a, b in bins.values()) / total)
+    plans, real = [], E.cut_lineage
+    E.cut_lineage = lambda df: plans.append(df) or df
+    try:
+        E.resampled_cells(counts, w, ["family"], "d")
+    finally:
+        E.cut_lineage = real
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("BroadcastHashJoin") < plan.index("Exchange hashpartitioning")
