@@ -57,10 +57,10 @@ def _box_docs(spark, d):
 @query("S5 X4", f"""WITH {EV} SELECT event_id AS "GamePk", 'bat' AS kind, user_id + h * 1000 AS "PlayerId", CASE h WHEN 0 THEN 'AWY' ELSE 'HOM' END AS "Team", k AS v FROM ev, (SELECT unnest([0, 1]) AS h)
 UNION ALL SELECT event_id, 'pit', user_id + h * 1000, CASE h WHEN 0 THEN 'AWY' ELSE 'HOM' END, k + 1 FROM ev, (SELECT unnest([0, 1]) AS h) WHERE k % 2 = 0 UNION ALL SELECT event_id, 'game', k % 20, 'Out To CF', k + 10 FROM ev""")
 def boxscore_rows(spark, d):
-    g, b, p = J.boxscore(_box_docs(spark, d), ["hits"], ["outs"])
-    one = lambda df, kind, c: df.select("GamePk", F.lit(kind).alias("kind"), "PlayerId", "Team", F.col(c).cast("int").alias("v"))
-    return one(b, "bat", "hits").unionByName(one(p, "pit", "outs")).unionByName(
-        g.select("GamePk", F.lit("game").alias("kind"), F.col("WindSpeed").cast("long").alias("PlayerId"), F.col("WindDir").alias("Team"), F.col("Temp").alias("v")))
+    r = J.boxscore_records(_box_docs(spark, d), ["hits"], ["outs"])
+    game = F.col("kind") == "game"
+    return r.select("GamePk", "kind", F.when(game, F.col("WindSpeed").cast("long")).otherwise(F.col("PlayerId")).alias("PlayerId"), F.when(game, F.col("WindDir")).otherwise(F.col("Team")).alias("Team"),
+                    F.when(game, F.col("Temp")).otherwise(F.coalesce("bat_hits", "pit_outs").cast("int")).alias("v"))
 
 
 def _odds_docs(spark, d):

@@ -55,20 +55,40 @@ def runner_movements(docs: DataFrame, body: str = "body") -> DataFrame:
         d["event"].alias("Event"), d["eventType"].alias("EventType"), F.coalesce(d["movementReason"], F.lit("")).alias("MovementReason"), F.coalesce(credits, F.lit("")).alias("Credits"))
 
 
-def boxscore(docs: DataFrame, batting: list[str], pitching: list[str], body: str = "body") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Game, batting and pitching rows from boxscore documents keyed by player (GamePk, Season, Date, away, home, body)."""
-    p = _parse(docs, body, BOX)
+def boxscore_records(docs: DataFrame, batting: list[str], pitching: list[str], body: str = "body") -> DataFrame:
+    """All records of boxscore documents keyed by player (GamePk, Season, Date, away, home, body) from one parse of each.
+
+    ``kind`` says which columns a record fills: game (teams and weather), bat or pit (player, team, ``bat_`` or ``pit_`` statistics).
+    """
     note = lambda label: F.get(F.filter("__j.info", lambda i: i["label"] == label), F.lit(0))["value"]
-    game = p.select("GamePk", "Season", "Date", F.col("away").alias("AwayTeam"), F.col("home").alias("HomeTeam"), weather_temp(note("Weather")).alias("Temp"), weather_condition(note("Weather")).alias("Condition"),
-                    wind_speed(note("Wind")).alias("WindSpeed"), wind_direction(note("Wind")).alias("WindDir"))
     side = lambda s, t, o, h: F.transform(F.map_values(f"__j.teams.{s}.players"), lambda x: F.struct(x.alias("p"), F.col(t).alias("team"), F.col(o).alias("opp"), F.lit(h).alias("home")))
-    rows = p.select("GamePk", "Season", "Date", F.explode(F.concat(side("away", "away", "home", 0), side("home", "home", "away", 1))).alias("r"))
-    common = ["GamePk", "Season", "Date", F.col("r.p.person.id").alias("PlayerId"), F.col("r.p.person.fullName").alias("Name"), F.col("r.team").alias("Team"), F.col("r.opp").alias("Opponent"), F.col("r.home").alias("Home")]
+    players = F.coalesce(F.concat(side("away", "away", "home", 0), side("home", "home", "away", 1)), F.array())
+    d = _parse(docs, body, BOX).select("GamePk", "Season", "Date", "away", "home", note("Weather").alias("__weather"), note("Wind").alias("__wind"), players.alias("__players"))
+    # a record without a player is the game's
+    d = d.select("GamePk", "Season", "Date", "away", "home", "__weather", "__wind", F.explode(F.concat(F.array(F.lit(None)), "__players")).alias("r"))
     played = lambda k: F.coalesce(F.try_element_at(f"r.p.stats.{k}", F.lit("gamesPlayed")).try_cast("int") > 0, F.lit(False))
-    stat = lambda k, c: F.coalesce(F.try_element_at(f"r.p.stats.{k}", F.lit(c)), F.lit("0")).alias(c)
     order = F.coalesce(F.col("r.p.battingOrder"), F.lit(""))
-    bat = rows.filter(played("batting") | (order != "")).select(*common, order.alias("BattingOrder"), F.coalesce("r.p.position.abbreviation", F.lit("")).alias("Position"), *[stat("batting", c) for c in batting])
-    pit = rows.filter(played("pitching")).select(*common, *[stat("pitching", c) for c in pitching])
+    kinds = F.when(F.col("r").isNull(), F.array(F.lit("game"))).otherwise(
+        F.array_compact(F.array(F.when(played("batting") | (order != ""), "bat"), F.when(played("pitching"), "pit"))))
+    d = d.select("*", F.explode(kinds).alias("kind"))
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    player = lambda c: F.when(F.col("kind") != "game", F.col(c))
+    stat = lambda kind, k, c: of(kind, F.coalesce(F.try_element_at(f"r.p.stats.{k}", F.lit(c)), F.lit("0"))).alias(f"{kind}_{c}")
+    return d.select(
+        "GamePk", "Season", "Date", "kind", of("game", F.col("away")).alias("AwayTeam"), of("game", F.col("home")).alias("HomeTeam"), of("game", weather_temp("__weather")).alias("Temp"),
+        of("game", weather_condition("__weather")).alias("Condition"), of("game", wind_speed("__wind")).alias("WindSpeed"), of("game", wind_direction("__wind")).alias("WindDir"),
+        player("r.p.person.id").alias("PlayerId"), player("r.p.person.fullName").alias("Name"), player("r.team").alias("Team"), player("r.opp").alias("Opponent"), player("r.home").alias("Home"),
+        of("bat", order).alias("BattingOrder"), of("bat", F.coalesce("r.p.position.abbreviation", F.lit(""))).alias("Position"),
+        *[stat("bat", "batting", c) for c in batting], *[stat("pit", "pitching", c) for c in pitching])
+
+
+def boxscore(docs: DataFrame, batting: list[str], pitching: list[str], body: str = "body") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Game, batting and pitching rows of ``boxscore_records``; each frame parses the documents again."""
+    r = boxscore_records(docs, batting, pitching, body)
+    common = ["GamePk", "Season", "Date", "PlayerId", "Name", "Team", "Opponent", "Home"]
+    game = r.filter("kind = 'game'").select("GamePk", "Season", "Date", "AwayTeam", "HomeTeam", "Temp", "Condition", "WindSpeed", "WindDir")
+    bat = r.filter("kind = 'bat'").select(*common, "BattingOrder", "Position", *[F.col(f"bat_{c}").alias(c) for c in batting])
+    pit = r.filter("kind = 'pit'").select(*common, *[F.col(f"pit_{c}").alias(c) for c in pitching])
     return game, bat, pit
 
 

@@ -96,3 +96,28 @@ def test_contract_registry(spark):
     t = spark.createDataFrame([("t", ["a"], ["a"], 3)], "name string, columns array<string>, key array<string>, min_rows int")
     assert Q.contracts_from_table(t)["t"].min_rows == 3
     assert Q.CONTRACTS["minor_game_batting"].key == Q.CONTRACTS["game_batting"].key
+
+
+def test_boxscore_records_come_from_one_parse(spark):
+    import json
+
+    from asofkit.plans.ingest import boxscore_rows
+    from asofkit.registry import load_all
+
+    who = lambda i, order, bat, pit: {"person": {"id": i, "fullName": f"P{i}"}, "battingOrder": order, "position": {"abbreviation": "SS"}, "stats": {"batting": bat, "pitching": pit}}
+    on = {"gamesPlayed": "1"}
+    sides = {"away": {"players": {"ID1": who(1, "100", on | {"hits": "2"}, on | {"outs": "9"}), "ID2": who(2, None, {}, {})}}, "home": {"players": {"ID3": who(3, None, {"gamesPlayed": "0"}, on), "ID4": who(4, "200", {}, {})}}}
+    notes = [{"label": "Wind", "value": "12 mph, Out To CF."}, {"label": "Weather", "value": "70 degrees, Clear."}]
+    bodies = [json.dumps({"info": notes, "teams": sides}), json.dumps({"info": notes}), "not json", None]
+    day = dt.date(2024, 5, 1)
+    docs = spark.createDataFrame([(i, 2024, day, "A", "H", b) for i, b in enumerate(bodies)], "GamePk long, Season int, Date date, away string, home string, body string")
+    rec = J.boxscore_records(docs, ["hits"], ["outs"])
+    got = sorted([(r.GamePk, r.kind, r.PlayerId, r.Team, r.Opponent, r.Home, r.bat_hits, r.pit_outs) for r in rec.filter("kind <> 'game'").collect()], key=lambda r: r[:3])
+    assert got == [(0, "bat", 1, "A", "H", 0, "2", None), (0, "bat", 4, "H", "A", 1, "0", None), (0, "pit", 1, "A", "H", 0, None, "9"), (0, "pit", 3, "H", "A", 1, None, "0")]
+    game, bat, pit = J.boxscore(docs, ["hits"], ["outs"])
+    assert sorted((r.GamePk, r.Temp, r.Condition, r.WindSpeed, r.WindDir) for r in game.collect() if r.GamePk < 2) == [(i, 70, "Clear", 12, "Out To CF") for i in (0, 1)]
+    assert {(r.GamePk, r.Temp, r.AwayTeam) for r in game.collect() if r.GamePk > 1} == {(2, None, "A"), (3, None, "A")}
+    assert sorted((r.PlayerId, r.BattingOrder, r.hits) for r in bat.collect()) == [(1, "100", "2"), (4, "200", "0")] and sorted((r.PlayerId, r.outs) for r in pit.collect()) == [(1, "9"), (3, "0")]
+    load_all()
+    plan = boxscore_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("Relation [") == 1
