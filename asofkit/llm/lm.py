@@ -14,6 +14,8 @@ Training is numpy in tasks: in each round every task trains on its part of the
 round's share of the documents from the shared parameters and returns its own,
 which are summed by blocks with the token counts as weights and averaged. The
 shares come round again until the loss on texts held out of training settles.
+A batch's gradients are summed by place before they are summed by id, and its
+ids sorted once: their order is also that of their codes.
 
 Cases: null and empty texts have no tokens, the sum 0 and no mean; places
 beyond a text's ends have a vector of their own; very long texts are scored
@@ -42,6 +44,8 @@ BATCH, RATE = 2048, 0.05
 LEAST = 5
 #: Rounds that see every text once; one text in SHARES * HELD is held out. Rounds end when the held-out loss falls by less than SETTLED of itself.
 SHARES, HELD, SETTLED, MOST_ROUNDS = 4, 32, 0.005, 32
+#: Places around a hidden token; exponents of sums up to this size are taken without looking for the largest first.
+AROUND, SAFE = np.array([d for d in range(-SIDE, SIDE + 1) if d]), 60
 #: Numbers in one row of summed parameters, and different words that a counting task holds.
 PART, HELD_WORDS = 1 << 15, 1 << 19
 END = 256
@@ -49,6 +53,7 @@ END = 256
 Parameters = dict[str, np.ndarray]
 TABLES = ("vectors", "given", "pair")
 TRAINED = ("base", "first", "first_base", "given", "pair", "places", "second", "second_base", "third", "third_base", "vectors")
+REST = tuple(k for k in TRAINED if k not in TABLES)
 
 
 def start(ids: int = TOKENS) -> Parameters:
@@ -79,7 +84,7 @@ def windows(tokens: np.ndarray, counts: np.ndarray, beyond: int = TOKENS) -> lis
     """Per place in the window the neighbour of every token; beyond a text's ends ``beyond``."""
     row = np.repeat(np.arange(len(counts)), counts)
     out = []
-    for d in [x for x in range(-SIDE, SIDE + 1) if x]:
+    for d in AROUND:
         n = np.full(len(tokens), beyond, np.int64)
         k = abs(d)
         same = row[k:] == row[:-k]
@@ -91,34 +96,107 @@ def windows(tokens: np.ndarray, counts: np.ndarray, beyond: int = TOKENS) -> lis
     return out
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def lined(ids: np.ndarray, counts: np.ndarray, beyond: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in one line, each between ``SIDE`` places beyond its ends; place of every id)."""
+    counts = counts[counts > 0]
+    at = np.arange(len(ids)) + SIDE * np.repeat(np.arange(1, len(counts) + 1), counts)
+    line = np.full(len(ids) + SIDE * (len(counts) + 1), beyond, np.int64)
+    line[at] = ids
+    return line, at
 
 
-def codes(p: Parameters, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first code, first and second as one number, third code)."""
-    c = len(p["given"])
-    return ids // (c * c), ids // c, ids % c
+def stretches(line: np.ndarray, at: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Per batch of ids (their slice, their part of ``line`` with ``SIDE`` places more on either side, their places in it less ``SIDE``)."""
+    for i in range(0, len(at), BATCH):
+        b = at[i : i + BATCH]
+        yield slice(i, i + BATCH), line[b[0] - SIDE : b[-1] + SIDE + 1], b - b[0]
 
 
-def forward(p: Parameters, near: list[np.ndarray], one: np.ndarray, pair: np.ndarray):
-    a = p["base"] + sum(p["vectors"][n] @ p["places"][k] for k, n in enumerate(near))
-    b = a + p["given"][one]
-    h = np.tanh(a), np.tanh(b), np.tanh(b + p["pair"][pair])
-    return h, [log_softmax(x @ p[k] + p[f"{k}_base"]) for x, k in zip(h, ("first", "second", "third"), strict=True)]
+def codes(p: Parameters, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first code, first and second as one number, second code, third code)."""
+    c = len(p["given"])
+    pair = ids // c
+    one = pair // c
+    return one, pair, pair - one * c, ids - pair * c
+
+
+def context(p: Parameters, near: np.ndarray) -> np.ndarray:
+    """Sum of the turned vectors of every token's neighbours (tokens x neighbours x DIMS)."""
+    return near.reshape(len(near), -1) @ p["places"].reshape(-1, DIMS) + p["base"]
+
+
+def neighbours(p: Parameters, line: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Vectors around the ids of a stretch (see ``stretches``)."""
+    return p["vectors"].take(line.take(at[:, None] + (SIDE + AROUND)), axis=0)
+
+
+def hidden(p: Parameters, a: np.ndarray, one: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    h = np.empty((3, *a.shape), a.dtype)
+    h[0] = a
+    np.add(a, p["given"].take(one, axis=0), out=h[1])
+    np.add(h[1], p["pair"].take(pair, axis=0), out=h[2])
+    # the hyperbolic tangent by an exponent, which numpy takes faster; beyond the largest it is one
+    h *= 2
+    with np.errstate(over="ignore"):
+        np.exp(h, out=h)
+    h += 1
+    np.divide(-2, h, out=h)
+    h += 1
+    return h
+
+
+def step(p: Parameters, k: str, h: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(z, e, s, flat places in z of every row's code, log-probability of that code): code j of row i has the probability e[j] * z[j, i] / s[i].
+
+    ``h`` lies between -1 and 1, so the weights bound the sums.
+    """
+    w, base = p[k], p[f"{k}_base"]
+    z = w.T @ h.T
+    most = base.max()
+    if max(w.max(), -w.min()) * len(w) + most - base.min() > SAFE:
+        z += base[:, None]
+        z -= z.max(axis=0)
+        base = np.zeros_like(base)
+    else:
+        base = base - most
+    e = np.exp(base)
+    own = code * len(h) + np.arange(len(h))
+    log = z.ravel().take(own) + base.take(code)
+    np.exp(z, out=z)
+    s = e @ z
+    log -= np.log(s)
+    return z, e, s, own, log
+
+
+def steps(p: Parameters, a: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
+    """Per code of the ids (its weights' name, hidden values, which code, ``step``)."""
+    one, pair, two, three = codes(p, ids)
+    for h, k, code in zip(hidden(p, a, one, pair), ("first", "second", "third"), (one, two, three), strict=True):
+        yield k, h, code, step(p, k, h, code)
+
+
+def of_contexts(p: Parameters, a: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(ids))
+    for _, _, _, (*_, log) in steps(p, a, ids):
+        out += log
+    return out
 
 
 def of_ids(p: Parameters, ids: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
     """Log-probability of every id between its neighbours."""
-    out = []
+    out = np.zeros(len(ids))
     for i in range(0, len(ids), BATCH):
         b = slice(i, i + BATCH)
-        one, pair, three = codes(p, ids[b])
-        _, (l1, l2, l3) = forward(p, [n[b] for n in near], one, pair)
-        at = np.arange(len(one))
-        out.append(l1[at, one].astype(np.float64) + l2[at, pair % len(p["given"])] + l3[at, three])
-    return np.concatenate(out) if out else np.zeros(0)
+        out[b] = of_contexts(p, context(p, p["vectors"][np.stack([n[b] for n in near], axis=1)]), ids[b])
+    return out
+
+
+def of_texts(p: Parameters, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Log-probability of every id of whole texts."""
+    out = np.zeros(len(ids))
+    for b, line, at in stretches(*lined(ids, counts, len(p["vectors"]) - 1)):
+        out[b] = of_contexts(p, context(p, neighbours(p, line, at)), ids[b])
+    return out
 
 
 class Words(np.ndarray):
@@ -128,13 +206,29 @@ class Words(np.ndarray):
         self.block = getattr(other, "block", None)
 
 
+def places_of(words: np.ndarray) -> np.ndarray:
+    """Where the sorted hashes begin that share their leading bits, for two to four such beginnings per hash."""
+    bits = len(words).bit_length() + 1
+    starts = np.searchsorted(words, (np.arange(1 << bits) << (62 - bits)) | (1 << 62))
+    return np.append(starts, len(words)).astype(np.int32)
+
+
 def known(p: Parameters, words: np.ndarray) -> np.ndarray:
     """Ids of hashed words: 0 for those outside the vocabulary, the last vector's for places beyond the ends."""
     words = np.asarray(words)
     out = np.zeros(len(words), np.int64)
     if len(p["words"]):
-        at = np.minimum(np.searchsorted(p["words"], words), len(p["words"]) - 1)
-        out = np.where(p["words"][at] == words, p["word_ids"][at], 0)
+        bits = len(p["word_places"]).bit_length() - 1
+        first = (words >> (62 - bits)) & ((1 << bits) - 1)
+        at, end = p["word_places"].take(first), p["word_places"].take(first + 1)
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            hit = p["words"].take(at) == words[left]
+            out[left[hit]] = p["word_ids"].take(at[hit])
+            at += 1
+            more = ~hit & (at < end)
+            left, at, end = left[more], at[more], end[more]
     out[words == TOKENS] = len(p["vectors"]) - 1
     return out
 
@@ -149,8 +243,11 @@ def spelled(p: Parameters, tokens: Words, ids: np.ndarray) -> np.ndarray:
         else:
             seen, first = np.unique(h, return_index=True)
             at = first[np.searchsorted(seen, np.asarray(tokens)[rare])]
-        step = np.concatenate([[0.0], np.cumsum(p["spelling"][raw[:-1], raw[1:]])])  # up to each byte
-        out[rare] = p["spelling"][END, raw[starts[at]]] + step[ends[at] - 1] - step[starts[at]] + p["spelling"][raw[ends[at] - 1], END]
+        size = ends[at] - starts[at] - 1
+        last = np.cumsum(size)
+        i = np.repeat(starts[at] - (last - size), size) + np.arange(last[-1])  # all bytes of rare words but each one's last
+        up_to = np.concatenate([[0.0], np.cumsum(p["spelling"].ravel().take(raw[i].astype(np.int64) * (END + 1) + raw[i + 1]))])
+        out[rare] = p["spelling"][END, raw[starts[at]]] + up_to[last] - up_to[last - size] + p["spelling"][raw[ends[at] - 1], END]
     return out
 
 
@@ -163,44 +260,69 @@ def log_probabilities(p: Parameters, tokens: np.ndarray, near: list[np.ndarray])
 
 def block_probabilities(p: Parameters, tokens: Words, counts: np.ndarray) -> np.ndarray:
     ids = known(p, tokens)
-    return of_ids(p, ids, windows(ids, counts, len(p["vectors"]) - 1)) + spelled(p, tokens, ids)
-
-
-def summed(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(different ids, sum of the rows of each)."""
-    order = np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")
-    s = ids[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    return s[first], np.add.reduceat(values[order], first, axis=0)
-
-
-def row_gradients(p: Parameters, ids: np.ndarray, near: list[np.ndarray]) -> dict:
-    """Of the mean negative log-probability; of TABLES only the rows touched: (rows, values)."""
-    one, pair, three = codes(p, ids)
-    h, logs = forward(p, near, one, pair)
-    at, n = np.arange(len(ids)), np.float32(len(ids))
-    g, back = {}, []
-    for x, z, k, code in zip(h, logs, ("first", "second", "third"), (one, pair % len(p["given"]), three), strict=True):
-        d = np.exp(z)
-        d[at, code] -= 1
-        d /= n
-        g[k], g[f"{k}_base"] = x.T @ d, d.sum(axis=0)
-        back.append((d @ p[k].T) * (1 - x * x))
+    return of_texts(p, ids, counts) + spelled(p, tokens, ids)
+
+
+def head_gradients(p: Parameters, a: np.ndarray, ids: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the mean negative log-probability: (of the weights behind the contexts, per id of its context, of its row of given, of its row of pair); each with a row of zeros at its end."""
+    g, back = {}, np.zeros((3, len(ids) + 1, DIMS), a.dtype)
+    for d, (k, h, code, (z, e, s, own, _)) in zip(back[:, :-1], steps(p, a, ids), strict=True):
+        flat = z.ravel()
+        flat[own] = flat.take(own) - s / e.take(code)
+        z *= 1 / (s * len(ids))
+        g[k], g[f"{k}_base"] = (z @ h).T * e, e * z.sum(axis=1)
+        np.matmul(z.T, (p[k] * e).T, out=d)
+        np.multiply(h, h, out=h)
+        np.subtract(1, h, out=h)
+        d *= h
     b = back[1] + back[2]
     a = back[0] + b
-    g["base"], g["given"], g["pair"] = a.sum(axis=0), summed(one, b), summed(pair, back[2])
-    g["places"] = np.stack([p["vectors"][m].T @ a for m in near])
-    g["vectors"] = summed(np.concatenate(near), np.concatenate([a @ p["places"][k].T for k in range(len(near))]))
-    return g
+    g["base"] = np.ones(len(a), a.dtype) @ a
+    return g, a, b, back[2]
 
 
 def gradients(p: Parameters, tokens: np.ndarray, near: list[np.ndarray]) -> Parameters:
-    """``row_gradients`` with whole tables."""
-    g = row_gradients(p, tokens, near)
-    for k in TABLES:
-        rows, values = g[k]
-        g[k] = np.zeros_like(p[k])
-        g[k][rows] = values
+    """Of the mean negative log-probability, with whole tables, neighbour by neighbour."""
+    v = p["vectors"][np.stack(near, axis=1)]
+    one, pair, _, _ = codes(p, tokens)
+    g, *of = head_gradients(p, context(p, v), tokens)
+    a, of_given, of_pair = (x[:-1] for x in of)
+    g |= {k: np.zeros_like(p[k]) for k in TABLES} | {"places": np.einsum("tkd,te->kde", v, a)}
+    np.add.at(g["given"], one, of_given)
+    np.add.at(g["pair"], pair, of_pair)
+    for n, turn in zip(near, p["places"], strict=True):
+        np.add.at(g["vectors"], n, a @ turn.T)
+    return g
+
+
+def runs(sorted_ids: np.ndarray) -> np.ndarray:
+    """Where each different id begins."""
+    return np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
+
+
+def row_sums(x: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``x``, put in ``order``, from each of ``first`` up to the next; two columns at a time, as one complex number."""
+    pairs = x.view(np.result_type(x.dtype, np.complex64)).take(order, axis=0)
+    return np.add.reduceat(pairs, first, axis=0).view(x.dtype)
+
+
+def line_gradients(p: Parameters, line: np.ndarray, at: np.ndarray) -> dict:
+    """``gradients`` of a stretch (see ``stretches``); of TABLES only the rows touched: (rows, values)."""
+    near, ids, c = neighbours(p, line, at), line[SIDE + at], len(p["given"])
+    g, a, of_given, of_pair = head_gradients(p, context(p, near), ids)
+    g["places"] = (near.reshape(len(ids), -1).T @ a[:-1]).reshape(p["places"].shape)
+    row = np.full(len(line) + 2 * SIDE, len(ids))  # per place of the line, ``SIDE`` more on either side, its row of the gradients; zeros but for the batch's ids
+    row[2 * SIDE + at] = np.arange(len(ids))
+    by_place = a.take(row.take(np.arange(SIDE, SIDE + len(line))[:, None] - AROUND), axis=0).reshape(len(line), -1) @ p["places"].transpose(0, 2, 1).reshape(-1, DIMS)
+    key = np.sort((line << 32) | np.arange(len(line)))
+    line, order = key >> 32, key & 0xFFFFFFFF
+    first = runs(line)
+    g["vectors"] = line[first], row_sums(by_place, order, first)
+    n = np.searchsorted(line, len(p["vectors"]) - 1)  # places beyond the ends have no codes
+    order, pair = row.take(order[:n] + SIDE), line[:n] // c
+    for k, code, x in (("given", pair // c, of_given), ("pair", pair, of_pair)):
+        first = runs(code)
+        g[k] = code[first], row_sums(x, order, first)
     return g
 
 
@@ -208,19 +330,29 @@ class Trainer:
     """Adagrad over batches of tokens in the order of the documents."""
 
     def __init__(self, p: Parameters) -> None:
-        self.p = {k: v.copy() if k in TRAINED else v for k, v in p.items()}
-        self.squares = {k: np.full_like(p[k], 1e-6) for k in TRAINED}
+        self.p = {k: v.copy() if k in TABLES else v for k, v in p.items()}
+        self.squares = {k: np.full_like(p[k], 1e-6) for k in TABLES}
+        self.rest = np.concatenate([p[k].ravel() for k in REST])  # parameters without rows are views of one array
+        self.rest_squares, at = np.full_like(self.rest, 1e-6), 0
+        for k in REST:
+            self.p[k] = self.rest[at : at + p[k].size].reshape(p[k].shape)
+            at += p[k].size
         self.seen = 0
 
     def text(self, ids: np.ndarray, counts: np.ndarray) -> None:
-        near = windows(ids, counts, len(self.p["vectors"]) - 1)
-        for i in range(0, len(ids), BATCH):
-            b = slice(i, i + BATCH)
-            for k, v in row_gradients(self.p, ids[b], [n[b] for n in near]).items():
-                rows, v = v if k in TABLES else (..., v)
-                s = self.squares[k][rows] + v * v
+        for _, line, at in stretches(*lined(ids, counts, len(self.p["vectors"]) - 1)):
+            g = line_gradients(self.p, line, at)
+            for k in TABLES:
+                rows, v = g[k]
+                s = v * v
+                s += self.squares[k].take(rows, axis=0)
                 self.squares[k][rows] = s
-                self.p[k][rows] -= RATE * v / np.sqrt(s)
+                v *= RATE
+                v /= np.sqrt(s, out=s)
+                self.p[k][rows] = self.p[k].take(rows, axis=0) - v
+            v = np.concatenate([g[k].ravel() for k in REST])
+            self.rest_squares += v * v
+            self.rest -= RATE * v / np.sqrt(self.rest_squares)
         self.seen += len(ids)
 
 
@@ -337,7 +469,7 @@ def with_vocabulary(docs: DataFrame) -> Parameters:
     often = counts.where(F.col("n") >= least).select("hash", "n").toArrow()
     h, n = (np.asarray(often.column(c).combine_chunks(), np.int64) for c in ("hash", "n"))
     h, first = np.unique(h[np.lexsort((h, -n))], return_index=True)
-    return start(len(h) + 1) | {"words": h, "word_ids": first + 1, "spelling": spelling(counts.where(F.col("n") < least))}
+    return start(len(h) + 1) | {"words": h, "word_ids": first + 1, "word_places": places_of(h), "spelling": spelling(counts.where(F.col("n") < least))}
 
 
 def mean_loss(docs: DataFrame, p: Parameters) -> float | None:
@@ -385,7 +517,7 @@ def trained(docs: DataFrame) -> Parameters:
     """Parameters from ``docs``: the driver holds one set of them."""
     p = with_vocabulary(docs)
     share = F.pmod(F.xxhash64("text"), F.lit(SHARES * HELD))
-    held, rest = docs.where(share == 0), docs.where(share != 0)
+    held, rest = written(docs.where(share == 0).select("text"), "held"), docs.where(share != 0)  # read once a round
     old = mean_loss(held, p)
     if old is None:  # too few texts to hold any out
         held, rest = docs, docs

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -105,3 +106,77 @@ def test_rare_words_take_no_frequent_words_probability(spark):
     held = [(i, clean(100) if i % 2 else junk(100)) for i in range(20)]
     got = {r.doc_id: r.mean_log_likelihood for r in lm.scored(spark.createDataFrame(held, "doc_id long, text string"), p, ["doc_id"]).collect()}
     assert max(got[i] for i in range(0, 20, 2)) + 5 < min(got[i] for i in range(1, 20, 2))
+
+
+def zipf_texts(n=60_000, ids=80_000):
+    rng = np.random.default_rng(4)
+    tokens = np.minimum((rng.pareto(0.6, n) * 3).astype(np.int64), ids - 1)
+    cuts = np.sort(rng.integers(0, n, 90))
+    return tokens, np.diff(np.concatenate([[0], cuts, [n]]))
+
+
+def test_stretches_have_the_gradients_of_single_places():
+    """Sums by place and by one order of the ids are those of every neighbour added on its own; scores too."""
+    ids = 700
+    p = {k: v.astype(np.float64) for k, v in lm.start(ids).items()}
+    tokens, _ = zipf_texts(5000, ids)
+    counts = np.array([0, 1, 2, 0, 0, 2500, 3, 1494, 1000, 0])
+    near = lm.windows(tokens, counts, ids)
+    seen = 0
+    for b, line, at in lm.stretches(*lm.lined(tokens, counts, ids)):
+        got, want = lm.line_gradients(p, line, at), lm.gradients(p, tokens[b], [n[b] for n in near])
+        assert set(got) == set(want)
+        for k in got:
+            whole = got[k]
+            if k in lm.TABLES:
+                whole = np.zeros_like(p[k])
+                whole[got[k][0]] = got[k][1]
+            assert whole == pytest.approx(want[k], rel=1e-9, abs=1e-15), k
+        seen += len(at)
+    assert seen == len(tokens)
+    assert lm.of_texts(p, tokens, counts) == pytest.approx(lm.of_ids(p, tokens, near), rel=1e-12)
+
+
+def test_large_weights_stay_finite():
+    """Weights whose exponents leave the numbers' range: sums to one, and gradients, as with the largest taken off."""
+    p = lm.start()
+    for k in ("first", "second", "third"):
+        p[k] *= 3000
+        p[f"{k}_base"] += np.linspace(-200, 200, lm.CODES, dtype=np.float32)
+    near = [np.full(lm.TOKENS, k) for k in (3, 9, lm.TOKENS, 77)]
+    assert np.exp(lm.log_probabilities(p, np.arange(lm.TOKENS), near)).sum() == pytest.approx(1, abs=1e-3)
+    assert all(np.isfinite(v).all() for v in lm.gradients(p, np.arange(lm.TOKENS), near).values())
+
+
+def test_words_are_found_among_equal_leading_bits():
+    rng = np.random.default_rng(3)
+    top = np.int64(1 << 62)
+    for n in (0, 1, 2, 500):
+        words = np.unique(np.concatenate([top | rng.integers(0, 1 << 62, n), top + np.arange(n), np.int64((1 << 63) - 1) - np.arange(n)]).astype(np.int64))
+        p = {"words": words, "word_ids": rng.permutation(len(words)) + 1, "word_places": lm.places_of(words), "vectors": np.zeros((len(words) + 2, 1))}
+        asked = np.concatenate([words, words[:-1] + 1, [top, lm.TOKENS]]).astype(np.int64)
+        ids = dict(zip(words.tolist(), p["word_ids"].tolist(), strict=True)) | {lm.TOKENS: len(words) + 1}
+        assert lm.known(p, asked).tolist() == [ids.get(w, 0) for w in asked.tolist()]
+
+
+def test_training_costs_little_more_than_its_products():
+    """CPU time of training against that of the matrix products and exponents which no order of the work can spare."""
+    ids = 80_000
+    p, (tokens, counts) = lm.start(ids), zipf_texts(ids=ids)
+    c, rng = len(p["given"]), np.random.default_rng(0)
+    h, w = rng.normal(size=(lm.BATCH, lm.DIMS)).astype(np.float32), rng.normal(size=(lm.DIMS, c)).astype(np.float32)
+
+    def spent(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    def least():
+        for _ in range(3 * len(tokens) // lm.BATCH):
+            z = w.T @ h.T
+            np.exp(z, out=z)
+            (z @ h, z.T @ w.T)
+
+    both = [(spent(lambda: lm.Trainer(p).text(tokens, counts)), spent(least)) for _ in range(5)]
+    train, products = map(min, zip(*both, strict=True))
+    assert train < 4 * products
