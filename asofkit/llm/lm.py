@@ -153,7 +153,7 @@ def step(p: Parameters, k: str, h: np.ndarray, code: np.ndarray) -> tuple[np.nda
     w, base = p[k], p[f"{k}_base"]
     z = w.T @ h.T
     most = base.max()
-    if max(w.max(), -w.min()) * len(w) + most - base.min() > SAFE:
+    if np.abs(w).sum(axis=0).max() + most - base.min() > SAFE:
         z += base[:, None]
         z -= z.max(axis=0)
         base = np.zeros_like(base)
@@ -265,19 +265,19 @@ def block_probabilities(p: Parameters, tokens: Words, counts: np.ndarray) -> np.
 
 def head_gradients(p: Parameters, a: np.ndarray, ids: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
     """Of the mean negative log-probability: (of the weights behind the contexts, per id of its context, of its row of given, of its row of pair); each with a row of zeros at its end."""
-    g, back = {}, np.zeros((3, len(ids) + 1, DIMS), a.dtype)
+    g, back, ones = {}, np.zeros((3, len(ids) + 1, DIMS), a.dtype), np.ones(len(ids), a.dtype)
     for d, (k, h, code, (z, e, s, own, _)) in zip(back[:, :-1], steps(p, a, ids), strict=True):
         flat = z.ravel()
         flat[own] = flat.take(own) - s / e.take(code)
         z *= 1 / (s * len(ids))
-        g[k], g[f"{k}_base"] = (z @ h).T * e, e * z.sum(axis=1)
+        g[k], g[f"{k}_base"] = (z @ h).T * e, e * (z @ ones)
         np.matmul(z.T, (p[k] * e).T, out=d)
         np.multiply(h, h, out=h)
         np.subtract(1, h, out=h)
         d *= h
     b = back[1] + back[2]
     a = back[0] + b
-    g["base"] = np.ones(len(a), a.dtype) @ a
+    g["base"] = ones @ a[:-1]
     return g, a, b, back[2]
 
 
