@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from asofkit.operators.settlement import settle_sheet
 
@@ -95,3 +96,31 @@ def test_rows_without_a_final_are_spread(spark):
     joins = [x for x in plan.split("\n") if "Join LeftOuter" in x and "final_game" in x]
     alone = [x for x in joins if " AND " not in x and " && " not in x]
     assert len(alone) == 2 and any("matchup" in x for x in joins)  # the two of finals and boxes
+
+
+def test_rows_are_placed_twice_and_narrow(spark):
+    """Once by what names their game and once by day and entity, without their label's text; lines are placed once."""
+    from asofkit.plans.settlement import boxes, sheet, slate
+
+    sf = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        given = sheet(spark, sf).withColumn("mark", F.lit("x").cast("string")).localCheckpoint()
+        tables = [x.localCheckpoint() for x in (*boxes(spark, sf), slate(spark, sf).filter("home_score IS NOT NULL"))]
+        got = settle_sheet(given, *tables).select("mark", "actual", "result")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 11
+        wide = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert sum("Join LeftOuter" in x and ("matchup" in x or "entity" in x) for x in wide) <= 3  # and the counts of games
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_of_several_games_a_day_and_odd_ordinals(spark):
+    """A row takes its own game's line though its player has another that day; ordinals below one, and rows without a day, name no game."""
+    day = lambda m, g, k, w: (m, g, k, "hits o2.5", "Over", 2.5, None, w)
+    rows = [day("A@B", 1, None, 7), day("A@B", 2, None, 7), day("C@D", 2, None, 7), day("A@B", None, 0, 7), day("A@B", None, -1, 7), day("A@B", None, None, 7)]
+    assert settled(spark, rows, ((1, "A@B", 1, 5, 3), (2, "C@D", 1, 1, 0))) == ["lose", "open", "win", "open", "open", "lose"]
+    assert settled(spark, [day(None, 1, None, 7)]) == []
+    other = [("E@F", 3, None, "hits o5.5", s, 5.5, None, 7) for s in ("Over", "Under")]  # no line in this game, two elsewhere that day: their sum
+    assert settled(spark, other, ((1, "A@B", 1, 5, 3), (2, "C@D", 1, 1, 0), (3, "E@F", 1, 1, 0))) == ["win", "lose"]
