@@ -124,3 +124,11 @@ def test_lines_of_several_games_a_day_and_odd_ordinals(spark):
     assert settled(spark, [day(None, 1, None, 7)]) == []
     other = [("E@F", 3, None, "hits o5.5", s, 5.5, None, 7) for s in ("Over", "Under")]  # no line in this game, two elsewhere that day: their sum
     assert settled(spark, other, ((1, "A@B", 1, 5, 3), (2, "C@D", 1, 1, 0), (3, "E@F", 1, 1, 0))) == ["win", "lose"]
+
+
+def test_label_counts_shuffle_no_label_text(spark):
+    from asofkit.plans.settlement import settlement_by_label
+
+    plan = settlement_by_label(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [i for i, x in enumerate(plan) if "Join LeftOuter" in x]
+    assert joins and not any("regexp_replace" in x for x in plan[: joins[0]])
